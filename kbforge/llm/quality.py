@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from kbforge.llm.token_words import slices
 
@@ -87,22 +88,29 @@ def _measure(texts: list[str]) -> list[np.ndarray]:
     return [*table[:, :5].T, _repeats(words), *table[:, 5:].T]
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """``doc_id``, the measurements and ``fail_bits`` of each document; map-only."""
+def _measured(rows: DataFrame, names: list[str], keep_text: bool) -> DataFrame:
+    """``rows`` with the measurements of ``text`` under ``names``, and ``names[-1]`` for the failure bits; map-only."""
+    fields = [f for f in rows.schema.fields if keep_text or f.name != "text"]
+    order = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [_measure(part) for part in slices(batch.column(1).to_pylist())]
+            done = [_measure(part) for part in slices(batch.column("text").to_pylist())]
             columns = [pa.array(np.concatenate(c)) for c in zip(*done)] if done else [pa.array([], pa.int64())] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *MEASURES])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in order), *columns], names=[*order, *names[:-1]])
+
+    schema = StructType([*fields, *(StructField(n, LongType()) for n in names[:-1])])
+    given = dict(zip(MEASURES, names))
+    total = F.lit(0)
+    for k, (_, fails) in enumerate(RULES):
+        fails = re.sub(r"\bn_\w+|\bword_chars", lambda m: f"`{given[m[0]]}`", fails)
+        total = total.bitwiseOR(F.when(F.expr(fails), 1 << k).otherwise(0))
+    return rows.mapInArrow(run, schema).withColumn(names[-1], total)
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    measured = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
-    bits = [F.when(F.expr(fails), 1 << k).otherwise(0) for k, (_, fails) in enumerate(RULES)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return measured.withColumn("fail_bits", total)
+def ledger(docs: DataFrame) -> DataFrame:
+    """``doc_id``, the measurements and ``fail_bits`` of each document."""
+    return _measured(docs.select("doc_id", "text"), [*MEASURES, "fail_bits"], keep_text=False)
 
 
 def apply_policy(rows: DataFrame, mask: int, name: str = "kept") -> DataFrame:
@@ -136,14 +144,13 @@ def judge(docs: DataFrame, policy: str = PRODUCTION) -> DataFrame:
 
 
 def keep(docs: DataFrame, policy: str = PRODUCTION) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the policy keeps.
-
-    Rows are matched to their verdict by id and a hash of the text, so rows that share an id are judged apart.
-    """
-    key = F.struct("doc_id", F.xxhash64("text").alias("h"))
-    verdict = judge(docs.select(key.alias("doc_id"), "text"), policy)
-    good = verdict.filter("kept").select(F.col("doc_id").alias("_key")).distinct()
-    return docs.withColumn("_key", key).join(good, F.col("_key").eqNullSafe(good["_key"]), "left_semi").drop("_key")
+    """The rows of ``docs``, with all their columns, that the policy keeps; each row is judged by its own text."""
+    stem = "_q"
+    while any(c.lower().startswith(stem) for c in docs.columns):
+        stem += "_"
+    names = [f"{stem}{k}" for k in range(len(MEASURES) + 1)]
+    rows = _measured(docs, names, keep_text=True)
+    return rows.filter(F.col(names[-1]).bitwiseAND(POLICIES[policy] | BASE) == 0).select(*(f"`{c}`" for c in docs.columns))
 
 
 SQL = r"""
