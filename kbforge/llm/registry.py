@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kbforge.functions.storage import read_table
-from kbforge.llm import quality, urls, wavelet
+from kbforge.llm import quality, secrets, urls, wavelet
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +22,12 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages"))
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_quality_rules, op5_token_output, op9_url_filters]
+    found = [op3_quality_rules, op5_token_output, op9_url_filters, op10_secret_scans]
     return {f.__name__: f for f in found}
 
 

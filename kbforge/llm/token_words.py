@@ -18,22 +18,6 @@ SLICE_CHARS = 1_000_000
 
 #: Only separators that every Unicode definition of white space holds; the library handles all others.
 _WORD = re.compile(r"[^ \t\n\r]+")
-#: The split pattern of the tokenizer file, for lower-cased words of the characters in ``_PLAIN``.
-_PLAIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-#: Characters that normalisation keeps, but for case.
-_PLAIN = re.compile(r"[!-~À-ÿ]+")
-
-
-def _byte_alphabet() -> dict[int, str]:
-    """Byte-level spelling of À to ÿ: a printable byte stands for itself, the others follow from 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in printable]
-    spelt = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
-    return {c: "".join(spelt[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
-
-
-_SPELT = _byte_alphabet()
-
 _encoders: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
@@ -61,26 +45,22 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = plain_specials
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = np.array([t.id for t in self.tokenizer.model.tokenize(piece.translate(_SPELT))], self.dtype).tobytes()
-            self.pieces[piece] = got
-        return got
+        # A special token between words marks where each ends, so that many are encoded in one call.
+        special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special]
+        self.mark, self.mark_text = (special[-1][0], special[-1][1].content) if special else (None, "")
+        self.marking = Tokenizer.from_file(path) if special else None
 
     def _learn(self, words: list[str]) -> None:
         if len(self.words) + len(words) > CACHE_WORDS:
             self.words = {}
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces = {}
-        rest = []
-        for word in words:
-            if "<|" not in word and _PLAIN.fullmatch(word):
-                self.words[word] = b"".join(map(self._piece, _PLAIN_PIECE.findall(word.lower())))
-            else:
-                rest.append(word)
+        size = self.dtype.itemsize
+        plain = [w for w in words if "<" not in w] if self.marking and "<" in self.mark_text else []
+        for k in range(0, len(plain), 2000):
+            part = plain[k : k + 2000]
+            ids = np.array(self.marking.encode(self.mark_text.join(part) + self.mark_text, add_special_tokens=False).ids, self.dtype)
+            raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.mark) * size).tolist()
+            self.words.update(zip(part, (raw[a:b] for a, b in zip([0, *(e + size for e in ends)], ends)), strict=False))
+        rest = [w for w in words if w not in self.words]
         for word, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
             self.words[word] = np.array(found.ids, self.dtype).tobytes()
 
