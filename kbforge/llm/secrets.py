@@ -106,7 +106,11 @@ def linked(docs: DataFrame) -> DataFrame:
     """``_id, _h`` and the reported weak spans (``key``, ``endpoint``) of the texts that have some."""
     text = F.col("text")
     rows = docs.filter(_has_weak(text)).select(*_identity(), "text").distinct()
-    found = rows.select("_id", "_h", F.explode(F.concat(*(F.transform(_spans(text, k), lambda s, n=k[0]: F.struct(F.lit(n).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS + WEAK))).alias("p"))
+
+    def tagged(kind: tuple) -> Column:
+        return F.transform(_spans(text, kind), lambda s: F.struct(F.lit(kind[0]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+    found = rows.select("_id", "_h", F.explode(F.concat(*map(tagged, KINDS + WEAK))).alias("p"))
     parts = materialize(found.select("_id", "_h", "p.*"), "credential-parts")
     access = parts.filter("kind = 'access'")
     keys = _near(parts.filter("kind = 'key'"), access)
@@ -133,8 +137,10 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
 
 def _listed(kinds: list[str]) -> Column:
-    tagged = F.concat(*(F.transform(F.col(k), lambda s, i=NAMES.index(k), k=k: F.struct(s["start"].alias("start"), F.lit(i).alias("order"), F.concat_ws(":", F.lit(k), s["start"], s["end"]).alias("name"))) for k in kinds))
-    return F.array_join(F.transform(F.array_sort(tagged), lambda s: s["name"]), ",")
+    def tagged(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), F.lit(NAMES.index(kind)).alias("order"), F.concat_ws(":", F.lit(kind), s["start"], s["end"]).alias("name")))
+
+    return F.array_join(F.transform(F.array_sort(F.concat(*map(tagged, kinds))), lambda s: s["name"]), ",")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -151,7 +157,7 @@ def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     ``n_chars``, where there is such a column, follows the text.
     """
     taken = {c.lower() for c in docs.columns}
-    clash = {c: f"_kept{i}" for i, c in enumerate(docs.columns) if c.lower() in {*NAMES, "_id", "_h"}}
+    clash = {c: f"_kept{i}" for i, c in enumerate(docs.columns) if c.lower() in {*NAMES, "_id", "_h", "_found"}}
     rows = with_spans(docs.withColumnsRenamed(clash))
 
     def rebuilt(spans: Column) -> Column:
@@ -165,6 +171,8 @@ def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
         return F.aggregate(F.array_sort(spans), first, step, tail)
 
     every = F.concat(*(F.col(k) for k in NAMES))
-    text = F.when(F.size(every) > 0, rebuilt(every)).otherwise(F.col("text"))
-    new = {"text": text} | ({"n_chars": F.when(F.size(every) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in taken else {})
-    return rows.withColumns(new).drop(*NAMES).withColumnsRenamed({v: k for k, v in clash.items()}).select(*(f"`{c}`" for c in docs.columns))
+    rows = rows.withColumn("_found", F.size(every) > 0).withColumn("text", F.when(F.size(every) > 0, rebuilt(every)).otherwise(F.col("text"))).drop(*NAMES)
+    rows = rows.withColumnsRenamed({v: k for k, v in clash.items()})
+    if "n_chars" in taken:
+        rows = rows.withColumn("n_chars", F.when(F.col("_found"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*(f"`{c}`" for c in docs.columns))
