@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kbforge.functions.storage import read_table
-from kbforge.llm import quality, secrets, urls, wavelet
+from kbforge.llm import language, quality, secrets, urls, wavelet
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read_table(spark, sf_dir, "documents"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +31,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_quality_rules, op5_token_output, op9_url_filters, op10_secret_scans]
+    found = [op1_language_id, op3_quality_rules, op5_token_output, op9_url_filters, op10_secret_scans]
     return {f.__name__: f for f in found}
 
 
