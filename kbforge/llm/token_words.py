@@ -1,7 +1,8 @@
 """Encoding of whole texts by a tokenizers file whose pieces never cross white space.
 
 A text is the sequence of its words, so each distinct word is encoded once per worker and looked up afterwards.
-The look-up table is cleared when it reaches ``CACHE_WORDS`` entries, which bounds a worker's memory.
+When the look-up table reaches ``CACHE_WORDS`` entries a new one is begun, into which words come back from the last one as
+they are met again; the one before is dropped. That bounds a worker's memory and keeps frequent words.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Words kept by a worker before its table starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Characters of text that are held as words at a time.
 SLICE_CHARS = 1_000_000
 
@@ -45,23 +46,23 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = plain_specials
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         # A special token between words marks where each ends, so that many are encoded in one call.
         special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special]
         self.mark, self.mark_text = (special[-1][0], special[-1][1].content) if special else (None, "")
         self.marking = Tokenizer.from_file(path) if special else None
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words = {}
         size = self.dtype.itemsize
         plain = [w for w in words if "<" not in w] if self.marking and "<" in self.mark_text else []
         for k in range(0, len(plain), 2000):
             part = plain[k : k + 2000]
-            ids = np.array(self.marking.encode(self.mark_text.join(part) + self.mark_text, add_special_tokens=False).ids, self.dtype)
+            ids = np.array(self.marking.encode_batch_fast([self.mark_text.join(part) + self.mark_text], add_special_tokens=False)[0].ids, self.dtype)
             raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.mark) * size).tolist()
-            self.words.update(zip(part, (raw[a:b] for a, b in zip([0, *(e + size for e in ends)], ends)), strict=False))
+            if len(ends) == len(part):
+                self.words.update(zip(part, (raw[a:b] for a, b in zip([0, *(e + size for e in ends)], ends)), strict=True))
         rest = [w for w in words if w not in self.words]
-        for word, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+        for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.words[word] = np.array(found.ids, self.dtype).tobytes()
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
@@ -69,12 +70,12 @@ class WordEncoder:
         for part in slices(texts):
             words = [_WORD.findall(text) for text in part]
             need = set().union(*words) if words else set()
-            missing = [w for w in need if w not in self.words]
-            if missing:
-                before = self.words
-                self._learn(missing)
-                if self.words is not before:
-                    self._learn([w for w in need if w not in self.words])
+            if len(self.words) > CACHE_WORDS:
+                self.old, self.words = self.words, {}
+            missing = need - self.words.keys()
+            back = missing & self.old.keys()
+            self.words.update((w, self.old[w]) for w in back)
+            self._learn(list(missing - back))
             known = self.words.__getitem__
             for each in words:
                 yield b"".join(map(known, each))
