@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kbforge.functions.storage import read_table
-from kbforge.llm import language, quality, secrets, urls, wavelet
+from kbforge.llm import decontaminate, language, quality, secrets, urls, wavelet
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.regions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op3_quality_rules, op5_token_output, op9_url_filters, op10_secret_scans]
+    found = [op1_language_id, op2_benchmark_decontamination, op3_quality_rules, op5_token_output, op9_url_filters, op10_secret_scans]
     return {f.__name__: f for f in found}
 
 
