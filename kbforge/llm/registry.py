@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kbforge.functions.storage import read_table
-from kbforge.llm import decontaminate, language, quality, secrets, urls, wavelet
+from kbforge.llm import decontaminate, jaccard, language, quality, secrets, urls, wavelet
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_output(read_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.links(read_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages"))
 
@@ -35,7 +39,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_benchmark_decontamination, op3_quality_rules, op5_token_output, op9_url_filters, op10_secret_scans]
+    found = [op1_language_id, op2_benchmark_decontamination, op3_quality_rules, op5_token_output, op6_jaccard_join, op9_url_filters, op10_secret_scans]
     return {f.__name__: f for f in found}
 
 
