@@ -17,7 +17,6 @@ their length.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,6 +34,8 @@ ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters of text whose words are scored at a time.
+SLICE = 400_000
 #: Words that a worker remembers the scores of.
 _CACHE = 300_000
 
@@ -118,11 +119,15 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
 
 
 class Scorer:
-    """Sums of a model over texts, with the scores of words seen before."""
+    """Sums of a model over texts. The scores of words seen before stand in a table, a row for each word."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.seen: dict[str, np.ndarray | None] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1024, len(self.model.langs)))
 
     def word(self, word: str) -> np.ndarray | None:
         known = self.model.words.get(word)
@@ -134,24 +139,32 @@ class Scorer:
                 return np.mean(hits, axis=0)
         return None
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        counts = Counter(_LETTERS.findall(text.lower())) if text else None
-        if not counts or not self.model.langs:
-            return UNKNOWN, 0.0
-        if len(self.seen) > _CACHE:
-            self.seen = {}
-        total = np.zeros(len(self.model.langs))
-        for word, n in counts.items():
-            if word not in self.seen:
-                self.seen[word] = self.word(word)
-            score = self.seen[word]
-            if score is not None:
-                total += n * score
-        best = int(total.argmax())
-        return self.model.langs[best], 1.0 / math.fsum(np.exp(total - total[best]).tolist())
-
-
-_scorers: dict[int, Scorer] = {}
+    def learn(self, words: set[str]) -> None:
+        while len(self.rows) + len(words) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        for word in words:
+            score = self.word(word)
+            row = self.rows[word] = len(self.rows)
+            self.table[row] = 0 if score is None else score
+
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        words = [_LETTERS.findall(t.lower()) for t in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        full = np.flatnonzero(sizes)
+        if not len(full) or not self.model.langs:
+            return out
+        if len(self.rows) > _CACHE:
+            self.clear()
+        self.learn(set().union(*words) - self.rows.keys())
+        known = self.rows.__getitem__
+        codes = np.fromiter((known(w) for own in words for w in own), np.int64, int(sizes.sum()))
+        sums = np.add.reduceat(self.table[codes], (np.cumsum(sizes) - sizes)[full], axis=0)
+        best = sums.argmax(axis=1)
+        share = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+        for i, k, score in zip(full.tolist(), best.tolist(), share.tolist()):
+            out[i] = (self.model.langs[k], score)
+        return out
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -161,7 +174,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(t) for part in slices(batch.column(1).to_pylist()) for t in part]
+            found = [f for part in slices(batch.column(1).to_pylist(), SLICE) for f in scorer.predict(part)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"]
             )
