@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kbforge.functions.storage import read_table
-from kbforge.llm import decontaminate, jaccard, language, quality, secrets, separators, urls, wavelet
+from kbforge.llm import decontaminate, jaccard, language, quality, secrets, sentencepiece, separators, urls, wavelet
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.links(read_table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encoded(read_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_benchmark_decontamination, op3_quality_rules, op5_token_output, op6_jaccard_join, op8_token_counts, op9_url_filters, op10_secret_scans]
+    found = [op1_language_id, op2_benchmark_decontamination, op3_quality_rules, op5_token_output, op6_jaccard_join, op7_sentencepiece, op8_token_counts, op9_url_filters, op10_secret_scans]
     return {f.__name__: f for f in found}
 
 
