@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kbforge.functions.storage import read_table
-from kbforge.llm import decontaminate, jaccard, language, quality, secrets, sentencepiece, separators, urls, wavelet
+from kbforge.llm import decontaminate, jaccard, language, licenses, quality, secrets, sentencepiece, separators, urls, wavelet
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.with_paths(read_table(spark, sf_dir, "documents")))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_output(read_table(spark, sf_dir, "documents"))
 
@@ -47,9 +51,9 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_benchmark_decontamination, op3_quality_rules, op5_token_output, op6_jaccard_join, op7_sentencepiece, op8_token_counts, op9_url_filters, op10_secret_scans]
+    found = [op1_language_id, op2_benchmark_decontamination, op3_quality_rules, op4_license_scans, op5_token_output, op6_jaccard_join, op7_sentencepiece, op8_token_counts, op9_url_filters, op10_secret_scans]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.SQL, "op9_url_filters": urls.SQL}
+    return {"op4_license_scans": licenses.sql(), "op3_quality_rules": quality.SQL, "op9_url_filters": urls.SQL}
