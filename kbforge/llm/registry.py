@@ -50,8 +50,14 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_benchmark_decontamination, op3_quality_rules, op4_license_scans, op5_token_output, op6_jaccard_join, op7_sentencepiece, op8_token_counts, op9_url_filters, op10_secret_scans]
+    found = [op1_language_id, op2_benchmark_decontamination, op3_quality_rules, op4_license_scans, op5_token_output, op6_jaccard_join, op7_sentencepiece, op8_token_counts, op9_url_filters, op10_secret_scans, pipeline]
     return {f.__name__: f for f in found}
 
 
