@@ -19,6 +19,12 @@ SLICE_CHARS = 1_000_000
 
 #: Only separators that every Unicode definition of white space holds; the library handles all others.
 _WORD = re.compile(r"[^ \t\n\r]+")
+#: Characters that normalisation keeps, but for case.
+_PLAIN = re.compile(r"[!-~À-ÿ]+")
+_CONTROL = re.compile(r"[\x00-\x09\x0b-\x1f\x7f]")
+#: The split pattern of the tokenizer file, for lower-cased words of those characters; a line's end is one more.
+_PLAIN_PIECE = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+
 _encoders: dict[tuple[str, bool], "WordEncoder"] = {}
 
 
@@ -44,24 +50,47 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        # A special token between words marks where each ends, so that many are encoded in one call.
-        special = [t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special]
-        self.mark, self.mark_text = (special[-1][0], special[-1][1].content) if special else (None, "")
-        self.marking = Tokenizer.from_file(path) if special else None
-
-    def _learn(self, words: list[str]) -> None:
-        size = self.dtype.itemsize
-        plain = [w for w in words if "<" not in w] if self.marking and "<" in self.mark_text else []
-        for k in range(0, len(plain), 2000):
-            part = plain[k : k + 2000]
-            ids = np.array(self.marking.encode_batch_fast([self.mark_text.join(part) + self.mark_text], add_special_tokens=False)[0].ids, self.dtype)
-            raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.mark) * size).tolist()
-            if len(ends) == len(part):
-                self.words.update(zip(part, (raw[a:b] for a, b in zip([0, *(e + size for e in ends)], ends)), strict=True))
-        rest = [w for w in words if w not in self.words]
+        self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        """Encode many pieces as one text; the last token of a piece is the one that carries the word end."""
+        if len(self.pieces) > CACHE_WORDS:
+            self.old_pieces, self.pieces = self.pieces, {}
+        missing = pieces - self.pieces.keys()
+        back = missing & self.old_pieces.keys()
+        self.pieces.update((p, self.old_pieces[p]) for p in back)
+        new, size = list(missing - back), self.dtype.itemsize
+        for k in range(0, len(new), 2000):
+            part = new[k : k + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
+            raw, cuts = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+            if len(cuts) != len(part):
+                raise ValueError("a piece has no single word end")
+            self.pieces.update(zip(part, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
+
+    def _learn(self, words: set[str]) -> None:
+        plain = [w for w in words if (w.isascii() or _PLAIN.fullmatch(w)) and "<|" not in w]
+        lines = "\n".join(plain)
+        if _CONTROL.search(lines):
+            plain = [w for w in plain if _PLAIN.fullmatch(w)]
+            lines = "\n".join(plain)
+        if plain:
+            # One pass over all words: pieces, and a mark at each line's end, by which the run of ids is cut.
+            parts = _PLAIN_PIECE.findall(lines.lower() + "\n")
+            self._learn_pieces(set(parts) - {"\n"})
+            size = self.dtype.itemsize
+            self.pieces["\n"] = b"\xff" * size
+            raw = b"".join(map(self.pieces.__getitem__, parts))
+            ends = (np.flatnonzero(np.frombuffer(raw, self.dtype) == np.iinfo(self.dtype).max) * size).tolist()
+            self.words.update(zip(plain, (raw[a:b] for a, b in zip([0, *(e + size for e in ends)], ends)), strict=True))
+        rest = list(words - set(plain))
         for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.words[word] = np.array(found.ids, self.dtype).tobytes()
 
@@ -75,7 +104,7 @@ class WordEncoder:
             missing = need - self.words.keys()
             back = missing & self.old.keys()
             self.words.update((w, self.old[w]) for w in back)
-            self._learn(list(missing - back))
+            self._learn(missing - back)
             known = self.words.__getitem__
             for each in words:
                 yield b"".join(map(known, each))
