@@ -118,19 +118,21 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
-def _spanning(near: np.ndarray) -> list[int]:
-    """For each row of a symmetric matrix a neighbour that leads to the root of its component, -1 for roots."""
+def _spanning(near: np.ndarray, names: list[bytes]) -> list[int]:
+    """For each row of a symmetric matrix the row of the least name in its component, -1 for that row itself.
+
+    Blocks that share classes then mostly give the same edges, which are kept once.
+    """
     lead = [-2] * len(near)
-    for root in range(len(near)):
+    for root in sorted(range(len(near)), key=names.__getitem__):
         if lead[root] != -2:
             continue
         lead[root] = -1
         queue = [root]
         while queue:
-            at = queue.pop()
-            for k in np.flatnonzero(near[at]).tolist():
+            for k in np.flatnonzero(near[queue.pop()]).tolist():
                 if lead[k] == -2:
-                    lead[k] = at
+                    lead[k] = root
                     queue.append(k)
     return lead
 
@@ -236,7 +238,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         a, b = [], []
         for group in _groups(batches, 3):
             if len(group) > 1:
-                for row, lead in zip(group, _spanning(_probably_near(group, least))):
+                for row, lead in zip(group, _spanning(_probably_near(group, least), [r[4] for r in group])):
                     if lead >= 0:
                         a.append(row[4])
                         b.append(group[lead][4])
@@ -265,7 +267,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 continue
             near = _surely_near(group, threshold)
             links = near @ np.array([r[5] for r in group], np.int64)
-            lead = [group[k][4] if k >= 0 else None for k in _spanning(near)]
+            lead = [group[k][4] if k >= 0 else None for k in _spanning(near, [r[4] for r in group])]
             yield pa.RecordBatch.from_arrays([pa.array([r[4] for r in group], pa.binary()), pa.array(links, pa.int64()), pa.array(lead, pa.binary())], names=["fp", "links", "lead"])
 
     verified = materialize(compared.mapInArrow(verify, "fp binary, links long, lead binary").filter("links > 0"), "links")
