@@ -83,8 +83,18 @@ def _top(counts: DataFrame, most: int) -> list:
 
 
 class Model:
+    """Languages, and the rows of known words and n-grams in tables of log frequencies."""
+
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.langs, self.words, self.grams = langs, words, grams
+        self.langs = langs
+        self.words, self.grams = ({item: k for k, item in enumerate(t)} for t in (words, grams))
+        self.word_scores, self.gram_scores = (np.array(list(t.values())).reshape(len(t), len(langs)) for t in (words, grams))
+
+    def scorer(self) -> "Scorer":
+        """The worker's scorer; it lives as long as the worker holds the model."""
+        if "own" not in self.__dict__:
+            self.own = Scorer(self)
+        return self.own
 
 
 def _table(rows: list, totals: dict[str, int], langs: list[str]) -> dict[str, np.ndarray]:
@@ -129,23 +139,33 @@ class Scorer:
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(self.model.langs)))
 
-    def word(self, word: str) -> np.ndarray | None:
-        known = self.model.words.get(word)
-        if known is not None:
-            return known
-        for n in ORDERS:
-            hits = [g for g in map(self.model.grams.get, _grams(word, n)) if g is not None]
-            if hits:
-                return np.mean(hits, axis=0)
-        return None
-
     def learn(self, words: set[str]) -> None:
+        """Add the scores of new words; those of unknown words are the means of their known n-grams' scores."""
         while len(self.rows) + len(words) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        for word in words:
-            score = self.word(word)
-            row = self.rows[word] = len(self.rows)
-            self.table[row] = 0 if score is None else score
+        new, base = list(words), len(self.rows)
+        self.rows.update(zip(new, range(base, base + len(new))))
+        block = self.table[base : base + len(new)]
+        block[:] = 0
+        at = [self.model.words.get(w, -1) for w in new]
+        seen = [i for i, r in enumerate(at) if r >= 0]
+        block[seen] = self.model.word_scores[[at[i] for i in seen]]
+        rest, known = [i for i, r in enumerate(at) if r < 0], self.model.grams.get
+        for n in ORDERS:
+            flat: list[int] = []
+            sizes, found, left = [], [], []
+            for i in rest:
+                hits = [r for g in _grams(new[i], n) if (r := known(g)) is not None]
+                if hits:
+                    flat += hits
+                    sizes.append(len(hits))
+                    found.append(i)
+                else:
+                    left.append(i)
+            if found:
+                count = np.array(sizes)
+                block[found] = np.add.reduceat(self.model.gram_scores[flat], np.cumsum(count) - count, axis=0) / count[:, None]
+            rest = left
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         words = [_LETTERS.findall(t.lower()) for t in texts]
@@ -172,7 +192,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = shared.value.scorer()
         for batch in batches:
             found = [f for part in slices(batch.column(1).to_pylist(), SLICE) for f in scorer.predict(part)]
             yield pa.RecordBatch.from_arrays(
