@@ -37,6 +37,8 @@ from kbforge.llm.token_words import slices
 SPACE = "▁"
 #: Segments that may be broadcast; with eight ids each a table of this size takes some 160 MB.
 TABLE_SEGMENTS = 4_000_000
+#: Segments of a task of the lattice, about.
+PART_SEGMENTS = 8_000
 #: Distinct segments that a task gathers before it hands them on.
 HELD = 400_000
 LONG = 200
@@ -148,23 +150,37 @@ def segments(docs: DataFrame, model: Pieces) -> DataFrame:
     return docs.select("text").mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
 
 
+_NEVER = -1e300
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _merged(edges: Column, chars: Column) -> Column:
-    """The pieces of a segment: neighbours are joined while a joint piece is among the edges."""
+    """The pieces of a segment: neighbours are joined while a joint piece is among the edges.
 
-    def best(symbols: Column) -> Column:
-        joint = F.zip_with(F.slice(symbols, F.lit(1), F.size(symbols) - 1), F.slice(symbols, F.lit(2), F.size(symbols) - 1), lambda a, b: F.element_at(edges, F.concat(a, b)))
-        ranked = F.transform(joint, lambda e, i: F.when(e.isNotNull(), F.struct(e["score"].alias("score"), (-i).alias("at"))))
-        return F.array_max(ranked)
+    The state holds the symbols and the score of each pair of neighbours, of which a merge changes two.
+    """
+    score = lambda text: F.coalesce(F.element_at(edges, text)["score"], F.lit(_NEVER))
+    pairs = F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda a, b: score(F.concat(a, b)))
 
-    def step(state: Column, _: Column) -> Column:
-        def join(top: Column, s: Column) -> Column:
-            at = F.lit(1) - top["at"]
-            both = F.concat(F.slice(s, F.lit(1), at - 1), F.array(F.concat(F.element_at(s, at), F.element_at(s, at + 1))), F.slice(s, at + 2, F.size(s)))
-            return F.when(top.isNull(), F.struct(F.lit(True).alias("done"), s.alias("s"))).otherwise(F.struct(F.lit(False).alias("done"), both.alias("s")))
+    def join(s: Column, p: Column, at: Column) -> Column:
+        def around(both: Column) -> Column:
+            left = F.when(at > 1, F.array(score(F.concat(F.get(s, at - 2), both)))).otherwise(F.array().cast("array<double>"))
+            right = F.when(at + 1 < F.size(s), F.array(score(F.concat(both, F.get(s, at + 1))))).otherwise(F.array().cast("array<double>"))
+            symbols = F.concat(F.slice(s, F.lit(1), at - 1), F.array(both), F.slice(s, at + 2, F.size(s)))
+            scores = F.concat(F.slice(p, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(p, at + 2, F.size(s)))
+            return F.struct(symbols.alias("s"), scores.alias("p"))
 
-        return F.when(state["done"] | (F.size(state["s"]) < 2), F.struct(F.lit(True).alias("done"), state["s"].alias("s"))).otherwise(F.get(F.transform(F.array(best(state["s"])), lambda top: join(top, state["s"])), F.lit(0)))
+        return _let(F.concat(F.get(s, at - 1), F.get(s, at)), around)
 
-    return F.aggregate(chars, F.struct(F.lit(False).alias("done"), chars.alias("s")), step, lambda state: state["s"])
+    def step(state: Column, _: Column) -> Column:
+        s, p = state["s"], state["p"]
+        return _let(F.array_max(p), lambda top: F.when(top > _NEVER, _let(F.array_position(p, top).cast("int"), lambda at: join(s, p, at))).otherwise(state))
+
+    return F.aggregate(chars, F.struct(chars.alias("s"), pairs.alias("p")), step, lambda state: state["s"])
 
 
 def _viterbi(edges: Column, chars: Column, longest: int, unknown_score: float) -> Column:
@@ -188,17 +204,23 @@ def _viterbi(edges: Column, chars: Column, longest: int, unknown_score: float) -
     return F.aggregate(chars, first, step, lambda state: F.element_at(state, -1)["s"])
 
 
-def lattice(found: DataFrame, model: Pieces) -> DataFrame:
-    """``segment, ids`` of each distinct segment (``LONG`` characters at most)."""
+def lattice(found: DataFrame, model: Pieces, parts: int | None = None) -> DataFrame:
+    """``segment, ids`` of each distinct segment (``LONG`` characters at most).
+
+    The segments are dealt out once; exploding and the join keep them where they are, so their edges are grouped in place.
+    """
     spark = found.sparkSession
+    found = found.select("segment").repartition("segment") if parts is None else found.select("segment").repartition(parts, "segment")
     length = F.length("segment")
     starts = F.sequence(F.lit(1), length)
     sub = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), length - i + 1)), lambda n: F.substring("segment", i, n))))
     cut = found.select("segment", F.explode(F.array_distinct(sub)).alias("piece"))
-    # The piece table has as many rows as the model, whatever the corpus.
-    edges = cut.join(F.broadcast(model.table(spark)), "piece").groupBy("segment").agg(F.map_from_entries(F.collect_list(F.struct("piece", F.struct("score", "id")))).alias("edges"))
+    # The piece table has as many rows as the model, whatever the corpus. Characters without a piece keep their segment.
+    known = cut.join(F.broadcast(model.table(spark)), "piece", "left").filter("id IS NOT NULL OR length(piece) = 1")
+    entry = F.when(F.col("id").isNotNull(), F.struct("piece", F.struct("score", "id")))
+    edges = known.groupBy("segment").agg(F.map_from_entries(F.collect_list(entry)).alias("edges"))
     none = F.create_map().cast("map<string,struct<score:double,id:int>>")
-    whole = found.join(edges, "segment", "left").select("segment", F.coalesce("edges", none).alias("edges"))
+    whole = edges.select("segment", F.coalesce("edges", none).alias("edges"))
     chars = F.transform(F.sequence(F.lit(1), length), lambda i: F.substring("segment", i, F.lit(1)))
     least = min((model.scores[i] for i in model.ids.values()), default=0.0)
     fold = _merged(F.col("edges"), chars) if model.kind == BPE else _viterbi(F.col("edges"), chars, model.longest, least - 10.0)
@@ -261,8 +283,8 @@ def encode_long(segment: str, model: Pieces) -> list[int]:
     return out
 
 
-def vocabulary(docs: DataFrame, model: Pieces) -> DataFrame:
-    """``segment, n, ids`` of every distinct segment of the texts."""
+def vocabulary(docs: DataFrame, model: Pieces) -> tuple[DataFrame, DataFrame]:
+    """``segment, n`` and ``segment, ids`` of every distinct segment of the texts."""
     found = materialize(segments(docs, model), "segments")
     short, long = found.filter(F.length("segment") <= LONG), found.filter(F.length("segment") > LONG)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -271,8 +293,17 @@ def vocabulary(docs: DataFrame, model: Pieces) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode_long(s, shared.value) for s in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["segment", "ids"])
 
-    rows = lattice(short.select("segment"), model).unionByName(long.select("segment").mapInArrow(run, "segment string, ids array<int>"))
-    return materialize(rows.join(found, "segment").select("segment", "n", "ids"), "vocabulary")
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.count() // PART_SEGMENTS + 1)
+    rows = lattice(short, model, parts).unionByName(long.select("segment").mapInArrow(run, "segment string, ids array<int>"))
+    # The groups of a task fit in memory, so they need no sort.
+    limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(4 * PART_SEGMENTS))
+    try:
+        return found, materialize(rows, "vocabulary")
+    finally:
+        spark.conf.set(limit, before)
 
 
 def _hash(segments_: np.ndarray) -> np.ndarray:
@@ -332,9 +363,9 @@ def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = T
     """``doc_id, ids`` of each document."""
     spark = docs.sparkSession
     model = model or Pieces.load(default_model())
-    vocab = vocabulary(docs, model)
-    rest = vocab.count() - table_segments
-    head = vocab.orderBy(F.desc("n"), "segment").limit(table_segments) if rest > 0 else vocab
+    counts, vocab = vocabulary(docs, model)
+    rest = counts.count() - table_segments
+    head = vocab.join(counts.orderBy(F.desc("n"), "segment").limit(table_segments), "segment") if rest > 0 else vocab
     table = spark.sparkContext.broadcast(Table(head.select("segment", "ids").toArrow()))
     pairs = spark.sparkContext.broadcast(model.pairs)
     rows = docs.select("doc_id", "text")
