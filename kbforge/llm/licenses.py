@@ -2,8 +2,8 @@
 
 Each line of a text is compared with the forms (sentences) of the templates. A term weighs its count times its idf over the
 forms, a term in no form has the highest idf; a line carries the license of the form with the highest cosine of at least
-``THRESHOLD``. Only lines with an anchor term are looked at: of each form the heaviest terms are anchors until the rest of
-its vector is shorter than the threshold, so that no line without one can reach it.
+``THRESHOLD``. Only lines with an anchor term are looked at: the terms of a form that are no anchors make a vector
+shorter than the threshold, so that no line without an anchor can reach it. Common words are no terms.
 
 A file of which at least half of the lines with words carry a license, or whose name says so (``LICENSE``, ``COPYING``,
 ``NOTICE`` with any ending), is a licence file: its license holds for its directory and all below. Other files with such a
@@ -46,6 +46,8 @@ FORMS: tuple[tuple[str, str], ...] = (
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 )
+#: Words that say little and that most texts hold.
+COMMON = frozenset("a and any are as at be by can for from in is it not of on or that the this to under was with work you".split())
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 NAME = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,7 +59,7 @@ class Templates:
     """Weights of the forms' terms; as large as the list of forms."""
 
     def __init__(self, forms=FORMS, threshold: float = THRESHOLD):
-        own = [Counter(re.findall(TERM, text.lower())) for _, text in forms]
+        own = [Counter(t for t in re.findall(TERM, text.lower()) if t not in COMMON) for _, text in forms]
         df = Counter(t for terms in own for t in terms)
         self.top = math.log(len(forms) + 1) + 1
         self.idf = {t: math.log((len(forms) + 1) / (n + 1)) + 1 for t, n in df.items()}
@@ -67,12 +69,13 @@ class Templates:
             weight = {t: n * self.idf[t] for t, n in terms.items()}
             norm = math.sqrt(sum(w * w for w in weight.values()))
             self.rows += [(name, k, t, w / norm) for t, w in weight.items()]
-            rest = 1.0
-            for t, w in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
-                if rest < (0.999 * threshold) ** 2:
-                    break
-                anchors.add(t)
-                rest -= (w / norm) ** 2
+            # What may be left out: numbers first, then the lightest, while their part stays below the threshold.
+            left = 0.0
+            for t, w in sorted(weight.items(), key=lambda x: (not x[0][0].isdigit(), x[1], x[0])):
+                if left + (w / norm) ** 2 < (0.999 * threshold) ** 2:
+                    left += (w / norm) ** 2
+                else:
+                    anchors.add(t)
         self.anchors = sorted(anchors)
         self.screen = r"(?:^|[^a-z0-9])(?:" + "|".join(map(re.escape, self.anchors)) + r")(?:[^a-z0-9]|$)"
 
@@ -90,7 +93,7 @@ def found_lines(files: DataFrame, templates: Templates, threshold: float = THRES
     folded = _folded(F.col("text"))
     some = files.filter(folded.rlike("(?m)" + templates.screen)).select("_p", "_h", F.posexplode(F.split(folded, "\n")).alias("line", "words"))
     lines = some.filter(F.col("words").rlike(templates.screen)).distinct()
-    terms = lines.select("_p", "_h", "line", F.explode(F.regexp_extract_all("words", F.lit(TERM), F.lit(0))).alias("term"))
+    terms = lines.select("_p", "_h", "line", F.explode(F.regexp_extract_all("words", F.lit(TERM), F.lit(0))).alias("term")).filter(~F.col("term").isin(*sorted(COMMON)))
     idf = spark.createDataFrame(list(templates.idf.items()), "term string, idf double")
     counts = terms.groupBy("_p", "_h", "line", "term").agg(F.count("*").alias("n")).join(F.broadcast(idf), "term", "left")
     weighed = materialize(counts.withColumn("w", F.col("n") * F.coalesce("idf", F.lit(templates.top))).drop("idf"), "license-terms")
@@ -144,12 +147,13 @@ def sql(forms=FORMS, threshold: float = THRESHOLD) -> str:
     templates = Templates(forms, threshold)
     values = ", ".join(f"('{n}', {k}, '{t}', {w!r}::DOUBLE)" for n, k, t, w in templates.rows)
     idf = ", ".join(f"('{t}', {w!r}::DOUBLE)" for t, w in templates.idf.items())
+    common = ", ".join(f"'{t}'" for t in sorted(COMMON))
     return rf"""
 WITH forms(license, form, term, weight) AS (VALUES {values}), idfs(term, idf) AS (VALUES {idf}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), coalesce(doc_id::VARCHAR, '-')) AS path, coalesce(text, '') AS t FROM documents),
 l AS (SELECT rid, unnest(range(len(ls))) AS line, unnest(ls) AS s FROM (SELECT rid, string_split(translate(t, '{_UPPER}', '{_LOWER}'), chr(10)) AS ls FROM d)),
 w AS (SELECT rid, line, term, count(*) * coalesce(any_value(idf), {templates.top!r}::DOUBLE) AS w
-      FROM (SELECT rid, line, unnest(regexp_extract_all(s, '{TERM}')) AS term FROM l) LEFT JOIN idfs USING (term) GROUP BY rid, line, term),
+      FROM (SELECT rid, line, unnest(regexp_extract_all(s, '{TERM}')) AS term FROM l) LEFT JOIN idfs USING (term) WHERE term NOT IN ({common}) GROUP BY rid, line, term),
 norm AS (SELECT rid, line, sqrt(sum(w * w)) AS norm FROM w GROUP BY rid, line),
 near AS (SELECT rid, line, license, round(sum(w * weight) / any_value(norm), 6) AS score FROM w JOIN forms USING (term) JOIN norm USING (rid, line) GROUP BY rid, line, form, license),
 best AS (SELECT * FROM near WHERE score >= {threshold} QUALIFY row_number() OVER (PARTITION BY rid, line ORDER BY score DESC, license) = 1),
