@@ -7,6 +7,7 @@ they are met again; the one before is dropped. That bounds a worker's memory and
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable, Iterator
 
@@ -46,6 +47,8 @@ class WordEncoder:
     """``plain_specials``: the strings of special tokens in a text count as ordinary text."""
 
     def __init__(self, path: str, plain_specials: bool = False):
+        # Spark runs a task on each core; threads of the library's own would only compete with them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
