@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that each hold QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("analytics", "catalog", "graph", "retrieval")
+MODULES: tuple[str, ...] = ("analytics", "catalog", "corpus", "graph", "retrieval")
 
 
 def _gather(attribute: str) -> dict:

@@ -47,12 +47,10 @@ def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).select("query_id", ops.dynamic_threshold(F.col("text")).alias("threshold"))
 
 
-SOURCE = F.element_at(F.array(*map(F.lit, ops.SOURCES)), (F.col("doc_id") % 3 + 1).cast("int"))
-
-
 def rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.element_at(F.array(*map(F.lit, ops.SOURCES)), (F.col("doc_id") % 3 + 1).cast("int"))
     hits = bm25(spark, sf_dir).join(docs(spark, sf_dir), "doc_id")
-    return hits.select("query_id", "rank", "score", SOURCE.alias("source"), F.concat(F.lit("t"), "doc_id").alias("title"), F.concat(F.lit("u/"), F.col("doc_id") % 7).alias("link"), "text")
+    return hits.select("query_id", "rank", "score", source.alias("source"), F.concat(F.lit("t"), "doc_id").alias("title"), F.concat(F.lit("u/"), F.col("doc_id") % 7).alias("link"), "text")
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1 +1,99 @@
-"""Spark jobs for knowledge corpora."""
+"""Structured Streaming forms of the log analytics and of ingestion. Each gives the rows of its batch twin on the same input.
+
+Times must be ``timestamp`` (with zone), as watermarks need.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def search_stats(log: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Searches and mean response a day and source; rows later than ``late`` are dropped."""
+    days = log.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "source")
+    return days.agg(F.count("*").alias("n"), F.avg("response_ms").alias("avg_ms")).select(F.col("window.start").alias("day"), "source", "n", "avg_ms")
+
+
+def latency_sliding(timings: DataFrame, size: str = "10 minutes", step: str = "1 minute", late: str = "10 minutes") -> DataFrame:
+    """Mean, greatest and approximate 95th percentile of each metric in sliding windows."""
+    windows = timings.withWatermark("ts", late).groupBy(F.window("ts", size, step), "name")
+    return windows.agg(F.count("*").alias("n"), F.avg("duration_ms").alias("avg_ms"), F.max("duration_ms").alias("max_ms"), F.percentile_approx("duration_ms", 0.95).alias("p95_ms")).select(F.col("window.start").alias("start"), "name", "n", "avg_ms", "max_ms", "p95_ms")
+
+
+def sessions(log: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Sessions of each user that end after ``gap`` without a search."""
+    found = log.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    return found.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def _history(key, batches: Iterator[pd.DataFrame], state: GroupState, keep: int, gap_s: int) -> Iterator[pd.DataFrame]:
+    held, last = state.get if state.exists else ([], 0)
+    held = list(held)
+    rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+    out = []
+    for i, ts, query in zip(rows["id"], rows["ts"], rows["query"]):
+        now = int(ts.timestamp() * 1000)
+        if now - last > gap_s * 1000:
+            held = []
+        out.append((i, key[0], " > ".join(held)))
+        held, last = [*held, query][-keep:], now
+    state.update((held, last))
+    state.setTimeoutDuration(gap_s * 1000)
+    yield pd.DataFrame(out, columns=["id", "user_id", "history"])
+
+
+def history(log: DataFrame, keep: int = 3, gap_s: int = 1800) -> DataFrame:
+    """Each question with its session's last ``keep`` questions before it; the state of idle users expires."""
+
+    def run(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return iter([])
+        return _history(key, batches, state, keep, gap_s)
+
+    return log.select("user_id", "id", "ts", "query").groupBy("user_id").applyInPandasWithState(run, "id long, user_id long, history string", "held array<string>, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def lockouts(failures: DataFrame, seconds: int = 300, most: int = 5) -> DataFrame:
+    """A row for each failed login with ``most`` or more of the same address in the last ``seconds``; old times are forgotten."""
+
+    def run(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return iter([])
+        times = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        out = []
+        for i, ts in zip(rows["id"], rows["ts"]):
+            now = int(ts.timestamp() * 1_000_000)
+            times = [t for t in times if t >= now - seconds * 1_000_000] + [now]
+            if len(times) >= most:
+                out.append((i, key[0], len(times)))
+        state.update((times,))
+        state.setTimeoutDuration(seconds * 1000)
+        return iter([pd.DataFrame(out, columns=["id", "ip", "recent"])])
+
+    return failures.select("ip", "id", "ts").groupBy("ip").applyInPandasWithState(run, "id long, ip long, recent long", "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def upsert_into(path: str, keys: list[str], order: str):
+    """A ``foreachBatch`` function that keeps the latest row of each key in the Parquet table at ``path``.
+
+    The table is a folder for each batch number with a pointer of the highest complete one, so a batch that is delivered
+    again writes the same folder again, and a lost executor leaves the last complete one in place.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch
+        if number > 0:
+            rows = spark.read.parquet(f"{path}/{number - 1}").unionByName(batch)
+        others = [c for c in batch.columns if c not in keys]
+        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(order, F.xxhash64(*others))).alias("v")).select(*keys, "v.*")
+        latest.write.mode("overwrite").parquet(f"{path}/{number}")
+
+    return run
