@@ -35,7 +35,7 @@ from kbforge.functions.storage import materialize
 from kbforge.llm.token_words import slices
 
 SPACE = "▁"
-#: Segments that may be broadcast; with eight ids each a table of this size takes some 160 MB.
+#: Segments that may be broadcast; a table of this size takes some 100 MB.
 TABLE_SEGMENTS = 4_000_000
 #: Segments of a task of the lattice, about.
 PART_SEGMENTS = 8_000
@@ -310,28 +310,40 @@ def _hash(segments_: np.ndarray) -> np.ndarray:
     return pd.util.hash_array(segments_, categorize=False)
 
 
+def packed(rows: DataFrame, kind: np.dtype) -> DataFrame:
+    """``hashes, sizes, ids``: the table's rows as runs of bytes, so that the driver handles few objects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                runs = [_hash(batch.column(0).to_pandas().to_numpy(dtype=object)).tobytes(), batch.column(1).value_lengths().to_numpy().astype("<u4").tobytes(), batch.column(1).flatten().to_numpy().astype(kind).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.binary()) for r in runs], names=["hashes", "sizes", "ids"])
+
+    return rows.select("segment", "ids").mapInArrow(run, "hashes binary, sizes binary, ids binary")
+
+
 class Table:
-    """The frequent segments: sorted hashes, and the ids of each in one run."""
+    """The frequent segments: sorted hashes, and where each one's ids stand in one run; some 24 bytes a segment."""
 
-    def __init__(self, rows: pa.Table):
-        hashes = _hash(rows["segment"].to_pandas().to_numpy(dtype=object)) if len(rows) else np.zeros(0, np.uint64)
-        ids = rows["ids"].combine_chunks()
+    def __init__(self, rows: list, kind: np.dtype):
+        self.kind = kind
+        self.ids = b"".join(r["ids"] for r in rows)
+        hashes = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint64)
+        sizes = np.frombuffer(b"".join(r["sizes"] for r in rows), "<u4")
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
         if (self.hashes[1:] == self.hashes[:-1]).any():
             raise ValueError("two segments have one hash")
-        taken = ids.take(pa.array(order))
-        self.stops = np.cumsum(taken.value_lengths().to_numpy()) if len(rows) else np.zeros(0, np.int64)
-        self.ids = taken.flatten().to_numpy().astype(np.int32) if len(rows) else np.zeros(0, np.int32)
+        self.sizes = (sizes[order] * kind.itemsize).astype(np.uint32)
+        self.starts = ((np.cumsum(sizes, dtype=np.int64) - sizes)[order] * kind.itemsize).astype(np.int64)
 
     def look_up(self, words: list[str]) -> list[bytes | None]:
-        if not words:
-            return []
+        if not words or not len(self.hashes):
+            return [None] * len(words)
         h = _hash(np.array(words, dtype=object))
-        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
-        hit = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-        raw, stops = self.ids.tobytes(), (self.stops * 4).tolist()
-        return [raw[stops[i - 1] if i else 0 : stops[i]] if ok else None for i, ok in zip(at.tolist(), hit.tolist())]
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        first = np.where(self.hashes[at] == h, self.starts[at], -1).tolist()
+        return [self.ids[a : a + n] if a >= 0 else None for a, n in zip(first, self.sizes[at].tolist())]
 
 
 class Encoder:
@@ -356,7 +368,7 @@ class Encoder:
         if missing := self.learn(set().union(*words), more):
             raise ValueError(f"segments without ids: {list(missing)[:3]}")
         for own in words:
-            yield np.frombuffer(b"".join(map(self.words.__getitem__, own)), np.int32)
+            yield np.frombuffer(b"".join(map(self.words.__getitem__, own)), self.table.kind).astype(np.int32)
 
 
 def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = TABLE_SEGMENTS) -> DataFrame:
@@ -366,7 +378,8 @@ def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = T
     counts, vocab = vocabulary(docs, model)
     rest = counts.count() - table_segments
     head = vocab.join(counts.orderBy(F.desc("n"), "segment").limit(table_segments), "segment") if rest > 0 else vocab
-    table = spark.sparkContext.broadcast(Table(head.select("segment", "ids").toArrow()))
+    width = np.dtype("<u2" if len(model.pieces) <= 1 << 16 else "<u4")
+    table = spark.sparkContext.broadcast(Table(packed(head, width).collect(), width))
     pairs = spark.sparkContext.broadcast(model.pairs)
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -398,7 +411,7 @@ def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = T
             at = 0
             for part in slices(batch.column(1).to_pylist()):
                 tails = batch.column(2).slice(at, len(part)).to_pylist()
-                more = {s["segment"]: np.array(s["ids"], np.int32).tobytes() for tail in tails if tail for s in tail}
+                more = {s["segment"]: np.array(s["ids"], width).tobytes() for tail in tails if tail for s in tail}
                 found = list(enc.encode(part, more))
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32))
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))
