@@ -5,9 +5,9 @@ and gives the lengths between its separators, what lies before its first and aft
 sums (separators and tokens before a block, end of the last document before it) stitches the documents that cross blocks
 and numbers them. Ids after the last separator are a document that is not terminated.
 
-``documents_of`` works on any such files; ``token_counts`` first writes the documents as such files, in ascending
-``doc_id`` order, with a separate list of ids that the counts do not come from. Null texts count as empty, empty texts
-have 0 tokens, null ids come first, repeated rows stay, other columns are ignored, an empty table gives no rows.
+``documents_of`` works on any such files; ``token_counts`` first writes the documents as such files, a file a task, with
+a separate list of ids that the counts do not come from. Null texts count as empty, empty texts have 0 tokens, null ids
+and repeated rows stay, other columns are ignored, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kbforge.functions.storage import materialize
 from kbforge.llm.token_words import default_tokenizer, encoder
-from kbforge.llm.wavelet import NULL_ID, ordered
+from kbforge.llm.wavelet import NULL_ID
 
 BLOCK_TOKENS = 1 << 19
 #: Fixed value: <|endoftext|> of the default tokenizer, which no text encodes to.
@@ -56,7 +56,9 @@ def write_flat(docs: DataFrame, tokenizer: str | None = None, separator: int = S
         if held:
             yield row(bytes(held), [i for i, _ in ended])
 
-    return materialize(ordered(docs).mapInArrow(build, "file int, block long, tokens binary, ended array<long>"), "flat-tokens")
+    # No order is asked for, so the texts are not moved: each task writes a file of what it reads.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("part"))
+    return materialize(rows.mapInArrow(build, "file int, block long, tokens binary, ended array<long>"), "flat-tokens")
 
 
 def read_flat(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
