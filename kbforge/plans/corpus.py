@@ -76,7 +76,7 @@ def _variants(s: SparkSession, d: str) -> DataFrame:
 
 
 def _dates(s: SparkSession, d: str) -> DataFrame:
-    e = read_table(s, d, "events").filter("event_id % 10 = 0")
+    e = read_table(s, d, "events")
     mail = F.concat(F.lit("Mon, "), F.date_format("ts", "d MMM yyyy HH:mm:ss"), F.lit(" +0000"))
     value = F.when(F.col("event_id") % 20 == 0, mail).when(F.col("event_id") % 30 == 0, "not a date").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     return e.select("event_id", F.date_format(T.parse_mail_date(value), "yyyy-MM-dd HH:mm:ss").alias("at"))
@@ -159,7 +159,7 @@ ORACLES = {
     "normalize_doc_url": f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 3 THEN url ELSE '{T.DOCS_HOST}docs/' || page_id END AS url FROM pages",
     "relative_time": "WITH e AS (SELECT event_id, ts, floor(epoch(TIMESTAMP '2024-01-31' - ts))::BIGINT AS s FROM events) SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' min ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s // 86400 < 7 THEN (s // 86400) || ' day' || CASE WHEN s // 86400 = 1 THEN '' ELSE 's' END || ' ago' ELSE (s // 604800) || ' week' || CASE WHEN s // 604800 = 1 THEN '' ELSE 's' END || ' ago' END AS age FROM e",
     "query_variants": "SELECT item_id, CASE WHEN item_id % 2 = 1 THEN 'RIO +LAN ' || item_id END AS normalized, CASE WHEN item_id % 2 = 1 THEN 'RIO +LAN ' || item_id ELSE 'plain ' || item_id END AS effective FROM benchmark",
-    "parse_mail_date": "SELECT event_id, CASE WHEN event_id % 20 <> 0 AND event_id % 30 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at FROM events WHERE event_id % 10 = 0",
+    "parse_mail_date": "SELECT event_id, CASE WHEN event_id % 20 <> 0 AND event_id % 30 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at FROM events",
     "parse_model_json": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract(props, '$.k') AS INT) END AS k FROM events",
     "flag_rma_threads": "SELECT doc_id, doc_id % 7 = 0 AS is_rma FROM documents",
     "curate_cases": "SELECT doc_id AS thread_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN 'q' || doc_id END, CASE WHEN doc_id % 3 = 0 THEN 'a' || doc_id END, 'Support Case') AS subject FROM labels JOIN documents USING (doc_id) WHERE doc_id % 10 >= 7 AND quality = 1 AND toxic = 0",

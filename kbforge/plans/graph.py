@@ -60,7 +60,7 @@ def _rewritten(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _context(spark: SparkSession, d: str) -> DataFrame:
-    hits = read_table(spark, d, "lineitem").filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").cast("string").alias("doc_key"), F.col("l_linenumber").alias("rank"))
+    hits = read_table(spark, d, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").cast("string").alias("doc_key"), F.col("l_linenumber").alias("rank"))
     seeds = hits.select(F.col("doc_key").alias("seed"), F.lit("Part").alias("type"), F.col("doc_key").alias("key")).distinct()
     return ops.graph_context(hits, ops.k_hop(edges(spark, d), seeds, 1), nodes(spark, d).select(F.col("label").alias("type"), "key", "name"))
 
@@ -101,7 +101,7 @@ ORACLES = {
     "k_hop": f"""WITH {SQL_EDGES}, {SQL_STEPS}, s AS (SELECT o_orderkey AS seed, 'Order' AS type, o_orderkey::VARCHAR AS key FROM orders WHERE o_orderkey % 20 = 0),
         h1 AS (SELECT DISTINCT seed, other_type AS type, other_key AS key, 1 AS hop FROM s JOIN steps USING (type, key)), h2 AS (SELECT DISTINCT seed, other_type AS type, other_key AS key, 2 AS hop FROM h1 JOIN steps USING (type, key))
         SELECT * FROM h1 UNION ALL SELECT * FROM h2 ANTI JOIN (SELECT seed, type, key FROM s UNION ALL SELECT seed, type, key FROM h1) x USING (seed, type, key)""",
-    "graph_context": f"""WITH {SQL_EDGES}, {SQL_NODES}, f AS (SELECT DISTINCT l_orderkey AS query_id, s_name AS name FROM lineitem l JOIN edges ON source_type = 'Part' AND source_key = l_partkey::VARCHAR JOIN supplier ON s_suppkey::VARCHAR = target_key WHERE l_linenumber <= 3),
+    "graph_context": f"""WITH {SQL_EDGES}, {SQL_NODES}, f AS (SELECT DISTINCT l_orderkey AS query_id, s_name AS name FROM lineitem l JOIN edges ON source_type = 'Part' AND source_key = l_partkey::VARCHAR JOIN supplier ON s_suppkey::VARCHAR = target_key WHERE l_linenumber <= 10),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY name) AS r FROM f) SELECT query_id, 'Supplier' AS label, string_agg(name, ', ' ORDER BY r) AS names FROM r WHERE r <= 3 GROUP BY query_id""",
     "item_compatibility": f"WITH {SQL_EDGES} SELECT source_key, string_agg(target_key, ',' ORDER BY target_key) AS \"Supplier\" FROM edges WHERE source_type = 'Part' GROUP BY source_key",
     "issues_with_solutions": "SELECT o_custkey::VARCHAR AS product, 'o' || o_orderkey AS issue, '' AS solutions FROM orders",
