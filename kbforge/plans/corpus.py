@@ -41,8 +41,16 @@ def _cases(s: SparkSession, d: str) -> DataFrame:
 
 
 def _stored(s: SparkSession, d: str, batch: int) -> DataFrame:
-    rows = docs(s, d).filter(F.col("doc_id") % (batch + 1) == 0)
-    return rows.select((F.element_at(F.array(F.lit("docs"), F.lit("cases")), (F.col("doc_id") % 2 + 1).cast("int"))).alias("collection"), F.col("doc_id").alias("chunk_id"), F.concat(F.lit(f"{batch}:"), F.length("text").cast("string")).alias("text"), F.lit(batch).alias("batch"))
+    """The chunks of all documents as the first batch; later batches bring a part of them anew."""
+    rows = docs(s, d) if batch == 1 else docs(s, d).filter(F.col("doc_id") % (batch + 1) == 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(CHUNKS["size"]))
+    windows = F.transform(starts, lambda i: F.struct(F.substring("text", i, F.lit(CHUNKS["size"])).alias("text"), F.lit(None).cast("string").alias("section"), F.lit("text").alias("kind")))
+    cut = ops.chunk_rows(rows, windows)
+    return cut.select((F.element_at(F.array(F.lit("docs"), F.lit("cases")), (F.col("doc_id") % 2 + 1).cast("int"))).alias("collection"), "chunk_id", F.concat(F.lit(f"{batch}:"), "text").alias("text"), F.lit(batch).alias("batch"))
+
+
+def _digests(rows: DataFrame) -> DataFrame:
+    return rows.select("collection", "chunk_id", F.md5("text").alias("digest"), "batch")
 
 
 def _curated(s: SparkSession, d: str) -> DataFrame:
@@ -104,8 +112,8 @@ QUERIES = {
     "document_keywords": lambda s, d: ops.document_keywords(docs(s, d)),
     "list_documents": _listed,
     "collection_stats": lambda s, d: ops.collection_stats(_pages(s, d).select(F.regexp_extract("url", r"/(en|de|fr|es)/", 1).alias("collection"), "url")),
-    "upsert_chunks": lambda s, d: ops.upsert_chunks(_stored(s, d, 1), _stored(s, d, 2)),
-    "replace_by_field": lambda s, d: ops.replace_by_field(_stored(s, d, 1), _stored(s, d, 3), "chunk_id"),
+    "upsert_chunks": lambda s, d: _digests(ops.upsert_chunks(_stored(s, d, 1), _stored(s, d, 2))),
+    "replace_by_field": lambda s, d: _digests(ops.replace_by_field(_stored(s, d, 1), _stored(s, d, 3), "chunk_id")),
     "scan_new_pages": lambda s, d: ops.scan_new_pages(_pages(s, d), _pages(s, d).filter("page_id % 3 = 0")),
     "allowed_urls": lambda s, d: ops.allowed_urls(_pages(s, d), ["example.net", "example.org"]).select("page_id", "url"),
     "html_to_text": lambda s, d: _main(s, d).filter(F.length("text") >= 100).select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest")),
@@ -141,6 +149,10 @@ def _cleaned(texts: pd.Series) -> pd.Series:
 
 
 SQL_LABELLED = "c AS (SELECT doc_id, text, lang AS category, source AS product, quality, toxic FROM documents JOIN labels USING (doc_id))"
+SQL_STORED = """WITH c AS (SELECT doc_id, text, unnest(range(greatest(1, (length(text) + 999) // 1000))) AS i FROM documents),
+  k AS (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(doc_id || '_' || i)) AS h FROM c)
+  SELECT ['docs','cases'][1 + doc_id % 2] AS collection, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8','9','a','b'][1 + ('0x' || h[17])::INT % 4] || h[18:20] || '-' || h[21:32] AS chunk_id,
+  md5((CASE WHEN doc_id % {n} = 0 THEN '{batch}:' ELSE '1:' END) || substring(text, 1000 * i + 1, 1000)) AS digest, CASE WHEN doc_id % {n} = 0 THEN {batch} ELSE 1 END AS batch FROM k"""
 _RIO = r"regexp_replace(regexp_replace({x}, '(?i)\bRIO[-\s]?Live\b', 'RIO +LAN', 'g'), '(?i)\bRIO\s*\+\s*WAN\s+Live\b', 'RIO +LAN', 'g')"
 ORACLES = {
     "chunk_rows": "SELECT doc_id, 0 AS chunk_index, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8','9','a','b'][1 + ('0x' || h[17])::INT % 4] || h[18:20] || '-' || h[21:32] AS chunk_id FROM (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(doc_id || '_0')) AS h FROM documents)",
@@ -148,8 +160,8 @@ ORACLES = {
     "document_keywords": f"WITH d AS (SELECT doc_id, {retrieval.SQL_TERMS} AS terms FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) WHERE length(term) > 3 GROUP BY ALL), i AS (SELECT term, ln(1 + ((SELECT count(*) FROM d) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p GROUP BY term), r AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * idf, 6) DESC, term) AS r FROM p JOIN i USING (term)) SELECT doc_id, string_agg(term, ',' ORDER BY r) AS keywords FROM r WHERE r <= 6 GROUP BY doc_id",
     "list_documents": "WITH r AS (SELECT doc_id, text, coalesce(CASE WHEN doc_id % 3 = 0 THEN doc_id % 100 END < 50, false) AS is_expired FROM documents WHERE lang = 'en') SELECT doc_id, is_expired, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS preview, (SELECT count(*) FROM r WHERE NOT is_expired) AS total FROM r WHERE NOT is_expired ORDER BY doc_id DESC LIMIT 25 OFFSET 5",
     "collection_stats": "SELECT regexp_extract(url, '/(en|de|fr|es)/', 1) AS collection, count(*) AS chunks, count(DISTINCT url) AS urls FROM pages GROUP BY 1",
-    "upsert_chunks": "SELECT ['docs','cases'][1 + doc_id % 2] AS collection, doc_id AS chunk_id, (CASE WHEN doc_id % 3 = 0 THEN '2:' ELSE '1:' END) || length(text) AS text, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END AS batch FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
-    "replace_by_field": "SELECT ['docs','cases'][1 + doc_id % 2] AS collection, doc_id AS chunk_id, (CASE WHEN doc_id % 4 = 0 THEN '3:' ELSE '1:' END) || length(text) AS text, CASE WHEN doc_id % 4 = 0 THEN 3 ELSE 1 END AS batch FROM documents WHERE doc_id % 2 = 0",
+    "upsert_chunks": SQL_STORED.format(n=3, batch=2),
+    "replace_by_field": SQL_STORED.format(n=4, batch=3),
     "scan_new_pages": "SELECT url, CASE WHEN bool_or(page_id % 3 = 0) THEN 'indexed' ELSE 'new' END AS status FROM pages GROUP BY url",
     "allowed_urls": "SELECT page_id, url FROM pages WHERE regexp_matches(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '(^|\\.)example\\.(net|org)$')",
     "html_title": "SELECT page_id, trim(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;', '&')) AS title FROM pages",

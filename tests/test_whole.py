@@ -1,6 +1,8 @@
 """Queries whose rows are held against plain Python over the whole tables."""
 
+import uuid
 from collections import defaultdict
+from hashlib import md5
 
 import pandas as pd
 from kbforge import plans
@@ -30,3 +32,14 @@ def test_all_hits_of_an_order_have_context(spark):
             found[x.l_orderkey] |= makers[x.l_partkey]
     got = QUERIES["graph_context"](spark, SF).collect()
     assert {(r.query_id, r.label, r.names) for r in got} == {(q, "Supplier", ", ".join(sorted(n)[:3])) for q, n in found.items()}
+
+
+def test_all_chunks_are_merged_with_their_whole_texts(spark):
+    for name, n, batch in (("upsert_chunks", 3, 2), ("replace_by_field", 4, 3)):
+        want = set()
+        for x in table("documents").itertuples():
+            for k, at in enumerate(range(0, max(1, len(x.text)), 1000)):
+                b = batch if x.doc_id % n == 0 else 1
+                want.add((["docs", "cases"][x.doc_id % 2], str(uuid.uuid5(uuid.NAMESPACE_DNS, f"{x.doc_id}_{k}")), md5(f"{b}:{x.text[at : at + 1000]}".encode()).hexdigest(), b))
+        got = QUERIES[name](spark, SF).collect()
+        assert len(got) == len(want) and {(r.collection, r.chunk_id, r.digest, r.batch) for r in got} == want
