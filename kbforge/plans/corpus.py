@@ -63,7 +63,7 @@ def _curated(s: SparkSession, d: str) -> DataFrame:
 
 def _case_rows(s: SparkSession, d: str) -> DataFrame:
     docs_ = read_table(s, d, "documents").join(read_table(s, d, "labels"), "doc_id")
-    return docs_.selectExpr("doc_id", "lang AS category", "source AS product", "quality", "concat('S', doc_id) AS subject", "array(lang, source) AS keywords", "substring(text, 1, 40) AS problem", "substring(text, 41, 40) AS solution")
+    return docs_.selectExpr("doc_id", "lang AS category", "source AS product", "quality", "concat('S', doc_id) AS subject", "array(lang, source) AS keywords", "substring(text, 1, 40) AS problem", "substring(text, 41) AS solution")
 
 
 def _fixes(s: SparkSession, d: str) -> DataFrame:
@@ -77,10 +77,10 @@ def _listed(s: SparkSession, d: str) -> DataFrame:
 
 
 def _variants(s: SparkSession, d: str) -> DataFrame:
-    raw = F.concat(F.lit("rio live "), F.col("item_id").cast("string"))
-    rewritten = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("plain "), F.col("item_id").cast("string")))
+    raw = F.concat(F.lit("rio live "), "text")
+    rewritten = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("plain "), "text"))
     normalized, effective = T.query_variants(raw, rewritten)
-    return read_table(s, d, "benchmark").select("item_id", normalized.alias("normalized"), effective.alias("effective"))
+    return read_table(s, d, "benchmark").select("item_id", F.md5(normalized).alias("normalized"), F.md5(effective).alias("effective"))
 
 
 def _dates(s: SparkSession, d: str) -> DataFrame:
@@ -122,7 +122,7 @@ QUERIES = {
     "anonymize_threads": lambda s, d: ops.anonymize_threads(docs(s, d).select((F.col("doc_id") % 50).alias("conv_id"), F.col("doc_id").alias("turn"), "text")).select("conv_id", "turn", F.md5("text").alias("digest")),
     "pii_counts": lambda s, d: ops.pii_counts(docs(s, d).withColumnRenamed("doc_id", "conv_id")),
     "clean_thread_quotes": lambda s, d: _turns(s, d).select("conv_id", "turn", F.md5(F.pandas_udf(_cleaned, "string")(F.concat(F.lit("> old\n"), "text", F.lit("\n--\nme")))).alias("digest")),
-    "term_transforms": lambda s, d: docs(s, d).select("doc_id", T.term_transforms(F.concat(F.lit("the RIO-live and rio + wan live "), F.substring("text", 1, 20))).alias("text")),
+    "term_transforms": lambda s, d: docs(s, d).select("doc_id", F.md5(T.term_transforms(F.concat(F.lit("the RIO-live and rio + wan live "), "text"))).alias("digest")),
     "snippet": lambda s, d: docs(s, d).select("doc_id", T.snippet(F.col("text")).alias("snippet"), T.token_estimate(F.col("text")).alias("tokens")),
     "answer_preview": lambda s, d: docs(s, d).select("doc_id", T.answer_preview(F.concat(F.lit("# Head\n* "), "text")).alias("preview")),
     "normalize_doc_url": lambda s, d: _pages(s, d).select("page_id", T.normalize_doc_url(F.when(F.col("page_id") % 4 == 0, None).when(F.col("page_id") % 4 == 1, F.concat(F.lit(T.DOCS_HOST), "page_id")).when(F.col("page_id") % 4 == 2, F.concat(F.lit(T.DOCS_HOST + "docs/"), "page_id")).otherwise(F.col("url"))).alias("url")),
@@ -136,7 +136,7 @@ QUERIES = {
     "case_stats": lambda s, d: ops.case_stats(_case_rows(s, d)),
     "pending_threads": lambda s, d: ops.pending_threads(_turns(s, d).withColumn("role", F.when(F.col("conv_id") % 3 == 0, "user").otherwise(F.col("role"))), _turns(s, d).filter("conv_id % 4 = 0").select("conv_id").distinct(), 40),
     "scan_terms": lambda s, d: ops.scan_terms(docs(s, d).withColumnRenamed("doc_id", "chunk_id"), [r"[A-Z]{3,}", r"the [a-z]{10,}"]),
-    "auto_apply_fixes": lambda s, d: ops.auto_apply_fixes(docs(s, d).withColumnRenamed("doc_id", "chunk_id"), _fixes(s, d)).select("chunk_id", F.substring("text", 1, 30).alias("head"), F.col("applied").cast("long").alias("applied")),
+    "auto_apply_fixes": lambda s, d: ops.auto_apply_fixes(docs(s, d).withColumnRenamed("doc_id", "chunk_id"), _fixes(s, d)).select("chunk_id", F.md5("text").alias("digest"), F.col("applied").cast("long").alias("applied")),
     "set_fix_status": lambda s, d: ops.set_fix_status(_fixes(s, d), _fixes(s, d).filter("id % 7 = 0").select("id"), "applied", F.lit("2024-01-31")).select("id", "status", "applied_at"),
     "fix_stats": lambda s, d: ops.fix_stats(_fixes(s, d)),
 }
@@ -166,19 +166,20 @@ ORACLES = {
     "allowed_urls": "SELECT page_id, url FROM pages WHERE regexp_matches(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '(^|\\.)example\\.(net|org)$')",
     "html_title": "SELECT page_id, trim(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;', '&')) AS title FROM pages",
     "strip_html_fast": r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))[1:8000]) AS digest FROM pages",
-    "term_transforms": "SELECT doc_id, " + _RIO.format(x="'the RIO-live and rio + wan live ' || text[1:20]") + " AS text FROM documents",
+    "term_transforms": "SELECT doc_id, md5(" + _RIO.format(x="'the RIO-live and rio + wan live ' || text") + ") AS digest FROM documents",
     "snippet": "SELECT doc_id, CASE WHEN length(text) > 300 THEN text[1:297] || '...' ELSE text END AS snippet, length(text) // 4 AS tokens FROM documents",
     "normalize_doc_url": f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 3 THEN url ELSE '{T.DOCS_HOST}docs/' || page_id END AS url FROM pages",
     "relative_time": "WITH e AS (SELECT event_id, ts, floor(epoch(TIMESTAMP '2024-01-31' - ts))::BIGINT AS s FROM events) SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' min ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s // 86400 < 7 THEN (s // 86400) || ' day' || CASE WHEN s // 86400 = 1 THEN '' ELSE 's' END || ' ago' ELSE (s // 604800) || ' week' || CASE WHEN s // 604800 = 1 THEN '' ELSE 's' END || ' ago' END AS age FROM e",
-    "query_variants": "SELECT item_id, CASE WHEN item_id % 2 = 1 THEN 'RIO +LAN ' || item_id END AS normalized, CASE WHEN item_id % 2 = 1 THEN 'RIO +LAN ' || item_id ELSE 'plain ' || item_id END AS effective FROM benchmark",
+    "query_variants": "WITH q AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'plain ' ELSE 'rio live ' END || text AS base FROM benchmark), v AS (SELECT *, " + _RIO.format(x="base") + " AS changed FROM q) SELECT item_id, CASE WHEN changed <> base THEN md5(changed) END AS normalized, md5(changed) AS effective FROM v",
     "parse_mail_date": "SELECT event_id, CASE WHEN event_id % 20 <> 0 AND event_id % 30 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at FROM events",
     "parse_model_json": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract(props, '$.k') AS INT) END AS k FROM events",
     "flag_rma_threads": "SELECT doc_id, doc_id % 7 = 0 AS is_rma FROM documents",
     "curate_cases": "SELECT doc_id AS thread_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN 'q' || doc_id END, CASE WHEN doc_id % 3 = 0 THEN 'a' || doc_id END, 'Support Case') AS subject FROM labels JOIN documents USING (doc_id) WHERE doc_id % 10 >= 7 AND quality = 1 AND toxic = 0",
-    "case_document": f"WITH {SQL_LABELLED} SELECT doc_id, md5(concat_ws(chr(10), '# S' || doc_id, 'Category: ' || category, 'Product: ' || product, 'Keywords: ' || category || ', ' || product, chr(10) || '## Problem', text[1:40], chr(10) || '## Solution', text[41:80])) AS digest FROM c",
+    "case_document": f"WITH {SQL_LABELLED} SELECT doc_id, md5(concat_ws(chr(10), '# S' || doc_id, 'Category: ' || category, 'Product: ' || product, 'Keywords: ' || category || ', ' || product, chr(10) || '## Problem', substring(text, 1, 40), chr(10) || '## Solution', substring(text, 41))) AS digest FROM c",
     "case_stats": f"WITH {SQL_LABELLED} SELECT 'category' AS facet, category AS key, count(*) AS n FROM c GROUP BY category UNION ALL SELECT 'product', product, count(*) FROM c GROUP BY product UNION ALL SELECT 'quality', quality::VARCHAR, count(*) FROM c GROUP BY quality UNION ALL SELECT 'total', '', count(*) FROM c",
     "pending_threads": "WITH t AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'user' ELSE role END AS role FROM conversations) SELECT conv_id, max(turn) AS last_turn, arg_max(role, turn) AS last_role, count(*) AS n FROM t WHERE conv_id % 4 <> 0 GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') = 0 ORDER BY conv_id DESC LIMIT 40",
     "scan_terms": r"SELECT DISTINCT doc_id AS chunk_id, unnest(list_concat(regexp_extract_all(text, '[A-Z]{3,}'), regexp_extract_all(text, 'the [a-z]{10,}'))) AS term FROM documents",
+    "auto_apply_fixes": "WITH f AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 9 AND length(text) > 4 THEN substring(text, 5, 6) END AS old FROM documents), p AS (SELECT *, CASE WHEN old IS NULL THEN 0 ELSE instr(lower(text), lower(old)) END AS p FROM f) SELECT doc_id AS chunk_id, md5(CASE WHEN p > 0 THEN substring(text, 1, p - 1) || '<FIX>' || substring(text, p + length(old)) ELSE text END) AS digest, (p > 0)::BIGINT AS applied FROM p",
     "set_fix_status": "SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'applied' WHEN doc_id % 2 = 0 THEN 'pending' ELSE 'approved' END AS status, CASE WHEN doc_id % 7 = 0 THEN '2024-01-31' END AS applied_at FROM documents",
     "fix_stats": "SELECT 'status' AS facet, CASE WHEN doc_id % 2 = 0 THEN 'pending' ELSE 'approved' END AS key, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'type', CASE WHEN doc_id % 5 = 0 THEN 'needs_human_review' ELSE 'spelling' END, count(*) FROM documents GROUP BY 2",
 }

@@ -1,5 +1,6 @@
 """Queries whose rows are held against plain Python over the whole tables."""
 
+import re
 import uuid
 from collections import defaultdict
 from hashlib import md5
@@ -16,6 +17,15 @@ def table(name: str) -> pd.DataFrame:
     return pd.read_parquet(f"{SF}/{name}.parquet")
 
 
+def digest(text: str | None) -> str | None:
+    return None if text is None else md5(text.encode()).hexdigest()
+
+
+def rio(text: str) -> str:
+    text = re.sub(r"\bRIO[-\s]?Live\b", "RIO +LAN", text, flags=re.I | re.A)
+    return re.sub(r"\bRIO\s*\+\s*WAN\s+Live\b", "RIO +LAN", text, flags=re.I | re.A)
+
+
 def test_every_event_has_its_mail_date(spark):
     want = {e.event_id: None if e.event_id % 20 and e.event_id % 30 == 0 else str(e.ts)[:19] for e in table("events").itertuples()}
     got = QUERIES["parse_mail_date"](spark, SF).collect()
@@ -43,3 +53,23 @@ def test_all_chunks_are_merged_with_their_whole_texts(spark):
                 want.add((["docs", "cases"][x.doc_id % 2], str(uuid.uuid5(uuid.NAMESPACE_DNS, f"{x.doc_id}_{k}")), md5(f"{b}:{x.text[at : at + 1000]}".encode()).hexdigest(), b))
         got = QUERIES[name](spark, SF).collect()
         assert len(got) == len(want) and {(r.collection, r.chunk_id, r.digest, r.batch) for r in got} == want
+
+
+def write(spark, folder, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+
+
+def test_texts_are_read_to_their_ends(spark, tmp_path):
+    """What counts lies far behind the first words."""
+    body = "Plain words before it. " * 900
+    texts = {9: body + "Ends with rio-live and RIO + WAN live", 19: "abcdUNIQUE" + body, 2: body, 3: ""}
+    write(spark, tmp_path, "documents", [(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    write(spark, tmp_path, "labels", [(i, 1, 0) for i in texts], "doc_id long, quality int, toxic int")
+    write(spark, tmp_path, "benchmark", list(texts.items()), "item_id long, text string")
+    run = lambda name: {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert run("term_transforms") == {(i, digest(rio("the RIO-live and rio + wan live " + t))) for i, t in texts.items()}
+    assert run("case_document") == {(i, digest(f"# S{i}\nCategory: en\nProduct: s\nKeywords: en, s\n\n## Problem\n{t[:40]}\n\n## Solution\n{t[40:]}")) for i, t in texts.items()}
+    base = {i: ("rio live " if i % 2 else "plain ") + t for i, t in texts.items()}
+    assert run("query_variants") == {(i, digest(rio(b)) if rio(b) != b else None, digest(rio(b))) for i, b in base.items()}
+    fixed = {i: t[:k] + "<FIX>" + t[k + 6 :] if i % 10 == 9 and (k := t.lower().find(t[4:10].lower())) >= 0 else t for i, t in texts.items()}
+    assert run("auto_apply_fixes") == {(i, digest(t), int(t != texts[i])) for i, t in fixed.items()}
