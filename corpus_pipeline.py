@@ -28,8 +28,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return secrets.redact(docs)
 
 
-def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text."""
+def sentencepiece_both_ways(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, and what they decode to."""
     return sentencepiece.encoded(docs)
 
 
@@ -38,7 +38,7 @@ STAGES = [
     ("n-gram Jaccard join", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("secret scans", secret_scans),
-    ("SentencePiece encoding", sentencepiece_encoding),
+    ("SentencePiece encoding and decoding", sentencepiece_both_ways),
 ]
 #: BPE merges and alignments are beyond SQL; tests/llm/test_pipeline.py holds the rows against a brute-force version.
 ORACLE_SQL: str | None = None

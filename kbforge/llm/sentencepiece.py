@@ -20,6 +20,7 @@ ids. Null ids and repeated rows stay, other columns are ignored. An empty table
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections import Counter
@@ -371,8 +372,8 @@ class Encoder:
             yield np.frombuffer(b"".join(map(self.words.__getitem__, own)), self.table.kind).astype(np.int32)
 
 
-def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = TABLE_SEGMENTS) -> DataFrame:
-    """``doc_id, ids`` of each document."""
+def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = TABLE_SEGMENTS, back: bool = False) -> DataFrame:
+    """``doc_id, ids`` of each document; with ``back`` also what the ids decode to: its md5, and whether it equals the text."""
     spark = docs.sparkSession
     model = model or Pieces.load(default_model())
     counts, vocab = vocabulary(docs, model)
@@ -381,6 +382,7 @@ def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = T
     width = np.dtype("<u2" if len(model.pieces) <= 1 << 16 else "<u4")
     table = spark.sparkContext.broadcast(Table(packed(head, width).collect(), width))
     pairs = spark.sparkContext.broadcast(model.pairs)
+    pieces = spark.sparkContext.broadcast(model) if back else None
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     tail_type = "array<struct<segment:string,ids:array<int>>>"
@@ -406,7 +408,7 @@ def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = T
         rows = rows.withColumn("tail", F.lit(None).cast(tail_type))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(table.value, pairs.value)
+        enc, dec = Encoder(table.value, pairs.value), Decoder(pieces.value) if back else None
         for batch in batches:
             at = 0
             for part in slices(batch.column(1).to_pylist()):
@@ -415,25 +417,33 @@ def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = T
                 found = list(enc.encode(part, more))
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32))
                 ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), ids], names=["doc_id", "ids"])
+                columns = [batch.column(0).slice(at, len(part)), ids]
+                if dec:
+                    texts = list(map(dec, found))
+                    columns += [pa.array([hashlib.md5(t.encode()).hexdigest() for t in texts], pa.string()), pa.array([a == (b or "") for a, b in zip(texts, part)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
                 at += len(part)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    names = ["doc_id", "ids"] + ["decoded_md5", "equals_text"] * back
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", decoded_md5 string, equals_text boolean" * back)
+
+
+class Decoder:
+    """Ids to the text; bytes that are no UTF-8 become the replacement character, unknown pieces a spaced ``⁇``."""
+
+    def __init__(self, model: Pieces):
+        self.bytes = [" ⁇ ".encode() if t == 2 else b"" if t == 3 else p.encode() for p, t in zip(model.pieces, model.types)]
+        for b, i in enumerate(model.bytes):
+            if i >= 0:
+                self.bytes[i] = bytes([b])
+
+    def __call__(self, ids: np.ndarray) -> str:
+        text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")
+        return text[1:] if text.startswith(" ") else text
 
 
 def decode_ids(ids: np.ndarray, model: Pieces) -> str:
-    """The text of ids; bytes that are no UTF-8 become the replacement character, unknown pieces a spaced ``⁇``."""
-    out: list[bytes] = []
-    value = {i: b for b, i in enumerate(model.bytes)}
-    for i in ids.tolist():
-        if i in value:
-            out.append(bytes([value[i]]))
-        elif model.types[i] == 2:
-            out.append(" ⁇ ".encode())
-        elif model.types[i] != 3:
-            out.append(model.pieces[i].encode())
-    text = b"".join(out).decode("utf-8", "replace").replace(SPACE, " ")
-    return text[1:] if text.startswith(" ") else text
+    return Decoder(model)(ids)
 
 
 def decode(encoded: DataFrame, model: Pieces | None = None) -> DataFrame:
@@ -441,9 +451,10 @@ def decode(encoded: DataFrame, model: Pieces | None = None) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(model or Pieces.load(default_model()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dec = Decoder(shared.value)
         for batch in batches:
             column = batch.column(1)
-            texts = [decode_ids(np.array(column[i].values.to_numpy() if column[i].is_valid else [], np.int32), shared.value) for i in range(len(batch))]
+            texts = [dec(np.array(column[i].values.to_numpy() if column[i].is_valid else [], np.int32)) for i in range(len(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
@@ -451,5 +462,5 @@ def decode(encoded: DataFrame, model: Pieces | None = None) -> DataFrame:
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_pieces, ids``."""
-    return encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    """``doc_id, n_pieces, ids, decoded_md5, equals_text``; a text with ``▁`` does not come back, as in the library."""
+    return encode(docs, back=True).select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "decoded_md5", "equals_text")

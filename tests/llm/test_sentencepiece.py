@@ -1,4 +1,5 @@
 import random
+from hashlib import md5
 
 import numpy as np
 import sentencepiece
@@ -53,3 +54,14 @@ def test_decoding_of_odd_ids():
     lib = sentencepiece.SentencePieceProcessor(model_file=sp.default_model())
     for ids in ([], [3], [1, 2], [model.bytes[0xE4], model.bytes[0xBD]], [29900]):
         assert sp.decode_ids(np.array(ids, np.int32), model).rstrip("�") == lib.decode(ids).rstrip("�")
+
+
+def test_the_query_decodes_every_document(spark):
+    lib = sentencepiece.SentencePieceProcessor(model_file=sp.default_model())
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(100 + r.doc_id, r.text) for r in read_table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    got = {r.doc_id: (r.ids, r.decoded_md5, r.equals_text) for r in sp.encoded(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, t in rows:
+        ids = lib.encode(t or "")
+        back = lib.decode(ids)
+        assert got[i] == (ids, md5(back.encode()).hexdigest(), back == (t or ""))
+    assert len(got) == len(rows) and not all(same for _, _, same in got.values())
