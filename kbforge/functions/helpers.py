@@ -226,6 +226,26 @@ def anonymize(texts: list[str | None], own_domain: str = "") -> list[str]:
     return out
 
 
+def pii_parts(text: str | None, own_domain: str = "") -> tuple[list[tuple[str, str, str]], str]:
+    """A text as ``literal, label, key`` up to each placeholder, and the literal behind the last; as ``anonymize`` finds them."""
+
+    def cut(literals: list[tuple[str, str, str]], pattern: str, named, flags: int = 0) -> list[tuple[str, str, str]]:
+        out = []
+        for literal, label, key in literals:
+            at = 0
+            for m in re.finditer(pattern, literal, flags):
+                if found := named(m):
+                    out.append((literal[at : m.start()], *found))
+                    at = m.end()
+            out.append((literal[at:], label, key))
+        return out
+
+    parts = cut([(text or "", "", "")], r"\b(CY-)([A-Z][A-Z0-9]{1,3})(-\d{1,3}-\d{1,3})\b", lambda m: (f"SERIAL:{m[2].upper()}", m[0].upper()), re.I)
+    parts = cut(parts, r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", lambda m: None if own_domain and m[0].lower().endswith("@" + own_domain) else ("EMAIL", m[0].lower()))
+    parts = cut(parts, r"(?:\+\d{1,3}[-.\s]?)?\(?\d{1,4}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,9}", lambda m: ("PHONE", m[0]) if sum(c.isdigit() for c in m[0]) >= 7 else None)
+    return parts[:-1], parts[-1][0]
+
+
 def apply_fixes(text: str | None, fixes: list[tuple[str, str]]) -> tuple[str, int]:
     """Each fix in order at its first occurrence, case aside; the text and how many were applied."""
     text, n = text or "", 0

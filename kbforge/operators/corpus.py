@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kbforge.functions import helpers
+from kbforge.functions.storage import materialize
 from kbforge.functions.text import found_pii, uuid5_dns
 from kbforge.operators import retrieval
 
@@ -89,14 +90,41 @@ def pii_counts(turns: DataFrame, thread: str = "conv_id") -> DataFrame:
     return turns.groupBy(thread).agg(size(serials).alias("serials"), size(emails).alias("emails"), size(phones).alias("phones"))
 
 
-def anonymize_threads(turns: DataFrame, thread: str = "conv_id", order: str = "turn", own_domain: str = "") -> DataFrame:
-    """Turns with placeholders that are shared within a thread; a thread is one group."""
+def _numbered(keys: DataFrame, group: list[str], first: str) -> DataFrame:
+    """``number`` of each row within its group in the order of ``first``; a large group is cut into ranges."""
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(keys.repartitionByRange(parts, *group, first).withColumn("block", F.spark_partition_id()), "ranges")
+    blocks = dealt.groupBy(*group, "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(*group, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    own = dealt.withColumn("r", F.row_number().over(Window.partitionBy("block", *group).orderBy(first)))
+    return own.join(offsets, [*group, "block"]).withColumn("number", F.col("offset") + F.col("r")).drop("r", "offset", "block")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        return rows.assign(text=helpers.anonymize(rows["text"].tolist(), own_domain))
 
-    return turns.select(thread, order, "text").groupBy(thread).applyInPandas(run, f"{thread} long, {order} long, text string")
+def anonymize_threads(turns: DataFrame, thread: str = "conv_id", order: str = "turn", own_domain: str = "") -> DataFrame:
+    """Turns with placeholders that are shared within a thread, numbered by first appearance.
+
+    Placeholders are found turn by turn; only their distinct keys meet by thread. Of turns at one place the order is that of
+    a hash of the text.
+    """
+
+    @F.pandas_udf("parts array<struct<literal:string,label:string,key:string>>, tail string")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        rows = [helpers.pii_parts(t, own_domain) for t in texts]
+        return pd.DataFrame({"parts": [[{"literal": a, "label": b, "key": c} for a, b, c in parts] for parts, _ in rows], "tail": [tail for _, tail in rows]})
+
+    place = [F.col(order).isNull().alias("late"), F.col(order).alias("order"), F.xxhash64("text").alias("hash")]
+    named = F.coalesce(F.concat(F.lit("="), F.col(thread).cast("string")), F.lit(""))
+    rows = turns.select(F.monotonically_increasing_id().alias("_id"), thread, order, named.alias("_thread"), F.struct(*place).alias("_place"), found("text").alias("f"))
+    cut = materialize(rows.select("_id", thread, order, "_thread", "_place", "f.parts", "f.tail"), "turns")
+    refs = cut.select("_id", "_thread", "_place", F.posexplode(F.transform("parts", lambda x: F.struct(x["label"].alias("label"), x["key"].alias("key")))).alias("pos", "ref"))
+    refs = refs.select("_id", "_thread", "pos", F.substring_index("ref.label", ":", 1).alias("kind"), "ref.key", F.struct("_place", "pos").alias("at"))
+    keys = refs.groupBy("_thread", "kind", "key").agg(F.min("at").alias("first"))
+    numbers = _numbered(keys, ["_thread", "kind"], "first").select("_thread", "kind", "key", "number")
+    listed = refs.join(numbers, ["_thread", "kind", "key"]).groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "number"))), lambda x: x["number"]).alias("numbers"))
+    whole = cut.join(listed, "_id", "left")
+    heads = F.zip_with("parts", F.coalesce("numbers", F.array().cast("array<bigint>")), lambda p, n: F.concat(p["literal"], F.lit("["), p["label"], F.lit("-"), n.cast("string"), F.lit("]")))
+    return whole.select(thread, order, F.concat(F.array_join(heads, ""), F.col("tail")).alias("text"))
 
 
 def flag_rma(threads: DataFrame) -> DataFrame:

@@ -119,7 +119,8 @@ QUERIES = {
     "html_to_text": lambda s, d: _main(s, d).filter(F.length("text") >= 100).select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest")),
     "html_title": lambda s, d: _main(s, d).select("page_id", "title"),
     "strip_html_fast": lambda s, d: _pages(s, d).select("page_id", F.md5(T.strip_html_fast(F.col("html"))).alias("digest")),
-    "anonymize_threads": lambda s, d: ops.anonymize_threads(docs(s, d).select((F.col("doc_id") % 50).alias("conv_id"), F.col("doc_id").alias("turn"), "text")).select("conv_id", "turn", F.md5("text").alias("digest")),
+    "anonymize_threads": lambda s, d: ops.anonymize_threads(docs(s, d).select(F.floor(F.col("doc_id") / 50).alias("conv_id"), F.col("doc_id").alias("turn"), "text")).select("conv_id", "turn", F.md5("text").alias("digest")),
+    "anonymize_conversations": lambda s, d: ops.anonymize_threads(_turns(s, d)).select("conv_id", "turn", F.md5("text").alias("digest")),
     "pii_counts": lambda s, d: ops.pii_counts(docs(s, d).withColumnRenamed("doc_id", "conv_id")),
     "clean_thread_quotes": lambda s, d: _turns(s, d).select("conv_id", "turn", F.md5(F.pandas_udf(_cleaned, "string")(F.concat(F.lit("> old\n"), "text", F.lit("\n--\nme")))).alias("digest")),
     "term_transforms": lambda s, d: docs(s, d).select("doc_id", F.md5(T.term_transforms(F.concat(F.lit("the RIO-live and rio + wan live "), "text"))).alias("digest")),

@@ -7,6 +7,8 @@ from hashlib import md5
 
 import pandas as pd
 from kbforge import plans
+from kbforge.functions import helpers
+from kbforge.operators import corpus as ops
 
 from tests.oracle import SF
 
@@ -73,3 +75,23 @@ def test_texts_are_read_to_their_ends(spark, tmp_path):
     assert run("query_variants") == {(i, digest(rio(b)) if rio(b) != b else None, digest(rio(b))) for i, b in base.items()}
     fixed = {i: t[:k] + "<FIX>" + t[k + 6 :] if i % 10 == 9 and (k := t.lower().find(t[4:10].lower())) >= 0 else t for i, t in texts.items()}
     assert run("auto_apply_fixes") == {(i, digest(t), int(t != texts[i])) for i, t in fixed.items()}
+
+
+def test_placeholders_of_a_thread(spark):
+    rows = [(1, i, f"unit CY-A123-{i // 40}-{i % 40}, again cy-a123-0-{i % 7}") for i in range(1100)]
+    got = {r.turn: r.text for r in ops.anonymize_threads(spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(5)).collect()}
+    # Numbers stay whole in long threads, where they look like phone numbers.
+    assert got == {i: f"unit [SERIAL:A123-{i + 1}], again [SERIAL:A123-{i % 7 + 1 if i else 1}]" for i in range(1100)}
+
+
+def test_anonymized_like_the_thread_at_once(spark):
+    odd = ["a@own.com b@x.org 030-1234567", None, "", "B@X.ORG cy-cam-1-2@x.com +49 170 1234567 and 5551234567", "CY-CAM-1-2 1234567@own.com CY-CAM-1-2555 12 34", "CY-PTZ-9-9 5551234567c@d.ef[EMAIL-1]"]
+    docs = [(x.doc_id % 5, x.doc_id, x.text) for x in table("documents").itertuples()] + [(100 + k, 7 - i, t) for k in range(2) for i, t in enumerate(odd)] + [(None, i, t) for i, t in enumerate(odd)]
+    turns = spark.createDataFrame(docs, "conv_id long, turn long, text string").repartition(7)
+    for own in ("", "own.com"):
+        out, want = ops.anonymize_threads(turns, own_domain=own), {}
+        assert "InPandas" not in out._jdf.queryExecution().toString()
+        for thread in {t for t, _, _ in docs}:
+            mine = sorted((n, x) for t, n, x in docs if t == thread)
+            want |= {(thread, n): x for (n, _), x in zip(mine, helpers.anonymize([x for _, x in mine], own))}
+        assert {(r.conv_id, r.turn): r.text for r in out.collect()} == want and out.count() == len(docs)
