@@ -217,9 +217,10 @@ def _blocked(members: DataFrame, key: str, blocks: str, columns: list[str]) -> D
     return pairs.repartition(key, "bi", "bj").sortWithinPartitions(key, "bi", "bj")
 
 
-def _pick(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Rows of ``docs`` whose ``row`` is, or is not, in the written table ``keys``; broadcast only below a counted size."""
-    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "row", how)
+def _pick(docs: DataFrame, keys: DataFrame, how: str, key: str = "row") -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is, or is not, a ``row`` of the written table ``keys``; broadcast only below a counted size."""
+    own = keys.withColumnRenamed("row", key)
+    return docs.join(F.broadcast(own) if keys.count() <= BROADCAST_KEYS else own, key, how)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -298,11 +299,9 @@ def first_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     stay = best.select(F.col("best.row").alias("row"))
     gone = materialize(found.select("row").distinct().join(stay, "row", "left_anti"), "gone")
     twice = materialize(found.groupBy("row").count().filter("count > 1").select("row").join(stay, "row"), "twice")
-    keyed = docs.withColumn("row", F.xxhash64("text", "doc_id")) if "row" not in docs.columns else None
-    if keyed is None:
-        raise ValueError("a column named row is in the way")
-    kept = _pick(keyed, gone, "left_anti")
-    one = _pick(kept, twice, "left_semi").dropDuplicates(["row"])
-    return _pick(kept, twice, "left_anti").unionByName(one).select(*(f"`{c}`" for c in docs.columns))
-
-
+    key = "row"
+    while key in {c.lower() for c in docs.columns}:
+        key = f"_{key}"
+    kept = _pick(docs.withColumn(key, F.xxhash64("text", "doc_id")), gone, "left_anti", key)
+    one = _pick(kept, twice, "left_semi", key).dropDuplicates([key])
+    return _pick(kept, twice, "left_anti", key).unionByName(one).select(*(f"`{c}`" for c in docs.columns))

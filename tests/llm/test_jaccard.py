@@ -67,3 +67,12 @@ def test_empty_and_limits(spark):
     assert jaccard.links(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     limits = jaccard.least_matches()
     assert len(limits) == 8 and limits == sorted(limits) and limits[-1] == pytest.approx(82, abs=4)
+
+
+def test_a_column_named_row_stays(spark):
+    one, other = "one two three four five six seven eight", "quite another text of which no word is shared"
+    rows = [(1, one, "a"), (2, one, "b"), (3, other, "c"), (3, other, "c")]
+    for name in ("row", "ROW"):
+        docs = spark.createDataFrame(rows, f"doc_id long, text string, {name} string")
+        got = jaccard.first_of_each(docs)
+        assert got.columns == docs.columns and sorted(r[2] for r in got.collect()) == ["a", "c"]
