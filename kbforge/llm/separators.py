@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from kbforge.functions.storage import materialize
 from kbforge.llm.token_words import default_tokenizer, encoder
-from kbforge.llm.wavelet import NULL_ID
+from kbforge.llm.wavelet import NULL_ID, ended
 
 BLOCK_TOKENS = 1 << 19
 #: Fixed value: <|endoftext|> of the default tokenizer, which no text encodes to.
@@ -33,10 +33,9 @@ def write_flat(docs: DataFrame, tokenizer: str | None = None, separator: int = S
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, plain_specials=True)
-        end = np.array([separator], enc.dtype).tobytes()
         size = block_tokens * enc.dtype.itemsize
         held, block, part = bytearray(), 0, 0
-        ended: list[tuple[int, int]] = []
+        closed: list[tuple[int, int]] = []
         written = 0
 
         def row(data: bytes, ids: list[int]) -> pa.RecordBatch:
@@ -44,17 +43,17 @@ def write_flat(docs: DataFrame, tokenizer: str | None = None, separator: int = S
 
         for batch in batches:
             part = batch.column(2)[0].as_py() if len(batch) else part
-            for doc_id, run in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
-                held += run + end
-                ended.append((doc_id, written + len(held)))
+            for doc_id, run in zip(batch.column(0).to_pylist(), ended(enc, batch.column(1), separator)):
+                held += run.tobytes()
+                closed.append((doc_id, written + len(held)))
                 while len(held) >= size:
                     written += size
-                    last = next((k for k, (_, at) in enumerate(ended) if at > written), len(ended))
-                    yield row(bytes(held[:size]), [i for i, _ in ended[:last]])
-                    ended, block = ended[last:], block + 1
+                    last = next((k for k, (_, at) in enumerate(closed) if at > written), len(closed))
+                    yield row(bytes(held[:size]), [i for i, _ in closed[:last]])
+                    closed, block = closed[last:], block + 1
                     del held[:size]
         if held:
-            yield row(bytes(held), [i for i, _ in ended])
+            yield row(bytes(held), [i for i, _ in closed])
 
     # No order is asked for, so the texts are not moved: each task writes a file of what it reads.
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.spark_partition_id().alias("part"))

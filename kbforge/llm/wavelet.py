@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kbforge.functions.storage import materialize
-from kbforge.llm.token_words import default_tokenizer, encoder
+from kbforge.llm.token_words import WordEncoder, default_tokenizer, encoder
 
 MAGIC = b"WMX1"
 #: A rank directory entry for so many bits.
@@ -157,6 +157,14 @@ class WaveletMatrix:
         return values
 
 
+def ended(enc: WordEncoder, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
+    """The ids of each text, with the end id."""
+    for ids, starts in enc.encode(texts):
+        ids = np.insert(ids, starts[1:], end_id)
+        starts = (starts + np.arange(len(starts))).tolist()
+        yield from (ids[a:b] for a, b in zip(starts, starts[1:]))
+
+
 def ordered(docs: DataFrame) -> DataFrame:
     """``doc_id`` (null as the lowest value) and text, dealt out by ranges of ascending ``doc_id``.
 
@@ -172,23 +180,22 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        end = np.array([end_id], enc.dtype).tobytes()
         width = max(1, (max(enc.tokenizer.get_vocab_size() - 1, end_id)).bit_length())
         ids: list[int] = []
-        runs: list[bytes] = []
+        runs: list[np.ndarray] = []
         held, seq, part = 0, 0, 0
 
         def shard() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(runs), enc.dtype)
-            blob = pack(tokens, ids, [len(r) // enc.dtype.itemsize for r in runs], width)
+            tokens = np.concatenate(runs)
+            blob = pack(tokens, ids, list(map(len, runs)), width)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([blob], pa.binary())], names=["part", "seq", "n_tokens", "file"])
 
         for batch in batches:
             part = batch.column(2)[0].as_py() if len(batch) else part
-            for doc_id, run in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
+            for doc_id, run in zip(batch.column(0).to_pylist(), ended(enc, batch.column(1), end_id)):
                 ids.append(doc_id)
-                runs.append(run + end)
-                held += len(runs[-1]) // enc.dtype.itemsize
+                runs.append(run)
+                held += len(run)
                 if held >= shard_tokens:
                     yield shard()
                     ids, runs, held, seq = [], [], 0, seq + 1

@@ -1,17 +1,28 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from kbforge.llm.token_words import WordEncoder, default_tokenizer
 from kbforge.llm.wavelet import WaveletMatrix, pack, token_output, write_shards
 
-ODD = ["", "   ", None, "a<|endoftext|>b c", "É é Σ DON'T it's 123abc!!,.. 你好😀 \x1c z\x85k", "x " * 30000, "ab cd", "ab cd"]
+ODD = ["", "   ", None, "a<|endoftext|>b c", "É é Σ DON'T it's 123abc!!,.. 你好😀 \x1c z\x85k \x0b\x0cfoo\x0bbar x's'tore'", "naïve–ª µ½² ÀÉÎ×÷ßÿ e\u0301", "x " * 30000, "ab cd", "ab cd"]
 
 
 def test_words_give_the_whole_text_encoding():
     enc = WordEncoder(default_tokenizer())
     texts = [t or "" for t in ODD]
     whole = enc.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == [w.ids for w in whole]
+    assert [ids[a:b].tolist() for ids, starts in enc.encode(pa.array(texts)) for a, b in zip(starts, starts[1:])] == [w.ids for w in whole]
+
+
+def test_another_tokenizer_file_is_encoded_by_the_library():
+    import public_tokenizers
+
+    enc = WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not enc.by_words
+    texts = [t or "" for t in ODD]
+    whole = enc.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [ids[a:b].tolist() for ids, starts in enc.encode(pa.array(texts)) for a, b in zip(starts, starts[1:])] == [w.ids for w in whole]
 
 
 def test_queries_match_the_sequence():
