@@ -1,21 +1,21 @@
 """SentencePiece encoding by a relational lattice, and decoding.
 
-1. Texts become segments: white space is turned into ``▁`` (one more stands in front), and a text is cut before each run of
-   ``▁`` and wherever the two characters at a place stand side by side in no piece, since no piece can cross there.
-   Every task hands on the distinct segments it met, so the table of segments is far smaller than the texts.
+1. Texts become segments: ``▁`` counts as a blank (one more stands in front), and a text is cut before each run of blanks and
+   wherever the two characters at a place stand side by side in no piece, since no piece can cross there. Every task hands on
+   the distinct segments it met, so the table of segments is far smaller than the texts.
 2. Each segment's substrings of at most the longest piece's length are exploded and equi-joined to the piece table; the
    edges are grouped by segment and folded with a higher-order aggregate. For a unigram model the fold is Viterbi: the best
-   sum of scores that ends at each place. Pieces of a BPE model do not minimise any sum, so Viterbi would not give its
-   encoding; for such a model the fold over the same edges merges, step by step, the neighbours whose joint piece has the
-   highest score, the leftmost of equals. Characters that no piece covers become their UTF-8 bytes' pieces, or unknown.
-3. The segments' ids, sorted by a 64-bit hash of the segment, go to the tasks, which look up their texts' segments. Only the
-   most frequent ``TABLE_SEGMENTS`` are broadcast; segments beyond are joined to the texts that hold them by shuffles.
-
-The fold's work grows with the square of a segment's length. Segments above ``LONG`` characters, which only degenerate
-text has, are encoded in a task by the same merges with a heap (or the same Viterbi).
-
-Normalisation must be the identity, as in the model used here; other models are refused. Null and empty texts have no
-ids. Null ids and repeated rows stay, other columns are ignored. An empty table gives no rows.
+   sum of scores that ends at each place. The pieces of a BPE model do not maximise any sum, so Viterbi would not give its
+   encoding. For such a model the fold goes over the same edges in the order of their scores, from the left among equals, and
+   keeps a mark for each place where two symbols meet: an edge joins its span where both its ends are marked and one place
+   within. That is the model's own encoding, because a piece always comes after its two parts in that order. A few pieces
+   (runs of blanks) do not; segments that hold one of them are merged step by step in a task.
+   Characters that no piece covers become their UTF-8 bytes' pieces, or unknown.
+3. The segments' ids, sorted by a 64-bit hash of the segment, go to the tasks, which look up their texts' segments. Only
+   segments above a frequency, at most ``TABLE_SEGMENTS``, are broadcast; others are joined to the texts that hold them.
+
+Normalisation must be the identity, as in the model used here; other models are refused. Null and empty texts have no ids. Null ids and repeated rows stay, other columns are ignored. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,28 +23,32 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kbforge.functions.storage import materialize
-from kbforge.llm.token_words import slices
+from kbforge.llm.token_words import bounds, column_slices, gathered, runs
 
 SPACE = "▁"
 #: Segments that may be broadcast; a table of this size takes some 100 MB.
 TABLE_SEGMENTS = 4_000_000
 #: Segments of a task of the lattice, about.
-PART_SEGMENTS = 8_000
-#: Distinct segments that a task gathers before it hands them on.
-HELD = 400_000
-LONG = 200
+PART_SEGMENTS = 16_000
+#: Rows of segments that a task gathers before it hands them on.
+HELD = 1_000_000
+#: Marks of a segment's places that one number holds; longer segments keep them as bytes.
+MARKS = 62
+#: Bits of an edge's number. Segments beyond ``START_BITS`` are encoded in a task, step by step.
+START_BITS, LENGTH_BITS, ID_BITS = 24, 5, 17
+#: Places of a segment that are exploded from one window.
+WINDOW = 48
 UNIGRAM, BPE = 1, 2
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 @dataclass
@@ -80,13 +84,38 @@ class Pieces:
         out.pairs = {p[i : i + 2] for p in out.ids for i in range(len(p) - 1)}
         if any(SPACE in p.lstrip(SPACE) for p in out.ids):
             raise ValueError("pieces that cross white space are not read")
+        if kind == BPE and (out.longest >= 1 << LENGTH_BITS or len(out.pieces) >= 1 << ID_BITS):
+            raise ValueError("only BPE models of pieces up to 31 characters and ids up to 131071 are read")
+        out.irregular = [p for p in out.ids if len(p) > 1 and not out.in_order(p)] if kind == BPE else []
+        letters = sorted({c for pair in out.pairs for c in pair})
+        #: The number of each character below 2^16 that stands in a pair; all others share the last one, which stands in none.
+        out.letters = np.full((1 << 16) + 1, len(letters), np.int32)
+        out.letters[[min(ord(c), 1 << 16) for c in letters]] = np.arange(len(letters))
+        out.joint = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        at = {c: k for k, c in enumerate(letters)}
+        for a, b in out.pairs:
+            out.joint[at[a], at[b]] = True
+        if any(ord(c) >> 16 for c in letters):
+            raise ValueError("pieces of several characters beyond the first plane are not read")
         return out
 
+    def in_order(self, piece: str) -> bool:
+        """Whether the two parts that the piece is merged from come before it."""
+        symbols = list(piece)
+        while len(symbols) > 1:
+            ways = [(-self.scores[self.ids[a + b]], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in self.ids]
+            if not ways:
+                return True
+            k = min(ways)[1]
+            parts, symbols[k : k + 2] = symbols[k : k + 2], [symbols[k] + symbols[k + 1]]
+        return all(len(x) == 1 or self.scores[self.ids[x]] > self.scores[self.ids[piece]] for x in parts)
+
     def table(self, spark: SparkSession) -> DataFrame:
-        """``piece, id, score``: as many rows as the model has pieces."""
+        """``piece, id, score, rank`` (from the highest score), with blanks for ``▁``: as many rows as the model has pieces."""
         ids = np.array(list(self.ids.values()), np.int32)
-        frame = pd.DataFrame({"piece": list(self.ids), "id": ids, "score": np.array(self.scores)[ids]})
-        return spark.createDataFrame(frame, "piece string, id int, score double")
+        scores = np.array(self.scores)[ids]
+        frame = pd.DataFrame({"piece": [p.replace(SPACE, " ") for p in self.ids], "id": ids, "score": scores, "rank": np.unique(-scores, return_inverse=True)[1].astype(np.int64)})
+        return spark.createDataFrame(frame, "piece string, id int, score double, rank long")
 
     def spelt(self, char: str) -> list[int]:
         if self.bytes[0] < 0:
@@ -100,88 +129,137 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Cutter:
-    """Words to segments; what was cut before is remembered, at most ``HELD`` words."""
-
-    def __init__(self, pairs: set[str]):
-        self.pairs, self.seen = pairs, {}
-
-    def __call__(self, word: str) -> tuple[str, ...]:
-        got = self.seen.get(word)
-        if got is None:
-            if len(self.seen) >= HELD:
-                self.seen = {}
-            cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs), len(word)]
-            got = self.seen[word] = tuple(word[a:b] for a, b in zip(cuts, cuts[1:]))
-        return got
-
-
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words (runs of blanks with what follows) of texts without nulls, and where each text's begin (one more for the end)."""
+    texts = pc.replace_substring(texts, SPACE, " ")
+    texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(" ", texts, ""))
+    starts, data = spans(texts)
+    blank = data == 32
+    first = blank.copy()
+    first[1:] &= ~blank[:-1]
+    first[starts[:-1][starts[1:] > starts[:-1]]] = True
+    at = np.flatnonzero(first)
+    return strings(np.append(at, len(data)), data), np.searchsorted(at, starts)
 
 
-def segments(docs: DataFrame, model: Pieces) -> DataFrame:
-    """``segment, n``: every distinct segment with its number of occurrences."""
-    pairs = docs.sparkSession.sparkContext.broadcast(model.pairs)
+def spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where the bytes of each text begin (one more for the end), and the bytes."""
+    _, starts, data = texts.buffers()
+    if not len(texts):
+        return np.zeros(1, np.int32), np.zeros(0, np.uint8)
+    starts = np.frombuffer(starts, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return starts - starts[0], np.frombuffer(data or b"", np.uint8)[starts[0] : starts[-1]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, words, held = Cutter(pairs.value), Counter(), Counter()
 
-        def settle() -> None:
-            for word, n in words.items():
-                for s in cut(word):
-                    held[s] += n
-            words.clear()
+def strings(starts: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.string(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)])
 
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["segment", "n"])
 
-        for batch in batches:
-            for part in slices(batch.column(0).to_pylist()):
-                for text in part:
-                    words.update(words_of(text))
-                if len(words) >= HELD:
-                    settle()
-                if len(held) >= HELD:
-                    yield rows()
-                    held.clear()
-        settle()
-        yield rows()
+def cut(words: pa.Array, model: Pieces) -> tuple[pa.Array, np.ndarray]:
+    """The segments of words, and where each word's begin (one more for the end)."""
+    starts, data = spans(words)
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    points = model.letters[np.minimum(np.where(points == 32, ord(SPACE), points), 1 << 16)]
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    apart = np.ones(len(points), bool)
+    apart[1:] = ~model.joint[points[:-1], points[1:]]
+    apart[np.searchsorted(first, starts[:-1])] = True
+    at = first[apart]
+    return strings(np.append(at, len(data)), data), np.searchsorted(at, starts)
 
-    return docs.select("text").mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
 
+@dataclass
+class Parsed:
+    """Texts as codes: of each text its words, of each word its segments."""
 
-_NEVER = -1e300
+    text_at: np.ndarray
+    words: pa.Array
+    word_at: np.ndarray
+    parts: pa.Array
+    segments: pa.Array
 
+    @classmethod
+    def of(cls, texts: pa.Array, model: Pieces) -> "Parsed":
+        words, text_at = words_of(texts)
+        words = words.dictionary_encode()
+        parts, word_at = cut(words.dictionary, model)
+        parts = parts.dictionary_encode()
+        return cls(text_at, words.indices, word_at, parts.indices, parts.dictionary)
+
+    def counts(self) -> np.ndarray:
+        """Occurrences of each segment."""
+        uses = np.bincount(self.words.to_numpy(), minlength=len(self.word_at) - 1)
+        return np.bincount(self.parts.to_numpy(), np.repeat(uses, np.diff(self.word_at)), len(self.segments)).astype(np.int64)
+
+    def texts_with(self, wanted: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each text with a wanted segment, and its wanted segments' numbers."""
+        parts = self.parts.to_numpy()
+        marked = np.add.reduceat(np.append(wanted[parts], False), self.word_at[:-1], dtype=np.int64) if len(parts) else np.zeros(0)
+        words = self.words.to_numpy()
+        at = np.flatnonzero(marked[words] > 0)
+        text = np.searchsorted(self.text_at, at, side="right") - 1
+        for t in np.unique(text).tolist():
+            own = np.concatenate([parts[self.word_at[w] : self.word_at[w + 1]] for w in np.unique(words[at[text == t]])])
+            yield t, np.unique(own[wanted[own]])
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def segments(docs: DataFrame, model: Pieces) -> DataFrame:
+    """``segment, n``: every distinct segment with its number of occurrences; ``▁`` is a blank in it."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-def _merged(edges: Column, chars: Column) -> Column:
-    """The pieces of a segment: neighbours are joined while a joint piece is among the edges.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-    The state holds the symbols and the score of each pair of neighbours, of which a merge changes two.
-    """
-    score = lambda text: F.coalesce(F.element_at(edges, text)["score"], F.lit(_NEVER))
-    pairs = F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda a, b: score(F.concat(a, b)))
+        def rows() -> list[pa.RecordBatch]:
+            found = pa.Table.from_batches(held).group_by("segment", use_threads=False).aggregate([("n", "sum")])
+            return found.select(["segment", "n_sum"]).rename_columns(["segment", "n"]).combine_chunks().to_batches()
 
-    def join(s: Column, p: Column, at: Column) -> Column:
-        def around(both: Column) -> Column:
-            left = F.when(at > 1, F.array(score(F.concat(F.get(s, at - 2), both)))).otherwise(F.array().cast("array<double>"))
-            right = F.when(at + 1 < F.size(s), F.array(score(F.concat(both, F.get(s, at + 1))))).otherwise(F.array().cast("array<double>"))
-            symbols = F.concat(F.slice(s, F.lit(1), at - 1), F.array(both), F.slice(s, at + 2, F.size(s)))
-            scores = F.concat(F.slice(p, F.lit(1), F.greatest(at - 2, F.lit(0))), left, right, F.slice(p, at + 2, F.size(s)))
-            return F.struct(symbols.alias("s"), scores.alias("p"))
+        for batch in batches:
+            for part in column_slices(batch.column(0)):
+                parsed = Parsed.of(part, shared.value)
+                held.append(pa.RecordBatch.from_arrays([parsed.segments, pa.array(parsed.counts())], names=["segment", "n"]))
+                if sum(map(len, held)) >= HELD:
+                    yield from rows()
+                    held = []
+        if held:
+            yield from rows()
 
-        return _let(F.concat(F.get(s, at - 1), F.get(s, at)), around)
+    return docs.select("text").mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
 
-    def step(state: Column, _: Column) -> Column:
-        s, p = state["s"], state["p"]
-        return _let(F.array_max(p), lambda top: F.when(top > _NEVER, _let(F.array_position(p, top).cast("int"), lambda at: join(s, p, at))).otherwise(state))
 
-    return F.aggregate(chars, F.struct(chars.alias("s"), pairs.alias("p")), step, lambda state: state["s"])
+#: An edge is one number, which sorts as the model merges: rank, start, length and id. These read it.
+_START = f"cast(shiftright(e, {LENGTH_BITS + ID_BITS}) & {(1 << START_BITS) - 1} as int)"
+_LENGTH, _ID = f"cast(shiftright(e, {ID_BITS}) & {(1 << LENGTH_BITS) - 1} as int)", f"cast(e & {(1 << ID_BITS) - 1} as int)"
+#: The marks from an edge's start to its end, the marks of just these two, and one mark more than two.
+_SEEN = f"(shiftright(m, {_START}) & (shiftleft(2L, {_LENGTH}) - 1))"
+_OUTER = f"(1L + shiftleft(1L, {_LENGTH}))"
+_SEEN_BYTES = f"cast(substring(m, {_START} + 1, {_LENGTH} + 1) as string)"
+_OUTER_BYTES = f"concat('1', repeat('0', {_LENGTH} - 1), '1')"
+
+
+def _merged() -> Column:
+    """The edges that a BPE model keeps, of the sorted ``edges`` of ``segment``."""
+    join = f"CASE WHEN bit_count({_SEEN}) = 3 AND {_SEEN} & {_OUTER} = {_OUTER} THEN m - shiftleft({_SEEN} - {_OUTER}, {_START}) ELSE m END"
+    marks = f"aggregate(edges, shiftleft(1L, length(segment) + 1) - 1, (m, e) -> {join})"
+    join = f"CASE WHEN {_SEEN_BYTES} RLIKE '^10*10*1$' THEN overlay(m PLACING cast({_OUTER_BYTES} AS binary) FROM {_START} + 1) ELSE m END"
+    long = f"aggregate(edges, cast(repeat('1', length(segment) + 1) AS binary), (m, e) -> {join})"
+    keep = f"flatten(transform(array({marks}), m -> filter(edges, e -> {_SEEN} = {_OUTER})))"
+    keep_long = f"flatten(transform(array({long}), m -> filter(edges, e -> {_SEEN_BYTES} = {_OUTER_BYTES})))"
+    return F.expr(f"CASE WHEN length(segment) <= {MARKS - 1} THEN {keep} ELSE {keep_long} END")
+
+
+def _ids(model: Pieces) -> Column:
+    """The ids of the edges ``kept``, from left to right; characters without an edge are spelt."""
+    whole = f"transform(array_sort(transform(kept, e -> shiftleft(cast({_START} AS bigint), {ID_BITS}) + {_ID})), x -> cast(x & {(1 << ID_BITS) - 1} AS int))"
+    spelt = f"array({model.unknown})"
+    if model.bytes[0] >= 0:
+        own = f"array({', '.join(map(str, model.bytes))})"
+        spelt = f"transform(sequence(1, length(hex(encode(c, 'UTF-8'))), 2), k -> element_at({own}, cast(conv(substring(hex(encode(c, 'UTF-8')), k, 2), 16, 10) AS int) + 1))"
+    at = f"filter(kept, e -> {_START} = i)"
+    inside = f"exists(kept, e -> {_START} < i AND i < {_START} + {_LENGTH})"
+    one = f"CASE WHEN size({at}) > 0 THEN transform({at}, e -> {_ID}) WHEN {inside} THEN array() ELSE flatten(transform(array(substring(segment, i + 1, 1)), c -> {spelt})) END"
+    slow = f"flatten(transform(sequence(0, length(segment) - 1), i -> {one}))"
+    return F.expr(f"CASE WHEN aggregate(kept, 0, (n, e) -> n + {_LENGTH}) = length(segment) THEN {whole} ELSE {slow} END")
 
 
 def _viterbi(edges: Column, chars: Column, longest: int, unknown_score: float) -> Column:
@@ -206,25 +284,30 @@ def _viterbi(edges: Column, chars: Column, longest: int, unknown_score: float) -
 
 
 def lattice(found: DataFrame, model: Pieces, parts: int | None = None) -> DataFrame:
-    """``segment, ids`` of each distinct segment (``LONG`` characters at most).
+    """``segment, ids`` of each distinct segment; those of a BPE model hold none of its irregular pieces.
 
     The segments are dealt out once; exploding and the join keep them where they are, so their edges are grouped in place.
     """
     spark = found.sparkSession
     found = found.select("segment").repartition("segment") if parts is None else found.select("segment").repartition(parts, "segment")
-    length = F.length("segment")
-    starts = F.sequence(F.lit(1), length)
-    sub = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(model.longest), length - i + 1)), lambda n: F.substring("segment", i, n))))
-    cut = found.select("segment", F.explode(F.array_distinct(sub)).alias("piece"))
+    # Places and lengths are exploded by turns, which stays in generated code; windows keep the substrings of long segments cheap.
+    windows = found.select("segment", F.explode(F.sequence(F.lit(0), F.length("segment") - 1, F.lit(WINDOW))).alias("base"))
+    windows = windows.select("segment", "base", F.substring("segment", F.col("base") + 1, F.lit(WINDOW + model.longest - 1)).alias("text"))
+    places = windows.select("segment", "base", "text", F.explode(F.sequence(F.lit(1), F.least(F.length("text"), F.lit(WINDOW)))).alias("i"))
+    lengths = F.explode(F.sequence(F.lit(1), F.least(F.length("text") - F.col("i") + 1, F.lit(model.longest))))
+    subs = places.select("segment", (F.col("base") + F.col("i") - 1).alias("start"), "text", "i", lengths.alias("n"))
+    subs = subs.select("segment", "start", "n", F.substring("text", F.col("i"), F.col("n")).alias("piece"))
     # The piece table has as many rows as the model, whatever the corpus. Characters without a piece keep their segment.
-    known = cut.join(F.broadcast(model.table(spark)), "piece", "left").filter("id IS NOT NULL OR length(piece) = 1")
+    known = subs.join(F.broadcast(model.table(spark)), "piece", "left").filter("id IS NOT NULL OR n = 1")
+    if model.kind == BPE:
+        edge = (F.col("rank") * (1 << START_BITS) + F.col("start")) * (1 << LENGTH_BITS + ID_BITS) + F.col("n") * (1 << ID_BITS) + F.col("id")
+        edges = known.groupBy("segment").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+        return edges.select("segment", _merged().alias("kept")).select("segment", _ids(model).alias("ids"))
     entry = F.when(F.col("id").isNotNull(), F.struct("piece", F.struct("score", "id")))
-    edges = known.groupBy("segment").agg(F.map_from_entries(F.collect_list(entry)).alias("edges"))
-    none = F.create_map().cast("map<string,struct<score:double,id:int>>")
-    whole = edges.select("segment", F.coalesce("edges", none).alias("edges"))
-    chars = F.transform(F.sequence(F.lit(1), length), lambda i: F.substring("segment", i, F.lit(1)))
+    edges = known.groupBy("segment").agg(F.map_from_entries(F.array_distinct(F.collect_list(entry))).alias("edges"))
+    chars = F.transform(F.sequence(F.lit(1), F.length("segment")), lambda i: F.substring("segment", i, F.lit(1)))
     least = min((model.scores[i] for i in model.ids.values()), default=0.0)
-    fold = _merged(F.col("edges"), chars) if model.kind == BPE else _viterbi(F.col("edges"), chars, model.longest, least - 10.0)
+    fold = _viterbi(F.col("edges"), chars, model.longest, least - 10.0)
     byte_ids = F.array(*map(F.lit, model.bytes))
 
     def spelt(symbol: Column) -> Column:
@@ -234,11 +317,12 @@ def lattice(found: DataFrame, model: Pieces, parts: int | None = None) -> DataFr
         return F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda k: F.element_at(byte_ids, F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("int") + 1))
 
     ids = F.flatten(F.transform(fold, lambda s: F.when(F.element_at(F.col("edges"), s).isNotNull(), F.array(F.element_at(F.col("edges"), s)["id"])).otherwise(spelt(s))))
-    return whole.select("segment", ids.alias("ids"))
+    return edges.select("segment", ids.alias("ids"))
 
 
 def encode_long(segment: str, model: Pieces) -> list[int]:
-    """One segment in time that grows as its length times a logarithm: the merges of the fold, by a heap."""
+    """One segment, step by step, in time that grows as its length times a logarithm."""
+    segment = segment.replace(" ", SPACE)
     n = len(segment)
     if model.kind == UNIGRAM:
         floor = min((model.scores[i] for i in model.ids.values()), default=0.0) - 10.0
@@ -287,7 +371,9 @@ def encode_long(segment: str, model: Pieces) -> list[int]:
 def vocabulary(docs: DataFrame, model: Pieces) -> tuple[DataFrame, DataFrame]:
     """``segment, n`` and ``segment, ids`` of every distinct segment of the texts."""
     found = materialize(segments(docs, model), "segments")
-    short, long = found.filter(F.length("segment") <= LONG), found.filter(F.length("segment") > LONG)
+    odd = F.col("segment").rlike("|".join(re.escape(p.replace(SPACE, " ")) for p in model.irregular)) if model.irregular else F.lit(False)
+    if model.kind == BPE:
+        odd |= F.length("segment") >= 1 << START_BITS
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,7 +382,7 @@ def vocabulary(docs: DataFrame, model: Pieces) -> tuple[DataFrame, DataFrame]:
 
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.count() // PART_SEGMENTS + 1)
-    rows = lattice(short, model, parts).unionByName(long.select("segment").mapInArrow(run, "segment string, ids array<int>"))
+    rows = lattice(found.filter(~odd), model, parts).unionByName(found.filter(odd).select("segment").mapInArrow(run, "segment string, ids array<int>"))
     # The groups of a task fit in memory, so they need no sort.
     limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(limit)
@@ -307,18 +393,18 @@ def vocabulary(docs: DataFrame, model: Pieces) -> tuple[DataFrame, DataFrame]:
         spark.conf.set(limit, before)
 
 
-def _hash(segments_: np.ndarray) -> np.ndarray:
-    return pd.util.hash_array(segments_, categorize=False)
+def _hash(segments_: pa.Array, turn: int) -> np.ndarray:
+    return pd.util.hash_array(segments_.to_numpy(zero_copy_only=False).astype(object), hash_key=f"{turn:016d}", categorize=False)
 
 
-def packed(rows: DataFrame, kind: np.dtype) -> DataFrame:
+def packed(rows: DataFrame, kind: np.dtype, turn: int) -> DataFrame:
     """``hashes, sizes, ids``: the table's rows as runs of bytes, so that the driver handles few objects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                runs = [_hash(batch.column(0).to_pandas().to_numpy(dtype=object)).tobytes(), batch.column(1).value_lengths().to_numpy().astype("<u4").tobytes(), batch.column(1).flatten().to_numpy().astype(kind).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.binary()) for r in runs], names=["hashes", "sizes", "ids"])
+                own = [_hash(batch.column(0), turn).tobytes(), batch.column(1).value_lengths().to_numpy().astype("<u4").tobytes(), batch.column(1).flatten().to_numpy().astype(kind).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.binary()) for r in own], names=["hashes", "sizes", "ids"])
 
     return rows.select("segment", "ids").mapInArrow(run, "hashes binary, sizes binary, ids binary")
 
@@ -326,50 +412,49 @@ def packed(rows: DataFrame, kind: np.dtype) -> DataFrame:
 class Table:
     """The frequent segments: sorted hashes, and where each one's ids stand in one run; some 24 bytes a segment."""
 
-    def __init__(self, rows: list, kind: np.dtype):
-        self.kind = kind
+    def __init__(self, rows: list, kind: np.dtype, turn: int):
+        self.kind, self.turn = kind, turn
         self.ids = b"".join(r["ids"] for r in rows)
         hashes = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint64)
         sizes = np.frombuffer(b"".join(r["sizes"] for r in rows), "<u4")
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
-        if (self.hashes[1:] == self.hashes[:-1]).any():
-            raise ValueError("two segments have one hash")
+        self.clashes = bool((self.hashes[1:] == self.hashes[:-1]).any())
         self.sizes = (sizes[order] * kind.itemsize).astype(np.uint32)
         self.starts = ((np.cumsum(sizes, dtype=np.int64) - sizes)[order] * kind.itemsize).astype(np.int64)
 
-    def look_up(self, words: list[str]) -> list[bytes | None]:
-        if not words or not len(self.hashes):
-            return [None] * len(words)
-        h = _hash(np.array(words, dtype=object))
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+    @classmethod
+    def of(cls, rows: DataFrame, kind: np.dtype) -> "Table":
+        """With another key of the hash where two segments have one hash."""
+        turn, table = 0, cls(packed(rows, kind, 0).collect(), kind, 0)
+        while table.clashes:
+            turn += 1
+            table = cls(packed(rows, kind, turn).collect(), kind, turn)
+        return table
+
+    def look_up(self, segments_: pa.Array) -> list[bytes | None]:
+        if not len(segments_) or not len(self.hashes):
+            return [None] * len(segments_)
+        h = _hash(segments_, self.turn)
+        order = np.argsort(h)
+        at = np.empty(len(h), np.int64)
+        at[order] = np.searchsorted(self.hashes, h[order])
+        at = np.minimum(at, len(self.hashes) - 1)
         first = np.where(self.hashes[at] == h, self.starts[at], -1).tolist()
         return [self.ids[a : a + n] if a >= 0 else None for a, n in zip(first, self.sizes[at].tolist())]
 
 
-class Encoder:
-    """Texts to ids by the table; ids of words are remembered, at most ``HELD``."""
-
-    def __init__(self, table: Table, pairs: set[str]):
-        self.table, self.cut, self.words = table, Cutter(pairs), {}
-
-    def learn(self, words: set[str], more: dict[str, bytes]) -> dict[str, list[str]]:
-        """Remember new words; gives the segments that neither the table nor ``more`` has, by word."""
-        if len(self.words) > HELD:
-            self.words = {}
-        new = {w: self.cut(w) for w in words - self.words.keys()}
-        wanted = list({s for parts in new.values() for s in parts})
-        known = {s: got for s, got in zip(wanted, self.table.look_up(wanted)) if got is not None} | more
-        missing = {w: own for w, parts in new.items() if (own := [s for s in parts if s not in known])}
-        self.words.update((w, b"".join(known[s] for s in parts)) for w, parts in new.items() if w not in missing)
-        return missing
-
-    def encode(self, texts: list[str], more: dict[str, bytes]) -> Iterator[np.ndarray]:
-        words = [words_of(t) for t in texts]
-        if missing := self.learn(set().union(*words), more):
-            raise ValueError(f"segments without ids: {list(missing)[:3]}")
-        for own in words:
-            yield np.frombuffer(b"".join(map(self.words.__getitem__, own)), self.table.kind).astype(np.int32)
+def ids_of(texts: pa.Array, model: Pieces, table: Table, more: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts without nulls, and where each text's begin (one more for the end)."""
+    parsed = Parsed.of(texts, model)
+    known = table.look_up(parsed.segments)
+    for k, got in enumerate(known):
+        if got is None:
+            known[k] = more[parsed.segments[k].as_py()]
+    data, starts = gathered(pa.array(known, pa.large_binary()), parsed.parts)
+    data, starts = gathered(runs(data, starts[parsed.word_at]), parsed.words)
+    starts = starts[parsed.text_at] // table.kind.itemsize
+    return np.frombuffer(data, table.kind, int(starts[-1])), starts
 
 
 def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = TABLE_SEGMENTS, back: bool = False) -> DataFrame:
@@ -377,27 +462,29 @@ def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = T
     spark = docs.sparkSession
     model = model or Pieces.load(default_model())
     counts, vocab = vocabulary(docs, model)
-    rest = counts.count() - table_segments
-    head = vocab.join(counts.orderBy(F.desc("n"), "segment").limit(table_segments), "segment") if rest > 0 else vocab
+    # How many segments there are by the power of two of their frequency: at most 64 rows.
+    levels = dict(counts.groupBy(F.floor(F.log2("n")).alias("level")).count().collect())
+    least, room = max(levels, default=0) + 1, table_segments
+    while least > 0 and levels.get(least - 1, 0) <= room:
+        room, least = room - levels.get(least - 1, 0), least - 1
+    head = vocab if least == 0 else vocab.join(counts.filter(F.floor(F.log2("n")) >= least).select("segment"), "segment")
     width = np.dtype("<u2" if len(model.pieces) <= 1 << 16 else "<u4")
-    table = spark.sparkContext.broadcast(Table(packed(head, width).collect(), width))
-    pairs = spark.sparkContext.broadcast(model.pairs)
-    pieces = spark.sparkContext.broadcast(model) if back else None
+    table = spark.sparkContext.broadcast(Table.of(head, width))
+    shared = spark.sparkContext.broadcast(model)
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     tail_type = "array<struct<segment:string,ids:array<int>>>"
-    if rest > 0:
+    if least > 0:
 
         def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            enc = Encoder(table.value, pairs.value)
             for batch in batches:
-                keys, found = [], []
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    own = set(words_of(text or ""))
-                    missing = {s for parts in enc.learn(own, {}).values() for s in parts}
-                    keys += [key] * len(missing)
-                    found += missing
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.string())], names=["_t", "segment"])
+                at = 0
+                for part in column_slices(batch.column(1)):
+                    parsed = Parsed.of(part, shared.value)
+                    missing = np.array([got is None for got in table.value.look_up(parsed.segments)], bool)
+                    for text, own in parsed.texts_with(missing):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([at + text] * len(own))), parsed.segments.take(pa.array(own))], names=["_t", "segment"])
+                    at += len(part)
 
         # Equal texts ask once; the lists are as long as a text has rare segments.
         keyed = rows.withColumn("_t", F.xxhash64("text"))
@@ -408,19 +495,17 @@ def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = T
         rows = rows.withColumn("tail", F.lit(None).cast(tail_type))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, dec = Encoder(table.value, pairs.value), Decoder(pieces.value) if back else None
+        dec = Decoder(shared.value) if back else None
         for batch in batches:
             at = 0
-            for part in slices(batch.column(1).to_pylist()):
-                tails = batch.column(2).slice(at, len(part)).to_pylist()
-                more = {s["segment"]: np.array(s["ids"], width).tobytes() for tail in tails if tail for s in tail}
-                found = list(enc.encode(part, more))
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))
-                columns = [batch.column(0).slice(at, len(part)), ids]
+            for part in column_slices(batch.column(1)):
+                tails = batch.column(2).slice(at, len(part)).drop_null().to_pylist()
+                more = {s["segment"]: np.array(s["ids"], width).tobytes() for tail in tails for s in tail}
+                ids, starts = ids_of(part, shared.value, table.value, more)
+                columns = [batch.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))]
                 if dec:
-                    texts = list(map(dec, found))
-                    columns += [pa.array([hashlib.md5(t.encode()).hexdigest() for t in texts], pa.string()), pa.array([a == (b or "") for a, b in zip(texts, part)], pa.bool_())]
+                    texts = list(dec.checked(ids, starts, part))
+                    columns += [pa.array([t[0] for t in texts], pa.string()), pa.array([t[1] for t in texts], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 at += len(part)
 
@@ -429,32 +514,46 @@ def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = T
 
 
 class Decoder:
-    """Ids to the text; bytes that are no UTF-8 become the replacement character, unknown pieces a spaced ``⁇``."""
+    """Ids to texts; bytes that are no UTF-8 become the replacement character, unknown pieces a spaced ``⁇``."""
 
     def __init__(self, model: Pieces):
-        self.bytes = [" ⁇ ".encode() if t == 2 else b"" if t == 3 else p.encode() for p, t in zip(model.pieces, model.types)]
+        pieces = [" ⁇ ".encode() if t == 2 else b"" if t == 3 else p.replace(SPACE, " ").encode() for p, t in zip(model.pieces, model.types)]
         for b, i in enumerate(model.bytes):
             if i >= 0:
-                self.bytes[i] = bytes([b])
+                pieces[i] = bytes([b])
+        self.pieces = pa.array(pieces, pa.large_binary())
+
+    def raw(self, ids: np.ndarray, starts: np.ndarray) -> Iterator[bytes]:
+        data, at = gathered(self.pieces, pa.array(ids))
+        data, at = bytes(data), at[starts].tolist()
+        return (data[a:b] for a, b in zip(at, at[1:]))
+
+    @staticmethod
+    def text(raw: bytes) -> str:
+        return raw.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
 
-    def __call__(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+    def checked(self, ids: np.ndarray, starts: np.ndarray, texts: pa.Array) -> Iterator[tuple[str, bool]]:
+        """The md5 of what each text's ids decode to, and whether that is the text."""
+        at, data = spans(texts)
+        data, at = data.tobytes(), at.tolist()
+        for raw, a, b in zip(self.raw(ids, starts), at, at[1:]):
+            same = raw.removeprefix(b" ") == data[a:b]
+            yield hashlib.md5(data[a:b] if same else self.text(raw).encode()).hexdigest(), same
 
 
 def decode_ids(ids: np.ndarray, model: Pieces) -> str:
-    return Decoder(model)(ids)
+    return Decoder.text(next(Decoder(model).raw(ids, np.array([0, len(ids)]))))
 
 
 def decode(encoded: DataFrame, model: Pieces | None = None) -> DataFrame:
-    """``doc_id, text`` of ``doc_id, ids``; map-only."""
+    """``doc_id, text`` of ``doc_id, ids``; null counts as no ids; map-only."""
     shared = encoded.sparkSession.sparkContext.broadcast(model or Pieces.load(default_model()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dec = Decoder(shared.value)
         for batch in batches:
-            column = batch.column(1)
-            texts = [dec(np.array(column[i].values.to_numpy() if column[i].is_valid else [], np.int32)) for i in range(len(batch))]
+            column = pc.fill_null(batch.column(1), pa.scalar([], pa.list_(pa.int32())))
+            texts = list(map(dec.text, dec.raw(column.flatten().to_numpy(), bounds(column))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()

@@ -6,7 +6,7 @@ import sentencepiece
 from kbforge.functions.storage import read_table
 from kbforge.llm import sentencepiece as sp
 
-TEXTS = [None, "", " ", "  Hello  wörld\n\nfoo\tb　x 你好 😀 <s> ", "▁under▁ ▁", "don't stop. e.g. www.x.com", "a" * 3000, "ab" * 150 + " " + "́e", "x" * 250 + "y", "\n", "The end", "The end"]
+TEXTS = [None, "", " ", "  Hello  wörld\n\nfoo\tb　x 你好 😀 <s> ", "▁under▁ ▁", "don't stop. e.g. www.x.com", "a" * 3000, "ab" * 150 + " " + "́e", "x" * 250 + "y", "\n", "The end", "The end", "the   end    of" + " " * 100 + "it", "-" * 200 + "=" * 33 + "𝔸b", "éà" * 70, "   "]
 
 
 def test_encoding_equals_the_library(spark):
@@ -23,6 +23,16 @@ def test_encoding_equals_the_library(spark):
     assert sp.encode(docs.limit(0)).count() == 0
 
 
+def test_the_fold_equals_the_library_on_random_words(spark):
+    lib = sentencepiece.SentencePieceProcessor(model_file=sp.default_model())
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("aeinorst.,-=*/#éñ▁你x0") for _ in range(rnd.choice([3, 8, 20, 61, 62, 63, 150, 400]))) for _ in range(400)]
+    words += ["".join(rnd.choice("ab") for _ in range(n)) for n in (59, 60, 61, 62, 5000)] + ["aaaa" * 15, "ababab" * 30]
+    got = sp.encode(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: lib.encode(w) for i, w in enumerate(words)}
+    assert [p for p in sp.Pieces.load(sp.default_model()).irregular if p.strip("▁")] == []
+
+
 def test_long_segments_merge_alike():
     lib = sentencepiece.SentencePieceProcessor(model_file=sp.default_model())
     model, rnd = sp.Pieces.load(sp.default_model()), random.Random(3)
