@@ -1,9 +1,8 @@
 """Language identification by words first, then by ever shorter character n-grams for words never seen.
 
 Training counts words by language on labelled texts. The sample is bounded: of each language about ``SAMPLE_DOCS``
-documents, chosen by a hash of their text, all of them where there are fewer. The model is bounded too: the
-``MAX_WORDS`` most frequent words and the ``MAX_GRAMS`` most frequent n-grams, each with a log frequency for each
-language. It is broadcast; at the default bounds it takes some 10 MB for ten languages.
+documents, chosen by a hash of their text, all of them where there are fewer. The model holds every word and n-gram of the
+sample, each with a log frequency for each language; the bound on the sample is the only one. It is broadcast.
 
 A text's words are its runs of letters, lower-cased. A known word adds its log frequency for each language. An unknown
 word is spelt with its ends marked and cut into 4-grams; those the model knows are averaged, and if it knows none, 3-,
@@ -18,6 +17,7 @@ their length.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,15 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kbforge.functions.storage import materialize
 from kbforge.llm.token_words import slices
 
-SAMPLE_DOCS = 3000
-MAX_WORDS = 60_000
-MAX_GRAMS = 60_000
+SAMPLE_DOCS = 500
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Number signs that are no letters, though ``\\w`` takes them: fractions, superscripts, numerals.
+_SIGNS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_SIGNS}]+")
+#: Rows of a table of languages that may be broadcast.
+BROADCAST_LANGUAGES = 100_000
 #: Characters of text whose words are scored at a time.
 SLICE = 400_000
 #: Words that a worker remembers the scores of.
@@ -56,10 +59,10 @@ def sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
     """``lang, text``: of each language a share by hash that gives ``per_language`` rows on average."""
     rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = counts.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share"))
+    share = materialize(counts.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share")), "shares")
+    share = F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share
     draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    # One row for each language; the number of languages is fixed, whatever the corpus.
-    return rows.join(F.broadcast(share), "lang").filter(draw < F.col("share")).select("lang", "text")
+    return rows.join(share, "lang").filter(draw < F.col("share")).select("lang", "text")
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -76,19 +79,24 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _top(counts: DataFrame, most: int) -> list:
-    """The ``most`` frequent items with their counts by language; the only rows that come to the driver."""
-    by_item = counts.groupBy("item").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    return by_item.orderBy(F.desc("total"), "item").limit(most).collect()
+def _counted(counts: DataFrame, langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """Items in order and a row of counts by language for each; as large as the bounded sample."""
+    found = counts.select("item", "lang", "n").toArrow()
+    items = sorted(set(found["item"].to_pylist()))
+    place = {item: k for k, item in enumerate(items)}
+    table = np.zeros((len(items), len(langs)))
+    column = {lang: k for k, lang in enumerate(langs)}
+    table[[place[i] for i in found["item"].to_pylist()], [column[g] for g in found["lang"].to_pylist()]] = found["n"].to_numpy()
+    return items, table
 
 
 class Model:
     """Languages, and the rows of known words and n-grams in tables of log frequencies."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
+    def __init__(self, langs: list[str], words: tuple[list[str], np.ndarray], grams: tuple[list[str], np.ndarray]):
         self.langs = langs
-        self.words, self.grams = ({item: k for k, item in enumerate(t)} for t in (words, grams))
-        self.word_scores, self.gram_scores = (np.array(list(t.values())).reshape(len(t), len(langs)) for t in (words, grams))
+        self.words, self.grams = ({item: k for k, item in enumerate(items)} for items, _ in (words, grams))
+        self.word_scores, self.gram_scores = words[1], grams[1]
 
     def scorer(self) -> "Scorer":
         """The worker's scorer; it lives as long as the worker holds the model."""
@@ -97,17 +105,15 @@ class Model:
         return self.own
 
 
-def _table(rows: list, totals: dict[str, int], langs: list[str]) -> dict[str, np.ndarray]:
-    floor = SMOOTHING * (len(rows) + 1)
-    norm = np.log([totals.get(g, 0) + floor for g in langs])
-    return {r["item"]: np.log([r["by"].get(g, 0) + SMOOTHING for g in langs]) - norm for r in rows}
+def _logs(counts: np.ndarray) -> np.ndarray:
+    """Log frequencies by language, smoothed."""
+    return np.log(counts + SMOOTHING) - np.log(counts.sum(axis=0) + SMOOTHING * (len(counts) + 1))
 
 
 def train(labelled: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
-    counts = word_counts(sample(labelled, per_language)).persist()
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(totals)
-    words = _table(_top(counts.withColumnRenamed("word", "item"), MAX_WORDS), totals, langs)
+    counts = materialize(word_counts(sample(labelled, per_language)), "words")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    words, table = _counted(counts.withColumnRenamed("word", "item"), langs)
     marked = F.concat(F.lit("\x02"), "word", F.lit("\x03"))
 
     def cut(n: int) -> Column:
@@ -115,17 +121,11 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_DOCS) -> Model:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
 
     grams = counts.select("lang", "n", F.explode(F.concat(*map(cut, ORDERS))).alias("item")).groupBy("lang", "item").agg(F.sum("n").alias("n"))
-    found = _top(grams, MAX_GRAMS)
-    by_order: dict[int, dict[str, int]] = {}
-    for r in found:
-        size = by_order.setdefault(len(r["item"]), {})
-        for lang, n in r["by"].items():
-            size[lang] = size.get(lang, 0) + n
-    table: dict[str, np.ndarray] = {}
-    for order, sums in by_order.items():
-        table |= _table([r for r in found if len(r["item"]) == order], sums, langs)
-    counts.unpersist()
-    return Model(langs, words, table)
+    items, found = _counted(grams, langs)
+    order = np.array([len(i) for i in items])
+    for n in np.unique(order):
+        found[order == n] = _logs(found[order == n])
+    return Model(langs, (words, _logs(table)), (items, found))
 
 
 class Scorer:

@@ -1,4 +1,7 @@
+import math
+import re
 import zlib
+from collections import Counter
 
 from kbforge.functions.storage import read_table
 from kbforge.llm import language
@@ -31,3 +34,44 @@ def test_odd_rows(spark):
     assert by[16] == ("aa", 0.5)  # nothing known: equal, the first
     assert language.identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", language.F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_scores_against_brute_force(spark):
+    texts = {"aa": ["alpha beta gamma alpha", "alphabet zeta beta", "gamma Alpha's delta"], "bb": ["ena dva tri ena", "dvanajst tri petnajst", "šest ena štiri"], "cc": ["uno dos tres", "dos cuatro uno, cinco"]}
+    rows = [(t, lang) for lang, own in texts.items() for t in own]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"), 10**9)
+    langs = sorted(texts)
+    counts = {g: Counter(w for t in texts[g] for w in re.findall(r"[^\W\d_]+", t.lower())) for g in langs}
+    words = set().union(*counts.values())
+
+    def cut(word, n):
+        marked = word if n == 1 else f"\x02{word}\x03"
+        return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+
+    grams = {g: {n: Counter(p for w, c in counts[g].items() for p in cut(w, n) for _ in range(c)) for n in language.ORDERS} for g in langs}
+
+    def log(count, total, kinds):
+        return math.log(count + 0.5) - math.log(total + 0.5 * (kinds + 1))
+
+    def word_score(word, g):
+        if word in words:
+            return log(counts[g][word], sum(counts[g].values()), len(words))
+        for n in language.ORDERS:
+            known = set().union(*(grams[h][n] for h in langs))
+            hits = [log(grams[g][n][p], sum(grams[g][n].values()), len(known)) for p in cut(word, n) if p in known]
+            if hits:
+                return sum(hits) / len(hits)
+        return 0.0
+
+    asked = ["alpha ena", "betas dvakrat", "dosuno trestri", "qqq", "šestdeset Alpha", "x", "zzz ena", "a " * 3]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    for k, text in enumerate(asked):
+        sums = [sum(word_score(w, g) for w in re.findall(r"[^\W\d_]+", text.lower())) for g in langs]
+        top = max(range(len(langs)), key=lambda i: (sums[i], -i))
+        assert got[k][0] == langs[top] and abs(got[k][1] - 1 / sum(math.exp(s - sums[top]) for s in sums)) < 1e-9, text
+
+
+def test_number_signs_are_no_letters(spark):
+    rows = [(1, "alpha beta", "aa"), (10, "²½", None), (11, "Ⅷ ①", None), (12, "x²", None)]
+    got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[10] == got[11] == "und" and got[12] == "aa"
