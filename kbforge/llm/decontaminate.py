@@ -8,10 +8,11 @@ holds the whole occurrence; bands that reach the bound are kept, and an alignmen
 text) decides. Items shorter than ``Q`` or of which k would be negative count where they stand as whole words.
 
 The benchmark is read in blocks of at most ``BLOCK_CHARS`` characters; a block's q-gram index (some 30 bytes a character)
-is broadcast, and each block passes over all documents once.
+is broadcast, and each block passes over all documents once; of several blocks one is held at a time.
 
 Null texts and items count as empty; empty items occur nowhere. Rows that share an id are one document: its regions are
-those of all its texts. Null ids are kept, repeated rows give their regions once, equal items each give theirs. An empty
+those of all its texts. Of regions of one item that overlap the first stays, of those at one place the one with the
+fewest edits. Ids may be of any type. Null ids are kept, repeated rows give their regions once, equal items each give theirs. An empty
 table on either side gives no regions. Other columns are ignored by ``regions`` and kept by ``clean``.
 """
 
@@ -19,10 +20,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from kbforge.functions.storage import materialize
 from kbforge.llm.token_words import slices
 
 Q = 8
@@ -73,6 +77,10 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return h * _MULT
 
 
+def _text(codes: np.ndarray) -> str:
+    return codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 class Index:
     """The q-grams of a block of items."""
 
@@ -91,12 +99,25 @@ class Index:
         g, self.owner, self.offset = np.concatenate(grams), np.concatenate(owner), np.concatenate(offset)
         order = np.argsort(g, kind="stable")
         self.grams, self.owner, self.offset = g[order], self.owner[order], self.offset[order]
-        self.short = [(j, c.tobytes()) for j, c in enumerate(self.codes) if self.budget[j] < 0 and len(c)]
+        self.short: dict[str, list[int]] = {}
+        for j, c in enumerate(self.codes):
+            if self.budget[j] < 0 and len(c):
+                self.short.setdefault(f" {_text(c)} ", []).append(j)
         bits = max(16, min(27, int(len(g) * 16).bit_length()))
         self.shift = np.uint64(64 - bits)
         self.bloom = np.zeros(1 << bits, bool)
         self.bloom[self.grams >> self.shift] = True
 
+    def whole_words(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Item, start and end of each short item that stands as whole words; one pass over the text for all of them."""
+        if "finder" not in self.__dict__:
+            self.finder = ahocorasick.Automaton()
+            for padded, own in self.short.items():
+                self.finder.add_word(padded, (len(padded) - 2, own))
+            self.finder.make_automaton()
+        for at, (size, own) in self.finder.iter(f" {_text(codes)} "):
+            yield from ((j, at - 1 - size, at - 1) for j in own)
+
     def candidates(self, codes: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text number, item and lowest diagonal of each band that reaches its bound. ``codes`` is a run of texts."""
         grams = _grams(codes)
@@ -214,14 +235,10 @@ def _find(index: Index, texts: list[str]) -> list[tuple[int, int, int, int, int]
         for key, got in zip(pairs, align([index.codes[j] for _, j in pairs], [pieces[t][0] for t, _ in pairs], low[some], 2 * limit[some] + 1, limit[some])):
             if got and got[2] > got[1]:
                 found.setdefault(key, []).append(got)
-    for j, pattern in index.short:
+    if index.short:
         for t, (c, _) in enumerate(pieces):
-            padded, word = b"\x20\0\0\0" + c.tobytes() + b"\x20\0\0\0", b"\x20\0\0\0" + pattern + b"\x20\0\0\0"
-            at = padded.find(word)
-            while at >= 0:
-                if at % 4 == 0:
-                    found.setdefault((t, j), []).append((0, at // 4, at // 4 + len(pattern) // 4))
-                at = padded.find(word, at + 1)
+            for j, a, b in index.whole_words(c):
+                found.setdefault((t, j), []).append((0, a, b))
     out = []
     for (t, j), regions in found.items():
         places = pieces[t][1]
@@ -252,8 +269,14 @@ def regions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits long, start long, end long"
+    id_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     out = spark.createDataFrame([], schema)
-    for block in blocks(benchmark):
+    rest = blocks(benchmark)
+    block, following = next(rest, None), None
+    several = False
+    while block:
+        following = next(rest, None)
+        several = several or following is not None
         shared = spark.sparkContext.broadcast(Index(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -264,13 +287,23 @@ def regions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     rows += [(first + t, index.ids[j], *rest) for t, j, *rest in _find(index, part)]
                     first += len(part)
                 ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[k] for r in rows], pa.int64()) for k in range(1, 5))], names=["doc_id", "item_id", "edits", "start", "end"])
-
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
+                columns = [pa.array([r[1] for r in rows], id_type), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(2, 5))]
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "item_id", "edits", "start", "end"])
+
+        found = docs.select("doc_id", "text").mapInArrow(run, schema)
+        if several:
+            # One block after the other, so that no two indexes are held at once.
+            found = materialize(found, "regions")
+            shared.unpersist()
+        out = out.unionByName(found)
+        block = following
     return out.distinct()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all columns, whose ``doc_id`` has no region of an item."""
-    hit = regions(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit")), "left_anti")
+    name = "_hit"
+    while name in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    hit = regions(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit[name]), "left_anti")

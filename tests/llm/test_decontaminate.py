@@ -88,3 +88,18 @@ def test_blocks(spark):
     bench = spark.createDataFrame([(i, "x" * 50) for i in range(10)], "item_id long, text string")
     assert sorted(i for b in dc.blocks(bench, 120) for i, _ in b) == list(range(10)) and len(list(dc.blocks(bench, 120))) == 5
     assert np.array_equal(dc._grams(np.zeros(3, np.uint32)), np.zeros(0, np.uint64))
+
+
+def test_string_ids_short_items_and_clashing_columns(spark):
+    items = [("i1", "gpt"), ("i2", "GPT"), ("i3", "a-b"), ("i4", "the quick brown fox jumps over it")]
+    docs = spark.createDataFrame([("d1", "my gpt, A b!", 1), ("d2", "agpt gpts", 2), ("d3", "the quick brown fox jumped over it", 3), (None, "gpt gpt", 4)], "doc_id string, text string, _hit int")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = sorted(tuple(r) for r in dc.regions(docs.filter("doc_id IS NOT NULL"), bench).collect())
+    assert [(d, i, a, b) for d, i, _, a, b in got] == [("d1", "i1", 3, 6), ("d1", "i2", 3, 6), ("d1", "i3", 8, 11), ("d3", "i4", 0, 34)]
+    assert {(r.doc_id, r._hit) for r in dc.clean(docs, bench).collect()} == {("d2", 2)}
+    old = dc.blocks.__defaults__
+    dc.blocks.__defaults__ = (8,)
+    try:
+        assert sorted(tuple(r) for r in dc.regions(docs.filter("doc_id IS NOT NULL"), bench).collect()) == got
+    finally:
+        dc.blocks.__defaults__ = old
