@@ -156,9 +156,9 @@ def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
 
     ``n_chars``, where there is such a column, follows the text.
     """
-    taken = {c.lower() for c in docs.columns}
-    clash = {c: f"_kept{i}" for i, c in enumerate(docs.columns) if c.lower() in {*NAMES, "_id", "_h", "_found"}}
-    rows = with_spans(docs.withColumnsRenamed(clash))
+    # All columns but the two that are read stand under other names while the helpers are about.
+    plain = docs.toDF(*(c if c.lower() in ("doc_id", "text") else f"_kept{i}" for i, c in enumerate(docs.columns)))
+    rows = with_spans(plain)
 
     def rebuilt(spans: Column) -> Column:
         def step(acc: Column, s: Column) -> Column:
@@ -171,8 +171,14 @@ def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
         return F.aggregate(F.array_sort(spans), first, step, tail)
 
     every = F.concat(*(F.col(k) for k in NAMES))
-    rows = rows.withColumn("_found", F.size(every) > 0).withColumn("text", F.when(F.size(every) > 0, rebuilt(every)).otherwise(F.col("text"))).drop(*NAMES)
-    rows = rows.withColumnsRenamed({v: k for k, v in clash.items()})
-    if "n_chars" in taken:
-        rows = rows.withColumn("n_chars", F.when(F.col("_found"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*(f"`{c}`" for c in docs.columns))
+    new = F.when(F.size(every) > 0, rebuilt(every)).otherwise(F.col("text"))
+    rows = rows.select(*plain.columns, F.size(every).alias("found"), new.alias("new"))
+
+    def shown(name: str, inner: str) -> Column:
+        if name.lower() == "text":
+            return F.col("new").alias(name)
+        if name.lower() == "n_chars":
+            return F.when(F.col("found") > 0, F.length("new").cast(docs.schema[name].dataType)).otherwise(F.col(inner)).alias(name)
+        return F.col(inner).alias(name)
+
+    return rows.select(*map(shown, docs.columns, plain.columns))

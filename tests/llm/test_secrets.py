@@ -60,3 +60,12 @@ def test_redaction(spark):
 def test_empty(spark):
     _, docs = frame(spark)
     assert secrets.scan(docs.limit(0)).count() == 0 and secrets.redact(docs.limit(0)).count() == 0
+
+
+def test_redaction_keeps_columns_of_any_name(spark):
+    names = ["_found", "Found", "new", "assign", "_kept0", "key", "_id", "N_Chars"]
+    docs = spark.createDataFrame([(1, "password = abcdefghijklmnop", *range(8)), (2, "nothing", *range(8))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names[:7]) + ", N_Chars int")
+    out = secrets.redact(docs.drop("Found"))
+    assert out.columns == docs.drop("Found").columns
+    got = {r[0]: tuple(r) for r in out.collect()}
+    assert got[2] == (2, "nothing", 0, 2, 3, 4, 5, 6, 7) and secrets.MARK in got[1][1] and got[1][2:8] == (0, 2, 3, 4, 5, 6) and got[1][8] == len(got[1][1])
