@@ -7,27 +7,39 @@ from pyspark.sql import DataFrame, functions as F
 from kbforge.functions.storage import materialize
 
 
+def _least_of(rows: DataFrame, least: DataFrame, count: int) -> DataFrame:
+    """``rows (a, b)`` with the column ``least`` of ``a``, of ``least (a, least, n)``; ``count`` is at least half their number.
+
+    Nodes of more than a thousandth of the rows are broadcast: there are at most two thousand. The rows of all others meet
+    theirs in a shuffle.
+    """
+    limit = max(100, count // 1000)
+    heavy = F.broadcast(least.filter(F.col("n") > limit).select("a", "least"))
+    light = least.filter(F.col("n") <= limit).select("a", "least")
+    return rows.join(heavy, "a").unionByName(rows.join(heavy, "a", "left_anti").join(light, "a"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, component`` of every node of ``edges (a, b)``; a component is named by its least node.
 
     Large-star and small-star rounds: in each, a node's neighbours are hung on the least of them, so that a component
-    of n nodes settles to a star in about log n rounds. The least neighbour is a partial aggregate, so a node with many
-    edges costs no large group. Each round is written to the shared folder. Edges with a null end are dropped.
+    of n nodes settles to a star in about log n rounds. The least neighbour is a partial aggregate and reaches the edges
+    of a node with many of them by a broadcast, so no node makes a large group. Each round is written to the shared folder. Edges with a null end are dropped.
     """
     current = materialize(edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    before, count = None, current.count()
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count("*").alias("n"))
+        large = _least_of(both.filter("b > a"), least, count).select(F.col("b").alias("a"), F.col("least").alias("b"))
         stars = large.filter("a <> b").distinct()
-        down = stars.groupBy("a").agg(F.min("b").alias("least"))
-        small = stars.join(down, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b")
+        down = stars.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
+        small = _least_of(stars, down, count).select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b")
         current = materialize(small.unionByName(down.select("a", F.col("least").alias("b"))).distinct(), "edges")
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == state:
             break
-        before = state
+        before, count = state, state[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
