@@ -22,7 +22,7 @@ from kbforge.functions.storage import materialize
 from kbforge.llm.token_words import default_tokenizer, encoder
 from kbforge.llm.wavelet import NULL_ID, ended
 
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 17
 #: Fixed value: <|endoftext|> of the default tokenizer, which no text encodes to.
 SEPARATOR = 49407
 

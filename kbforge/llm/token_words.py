@@ -18,11 +18,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces, and words of uncommon characters, kept by a worker before its table starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Characters of text that are held as words at a time.
 SLICE_CHARS = 1_000_000
 #: Bytes of a column that are handled at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 #: The split pattern and the normalisation of the tokenizer files that can be encoded by words.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
