@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -42,12 +42,12 @@ def _history(key, batches: Iterator[pd.DataFrame], state: GroupState, keep: int,
         out.append((i, key[0], " > ".join(held)))
         held, last = [*held, query][-keep:], now
     state.update((held, last))
-    state.setTimeoutDuration(gap_s * 1000)
+    state.setTimeoutTimestamp(max(last + gap_s * 1000, state.getCurrentWatermarkMs()) + 1)
     yield pd.DataFrame(out, columns=["id", "user_id", "history"])
 
 
-def history(log: DataFrame, keep: int = 3, gap_s: int = 1800) -> DataFrame:
-    """Each question with its session's last ``keep`` questions before it; the state of idle users expires."""
+def history(log: DataFrame, keep: int = 3, gap_s: int = 1800, late: str = "1 hour") -> DataFrame:
+    """Each question with its session's last ``keep`` questions before it; a user's state expires once the session is over."""
 
     def run(key, batches, state):
         if state.hasTimedOut:
@@ -55,10 +55,11 @@ def history(log: DataFrame, keep: int = 3, gap_s: int = 1800) -> DataFrame:
             return iter([])
         return _history(key, batches, state, keep, gap_s)
 
-    return log.select("user_id", "id", "ts", "query").groupBy("user_id").applyInPandasWithState(run, "id long, user_id long, history string", "held array<string>, last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = log.select("user_id", "id", "ts", "query").withWatermark("ts", late)
+    return rows.groupBy("user_id").applyInPandasWithState(run, "id long, user_id long, history string", "held array<string>, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def lockouts(failures: DataFrame, seconds: int = 300, most: int = 5) -> DataFrame:
+def lockouts(failures: DataFrame, seconds: int = 300, most: int = 5, late: str = "1 hour") -> DataFrame:
     """A row for each failed login with ``most`` or more of the same address in the last ``seconds``; old times are forgotten."""
 
     def run(key, batches, state):
@@ -74,26 +75,38 @@ def lockouts(failures: DataFrame, seconds: int = 300, most: int = 5) -> DataFram
             if len(times) >= most:
                 out.append((i, key[0], len(times)))
         state.update((times,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(times[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs()) + 1)
         return iter([pd.DataFrame(out, columns=["id", "ip", "recent"])])
 
-    return failures.select("ip", "id", "ts").groupBy("ip").applyInPandasWithState(run, "id long, ip long, recent long", "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = failures.select("ip", "id", "ts").withWatermark("ts", late)
+    return rows.groupBy("ip").applyInPandasWithState(run, "id long, ip long, recent long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def upsert_into(path: str, keys: list[str], order: str):
-    """A ``foreachBatch`` function that keeps the latest row of each key in the Parquet table at ``path``.
+def upsert_into(path: str, keys: list[str], order: str, run: str = "0"):
+    """A ``foreachBatch`` function that writes the latest row of each key of a batch as a folder of the table at ``path``.
 
-    The table is a folder for each batch number with a pointer of the highest complete one, so a batch that is delivered
-    again writes the same folder again, and a lost executor leaves the last complete one in place.
+    A batch that is delivered again writes its own folder again, and a folder counts once it is whole, so neither a repeat
+    nor a lost executor changes the table. No batch rewrites what lies before. ``run`` names the checkpoint: numbers that
+    begin anew fall under another run, in the order of the names. ``latest_of`` reads the table.
     """
 
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = spark.read.parquet(f"{path}/{number - 1}").unionByName(batch)
-        others = [c for c in batch.columns if c not in keys]
-        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(order, F.xxhash64(*others))).alias("v")).select(*keys, "v.*")
-        latest.write.mode("overwrite").parquet(f"{path}/{number}")
+    def write(batch: DataFrame, number: int) -> None:
+        _latest(batch, keys, [order]).write.mode("overwrite").parquet(f"{path}/run={run}/batch={number}")
 
-    return run
+    return write
+
+
+def _latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    others = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order, F.xxhash64(*others))).alias("v")).select(*keys, "v.*")
+
+
+def latest_of(spark: SparkSession, path: str, keys: list[str], order: str) -> DataFrame:
+    """The latest row of each key over all folders; of equal ``order`` that of the later run and batch."""
+    rows = spark.read.parquet(path).withColumns({"run": F.col("run").cast("string"), "batch": F.col("batch").cast("long")})
+    return _latest(rows, keys, [order, "run", "batch"]).drop("run", "batch")
+
+
+def compact(spark: SparkSession, path: str, keys: list[str], order: str, into: str) -> None:
+    """The table in one folder of another table at ``into``, to which later runs are added."""
+    latest_of(spark, path, keys, order).write.mode("overwrite").parquet(f"{into}/run=0/batch=0")

@@ -59,4 +59,9 @@ def test_upserts_are_idempotent(spark, tmp_path):
     b = spark.createDataFrame([(2, 2, "c"), (3, 1, "d")], a.schema)
     for n, rows in ((0, a), (1, b), (1, b)):
         keep(rows, n)
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/1").collect())) == [(1, 1, "a"), (2, 2, "c"), (3, 1, "d")]
+    assert sorted(map(tuple, streaming.latest_of(spark, str(tmp_path), ["k"], "at").collect())) == [(1, 1, "a"), (2, 2, "c"), (3, 1, "d")]
+    streaming.upsert_into(str(tmp_path), ["k"], "at", "1")(spark.createDataFrame([(1, 1, "e"), (2, 1, "f")], a.schema), 0)
+    want = [(1, 1, "e"), (2, 2, "c"), (3, 1, "d")]
+    assert sorted(map(tuple, streaming.latest_of(spark, str(tmp_path), ["k"], "at").collect())) == want
+    streaming.compact(spark, str(tmp_path), ["k"], "at", str(tmp_path / "small"))
+    assert sorted(map(tuple, streaming.latest_of(spark, str(tmp_path / "small"), ["k"], "at").collect())) == want
