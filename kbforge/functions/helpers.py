@@ -9,20 +9,65 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from kbforge.functions.text import EMAIL, PHONE, SERIAL
+
 CHUNK = "array<struct<text:string,section:string,kind:string>>"
 
 
 def tail_of(text: str, n: int) -> str:
-    """The last ``n`` characters, from behind a sentence's end if that lies past their middle."""
-    if n <= 0 or not text:
-        return ""
-    end = text[-n:]
-    at = end.find(". ")
-    while 0 <= at <= len(end) // 2:
-        at = end.find(". ", at + 1)
+    """The last ``n`` characters, from behind their last sentence's end if that lies past their middle; a shorter text whole."""
+    end = text[max(len(text) - n, 0) :]
+    at = end.rfind(". ") if len(end) < len(text) else -1
     return end[at + 2 :] if at > len(end) // 2 else end
 
 
+def estimated_tokens(text: str) -> int:
+    return len(text) // 4
+
+
+def sentences_tail(text: str, n: int, count: Callable[[str], int] = estimated_tokens) -> str:
+    """Whole sentences from the end until they have ``n`` tokens; they stop before half as much again, but one comes always."""
+    if count(text) <= n:
+        return text
+    parts = text.replace(".\n", ". ").split(". ")
+    if len(parts) == 1:
+        return text[max(len(text) - 5 * n, 0) :]
+    kept: list[str] = []
+    size = 0
+    for part in filter(None, map(str.strip, reversed(parts))):
+        sentence = part if part.endswith(".") else part + "."
+        more = count(sentence)
+        if kept and size + more > 1.5 * n:
+            break
+        kept.append(sentence)
+        size += more
+        if size >= n:
+            break
+    return " ".join(reversed(kept))
+
+
+def chunk_paragraphs(text: str | None, tokens: int = 400, overlap: int = 50, whole: int = 200, count: Callable[[str], int] = estimated_tokens) -> list[str]:
+    """Paragraphs packed up to ``tokens``; the next chunk begins with the last sentences of the one before.
+
+    Texts up to ``whole`` tokens stay whole, and so do long paragraphs.
+    """
+    body = (text or "").strip()
+    if not body:
+        return []
+    if count(body) <= whole:
+        return [body]
+    out: list[str] = []
+    held = ""
+    for para in filter(None, map(str.strip, body.split("\n\n"))):
+        longer = f"{held}\n\n{para}" if held else para
+        if held and count(longer) > tokens:
+            out.append(held.strip())
+            rest = sentences_tail(held, overlap, count)
+            longer = f"{rest}\n\n{para}" if rest else para
+        held = longer
+    return [*out, held.strip()]
+
+
 def chunk_plain(text: str | None, size: int = 1000, overlap: int = 100, separator: str = "\n\n") -> list[str]:
     """Paragraphs packed while they fit; the next chunk begins with the end of the last. Long paragraphs stay whole."""
     if not text or not text.strip():
@@ -33,19 +78,19 @@ def chunk_plain(text: str | None, size: int = 1000, overlap: int = 100, separato
         if not para:
             continue
         if held and len(held) + len(para) + len(separator) > size:
-            out.append(held)
+            out.append(held.strip())
             rest = tail_of(held, overlap)
             held = f"{rest}{separator}{para}" if rest else para
         else:
             held = f"{held}{separator}{para}" if held else para
-    return out + ([held] if held else [])
+    return out + ([held.strip()] if held else [])
 
 
 _HEAD = re.compile(r"^(#{1,6})\s+(.+)$", re.M)
 _BLOCK = re.compile(r"```(\w*)\n.*?```|(?:^\|.*\|[ \t]*\n)(?:^\|[ \t]*:?-{3,}.*\n)(?:^\|.*\|[ \t]*(?:\n|$))*", re.M | re.S)
 
 
-def chunk_semantic(text: str | None, tokens: int = 400, overlap: int = 50, whole: int = 200, count: Callable[[str], int] = lambda t: len(t) // 4) -> list[tuple[str, str | None, str]]:
+def chunk_semantic(text: str | None, tokens: int = 400, overlap: int = 50, whole: int = 200, count: Callable[[str], int] = estimated_tokens) -> list[tuple[str, str | None, str]]:
     """``text, section, kind`` of each chunk of markdown. Short texts stay whole; sections are kept together where they fit
     one and a half chunks; code fences and tables are never cut."""
     body = (text or "").strip()
@@ -57,40 +102,44 @@ def chunk_semantic(text: str | None, tokens: int = 400, overlap: int = 50, whole
     out: list[tuple[str, str | None, str]] = []
     if heads:
         if intro := body[: heads[0].start()].strip():
-            out += _around_blocks(intro, "Introduction", tokens, overlap, count)
+            out += _around_blocks(intro, "Introduction", tokens, overlap, whole, count)
         for head, after in zip(heads, [*heads[1:], None]):
             content = body[head.end() : after.start() if after else len(body)].strip()
             shown = f"{head[1]} {head[2].strip()}" + (f"\n\n{content}" if content else "")
             if count(shown) <= 1.5 * tokens:
                 out.append((shown, head[2].strip(), "section"))
             else:
-                out += _around_blocks(shown, head[2].strip(), tokens, overlap, count)
+                out += _around_blocks(shown, head[2].strip(), tokens, overlap, whole, count)
         return out
-    return _around_blocks(body, None, tokens, overlap, count)
+    return _around_blocks(body, None, tokens, overlap, whole, count)
 
 
-def _around_blocks(text: str, section: str | None, tokens: int, overlap: int, count: Callable[[str], int]) -> list[tuple[str, str | None, str]]:
+def _around_blocks(text: str, section: str | None, tokens: int, overlap: int, whole: int, count: Callable[[str], int]) -> list[tuple[str, str | None, str]]:
     out, at = [], 0
     for block in _BLOCK.finditer(text):
-        out += [(t, section, "text") for t in chunk_plain(text[at : block.start()], 4 * tokens, 4 * overlap)]
+        out += [(t, section, "text") for t in chunk_paragraphs(text[at : block.start()], tokens, overlap, whole, count)]
         out.append((block[0].strip(), section, "code" if block[0].startswith("```") else "table"))
         at = block.end()
-    return out + [(t, section, "text") for t in chunk_plain(text[at:], 4 * tokens, 4 * overlap)]
+    return out + [(t, section, "text") for t in chunk_paragraphs(text[at:], tokens, overlap, whole, count)]
 
 
-def chunk_support_case(text: str | None, tokens: int = 350, overlap: int = 50, count: Callable[[str], int] = lambda t: len(t) // 4) -> list[tuple[str, str | None, str]]:
-    """Sections at ``##``; of a name given twice the first place and the last content count; text before the first goes."""
-    heads = list(re.finditer(r"^##\s+(.+)$", text or "", re.M))
-    if not heads:
-        return [(t, None, "text") for t in chunk_plain(text, 4 * tokens, 4 * overlap)]
-    sections: dict[str, str] = {}
-    for head, after in zip(heads, [*heads[1:], None]):
-        sections[head[1].strip()] = text[head.end() : after.start() if after else len(text)].strip()
+def chunk_support_case(text: str | None, tokens: int = 350, overlap: int = 50, whole: int = 200, count: Callable[[str], int] = estimated_tokens) -> list[tuple[str, str | None, str]]:
+    """Sections at ``##``, those without content go, as does text before the first; short texts stay whole.
+
+    Of a name given twice the first place and the last content that is not empty count.
+    """
+    body = (text or "").strip()
+    if body and count(body) <= whole:
+        return [(body, None, "complete")]
+    heads = list(re.finditer(r"^##\s+(.+)$", body, re.M))
+    spans = zip(heads, [*(h.start() for h in heads[1:]), len(body)])
+    sections = {head[1].strip(): content for head, stop in spans if (content := body[head.end() : stop].strip())}
+    if not sections:
+        return [(t, None, "text") for t in chunk_paragraphs(body, tokens, overlap, whole, count)]
     out: list[tuple[str, str | None, str]] = []
     for name, content in sections.items():
-        if content:
-            shown = f"## {name}\n{content}"
-            out += [(shown, name, "section")] if count(shown) <= 1.5 * tokens else [(t, name, "text") for t in chunk_plain(shown, 4 * tokens, 4 * overlap)]
+        shown = f"## {name}\n{content}"
+        out += [(shown, name, "section")] if count(shown) <= 1.5 * tokens else [(t, name, "text") for t in chunk_paragraphs(shown, tokens, overlap, whole, count)]
     return out
 
 
@@ -176,27 +225,44 @@ def html_page(html: str | None) -> tuple[str, str]:
     return text, " ".join(page.h1) or page.og or short or "Untitled"
 
 
-_REPLY = re.compile(r"^(?:On .+ wrote:|Le .+ a écrit\s*:|Am .+ schrieb.*:|From:\s.+|-{2,}\s*Original Message.*)$", re.I)
-_SIGN = re.compile(r"^(?:--\s*|Best regards,?|Kind regards,?|Cordialement,?|Mit freundlichen Grüßen,?|Sent from my .+)$", re.I)
+#: Lines that begin a new message, a reply's head or a forwarded part, and a signature; case aside.
+NEW_MESSAGE = (r"^-{3,}\s*Message\s*\d*\s*-{3,}$", r"^-{3,}\s*$")
+REPLY_HEADS = (r"^On .+wrote:\s*$", r"^Le .+a écrit\s*:\s*$", r"^Am .+schrieb.+:\s*$", r"^From:\s*.+$")
+SEPARATORS = (r"^-{3,}\s*(Original Message|Forwarded|Begin forwarded)", r"^_{3,}\s*$", r"^={3,}\s*$", r"^\*{3,}\s*$")
+SIGNATURES = (
+    r"^--\s*$", r"^(Best|Kind|Warm)?\s*regards?,?\s*$", r"^(Many\s+)?thanks?,?\s*$", r"^Cheers,?\s*$", r"^Sincerely,?\s*$", r"^Cordialement,?\s*$",
+    r"^Mit freundlichen Grüßen,?\s*$", r"^Sent from my (iPhone|iPad|Android|Galaxy|Pixel)", r"^Envoyé de mon (iPhone|iPad)", r"^Get Outlook for",
+)
+_NEW, _HEADS, _CUTS, _SIGN = (re.compile("|".join(p), re.I) for p in (NEW_MESSAGE, REPLY_HEADS, SEPARATORS, SIGNATURES))
 
 
 def clean_thread_quotes(text: str | None, signatures: bool = True) -> str:
-    """A mail without quoted lines, reply heads with what follows up to a blank line, and signatures."""
-    out, quoted, signed = [], False, False
+    """A mail without quoted lines, reply heads and separators with what follows up to a blank line, and signatures.
+
+    A signature ends at a reply's head or a new message; blank lines of a quote or a signature go with it.
+    """
+    out, quoted, signed, headed = [], False, False, False
     for line in (text or "").split("\n"):
         bare = line.strip()
-        if re.fullmatch(r"---|---\s*Message\s+\d+\s*---", bare):
-            quoted = signed = False
+        if _NEW.match(bare):
+            quoted = signed = headed = False
             out.append(line)
-        elif _REPLY.match(bare):
-            quoted, signed = True, False
-        elif bare.startswith(">"):
             continue
-        elif signatures and _SIGN.match(bare):
+        if not bare:
+            if not quoted and not signed and not headed:
+                out.append(line)
+            headed = headed and (quoted or signed)
+            continue
+        quoted = bare.startswith(">")
+        if quoted:
+            continue
+        if signatures and not signed and _SIGN.match(bare):
             signed = True
-        elif quoted and not bare:
-            quoted = False
-        elif not quoted and not signed:
+        elif _HEADS.match(bare):
+            headed, signed = True, False
+        elif not signed and _CUTS.match(bare):
+            headed = True
+        elif not signed and not headed:
             out.append(line)
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
 
@@ -220,29 +286,29 @@ def anonymize(texts: list[str | None], own_domain: str = "") -> list[str]:
 
     out = []
     for text in texts:
-        text = re.sub(r"\b(CY-)([A-Z][A-Z0-9]{1,3})(-\d{1,3}-\d{1,3})\b", serial, text or "", flags=re.I)
-        text = re.sub(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", email, text)
-        out.append(re.sub(r"(?:\+\d{1,3}[-.\s]?)?\(?\d{1,4}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,9}", phone, text))
+        text = re.sub(SERIAL, serial, text or "")
+        text = re.sub(EMAIL, email, text)
+        out.append(re.sub(PHONE, phone, text))
     return out
 
 
 def pii_parts(text: str | None, own_domain: str = "") -> tuple[list[tuple[str, str, str]], str]:
     """A text as ``literal, label, key`` up to each placeholder, and the literal behind the last; as ``anonymize`` finds them."""
 
-    def cut(literals: list[tuple[str, str, str]], pattern: str, named, flags: int = 0) -> list[tuple[str, str, str]]:
+    def cut(literals: list[tuple[str, str, str]], pattern: str, named) -> list[tuple[str, str, str]]:
         out = []
         for literal, label, key in literals:
             at = 0
-            for m in re.finditer(pattern, literal, flags):
+            for m in re.finditer(pattern, literal):
                 if found := named(m):
                     out.append((literal[at : m.start()], *found))
                     at = m.end()
             out.append((literal[at:], label, key))
         return out
 
-    parts = cut([(text or "", "", "")], r"\b(CY-)([A-Z][A-Z0-9]{1,3})(-\d{1,3}-\d{1,3})\b", lambda m: (f"SERIAL:{m[2].upper()}", m[0].upper()), re.I)
-    parts = cut(parts, r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", lambda m: None if own_domain and m[0].lower().endswith("@" + own_domain) else ("EMAIL", m[0].lower()))
-    parts = cut(parts, r"(?:\+\d{1,3}[-.\s]?)?\(?\d{1,4}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,9}", lambda m: ("PHONE", m[0]) if sum(c.isdigit() for c in m[0]) >= 7 else None)
+    parts = cut([(text or "", "", "")], SERIAL, lambda m: (f"SERIAL:{m[2].upper()}", m[0].upper()))
+    parts = cut(parts, EMAIL, lambda m: None if own_domain and m[0].lower().endswith("@" + own_domain) else ("EMAIL", m[0].lower()))
+    parts = cut(parts, PHONE, lambda m: ("PHONE", m[0]) if sum(c.isdigit() for c in m[0]) >= 7 else None)
     return parts[:-1], parts[-1][0]
 
 
@@ -257,8 +323,8 @@ def apply_fixes(text: str | None, fixes: list[tuple[str, str]]) -> tuple[str, in
 
 
 def chunk_column(text: Column, mode: str, **options) -> Column:
-    """Chunks as an array: ``mode`` is plain, semantic or support_case."""
-    how = {"plain": lambda t: [(c, None, "text") for c in chunk_plain(t, **options)], "semantic": lambda t: chunk_semantic(t, **options), "support_case": lambda t: chunk_support_case(t, **options)}[mode]
+    """Chunks as an array: ``mode`` is plain, paragraphs, semantic or support_case."""
+    how = {"plain": lambda t: [(c, None, "text") for c in chunk_plain(t, **options)], "paragraphs": lambda t: [(c, None, "text") for c in chunk_paragraphs(t, **options)], "semantic": lambda t: chunk_semantic(t, **options), "support_case": lambda t: chunk_support_case(t, **options)}[mode]
 
     @F.pandas_udf(CHUNK)
     def run(texts: pd.Series) -> pd.Series:
@@ -267,6 +333,38 @@ def chunk_column(text: Column, mode: str, **options) -> Column:
     return run(text)
 
 
+def sender_of(sender: str, original: str, reply_to: str, own_domain: str) -> tuple[str, str, bool]:
+    """``name, address, staff`` of a mail: the original sender counts first, then a reply address from outside, then the sender.
+
+    A group's `` via `` and what follows is no part of a name.
+    """
+
+    def named(value: str) -> str:
+        name = value.split("<")[0].strip().strip('"') if "<" in value else ""
+        at = name.lower().find(" via ")
+        return name[:at].strip() if at > 0 else name
+
+    inner = lambda value: value.split("<")[1].split(">")[0] if "<" in value and ">" in value else value
+    if original:
+        name, address = named(sender), original
+    elif reply_to and "@" + own_domain not in reply_to.lower():
+        own = reply_to.split("<")[0].strip().strip('"') if "<" in reply_to and ">" in reply_to else ""
+        name, address = own or named(sender), inner(reply_to)
+    else:
+        name, address = (named(sender), inner(sender)) if "<" in sender and ">" in sender else ("", sender)
+    return name, address, any(own_domain.split(".")[0] in part.lower() for part in (address, original, sender))
+
+
+def sender_column(sender: Column, original: Column, reply_to: Column, own_domain: str) -> Column:
+    """A missing sender counts as ``Unknown``, other missing heads as empty."""
+
+    @F.pandas_udf("name string, address string, staff boolean")
+    def run(senders: pd.Series, originals: pd.Series, replies: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sender_of(*row, own_domain) for row in zip(senders, originals, replies)], columns=["name", "address", "staff"])
+
+    return run(F.coalesce(sender, F.lit("Unknown")), F.coalesce(original, F.lit("")), F.coalesce(reply_to, F.lit("")))
+
+
 def html_column(html: Column) -> Column:
     @F.pandas_udf("text string, title string")
     def run(pages: pd.Series) -> pd.DataFrame:

@@ -63,15 +63,15 @@ def conversations(log: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def source_insights(log: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    """Per source: wins, appearances and mean score in the top five, win rate of all searches with sources, coverage."""
+    """Per source: wins, appearances and mean score in the top five, win rate of all searches with sources, and how many of these were reranked."""
     rows = window_of(log, as_of, days)
     typed = rows.filter("source_types IS NOT NULL")
-    totals = rows.agg(F.count("source_types").alias("total"), F.count_if(F.col("source_types").isNotNull() & F.col("reranked")).alias("reranked_total"), F.count("*").alias("searches"))
+    totals = rows.agg(F.count("source_types").alias("total"), F.count_if(F.col("source_types").isNotNull() & F.col("reranked")).alias("reranked_total"))
     top = typed.select(F.posexplode(F.slice(F.arrays_zip("source_types", "scores"), 1, 5)).alias("pos", "hit"))
     at = [F.count_if(F.col("pos") == k).alias(f"at_{k + 1}") for k in range(5)]
     per = top.groupBy(F.col("hit.source_types").alias("source_type")).agg(F.count("*").alias("appearances"), F.round(F.avg("hit.scores"), 4).alias("avg_score"), *at)
     wins = F.round(F.col("at_1") * 100.0 / F.col("total"), 1).alias("win_rate")
-    return per.crossJoin(F.broadcast(totals)).select("source_type", "appearances", "avg_score", *(f"at_{k}" for k in range(1, 6)), wins, "total", "reranked_total", F.round(F.col("total") * 100.0 / F.col("searches"), 1).alias("coverage"))
+    return per.crossJoin(F.broadcast(totals)).select("source_type", "appearances", "avg_score", *(f"at_{k}" for k in range(1, 6)), wins, "total", "reranked_total", F.round(F.col("reranked_total") * 100.0 / F.col("total"), 1).alias("coverage"))
 
 
 def retention_anonymize(log: DataFrame, as_of: str, days: int = 30) -> DataFrame:
@@ -92,9 +92,10 @@ def retention_purge(log: DataFrame, feedback: DataFrame, as_of: str, days: int =
 
 
 def upsert_feedback(votes: DataFrame) -> DataFrame:
-    """One row a search: the last vote, with the time of the first."""
-    last = F.max_by(F.struct("rating", "comment", "session_id"), F.struct("voted_at", "vote_id"))
-    return votes.groupBy("search_id").agg(last.alias("v"), F.min("voted_at").alias("created_at"), F.max("voted_at").alias("updated_at")).select("search_id", "v.*", "created_at", "updated_at")
+    """One row a search: the last vote, with the session and the time of the first."""
+    last = F.max_by(F.struct("rating", "comment"), F.struct("voted_at", "vote_id"))
+    first = F.min_by(F.struct("session_id"), F.struct("voted_at", "vote_id"))
+    return votes.groupBy("search_id").agg(last.alias("v"), first.alias("f"), F.min("voted_at").alias("created_at"), F.max("voted_at").alias("updated_at")).select("search_id", "v.*", "f.session_id", "created_at", "updated_at")
 
 
 def feedback_stats(feedback: DataFrame, log: DataFrame, as_of: str, days: int = 30) -> DataFrame:

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kbforge.functions.stemming import stem_column
 from kbforge.operators import retrieval
 
 #: Lines of a mail body that are no content.
-DROPPED_LINES = (r"^Sent from my", r"^Envoyé de mon", r"^Get Outlook for", r"^_+$", r"^\*{3,}", r"^This email and any", r"^Ce message et toutes", r"^Confidential", r"^>", r"^(On|Le) .+ wrote:$", r"^(From|To|Cc|Date|Subject):")
+FOOTERS = (r"^Sent from my", r"^Envoyé de mon", r"^Get Outlook for", r"^_+$", r"^\*{3,}", r"^This email and any", r"^Ce message et toutes", r"^Confidential", r"^CONFIDENTIAL")
+HEADS = (r"^(On|Le) .+ wrote:$", r"^From:|^To:|^Cc:|^Date:|^Subject:")
 
 
 def clean_email_text(body: Column) -> Column:
     """The body up to the first signature mark, without quoted lines, heads and footers, blank lines collapsed."""
     lines = F.split(body, "\n")
-    marks = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x).rlike(r"^--") & (F.length(F.trim(x)) <= 3), i)), lambda i: i.isNotNull())
+    marks = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"^\s*--\S?\s*$"), i)), lambda i: i.isNotNull())
     kept = F.slice(lines, F.lit(1), F.coalesce(F.get(marks, F.lit(0)), F.size(lines)))
-    dropped = "|".join(DROPPED_LINES)
-    return F.trim(F.regexp_replace(F.array_join(F.filter(kept, lambda x: ~F.trim(x).rlike(dropped)), "\n"), r"\n{3,}", "\n\n"))
+    dropped = "|".join([f"(?i:{p})" for p in FOOTERS] + ["^>", *HEADS])
+    lines = F.filter(kept, lambda x: ~F.regexp_replace(x, r"^\s+|\s+$", "").rlike(dropped))
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def bm25_text(text: Column, keywords: Column) -> Column:
@@ -54,14 +57,29 @@ def list_fixes(fixes: DataFrame, status: str | None = None, offset: int = 0, lim
     return page_of(fixes.filter(F.col("status") == status) if status else fixes, [F.desc("created_at"), "id"], offset, limit)
 
 
-def fts_search(docs: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
+#: Words that combine terms in a search and are no terms.
+SEARCH_WORDS = ("near", "not", "or", "and")
+
+
+def stemmed(docs: DataFrame) -> DataFrame:
+    """The postings of ``docs`` by stems. Each distinct term is stemmed once."""
+    postings = retrieval.bm25_postings(docs)
+    stems = postings.select("term").distinct().withColumn("stem", stem_column(F.col("term")))
+    return postings.join(stems, "term").groupBy("doc_id", F.col("stem").alias("term"), "doc_len").agg(F.sum("tf").alias("tf"))
+
+
+def fts_search(docs: DataFrame, queries: DataFrame, k: int = 100, stem: bool = False) -> DataFrame:
     """``query_id, doc_id, score, rank``: BM25 in which a query's term stands for every word that begins with it.
 
+    The words that combine terms are no terms here. With ``stem`` both sides are stemmed first.
+
     Terms meet words on their first three characters, an equi-join over the distinct vocabulary, before the prefix is tested;
     shorter terms meet on what they have.
     """
-    postings = retrieval.bm25_postings(docs)
-    asked = retrieval.query_terms(queries)
+    postings = stemmed(docs) if stem else retrieval.bm25_postings(docs)
+    asked = retrieval.query_terms(queries).filter(~F.col("term").isin(*SEARCH_WORDS))
+    if stem:
+        asked = asked.select("query_id", stem_column(F.col("term")).alias("term")).distinct()
     words = postings.select("term").distinct()
     cuts = words.select(F.col("term").alias("word"), F.explode(F.array_distinct(F.array(*(F.substring("term", 1, n) for n in (1, 2, 3))))).alias("cut"))
     pairs = asked.withColumn("cut", F.substring("term", 1, 3)).join(cuts, "cut").filter(F.startswith("word", "term")).select("query_id", F.col("word").alias("term")).distinct()
@@ -73,14 +91,23 @@ def fts_search(docs: DataFrame, queries: DataFrame, k: int = 100) -> DataFrame:
     return retrieval.top_k(scored, k)
 
 
-def rank_urls(urls: DataFrame, priority: list[str], most: int = 2) -> DataFrame:
-    """``item_id, url, score``: the best urls of an item by domain order and words in the address."""
+#: Shops behind the makers' own sites, and words in an address with what they add.
+SHOPS = ("bhphotovideo.com", "adorama.com", "fullcompass.com")
+URL_WORDS = ((2.0, ("spec", "product", "detail", "feature", "overview")), (1.5, ("professional", "broadcast", "cinema", "pro.")), (-5.0, ("review", "forum", "blog", "news", "video", "youtube")))
+
+
+def rank_urls(urls: DataFrame, makers: list[str], most: int = 2) -> DataFrame:
+    """``item_id, url, score``: the best urls of an item by the order of domains (makers', then shops) and words in the address."""
     low = F.lower("url")
     score = F.lit(0.0)
-    for i, domain in reversed(list(enumerate(priority))):
+    for i, domain in reversed(list(enumerate([*makers, *SHOPS]))):
         score = F.when(low.contains(domain), 10 - 0.5 * i).otherwise(score)
-    score = score + F.when(low.rlike("spec|datasheet"), 2.0).otherwise(0.0) + F.when(low.rlike("pro|broadcast"), 1.5).otherwise(0.0) - F.when(low.rlike("review|forum"), 5.0).otherwise(0.0)
-    ranked = urls.withColumn("score", score).withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "url")))
+    for more, words in URL_WORDS:
+        some = F.lit(False)
+        for word in words:
+            some = some | low.contains(word)
+        score = score + F.when(some, more).otherwise(0.0)
+    ranked = urls.filter("url <> ''").withColumn("score", score).withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "url")))
     return ranked.filter(F.col("r") <= most).select("item_id", "url", "score")
 
 

@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kbforge.functions.storage import materialize
+from kbforge.operators import retrieval
 from kbforge.operators.components import connected_components
 
-#: Words in names that show a generic description.
-GENERIC = ("generic", "unknown", "any camera", "various", "n/a")
-LISTS = ("ports", "protocols")
+#: Phrases of generic mentions, and patterns of names that are none.
+GENERIC = ("any camera", "most cameras", "all cameras", "example camera", "generic camera", "various cameras", "multiple cameras", "camera model", "your camera", "the camera", "a camera")
+SUSPICIOUS = (r"^\d+$", r"^[a-z]$", r"test", r"sample", r"example", r"unknown", r"n/a")
+#: Beginnings of names that belong to a maker.
+PREFIXES: dict[str, tuple[str, ...]] = {
+    "Sony": ("ilce-", "ilme-", "pxw-", "hdc-", "hxc-", "brc-", "src-", "fr"),
+    "Panasonic": ("aw-", "ag-", "dc-"),
+    "Canon": ("cr-", "eos", "xl-"),
+    "Blackmagic": ("ursa", "pyxis", "micro"),
+    "ARRI": ("alexa", "amira"),
+    "JVC": ("gy-", "kh-"),
+}
+#: Makers that stand before a model's name, in the order in which they are looked for.
+MAKERS = (
+    "Sony", "Canon", "Panasonic", "Blackmagic", "ARRI", "RED", "Grass Valley", "Ikegami", "Hitachi", "JVC", "Fujifilm", "Nikon", "Z CAM", "Kinefinity",
+    "Ross", "AJA", "BMD", "GoPro", "DJI", "Atomos", "Marshall", "PTZOptics",
+)
+LISTS = ("ports", "protocols", "controls")
+#: Asked items of a block that is broadcast.
+QUERY_BLOCK = 4096
 
 
 def normalize_list(values: Column, aliases: dict[str, str]) -> Column:
@@ -22,15 +45,14 @@ def normalize_list(values: Column, aliases: dict[str, str]) -> Column:
     return F.aggregate(named, F.array().cast("array<string>"), add)
 
 
-def entity_key(name: Column, makers: list[str]) -> Column:
-    """The name in lower case without maker, model prefix, trailing ``head``, hyphens, dots and spaces; mark numbers as digits."""
+def entity_key(name: Column, maker: Column) -> Column:
+    """The name in lower case without its own maker, model prefix, trailing ``head``, hyphens, dots and spaces; mark numbers as digits."""
     out = F.lower(F.trim(name))
-    if makers:
-        out = F.regexp_replace(out, "^(?:" + "|".join(m.lower() for m in sorted(makers, key=len, reverse=True)) + r")\s+", "")
+    own = F.concat(F.lower(F.coalesce(maker, F.lit(""))), F.lit(" "))
+    out = F.when((F.length(own) > 1) & F.startswith(out, own), F.substring(out, F.length(own) + 1, F.length(out))).otherwise(out)
     out = F.regexp_replace(out, r"^(?:aw-|ag-|ilme-|ilce-)", "")
-    for roman, digit in (("iii", "3"), ("ii", "2"), ("i", "1")):
-        out = F.regexp_replace(out, rf"\b(?:mark|mk)\s*{roman}\b", f"mk{digit}")
-    out = F.regexp_replace(out, r"\b(?:mark|mk)\s*(\d+)\b", "mk$1")
+    for mark, digit in ((r"(?:iii|3)", "3"), (r"(?:ii|2)", "2"), (r"(?:i|1)\b", "1")):
+        out = F.regexp_replace(out, rf"(?:mk|mark)\s*{mark}", f"mk{digit}")
     return F.regexp_replace(F.regexp_replace(out, r"\s+head$", ""), r"[-_.\s]", "")
 
 
@@ -43,15 +65,52 @@ def infer_device_type(name: Column, maker: Column, rules: list[tuple[str, str]])
     return out
 
 
+def clean_model_name(name: Column, maker: Column) -> Column:
+    """The name without the first known maker before it, then without its own; null and empty stay."""
+    out = F.trim(F.regexp_replace(F.trim(name), "(?i)^(?:" + "|".join(MAKERS) + ") ", ""))
+    own = F.concat(F.lower(F.coalesce(maker, F.lit(""))), F.lit(" "))
+    return F.when((F.length(own) > 1) & F.startswith(F.lower(out), own), F.trim(F.substring(out, F.length(own), F.length(out)))).otherwise(out)
+
+
+def normalize_manufacturer(maker: Column) -> Column:
+    """A maker's usual name, others with capitals at their words; empty gives null."""
+    text = F.trim(maker)
+    low = F.lower(text)
+    usual = F.when(low.contains("blackmagic") | (low == "bmd"), "Blackmagic").when((low.contains("grass") & low.contains("valley")) | (low == "gv"), "Grass Valley")
+    for m in MAKERS:
+        usual = usual.when(low == m.lower(), m)
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    capital = F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w))))), " ")
+    return F.when(maker != "", usual.otherwise(capital))
+
+
+def import_sheet(rows: DataFrame, maker: str, renamed: dict[str, str], aliases: dict[str, str] | None = None) -> DataFrame:
+    """Rows of a vendor's sheet (all texts) as catalog rows: headings renamed, models cleaned, cells split to lists.
+
+    Rows without a model go; of a model given several times one row stays, with the union of its ports.
+    """
+    named = rows.select(*(F.col(f"`{old}`").alias(new) for old, new in renamed.items()))
+    name = clean_model_name(F.col("name"), F.lit(maker))
+    ports = normalize_list(F.split(F.coalesce("ports", F.lit("")), r"[,;/\n]"), aliases or {})
+    one = named.select(name.alias("name"), F.nullif(F.trim("code_model"), F.lit("")).alias("code_model"), ports.alias("ports")).filter("name <> ''")
+    union = F.array_sort(F.array_distinct(F.flatten(F.collect_list("ports"))))
+    each = one.groupBy(F.lower("name").alias("k")).agg(F.min("name").alias("name"), F.min("code_model").alias("code_model"), union.alias("ports"))
+    return each.select("name", F.lit(maker).alias("manufacturer"), "code_model", "ports")
+
+
 def validate_records(items: DataFrame, makers: list[str]) -> DataFrame:
-    """``items`` with ``score``, ``issues``, ``valid`` and ``review``; each fault lowers a score that starts at 1."""
-    name, maker = F.trim(F.coalesce("name", F.lit(""))), F.coalesce("manufacturer", F.lit(""))
-    known = F.lower(maker).isin(*(m.lower() for m in makers))
+    """``items`` with ``score``, ``issues``, ``valid`` and ``review``; each fault lowers a score that starts at 1.
+
+    Of ``LISTS`` those that are columns count.
+    """
+    name, maker = F.coalesce("name", F.lit("")), F.coalesce("manufacturer", F.lit(""))
+    bare = lambda m: m.lower().replace(" ", "")
+    known = F.replace(F.lower(maker), F.lit(" "), F.lit("")).isin(*map(bare, makers))
     generic = F.lit(False)
     for word in GENERIC:
         generic = generic | F.lower(name).contains(word)
     empty = F.lit(True)
-    for c in LISTS:
+    for c in set(LISTS) & set(items.columns):
         empty = empty & (F.coalesce(F.size(c), F.lit(0)) <= 0)
     faults = [
         ("name_too_short", F.length(name) < 2, 0.4),
@@ -60,6 +119,7 @@ def validate_records(items: DataFrame, makers: list[str]) -> DataFrame:
         ("no_manufacturer", maker == "", 0.1),
         ("unknown_manufacturer", (maker != "") & ~known, 0.15),
         ("no_details", empty, 0.3),
+        ("suspicious_name", F.lower(name).rlike("|".join(SUSPICIOUS)), 0.3),
         ("name_has_manufacturer", (maker != "") & F.startswith(F.lower(name), F.lower(maker)), 0.1),
     ]
     score = F.lit(1.0)
@@ -70,13 +130,12 @@ def validate_records(items: DataFrame, makers: list[str]) -> DataFrame:
     return items.withColumn("score", score).withColumn("issues", F.array_join(issues, ",")).withColumn("valid", (score >= 0.5) & ~generic).withColumn("review", (score < 0.7) | (F.size(issues) > 0))
 
 
-def detect_issues(items: DataFrame, makers: list[str]) -> DataFrame:
-    """``id, issues``: missing maker or code, a name that begins with another maker's, a name of two characters or fewer."""
-    other = F.lit(None).cast("string")
-    for m in makers:
-        other = F.when(F.startswith(F.lower("name"), F.lit(m.lower() + " ")) & (F.lower(F.coalesce("manufacturer", F.lit(""))) != m.lower()), F.lit(f"manufacturer_mismatch:{m}")).otherwise(other)
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    found = F.array_compact(F.array(F.when(blank("manufacturer"), "missing_manufacturer"), F.when(blank("code_model"), "missing_code_model"), other, F.when(F.length("name") <= 2, "name_too_short")))
+def detect_issues(items: DataFrame, prefixes: dict[str, tuple[str, ...]] = PREFIXES) -> DataFrame:
+    """``id, issues``: missing maker or code, a name that begins like each other maker's, a name of two characters or fewer."""
+    begins = lambda own: F.lower("name").rlike("^(?:" + "|".join(own) + ")")
+    other = [F.when(begins(own) & (F.col("manufacturer") != m) & (F.col("manufacturer") != ""), F.lit(f"manufacturer_mismatch:{m}")) for m, own in prefixes.items()]
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    found = F.array_compact(F.array(F.when(blank("manufacturer"), "missing_manufacturer"), F.when(blank("code_model"), "missing_code_model"), *other, F.when(F.length("name") <= 2, "name_too_short")))
     return items.select("id", F.array_join(found, ",").alias("issues")).filter("issues <> ''")
 
 
@@ -91,12 +150,12 @@ def merge_extractions(rows: DataFrame) -> DataFrame:
     return rows.groupBy(key.alias("key")).agg(F.max_by("name", F.struct(F.length("name"), -F.col("at"))).alias("name"), last("manufacturer"), last("code_model"), union("ports"), F.count("*").alias("merged"))
 
 
-def upsert_catalog(catalog: DataFrame, incoming: DataFrame, makers: list[str]) -> DataFrame:
+def upsert_catalog(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
     """``catalog`` with incoming rows merged by exact name, else by key; the rest is inserted without an id.
 
     Incoming rows of one key count once, the first. Lists are joined; incoming values stand over old ones where given.
     """
-    key = lambda df: df.withColumn("k", entity_key(F.col("name"), makers)).withColumn("n", F.lower("name"))
+    key = lambda df: df.withColumn("k", entity_key(F.col("name"), F.col("manufacturer"))).withColumn("n", F.lower("name"))
     new = key(incoming).filter("k <> ''").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("name"))).filter("r = 1")
     old = key(catalog)
     by_name = new.join(old.groupBy("n").agg(F.min("id").alias("id")), "n")
@@ -110,7 +169,8 @@ def upsert_catalog(catalog: DataFrame, incoming: DataFrame, makers: list[str]) -
 
 def merge_by_code(items: DataFrame) -> DataFrame:
     """Of items that share a code one stays: not named like the code, then of the shorter name, then the last by name."""
-    best = Window.partitionBy("code_model").orderBy((F.lower("name") == F.lower("code_model")).cast("int"), F.length("name"), F.desc("name"), "id")
+    bare = lambda c: F.replace(F.lower(c), F.lit("-"), F.lit(""))
+    best = Window.partitionBy("code_model").orderBy((bare("name") == bare("code_model")).cast("int"), F.length("name"), F.desc("name"), "id")
     coded = items.filter("coalesce(code_model, '') <> ''").withColumn("r", F.row_number().over(best))
     union = F.array_sort(F.array_distinct(F.flatten(F.collect_list("ports"))))
     groups = coded.groupBy("code_model").agg(F.min_by("id", "r").alias("id"), F.min_by("name", "r").alias("name"), union.alias("ports"), F.count("*").alias("merged"))
@@ -118,12 +178,12 @@ def merge_by_code(items: DataFrame) -> DataFrame:
     return groups.unionByName(rest)
 
 
-def duplicate_groups(items: DataFrame, makers: list[str]) -> DataFrame:
+def duplicate_groups(items: DataFrame) -> DataFrame:
     """``id, group_id``: items joined by an equal key and maker, or by one's code that is another's name; groups of two or more.
 
     Items of one key are joined to the least of them, not to each other.
     """
-    keyed = items.select("id", entity_key(F.col("name"), makers).alias("k"), F.lower(F.coalesce("manufacturer", F.lit(""))).alias("m"), F.lower("name").alias("n"), F.lower("code_model").alias("c")).filter("k <> ''")
+    keyed = items.select("id", entity_key(F.col("name"), F.col("manufacturer")).alias("k"), F.lower(F.coalesce("manufacturer", F.lit(""))).alias("m"), F.lower("name").alias("n"), F.lower("code_model").alias("c")).filter("k <> ''")
     heads = keyed.groupBy("k", "m").agg(F.min("id").alias("b"), F.count("*").alias("size")).filter("size > 1")
     same = keyed.join(heads, ["k", "m"]).select(F.col("id").alias("a"), "b")
     names = keyed.groupBy(F.col("n").alias("named")).agg(F.min("id").alias("b"))
@@ -175,26 +235,47 @@ def catalog_stats(items: DataFrame) -> DataFrame:
     return whole.unionByName(items.groupBy(F.concat(F.lit("source:"), "source").alias("name")).agg(F.count("*").alias("n")))
 
 
-def related_items(items: DataFrame, limit: int = 5, same: int = 3) -> DataFrame:
-    """``id, other, score`` of the ``limit`` nearest items: 3 for the same maker, 3 for the same type, 1 a shared port.
+def related_items(items: DataFrame, asked: DataFrame, limit: int = 5, same: int = 3) -> DataFrame:
+    """``id, other, score, rank`` of the ``limit`` items nearest to each asked one: 3 for the same maker, 3 for the same type,
+    1 for each shared port and protocol; of equal scores the least ids, none with a score of 0.
 
-    Items with equal attributes form one profile. Profiles are compared through their attributes, and only as many items of
-    a profile as can be among the nearest are looked at, so that a common maker costs no square of its items.
+    Asked items go out in blocks of bounded size. Each task scores its rows against the block by one product and keeps the
+    best of each asked item over all its batches, so no pair of items becomes a row.
     """
-    profile = items.select("id", F.xxhash64("manufacturer", "device_type", F.array_sort("ports")).alias("p"), "manufacturer", "device_type", "ports")
-    few = profile.select("id", "p", F.row_number().over(Window.partitionBy("p").orderBy("id")).alias("r")).filter(F.col("r") <= limit + 1)
-    one = profile.groupBy("p").agg(F.first("manufacturer").alias("m"), F.first("device_type").alias("t"), F.first("ports").alias("ports"))
-    part = lambda c: F.struct(F.lit(c).alias("k"), F.col(c).alias("v"), F.lit(same).alias("w"))
-    ports = F.transform(F.array_distinct("ports"), lambda v: F.struct(F.lit("port").alias("k"), v.alias("v"), F.lit(1).alias("w")))
-    facts = one.select("p", F.explode(F.concat(F.array(part("m"), part("t")), ports)).alias("f")).select("p", "f.*").filter("v IS NOT NULL")
-    pairs = facts.join(facts.select(F.col("p").alias("q"), "k", "v"), ["k", "v"]).groupBy("p", "q").agg(F.sum("w").alias("score"))
-    sizes = profile.groupBy(F.col("p").alias("q")).agg(F.least(F.count("*"), F.lit(limit + 1)).alias("size"))
-    order = Window.partitionBy("p").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, -1)
-    better = pairs.join(sizes, "q").withColumn("above", F.coalesce(F.sum("size").over(order), F.lit(0))).filter(F.col("above") <= limit)
-    chosen = better.join(few.select(F.col("id").alias("other"), F.col("p").alias("q")), "q").select("p", "other", "score")
-    top = chosen.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("score"), "other"))).filter(F.col("r") <= limit + 1)
-    found = profile.select("id", "p").join(top.drop("r"), "p").filter("id <> other")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))).filter(F.col("rank") <= limit).select("id", "other", "score", "rank")
+    spark = items.sparkSession
+    columns = ["id", "manufacturer", "device_type", "ports", "protocols"]
+    numbered = asked.select(*columns).withColumn("block", F.floor((F.row_number().over(Window.orderBy("id")) - 1) / QUERY_BLOCK))
+    dealt = materialize(numbered, "asked")
+    out = spark.createDataFrame([], "id long, other long, score double")
+    for block in range(int(dealt.agg(F.max("block")).first()[0] or 0) + 1):
+        known: dict[tuple[str, str], int] = {}
+        rows = dealt.filter(F.col("block") == block).select(*columns).collect()
+        marks = [[known.setdefault(a, len(known)) for a in _marks(*r[1:])] for r in rows]
+        weight = np.zeros((len(rows), len(known)), np.float32)
+        for k, own in enumerate(marks):
+            weight[k, own] = 1
+        weight *= np.array([same if kind in ("maker", "type") else 1 for kind, _ in known], np.float32)
+        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in rows], np.int64), known, weight))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, known, weight = shared.value
+            best = retrieval.Best(len(ids), limit)
+            for batch in batches:
+                own = np.zeros((len(batch), len(known)), np.float32)
+                for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)))):
+                    own[k, [known[a] for a in _marks(*row) if a in known]] = 1
+                names = batch.column(0).to_numpy()
+                score = (weight @ own.T).astype(float)
+                score[(score == 0) | (ids[:, None] == names)] = -np.inf
+                best.add(score, names)
+            yield best.rows(ids, ["id", "other", "score"])
+
+        out = out.unionByName(items.select(*columns).mapInArrow(run, "id long, other long, score double"))
+    return retrieval.top_k(out.withColumn("score", F.col("score").cast("long")), limit, "id", "other")
+
+
+def _marks(maker: str | None, kind: str | None, ports: list[str] | None, protocols: list[str] | None) -> set[tuple[str, str]]:
+    return {(k, v) for k, v in [("maker", maker), ("type", kind), *(("port", p) for p in ports or []), *(("protocol", p) for p in protocols or [])] if v}
 
 
 def compare_items(items: DataFrame, sets: DataFrame) -> DataFrame:

@@ -12,7 +12,12 @@ from kbforge.operators import retrieval
 
 SIZES = {"support_case": 350, "documentation": 450}
 CATEGORY_TYPES = {"troubleshooting": "support_case", "configuration": "support_case", "faq": "faq", "release_notes": "release_notes"}
-RMA_SUBJECT, RMA_BODY = r"(?i)\bRMA\b|return material|repair request|warranty claim", r"(?i)\bRMA\s*(?:number|#|no)|ship(?:ped)? back for repair|return authori[sz]ation"
+#: Phrases of returns in subjects and bodies, case aside.
+RMA_SUBJECT = (r"\bRMA\b", r"\breturn\s+(request|authorization|merchandise)\b", r"\brefund\s+(request|processing)\b", r"\breplacement\s+(request|unit|device)\b")
+RMA_BODY = (
+    r"\bRMA\s*(number|#|:)?\s*\d+", r"\breturn\s+(shipping\s+)?label\b", r"\breplacement\s+shipment\b", r"\breturn\s+the\s+(defective|faulty)\s+(unit|device)\b",
+    r"\bship\s+(back|to\s+us)\b", r"\breturn\s+address\b",
+)
 
 
 def chunk_rows(docs: DataFrame, chunks: Column, key: str = "doc_id") -> DataFrame:
@@ -128,7 +133,8 @@ def anonymize_threads(turns: DataFrame, thread: str = "conv_id", order: str = "t
 
 
 def flag_rma(threads: DataFrame) -> DataFrame:
-    hit = F.coalesce(F.col("subject").rlike(RMA_SUBJECT), F.lit(False)) | F.coalesce(F.col("text").rlike(RMA_BODY), F.lit(False))
+    holds = lambda c, patterns: F.coalesce(F.col(c).rlike("(?i)" + "|".join(patterns)), F.lit(False))
+    hit = holds("subject", RMA_SUBJECT) | holds("text", RMA_BODY)
     return threads.withColumn("is_rma", hit)
 
 
@@ -179,6 +185,58 @@ def auto_apply_fixes(chunks: DataFrame, fixes: DataFrame, least: float = 0.85) -
     return rows.select("chunk_id", "r.text", "r.applied")
 
 
+#: Old names that give way to the suggested one in lists of keywords.
+LEGACY_KEYWORDS = ("rio-live", "rio live", "rio +wan live", "rio+wan live")
+
+
+def fix_keywords(keywords: Column, original: Column, suggested: Column) -> Column:
+    """Old names and the original become the suggested term, which does not come twice through this; no keyword left gives null."""
+
+    def add(acc: Column, word: Column) -> Column:
+        old = F.lower(word).isin(*LEGACY_KEYWORDS) | (F.lower(word) == F.lower(original))
+        there = F.exists(acc, lambda x: F.lower(x) == F.lower(suggested))
+        return F.when(~old, F.concat(acc, F.array(word))).when(there, acc).otherwise(F.concat(acc, F.array(suggested)))
+
+    out = F.aggregate(F.coalesce(keywords, F.array().cast("array<string>")), F.array().cast("array<string>"), add)
+    return F.when(F.size(out) > 0, out)
+
+
+def apply_approved_fixes(chunks: DataFrame, fixes: DataFrame, parent: str = "parent_id") -> tuple[DataFrame, DataFrame]:
+    """Chunks and fixes after all approved fixes: texts and subjects by each fix's first place, keywords by term.
+
+    ``chunks`` has ``chunk_id, parent, text, subject, keywords``; in the result ``changed`` says that the chunk's own fields
+    changed and ``reindex`` that a fix fell to its document, whose chunks are then embedded anew. Fixes of a chunk are
+    applied in the order of ``at``; those whose chunk exists become ``applied``.
+    """
+    good = fixes.filter("status = 'approved'")
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("at", "id", "original_text", "suggested_text"))), lambda x: F.struct(x["original_text"].alias("a"), x["suggested_text"].alias("b")))
+    listed = good.groupBy("chunk_id").agg(pairs.alias("fixes"))
+
+    @F.pandas_udf("text string, subject string")
+    def fold(texts: pd.Series, subjects: pd.Series, lists: pd.Series) -> pd.DataFrame:
+        def one(text: str | None, own) -> str | None:
+            return text if text is None or own is None else helpers.apply_fixes(text, [(f["a"], f["b"]) for f in own])[0]
+
+        return pd.DataFrame({"text": list(map(one, texts, lists)), "subject": list(map(one, subjects, lists))})
+
+    none = F.array().cast("array<struct<a:string,b:string>>")
+    words = F.aggregate(F.coalesce("fixes", none), F.col("keywords"), lambda acc, f: fix_keywords(acc, f["a"], f["b"]))
+    rows = chunks.join(listed, "chunk_id", "left").withColumn("r", fold("text", "subject", "fixes")).withColumn("words", words)
+    same = F.col("text").eqNullSafe(F.col("r.text")) & F.col("subject").eqNullSafe(F.col("r.subject")) & F.col("keywords").eqNullSafe(F.col("words"))
+    touched = chunks.join(listed.select("chunk_id"), "chunk_id", "left_semi").select(parent).distinct().withColumn("reindex", F.lit(True))
+    done = rows.join(touched, parent, "left").select("chunk_id", parent, "r.text", "r.subject", F.col("words").alias("keywords"), (~same).alias("changed"), F.coalesce("reindex", F.lit(False)).alias("reindex"))
+    known = chunks.select("chunk_id").distinct().withColumn("there", F.lit(True))
+    applied = F.when((F.col("status") == "approved") & F.col("there"), "applied").otherwise(F.col("status"))
+    return done, fixes.join(known, "chunk_id", "left").withColumn("status", applied).drop("there")
+
+
+def chunks_of_documents(chunks: DataFrame, wanted: DataFrame, field: str = "doc_id", most: int = 100) -> DataFrame:
+    """The first ``most`` chunks, in order, of each document whose ``field`` is wanted."""
+    own = chunks.join(wanted.select(field).distinct(), field, "left_semi")
+    ranked = own.withColumn("r", F.row_number().over(Window.partitionBy(field).orderBy("chunk_index", "chunk_id")))
+    return ranked.filter(F.col("r") <= most).drop("r")
+
+
 def set_fix_status(fixes: DataFrame, ids: DataFrame, status: str, at: Column) -> DataFrame:
     hit = fixes.join(ids.withColumn("hit", F.lit(True)), "id", "left")
     new = F.when(F.col("hit"), F.lit(status)).otherwise(F.col("status"))

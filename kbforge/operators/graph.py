@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kbforge.functions.storage import materialize
+from kbforge.operators import retrieval
 
 EDGE = ["source_type", "source_key", "rel_type", "target_type", "target_key"]
 #: Labels whose properties a person's edit protects, and labels of which empty new values leave old ones.
@@ -116,6 +117,29 @@ def entity_edges(edges: DataFrame, type_: str, key: str) -> DataFrame:
     return both_ways(edges.select(*EDGE).distinct()).filter((F.col("type") == type_) & (F.col("key") == key)).select("direction", "rel_type", "other_type", "other_key")
 
 
+def normalize_entities(entities: DataFrame, names: DataFrame, least: int = 10, most: int = 500) -> DataFrame:
+    """``entities (label, name)`` under their usual names; those without a name go.
+
+    ``names`` (``label, variant, name``) is the small table of usual names, met case aside. Of the rest, products are
+    written in capitals and controls with capitals at their words. Issues and solutions keep ``most`` characters, and go
+    if they have ``least`` or fewer.
+    """
+    rows = entities.withColumn("name", F.trim("name")).filter("name <> ''")
+    long = F.col("label").isin("Issue", "Solution")
+    rows = rows.filter(~long | (F.length("name") > least)).withColumn("_v", F.lower("name"))
+    known = names.select(F.col("label").alias("_l"), F.lower("variant").alias("_v"), F.col("name").alias("_usual")).dropDuplicates(["_l", "_v"])
+    met = rows.join(known, (F.col("label") == F.col("_l")) & (rows["_v"] == known["_v"]), "left")
+    other = F.when(F.col("label") == "Product", F.upper("name")).when(F.col("label") == "Control", F.initcap("name")).when(long, F.substring("name", 1, most)).otherwise(F.col("name"))
+    return met.withColumn("name", F.coalesce("_usual", other)).select(entities.columns)
+
+
+def entity_search(nodes: DataFrame, queries: DataFrame, limit: int = 10, labels: tuple[str, ...] = ("Issue", "Solution")) -> DataFrame:
+    """``query_id, label, key, score, rank``: the nodes of ``labels`` whose text (``key``) fits a query best, by BM25."""
+    rows = nodes.filter(F.col("label").isin(*labels)).select(F.concat_ws(":", "label", "key").alias("doc_id"), F.col("key").alias("text"))
+    found = retrieval.search_bm25(rows, queries, limit)
+    return found.select("query_id", F.substring_index("doc_id", ":", 1).alias("label"), F.expr("substring(doc_id, instr(doc_id, ':') + 1)").alias("key"), "score", "rank")
+
+
 def dedupe_entities(entities: DataFrame) -> DataFrame:
     """The first of each entity (``label, name, manufacturer, at``): items by maker and name, others by name, issues and the like all stay."""
     free = F.col("label").isin("Issue", "Solution", "Firmware")

@@ -16,7 +16,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 TERM = r"[\p{L}\p{N}_]+"
 #: Fixed values.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
-TECHNICAL_TERMS = ("api", "bonding", "configuration", "error", "ethernet", "firmware", "gateway", "ip", "latency", "ndi", "network", "port", "protocol", "rtmp", "serial", "setup", "srt", "tally", "usb", "visca")
+#: Terms that ask for precision.
+TECHNICAL_TERMS = (
+    "firmware", "protocol", "ip", "rcp", "rio", "ci0", "vp4", "cvp", "visca", "lanc", "sdi", "hdmi", "ndi", "srt", "ptz", "iris",
+    "shutter", "gain", "white balance", "tally", "gpio", "rs422", "rs232", "ethernet", "tcp", "udp", "multicast", "dhcp", "static ip",
+)
 K1, B = 1.2, 0.75
 RRF_K = 60
 #: Queries of a block that is broadcast for dense search.
@@ -29,9 +33,12 @@ def terms_of(text: Column) -> Column:
 
 
 def bm25_postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, term, tf, doc_len`` of each term of each document; counts are combined before they are shuffled."""
-    counted = docs.select(key, terms_of(F.col(text)).alias("terms")).select(key, F.size("terms").cast("long").alias("doc_len"), F.explode("terms").alias("term"))
-    return counted.groupBy(key, "term", "doc_len").agg(F.count("*").alias("tf"))
+    """``key, term, tf, doc_len`` of each term of each document, counted in its row: sorted terms are cut where they change."""
+    terms = docs.select(key, F.array_sort(terms_of(F.col(text))).alias("terms"))
+    first = F.filter(F.sequence(F.lit(1), F.size("terms")), lambda i: (i == 1) | (F.get("terms", i - 1) != F.get("terms", i - 2)))
+    cut = terms.filter(F.size("terms") > 0).select(key, "terms", first.alias("first"))
+    counts = F.transform("first", lambda a, k: F.struct(F.get("terms", a - 1).alias("term"), (F.coalesce(F.get("first", k + 1), F.size("terms") + 1) - a).cast("long").alias("tf")))
+    return cut.select(key, F.size("terms").cast("long").alias("doc_len"), F.explode(counts).alias("c")).select(key, "c.term", "c.tf", "doc_len")
 
 
 def bm25_idf(postings: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -62,10 +69,14 @@ def search_bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
 
 def lexical_rerank(docs: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """``query_id, doc_id, score``: the share of the query's idf weight that a candidate's terms cover."""
-    postings = bm25_postings(docs)
+    """``query_id, doc_id, score``: the share of the query's idf weight that a candidate's terms cover.
+
+    Postings are cut to the terms asked for where they are made.
+    """
+    asked = query_terms(queries)
+    postings = bm25_postings(docs).join(asked.select("term").distinct(), "term", "left_semi")
     idf = bm25_idf(postings, docs.agg(F.count("*").alias("n")))
-    weights = query_terms(queries).join(idf.select("term", "idf"), "term")
+    weights = asked.join(idf.select("term", "idf"), "term")
     whole = weights.groupBy("query_id").agg(F.sum("idf").alias("whole"))
     pairs = candidates.select("query_id", "doc_id").join(weights, "query_id").join(postings.select("doc_id", "term"), ["doc_id", "term"])
     return pairs.groupBy("query_id", "doc_id").agg(F.sum("idf").alias("hit")).join(whole, "query_id").select("query_id", "doc_id", F.round(F.col("hit") / F.col("whole"), 6).alias("score"))
@@ -74,7 +85,8 @@ def lexical_rerank(docs: DataFrame, queries: DataFrame, candidates: DataFrame) -
 def search_dense(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:
     """``query_id, vec_id, score, rank`` by cosine similarity; a zero vector scores 0.
 
-    Queries go out in blocks of bounded size; each task multiplies its batches with the block and keeps ``k`` a query.
+    Queries go out in blocks of bounded size; each task multiplies its batches with the block and keeps the best ``k`` a
+    query over all its batches.
     """
     spark = vectors.sparkSession
     out = spark.createDataFrame([], "query_id long, vec_id long, score double")
@@ -86,20 +98,40 @@ def search_dense(vectors: DataFrame, queries: DataFrame, k: int = 10, least: flo
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
+            best = Best(len(ids), k)
             for batch in batches:
-                if not len(batch):
-                    continue
-                v = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1))
-                names = batch.column(0).to_numpy()
-                score = np.round(q @ v.T, 6) + 0.0
-                for i, row in enumerate(score):
-                    best = np.lexsort((names, -row))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[i])), pa.array(names[best]), pa.array(row[best])], names=["query_id", "vec_id", "score"])
+                if len(batch):
+                    v = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1))
+                    best.add(np.round(q @ v.T, 6) + 0.0, batch.column(0).to_numpy())
+            yield best.rows(ids, ["query_id", "vec_id", "score"])
 
         out = out.unionByName(vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double"))
     return top_k(out if least is None else out.filter(F.col("score") >= least), k, key="vec_id")
 
 
+class Best:
+    """The ``k`` highest scores of each query over batches, of equal ones the least ids."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores, self.ids = np.full((queries, 0), -np.inf), np.zeros((queries, 0), np.int64)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        if scores.shape[1] > 4 * self.k:
+            # Only what reaches the k-th score can stay; columns that no query wants go before the sort.
+            least = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+            wanted = np.flatnonzero((scores >= least[:, None]).any(axis=0))
+            scores, ids = scores[:, wanted], ids[wanted]
+        scores = np.hstack([self.scores, scores])
+        ids = np.hstack([self.ids, np.broadcast_to(ids, (len(scores), len(ids)))])
+        order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
+        self.scores, self.ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+
+    def rows(self, queries: np.ndarray, names: list[str]) -> pa.RecordBatch:
+        held = self.scores > -np.inf
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, held.sum(axis=1))), pa.array(self.ids[held]), pa.array(self.scores[held])], names=names)
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
@@ -164,10 +196,14 @@ def threshold_min_one(ranked: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def answer_confidence(ranked: DataFrame) -> DataFrame:
-    """``query_id, confidence`` from the mean of the three best scores."""
-    a = F.col("a")
-    level = F.when(a >= 0.7, F.least(F.lit(0.95), a)).when(a >= 0.4, 0.6 + (a - 0.4) * 0.5).when(a >= 0.2, 0.3 + (a - 0.2) * 1.5).otherwise(F.greatest(F.lit(0.1), a))
-    return ranked.filter("rank <= 3").groupBy("query_id").agg(F.avg("score").alias("a")).select("query_id", F.round(level, 4).alias("confidence"))
+    """``query_id, confidence`` from the mean of the three best scores, or where none has a score from the number of rows."""
+    a, n = F.col("a"), F.col("n")
+    by_number = F.when(n >= 6, 0.8).when(n >= 4, 0.65).when(n >= 2, 0.5).otherwise(0.35)
+    level = F.when(a.isNull(), by_number).when(a >= 0.7, F.least(F.lit(0.95), a)).when(a >= 0.4, 0.6 + (a - 0.4) * 0.5).when(a >= 0.2, 0.3 + (a - 0.2) * 1.5).otherwise(F.greatest(F.lit(0.1), a))
+    best = F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 3)
+    each = ranked.groupBy("query_id").agg(best.alias("best"), F.count("*").alias("n"))
+    mean = F.aggregate("best", F.lit(0.0), lambda acc, x: acc + x) / F.nullif(F.size("best"), F.lit(0))
+    return each.select("query_id", mean.alias("a"), "n").select("query_id", F.round(level, 4).alias("confidence"))
 
 
 def source_links(hits: DataFrame, most: int = 3) -> DataFrame:
@@ -184,10 +220,11 @@ def format_context(hits: DataFrame, most: int = 8000) -> DataFrame:
     return sized.filter(F.col("used") <= most).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "entry"))), lambda x: x["entry"]), "\n---\n").alias("context"))
 
 
-def build_context(hits: DataFrame, first: int = 8, group_most: int = 4000, most: int = 12000) -> DataFrame:
+def build_context(hits: DataFrame, first: int = 8, group_most: int = 4000, most: int = 12000, graph: DataFrame | None = None) -> DataFrame:
     """``query_id, context``: the first hits grouped by ``group_key`` in first-seen order, within a budget of characters.
 
-    The last group is cut to what is left if that is over 200, else left out.
+    The first wrapped group that passes the budget is cut to what is left if that is over 200, else left out, and ends the
+    context. ``graph`` (``query_id, graph_context``) goes in front and does not count.
     """
     top = hits.filter(F.col("rank") <= first)
     groups = top.groupBy("query_id", "group_key").agg(
@@ -195,13 +232,17 @@ def build_context(hits: DataFrame, first: int = 8, group_most: int = 4000, most:
     )
     cut = groups.withColumn("text", F.when(F.length("text") > group_most, F.concat(F.substring("text", 1, group_most), F.lit("..."))).otherwise(F.col("text")))
     order = Window.partitionBy("query_id").orderBy("at")
-    placed = cut.withColumn("n", F.row_number().over(order)).withColumn("before", F.sum(F.length("text")).over(order) - F.length("text"))
-    room = F.lit(most) - F.col("before")
-    body = F.when(F.length("text") <= room, F.col("text")).when(room > 200, F.concat(F.substring(F.col("text"), F.lit(1), room.cast("int")), F.lit("...")))
-    safe = F.regexp_replace(body, "</document>", "&lt;/document&gt;")
-    wrapped = F.format_string('<document index="%d" source="%s" ref="%s" relevance="%.2f">\n%s\n</document>', F.col("n").cast("int"), F.col("source"), F.col("group_key"), F.col("score"), safe)
-    shown = placed.withColumn("body", body).filter("body IS NOT NULL AND before < " + str(most)).withColumn("doc", wrapped)
-    return shown.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "doc"))), lambda x: x["doc"]), "\n\n").alias("context"))
+    safe = F.replace(F.col("text"), F.lit("</document>"), F.lit("<\\/document>"))
+    ref = F.replace(F.col("group_key"), F.lit('"'), F.lit("'"))
+    wrapped = F.format_string('<document index="%d" source="%s" ref="%s" relevance="%.2f">\n%s\n</document>', F.col("n").cast("int"), F.col("source"), ref, F.col("score"), safe)
+    placed = cut.withColumn("n", F.row_number().over(order)).withColumn("doc", wrapped)
+    room = F.lit(most) - F.sum(F.length("doc")).over(order) + F.length("doc")
+    body = F.when(F.length("doc") <= F.col("room"), F.col("doc")).when(F.col("room") > 200, F.concat(F.substring(F.col("doc"), F.lit(1), F.col("room").cast("int")), F.lit("...")))
+    shown = placed.withColumn("room", room).select("query_id", "n", body.alias("doc"))
+    if graph is not None:
+        shown = shown.unionByName(graph.select("query_id", F.lit(0).alias("n"), F.concat(F.lit("[Knowledge Graph Relationships]\n"), "graph_context").alias("doc")))
+    parts = F.array_sort(F.collect_list(F.when(F.col("doc").isNotNull(), F.struct("n", "doc"))))
+    return shown.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda x: x["doc"]), "\n").alias("context"))
 
 
 def expected_documents(docs: DataFrame, queries: DataFrame) -> DataFrame:

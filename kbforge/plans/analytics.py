@@ -15,7 +15,7 @@ SQL_LOG = """log AS (SELECT event_id AS id, ts AS created_at, event_type AS sour
   CASE WHEN event_id % 4 <> 0 THEN [['docs','cases','custom'][1 + k % 3], ['docs','cases','custom'][1 + event_id % 3], 'docs'] END AS source_types
   FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events))"""
 SQL_VOTES = "votes AS (SELECT event_id AS vote_id, ts AS voted_at, user_id * 10 AS search_id, CASE WHEN event_type = 'purchase' THEN 'up' ELSE 'down' END AS rating, 'c' || event_id::VARCHAR AS comment, user_id AS session_id FROM events WHERE event_type IN ('purchase', 'signup'))"
-SQL_FEEDBACK = SQL_VOTES + ", feedback AS (SELECT search_id, arg_max(rating, struct_pack(voted_at, vote_id)) AS rating, arg_max(comment, struct_pack(voted_at, vote_id)) AS comment, arg_max(session_id, struct_pack(voted_at, vote_id)) AS session_id, min(voted_at) AS created_at, max(voted_at) AS updated_at FROM votes GROUP BY search_id)"
+SQL_FEEDBACK = SQL_VOTES + ", feedback AS (SELECT search_id, arg_max(rating, struct_pack(voted_at, vote_id)) AS rating, arg_max(comment, struct_pack(voted_at, vote_id)) AS comment, arg_min(session_id, struct_pack(voted_at, vote_id)) AS session_id, min(voted_at) AS created_at, max(voted_at) AS updated_at FROM votes GROUP BY search_id)"
 SINCE = "TIMESTAMP '2024-01-31 00:00:00' - INTERVAL {} DAY"
 
 
@@ -102,9 +102,9 @@ ORACLES = {
     "recent_searches": f"WITH {SQL_LOG} SELECT id, query, source FROM log ORDER BY created_at DESC, id DESC LIMIT 50",
     "low_quality_searches": f"WITH {SQL_LOG}, w AS (SELECT *, list_sum(scores) / 3 AS raw FROM (SELECT * FROM log WHERE created_at >= {SINCE.format(20)} AND scores IS NOT NULL ORDER BY created_at DESC, id DESC LIMIT 200)) SELECT id, query, round(raw, 4) AS avg_score FROM w WHERE raw <= 0.3 ORDER BY raw, created_at DESC, id DESC LIMIT 40",
     "conversations": f"WITH {SQL_LOG}, c AS (SELECT session_id, count(*) AS n, min(created_at) AS first_at, max(created_at) AS last_at, string_agg(query, ' | ' ORDER BY created_at, id) AS queries FROM log GROUP BY session_id ORDER BY first_at DESC, session_id LIMIT 20) SELECT session_id, n, {_f('first_at')} AS first_at, {_f('last_at')} AS last_at, queries FROM c",
-    "source_insights": f"""WITH {SQL_LOG}, w AS (SELECT * FROM log WHERE created_at >= {SINCE.format(20)}), t AS (SELECT count(source_types) AS total, count(*) FILTER (source_types IS NOT NULL AND reranked) AS reranked_total, count(*) AS searches FROM w),
+    "source_insights": f"""WITH {SQL_LOG}, w AS (SELECT * FROM log WHERE created_at >= {SINCE.format(20)}), t AS (SELECT count(source_types) AS total, count(*) FILTER (source_types IS NOT NULL AND reranked) AS reranked_total FROM w),
         x AS (SELECT unnest(range(3)) AS pos, unnest(source_types) AS st, unnest(scores) AS sc FROM w WHERE source_types IS NOT NULL)
-        SELECT st AS source_type, count(*) AS appearances, round(avg(sc), 4) AS avg_score, {", ".join(f"count(*) FILTER (pos = {k}) AS at_{k + 1}" for k in range(5))}, round(count(*) FILTER (pos = 0) * 100.0 / any_value(total), 1) AS win_rate, any_value(total) AS total, any_value(reranked_total) AS reranked_total, round(any_value(total) * 100.0 / any_value(searches), 1) AS coverage FROM x, t GROUP BY st""",
+        SELECT st AS source_type, count(*) AS appearances, round(avg(sc), 4) AS avg_score, {", ".join(f"count(*) FILTER (pos = {k}) AS at_{k + 1}" for k in range(5))}, round(count(*) FILTER (pos = 0) * 100.0 / any_value(total), 1) AS win_rate, any_value(total) AS total, any_value(reranked_total) AS reranked_total, round(any_value(reranked_total) * 100.0 / any_value(total), 1) AS coverage FROM x, t GROUP BY st""",
     "retention_anonymize": f"WITH {SQL_LOG} SELECT id, CASE WHEN created_at < {SINCE.format(10)} THEN '[redacted]' ELSE query END AS query, created_at < {SINCE.format(10)} AS changed FROM log",
     "retention_purge": f"WITH {SQL_LOG}, {SQL_FEEDBACK} SELECT 'search' AS kind, id FROM log WHERE created_at >= {SINCE.format(20)} UNION ALL SELECT 'feedback', search_id FROM feedback WHERE search_id NOT IN (SELECT id FROM log WHERE created_at < {SINCE.format(20)})",
     "upsert_feedback": f"WITH {SQL_FEEDBACK} SELECT search_id, rating, comment, session_id, {_f('created_at')} AS created_at, {_f('updated_at')} AS updated_at FROM feedback",

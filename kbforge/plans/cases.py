@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kbforge.functions.storage import read_table
 from kbforge.operators import cases as ops
-from kbforge.plans import retrieval
+from kbforge.plans import corpus, retrieval
 from kbforge.plans.corpus import docs
 
 ITEM_TEXT = "concat_ws(' ', p_name, p_brand, p_type)"
@@ -21,7 +21,7 @@ def _new(s: SparkSession, d: str) -> DataFrame:
 
 
 def _messages(s: SparkSession, d: str) -> DataFrame:
-    return read_table(s, d, "conversations").selectExpr("conv_id AS thread_id", "turn AS at", "role AS text")
+    return read_table(s, d, "conversations").selectExpr("conv_id AS thread_id", "turn AS at", "text")
 
 
 def _searched(s: SparkSession, d: str) -> DataFrame:
@@ -30,6 +30,10 @@ def _searched(s: SparkSession, d: str) -> DataFrame:
     return ops.fts_search(items, words, 20)
 
 
+def _found_cases(s: SparkSession, d: str) -> DataFrame:
+    return ops.fts_search(retrieval.docs(s, d), retrieval.questions(s, d), 20, stem=True)
+
+
 def _ranked(s: SparkSession, d: str) -> DataFrame:
     return ops.rank_urls(read_table(s, d, "pages").select((F.col("page_id") % 40).alias("item_id"), "url"), ["example.net", "example.org", "example.com"])
 
@@ -46,10 +50,13 @@ def _mail(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "upsert_cases": lambda s, d: ops.upsert_cases(_cases(s, d), _new(s, d)),
-    "backfill_cases": lambda s, d: ops.backfill_cases(_cases(s, d), _messages(s, d)).select("thread_id", "created_at", "raw_thread"),
+    "backfill_cases": lambda s, d: ops.backfill_cases(_cases(s, d), _messages(s, d)).select("thread_id", "created_at", F.md5("raw_thread").alias("digest")),
     "list_cases": lambda s, d: ops.list_cases(_cases(s, d), "en", None, 3, 30).select("thread_id", "product", "total"),
     "fts_search_catalog": _searched,
     "rank_urls": _ranked,
+    "fts_search_cases": _found_cases,
+    "stem_terms": lambda s, d: ops.stemmed(retrieval.docs(s, d)).select("doc_id", "term", "tf"),
+    "list_fixes": lambda s, d: ops.list_fixes(corpus.fixes(s, d).withColumn("created_at", F.col("id")), "pending", 5, 30).select("id", "original_text", "total"),
     "search_dense_merged": _dense,
     "clean_email_text": _mail,
     "bm25_text": lambda s, d: docs(s, d).select("doc_id", F.md5(ops.bm25_text(F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("k1"), F.lit("k2"))))).alias("digest")),
@@ -58,12 +65,13 @@ QUERIES = {
 _C = "c AS (SELECT doc_id AS thread_id, lang AS category, source AS product, CASE WHEN doc_id % 2 = 0 THEN doc_id END AS created_at, CASE WHEN doc_id % 3 = 0 THEN 'raw' END AS raw_thread, doc_id AS ingested_at FROM documents)"
 ORACLES = {
     "upsert_cases": f"WITH {_C}, n AS (SELECT doc_id * 2 AS thread_id, 'new' AS category, source AS product, doc_id AS created_at, CASE WHEN doc_id % 8 = 0 THEN 'newer' END AS raw_thread, -1 AS ingested_at FROM documents WHERE doc_id % 4 = 0) SELECT thread_id, CASE WHEN n.category IS NOT NULL THEN n.category ELSE c.category END AS category, CASE WHEN n.category IS NOT NULL THEN n.product ELSE c.product END AS product, CASE WHEN n.category IS NOT NULL THEN n.created_at ELSE c.created_at END AS created_at, coalesce(n.raw_thread, c.raw_thread) AS raw_thread, coalesce(c.ingested_at, n.ingested_at) AS ingested_at FROM c FULL JOIN n USING (thread_id)",
-    "backfill_cases": f"WITH {_C}, m AS (SELECT conv_id AS thread_id, min(turn) AS first, string_agg(role, chr(10) ORDER BY turn) AS raw FROM conversations GROUP BY conv_id) SELECT thread_id, coalesce(created_at, first) AS created_at, coalesce(raw_thread, raw) AS raw_thread FROM c LEFT JOIN m USING (thread_id)",
+    "backfill_cases": f"WITH {_C}, m AS (SELECT conv_id AS thread_id, min(turn) AS first, string_agg(text, chr(10) ORDER BY turn) AS raw FROM conversations GROUP BY conv_id) SELECT thread_id, coalesce(created_at, first) AS created_at, md5(coalesce(raw_thread, raw)) AS digest FROM c LEFT JOIN m USING (thread_id)",
     "list_cases": f"WITH {_C} SELECT thread_id, product, (SELECT count(*) FROM c WHERE category = 'en') AS total FROM c WHERE category = 'en' ORDER BY created_at DESC NULLS LAST, thread_id LIMIT 30 OFFSET 3",
     "fts_search_catalog": f"""WITH documents AS (SELECT p_partkey AS doc_id, concat_ws(' ', p_name, p_brand, p_type) AS text FROM part), {retrieval.SQL_POSTINGS}, q(query_id, t) AS (VALUES (1, 'ri'), (2, 'widg'), (2, 'economy'), (3, 'brand'), (3, 'red'), (4, 'zzz')),
         p AS (SELECT DISTINCT query_id, term FROM q JOIN (SELECT DISTINCT term FROM postings) ON starts_with(term, t)),
         s AS (SELECT query_id, doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))), 6) AS score FROM postings JOIN idf USING (term) JOIN p USING (term), size GROUP BY query_id, doc_id) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20""",
-    "rank_urls": "WITH u AS (SELECT page_id % 40 AS item_id, url, lower(url) AS l FROM pages), s AS (SELECT item_id, url, (CASE WHEN contains(l, 'example.net') THEN 10 WHEN contains(l, 'example.org') THEN 9.5 WHEN contains(l, 'example.com') THEN 9 ELSE 0 END + CASE WHEN regexp_matches(l, 'spec|datasheet') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(l, 'pro|broadcast') THEN 1.5 ELSE 0 END - CASE WHEN regexp_matches(l, 'review|forum') THEN 5 ELSE 0 END)::DOUBLE AS score FROM u) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, url) <= 2",
+    "rank_urls": "WITH u AS (SELECT page_id % 40 AS item_id, url, lower(url) AS l FROM pages), s AS (SELECT item_id, url, (CASE WHEN contains(l, 'example.net') THEN 10 WHEN contains(l, 'example.org') THEN 9.5 WHEN contains(l, 'example.com') THEN 9 ELSE 0 END + CASE WHEN regexp_matches(l, 'spec|product|detail|feature|overview') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(l, 'professional|broadcast|cinema|pro[.]') THEN 1.5 ELSE 0 END - CASE WHEN regexp_matches(l, 'review|forum|blog|news|video|youtube') THEN 5 ELSE 0 END)::DOUBLE AS score FROM u) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, url) <= 2",
     "search_dense_merged": "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score, CASE WHEN v.vec_id % 2 = 0 THEN 'docs' ELSE 'cases' END AS source FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id, source) AS rank FROM s WHERE score >= 0.25 QUALIFY rank <= 8",
+    "list_fixes": "SELECT doc_id AS id, substring(text, 5, 6) AS original_text, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS total FROM documents WHERE doc_id % 2 = 0 ORDER BY doc_id DESC LIMIT 30 OFFSET 5",
     "bm25_text": "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text || chr(10) || 'k1 k2' ELSE text END) AS digest FROM documents",
 }

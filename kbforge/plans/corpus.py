@@ -66,7 +66,7 @@ def _case_rows(s: SparkSession, d: str) -> DataFrame:
     return docs_.selectExpr("doc_id", "lang AS category", "source AS product", "quality", "concat('S', doc_id) AS subject", "array(lang, source) AS keywords", "substring(text, 1, 40) AS problem", "substring(text, 41) AS solution")
 
 
-def _fixes(s: SparkSession, d: str) -> DataFrame:
+def fixes(s: SparkSession, d: str) -> DataFrame:
     e = docs(s, d)
     return e.selectExpr("doc_id AS id", "doc_id AS chunk_id", "substring(text, 5, 6) AS original_text", "'<FIX>' AS suggested_text", "CASE WHEN doc_id % 5 = 0 THEN 'needs_human_review' ELSE 'spelling' END AS suggestion_type", "doc_id % 10 / 10.0D AS confidence", "1 AS at", "CASE WHEN doc_id % 2 = 0 THEN 'pending' ELSE 'approved' END AS status", "CAST(NULL AS STRING) AS applied_at")
 
@@ -100,14 +100,55 @@ def _json(s: SparkSession, d: str) -> DataFrame:
 
 def _age(s: SparkSession, d: str) -> DataFrame:
     e = read_table(s, d, "events")
-    return e.select("event_id", T.relative_time(F.col("ts"), F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")).alias("age"))
+    later = F.col("ts") + F.make_dt_interval(secs=F.col("event_id") * 104729 % 36000000)
+    return e.select("event_id", T.relative_time(F.col("ts"), later).alias("age"))
+
+
+SUBJECTS = ("other", "my rma", "Return  request", "refund processing", "replacement Device", "returning", "armada")
+BODIES = ("", "RMA #12", "the return shipping label", "a replacement shipment", "return the faulty unit", "please SHIP to us", "the return address", "RMA only", "ship it back")
+
+
+def _returns(s: SparkSession, d: str) -> DataFrame:
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("doc_id") % len(values) + 1).cast("int"))
+    rows = docs(s, d).select("doc_id", pick(SUBJECTS).alias("subject"), F.concat("text", F.lit(" "), pick(BODIES)).alias("text"))
+    return ops.flag_rma(rows).select("doc_id", "is_rma")
+
+
+def _paragraphed(s: SparkSession, d: str) -> DataFrame:
+    """The documents with an empty line behind each seventh sentence or so."""
+    return docs(s, d).withColumn("text", F.regexp_replace("text", r"((?:[^.]*\. ){7})", "$1\n\n"))
+
+
+def _senders(s: SparkSession, d: str) -> DataFrame:
+    i = F.col("conv_id") % 5
+    name = F.concat(F.lit("P"), F.col("conv_id"))
+    sender = F.when(i == 0, F.concat(F.lit('"'), name, F.lit(' via Help" <help@acme.example>'))).when(i == 1, F.concat(name, F.lit(" <p@example.org>"))).when(i == 2, "plain@example.org").when(i == 3, "Team <t@acme.example>")
+    original = F.when((i == 0) & (F.col("turn") % 2 == 0), "orig@example.org")
+    reply = F.when(F.col("turn") % 3 == 0, "R <r@example.org>").when(F.col("turn") % 3 == 1, "help@acme.example")
+    rows = _turns(s, d).select("conv_id", "turn", helpers.sender_column(sender, original, reply, "acme.example").alias("s"))
+    return rows.select("conv_id", "turn", "s.name", "s.address", "s.staff")
+
+
+def _approved(s: SparkSession, d: str) -> DataFrame:
+    lab = F.array(F.lit("rio live"), F.lit("kept"), F.lit("RIO-Live"), F.col("lang"))
+    rows = read_table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.floor(F.col("doc_id") / 3).alias("parent_id"), "text", F.concat(F.lit("About "), F.lower(F.substring("text", 5, 6))).alias("subject"), lab.alias("keywords"))
+    done, after = ops.apply_approved_fixes(rows, fixes(s, d))
+    state = after.select("chunk_id", "status")
+    return done.join(state, "chunk_id").select("chunk_id", F.md5("text").alias("digest"), "subject", F.array_join("keywords", ",").alias("keywords"), "changed", "reindex", "status")
 
 
 QUERIES = {
-    "chunk_plain": lambda s, d: chunks(s, d).select("doc_id", "chunk_index", "total_chunks", F.length("text").alias("n_chars")),
+    "chunk_plain": lambda s, d: chunks(s, d).select("doc_id", "chunk_index", "total_chunks", F.md5("text").alias("digest")),
+    "chunk_paragraphs": lambda s, d: ops.chunk_rows(_paragraphed(s, d), helpers.chunk_column(F.col("text"), "paragraphs")).select("doc_id", "chunk_index", F.length("text").alias("n_chars"), F.md5("text").alias("digest")),
+    "chunk_size_by_type": lambda s, d: docs(s, d).select("doc_id", ops.chunk_size(F.element_at(F.array(*map(F.lit, ("support_case", "documentation", "faq"))), (F.col("doc_id") % 3 + 1).cast("int"))).alias("size")),
+    "chunks_of_document": lambda s, d: ops.chunks_of_documents(chunks(s, d), docs(s, d).filter("doc_id % 20 = 0").select("doc_id"), "doc_id", 4).select("doc_id", "chunk_index", F.md5("text").alias("digest")),
+    "markdown_title": lambda s, d: docs(s, d).select("doc_id", T.markdown_title(F.concat(F.when(F.col("doc_id") % 3 == 0, "## Second\n# First ").when(F.col("doc_id") % 3 == 1, "##  Only second \n").otherwise(""), "text")).alias("title")),
+    "parse_sender": _senders,
+    "token_estimate": lambda s, d: docs(s, d).select("doc_id", T.token_estimate(F.col("text")).alias("tokens")),
+    "apply_approved_fixes": _approved,
     "chunk_rows": lambda s, d: ops.chunk_rows(docs(s, d), F.array(F.struct("text", F.lit(None).cast("string").alias("section"), F.lit("text").alias("kind")))).select("chunk_id", "doc_id", "chunk_index"),
-    "chunk_semantic": lambda s, d: ops.chunk_rows(_main(s, d), helpers.chunk_column(F.col("text"), "semantic"), "page_id").select("page_id", "chunk_index", "kind", F.length("text").alias("n_chars")),
-    "chunk_support_case": lambda s, d: ops.chunk_rows(_cases(s, d), helpers.chunk_column(F.col("text"), "support_case"), "conv_id").select("conv_id", "chunk_index", "section", F.length("text").alias("n_chars")),
+    "chunk_semantic": lambda s, d: ops.chunk_rows(_main(s, d), helpers.chunk_column(F.col("text"), "semantic"), "page_id").select("page_id", "chunk_index", "kind", "section", F.md5("text").alias("digest")),
+    "chunk_support_case": lambda s, d: ops.chunk_rows(_cases(s, d), helpers.chunk_column(F.col("text"), "support_case"), "conv_id").select("conv_id", "chunk_index", "section", F.md5("text").alias("digest")),
     "rebuild_documents": lambda s, d: ops.rebuild_documents(_turns(s, d).withColumnsRenamed({"conv_id": "doc_id", "turn": "chunk_index"})).select("doc_id", "chunks", F.md5("text").alias("digest")),
     "document_keywords": lambda s, d: ops.document_keywords(docs(s, d)),
     "list_documents": _listed,
@@ -131,15 +172,15 @@ QUERIES = {
     "query_variants": _variants,
     "parse_mail_date": _dates,
     "parse_model_json": _json,
-    "flag_rma_threads": lambda s, d: ops.flag_rma(docs(s, d).withColumn("subject", F.when(F.col("doc_id") % 7 == 0, "RMA for unit").otherwise("other"))).select("doc_id", "is_rma"),
+    "flag_rma_threads": _returns,
     "curate_cases": _curated,
     "case_document": lambda s, d: ops.case_document(_case_rows(s, d)).select("doc_id", F.md5("document").alias("digest")),
     "case_stats": lambda s, d: ops.case_stats(_case_rows(s, d)),
     "pending_threads": lambda s, d: ops.pending_threads(_turns(s, d).withColumn("role", F.when(F.col("conv_id") % 3 == 0, "user").otherwise(F.col("role"))), _turns(s, d).filter("conv_id % 4 = 0").select("conv_id").distinct(), 40),
     "scan_terms": lambda s, d: ops.scan_terms(docs(s, d).withColumnRenamed("doc_id", "chunk_id"), [r"[A-Z]{3,}", r"the [a-z]{10,}"]),
-    "auto_apply_fixes": lambda s, d: ops.auto_apply_fixes(docs(s, d).withColumnRenamed("doc_id", "chunk_id"), _fixes(s, d)).select("chunk_id", F.md5("text").alias("digest"), F.col("applied").cast("long").alias("applied")),
-    "set_fix_status": lambda s, d: ops.set_fix_status(_fixes(s, d), _fixes(s, d).filter("id % 7 = 0").select("id"), "applied", F.lit("2024-01-31")).select("id", "status", "applied_at"),
-    "fix_stats": lambda s, d: ops.fix_stats(_fixes(s, d)),
+    "auto_apply_fixes": lambda s, d: ops.auto_apply_fixes(docs(s, d).withColumnRenamed("doc_id", "chunk_id"), fixes(s, d)).select("chunk_id", F.md5("text").alias("digest"), F.col("applied").cast("long").alias("applied")),
+    "set_fix_status": lambda s, d: ops.set_fix_status(fixes(s, d), fixes(s, d).filter("id % 7 = 0").select("id"), "applied", F.lit("2024-01-31")).select("id", "status", "applied_at"),
+    "fix_stats": lambda s, d: ops.fix_stats(fixes(s, d)),
 }
 
 
@@ -170,11 +211,23 @@ ORACLES = {
     "term_transforms": "SELECT doc_id, md5(" + _RIO.format(x="'the RIO-live and rio + wan live ' || text") + ") AS digest FROM documents",
     "snippet": "SELECT doc_id, CASE WHEN length(text) > 300 THEN text[1:297] || '...' ELSE text END AS snippet, length(text) // 4 AS tokens FROM documents",
     "normalize_doc_url": f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 3 THEN url ELSE '{T.DOCS_HOST}docs/' || page_id END AS url FROM pages",
-    "relative_time": "WITH e AS (SELECT event_id, ts, floor(epoch(TIMESTAMP '2024-01-31' - ts))::BIGINT AS s FROM events) SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' min ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s // 86400 < 7 THEN (s // 86400) || ' day' || CASE WHEN s // 86400 = 1 THEN '' ELSE 's' END || ' ago' ELSE (s // 604800) || ' week' || CASE WHEN s // 604800 = 1 THEN '' ELSE 's' END || ' ago' END AS age FROM e",
+    "relative_time": "WITH e AS (SELECT event_id, ts, event_id * 104729 % 36000000 AS s FROM events) SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' min ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s // 86400 < 7 THEN (s // 86400) || ' day' || CASE WHEN s // 86400 = 1 THEN '' ELSE 's' END || ' ago' WHEN s // 86400 < 35 THEN (s // 604800) || ' week' || CASE WHEN s // 604800 = 1 THEN '' ELSE 's' END || ' ago' WHEN s // 86400 < 360 THEN (s // 2592000) || ' month' || CASE WHEN s // 2592000 = 1 THEN '' ELSE 's' END || ' ago' ELSE strftime(ts, '%Y-%m-%d') END AS age FROM e",
+    "chunk_size_by_type": "SELECT doc_id, [350, 450, 400][1 + doc_id % 3] AS size FROM documents",
+    "markdown_title": r"WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '## Second' || chr(10) || '# First ' WHEN 1 THEN '##  Only second ' || chr(10) ELSE '' END || text AS t FROM documents) SELECT doc_id, coalesce(nullif(trim(regexp_extract(t, '(?m)^#\s+(.+)$', 1)), ''), nullif(trim(regexp_extract(t, '(?m)^##\s+(.+)$', 1)), '')) AS title FROM t",
+    "parse_sender": """WITH t AS (SELECT conv_id, turn, conv_id % 5 AS i, 'P' || conv_id AS n, turn % 2 = 0 AND conv_id % 5 = 0 AS orig, turn % 3 = 0 AS reply FROM conversations)
+        SELECT conv_id, turn, CASE WHEN i = 0 AND orig THEN n WHEN reply THEN 'R' WHEN i < 2 THEN n WHEN i = 3 THEN 'Team' ELSE '' END AS name,
+        CASE WHEN orig THEN 'orig@example.org' WHEN reply THEN 'r@example.org' ELSE ['help@acme.example', 'p@example.org', 'plain@example.org', 't@acme.example', 'Unknown'][1 + i] END AS address, i IN (0, 3) AS staff FROM t""",
+    "token_estimate": "SELECT doc_id, length(text) // 4 AS tokens FROM documents",
+    "apply_approved_fixes": """WITH f AS (SELECT doc_id, lang, text, doc_id % 2 = 1 AS good, substring(text, 5, 6) AS old, 'About ' || lower(substring(text, 5, 6)) AS subject FROM documents),
+        r AS (SELECT *, good AND length(old) > 0 AS hit, instr(lower(text), lower(old)) AS p, instr(lower(subject), lower(old)) AS q FROM f),
+        o AS (SELECT *, CASE WHEN hit THEN substring(text, 1, p - 1) || '<FIX>' || substring(text, p + length(old)) ELSE text END AS new, CASE WHEN hit THEN substring(subject, 1, q - 1) || '<FIX>' || substring(subject, q + length(old)) ELSE subject END AS about FROM r)
+        SELECT doc_id AS chunk_id, md5(new) AS digest, about AS subject, CASE WHEN NOT good THEN 'rio live,kept,RIO-Live,' || lang WHEN lower(lang) = lower(old) THEN '<FIX>,kept' ELSE '<FIX>,kept,' || lang END AS keywords, good AS changed,
+        bool_or(good) OVER (PARTITION BY doc_id // 3) AS reindex, CASE WHEN good THEN 'applied' ELSE 'pending' END AS status FROM o""",
     "query_variants": "WITH q AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'plain ' ELSE 'rio live ' END || text AS base FROM benchmark), v AS (SELECT *, " + _RIO.format(x="base") + " AS changed FROM q) SELECT item_id, CASE WHEN changed <> base THEN md5(changed) END AS normalized, md5(changed) AS effective FROM v",
     "parse_mail_date": "SELECT event_id, CASE WHEN event_id % 20 <> 0 AND event_id % 30 = 0 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at FROM events",
     "parse_model_json": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CAST(json_extract(props, '$.k') AS INT) END AS k FROM events",
-    "flag_rma_threads": "SELECT doc_id, doc_id % 7 = 0 AS is_rma FROM documents",
+    "flag_rma_threads": r"""SELECT doc_id, doc_id % 7 IN (1, 2, 3, 4) OR doc_id % 9 IN (1, 2, 3, 4, 5, 6)
+        OR regexp_matches(text, '(?i)\bRMA\s*(number|#|:)?\s*\d+|\breturn\s+(shipping\s+)?label\b|\breplacement\s+shipment\b|\breturn\s+the\s+(defective|faulty)\s+(unit|device)\b|\bship\s+(back|to\s+us)\b|\breturn\s+address\b') AS is_rma FROM documents""",
     "curate_cases": "SELECT doc_id AS thread_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN 'q' || doc_id END, CASE WHEN doc_id % 3 = 0 THEN 'a' || doc_id END, 'Support Case') AS subject FROM labels JOIN documents USING (doc_id) WHERE doc_id % 10 >= 7 AND quality = 1 AND toxic = 0",
     "case_document": f"WITH {SQL_LABELLED} SELECT doc_id, md5(concat_ws(chr(10), '# S' || doc_id, 'Category: ' || category, 'Product: ' || product, 'Keywords: ' || category || ', ' || product, chr(10) || '## Problem', substring(text, 1, 40), chr(10) || '## Solution', substring(text, 41))) AS digest FROM c",
     "case_stats": f"WITH {SQL_LABELLED} SELECT 'category' AS facet, category AS key, count(*) AS n FROM c GROUP BY category UNION ALL SELECT 'product', product, count(*) FROM c GROUP BY product UNION ALL SELECT 'quality', quality::VARCHAR, count(*) FROM c GROUP BY quality UNION ALL SELECT 'total', '', count(*) FROM c",

@@ -78,7 +78,23 @@ def _entities(spark: SparkSession, d: str) -> DataFrame:
     return ops.dedupe_entities(rows)
 
 
+NAMES = (("Product", "RED RING", "Red Ring"), ("Protocol", "blue bolt", "BLUE bolt"), ("Control", "GREEN WIDGET", "green Widget"))
+
+
+def _normalized(spark: SparkSession, d: str) -> DataFrame:
+    label = F.element_at(F.array(F.lit("Product"), F.lit("Protocol"), F.lit("Control"), F.lit("Issue"), F.lit("Port")), (F.col("p_partkey") % 5 + 1).cast("int"))
+    rows = read_table(spark, d, "part").select(F.col("p_partkey").alias("id"), label.alias("label"), F.when(F.col("p_partkey") % 11 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_name", F.lit(" "))).alias("name"))
+    return ops.normalize_entities(rows, spark.createDataFrame(NAMES, "label string, variant string, name string"))
+
+
+def _searched(spark: SparkSession, d: str) -> DataFrame:
+    rows = retrieval.docs(spark, d).select(F.when(F.col("doc_id") % 2 == 0, "Issue").otherwise("Solution").alias("label"), F.col("text").alias("key")).filter("key <> ''").distinct()
+    return ops.entity_search(rows, retrieval.questions(spark, d)).select("query_id", "label", F.md5("key").alias("digest"), "score", "rank")
+
+
 QUERIES = {
+    "normalize_entities": _normalized,
+    "entity_search": _searched,
     "upsert_nodes": _upserted,
     "upsert_edges": _upserted_edges,
     "rewrite_edges": _rewritten,
@@ -94,6 +110,11 @@ QUERIES = {
 }
 
 ORACLES = {
+    "normalize_entities": """WITH e AS (SELECT p_partkey AS id, ['Product','Protocol','Control','Issue','Port'][1 + p_partkey % 5] AS label, p_name AS n FROM part WHERE p_partkey % 11 <> 0)
+        SELECT id, label, CASE WHEN label = 'Product' AND lower(n) = 'red ring' THEN 'Red Ring' WHEN label = 'Product' THEN upper(n) WHEN label = 'Protocol' AND lower(n) = 'blue bolt' THEN 'BLUE bolt' WHEN label = 'Control' AND lower(n) = 'green widget' THEN 'green Widget'
+        WHEN label = 'Control' THEN array_to_string(list_transform(string_split(n, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE n END AS name FROM e WHERE label <> 'Issue' OR length(n) > 10""",
+    "entity_search": f"""WITH source AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN 'Issue' ELSE 'Solution' END AS label, text FROM main.documents WHERE text <> ''), documents AS (SELECT label || ':' || text AS doc_id, text FROM source), {retrieval.SQL_BM25.replace(f"rank <= {retrieval.K}", "rank <= 10")}
+        SELECT query_id, CASE WHEN starts_with(doc_id, 'Issue:') THEN 'Issue' ELSE 'Solution' END AS label, md5(substring(doc_id, instr(doc_id, ':') + 1)) AS digest, score, rank FROM bm""",
     "upsert_nodes": f"WITH {SQL_NODES}, n AS (SELECT CASE label WHEN 'Part' THEN 'Camera' WHEN 'Supplier' THEN 'Port' ELSE label END AS label, key, name, key::BIGINT % 2 = 0 AS again, label = 'Part' AND key::BIGINT % 3 = 0 AS kept FROM nodes) SELECT label, key, CASE WHEN again AND NOT kept THEN upper(name) ELSE name END AS name, CASE WHEN again AND NOT kept THEN '1' ELSE '0' END AS new FROM n",
     "upsert_edges": f"WITH {SQL_EDGES} SELECT *, CASE WHEN source_type = 'Customer' AND source_key::BIGINT % 2 = 0 THEN 'new' ELSE 'old' END AS w FROM edges WHERE rel_type = 'LIVES_IN' UNION ALL SELECT *, 'new' FROM edges WHERE rel_type = 'PLACED_BY' AND target_key::BIGINT % 2 = 0",
     "rewrite_edges": f"WITH {SQL_EDGES} SELECT DISTINCT source_type, CASE WHEN source_type = 'Customer' AND source_key::BIGINT % 4 = 1 THEN (source_key::BIGINT - 1)::VARCHAR ELSE source_key END AS source_key, rel_type, target_type, CASE WHEN target_type = 'Customer' AND target_key::BIGINT % 4 = 1 THEN (target_key::BIGINT - 1)::VARCHAR ELSE target_key END AS target_key FROM edges",

@@ -21,7 +21,7 @@ SQL_BM25 = f"""{SQL_POSTINGS}, {SQL_ASKED},
 SQL_COVER = """whole AS (SELECT query_id, sum(idf) AS whole FROM asked JOIN idf USING (term) GROUP BY query_id),
   cover AS (SELECT query_id, doc_id, round(sum(idf) / any_value(whole), 6) AS score FROM bm JOIN asked USING (query_id) JOIN idf USING (term) JOIN (SELECT doc_id, term FROM postings) USING (doc_id, term) JOIN whole USING (query_id) GROUP BY query_id, doc_id),
   reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cover)"""
-_TECH = " OR ".join(f"contains(lower(text), '{t}')" for t in ops.TECHNICAL_TERMS)
+_TECH = "regexp_matches(lower(text), 'firmware|protocol|ip|rcp|rio|ci0|vp4|cvp|visca|lanc|sdi|hdmi|ndi|srt|ptz|iris|shutter|gain|white balance|tally|gpio|rs422|rs232|ethernet|tcp|udp|multicast|dhcp')"
 SQL_THRESHOLDS = rf"""thresholds AS (SELECT item_id AS query_id, round(least((CASE WHEN w <= 2 THEN 0.15 WHEN w <= 5 THEN 0.20 ELSE 0.25 END) + (CASE WHEN {_TECH} THEN 0.05 ELSE 0 END), 0.30), 2)::DOUBLE AS threshold
   FROM (SELECT *, len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda w: w <> '')) AS w FROM benchmark))"""
 SQL_RICH = """rich AS (SELECT query_id, rank, score, ['docs','cases','custom'][1 + doc_id % 3] AS source, 't' || doc_id AS title, 'u/' || (doc_id % 7) AS link, text FROM bm JOIN documents USING (doc_id))"""
@@ -80,6 +80,12 @@ def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.rerank_and_cut(fused, cover(spark, sf_dir), thresholds(spark, sf_dir), 5)
 
 
+def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = rich(spark, sf_dir).withColumn("group_key", F.concat("link", F.lit('"'))).withColumn("text", F.concat("text", F.lit("</document> end")))
+    around = questions(spark, sf_dir).filter("query_id % 4 = 0").select("query_id", F.concat(F.lit("Part: p"), "query_id").alias("graph_context"))
+    return ops.build_context(hits, graph=around)
+
+
 SQL_FUSED = """lists AS (SELECT query_id, doc_id, rank FROM bm WHERE rank <= 30 UNION ALL SELECT query_id, doc_id, rank FROM reranked WHERE rank <= 30),
   fused AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM lists GROUP BY query_id, doc_id),
   rrf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused QUALIFY rank <= 10)"""
@@ -97,10 +103,10 @@ QUERIES = {
     "dynamic_threshold": thresholds,
     "rerank_and_cut": _cut,
     "threshold_min_one": lambda s, d: ops.threshold_min_one(ops.top_k(cover(s, d), 10), thresholds(s, d)),
-    "answer_confidence": lambda s, d: ops.answer_confidence(ops.top_k(cover(s, d), 10)),
+    "answer_confidence": lambda s, d: ops.answer_confidence(ops.top_k(cover(s, d), 10).withColumn("score", F.when(F.col("query_id") % 3 != 0, F.col("score"))).filter("query_id % 6 <> 0 OR rank <= query_id % 7 + 1")),
     "source_links": lambda s, d: ops.source_links(rich(s, d)),
     "format_context": lambda s, d: ops.format_context(rich(s, d)),
-    "build_context": lambda s, d: ops.build_context(rich(s, d).withColumnRenamed("link", "group_key")),
+    "build_context": _context,
     "retrieve_batch": _retrieved,
     "eval_retrieval": _evaluated,
     "sample_eval_chunks": lambda s, d: ops.sample_eval_chunks(docs(s, d), 60).select("doc_id"),
@@ -116,10 +122,16 @@ ORACLES = {
     "dynamic_threshold": f"WITH {SQL_THRESHOLDS} SELECT * FROM thresholds",
     "rerank_and_cut": f"WITH {SQL_BM25}, {SQL_COVER}, {SQL_THRESHOLDS}, {SQL_CUT.format(from_='bm', most=30, limit=10)}",
     "threshold_min_one": f"WITH {SQL_BM25}, {SQL_COVER}, {SQL_THRESHOLDS} SELECT query_id, doc_id, score, rank, threshold FROM reranked JOIN thresholds USING (query_id) WHERE rank <= 10 AND (score >= threshold OR rank = 1)",
-    "answer_confidence": f"WITH {SQL_BM25}, {SQL_COVER}, m AS (SELECT query_id, avg(score) AS a FROM reranked WHERE rank <= 3 GROUP BY query_id) SELECT query_id, round(CASE WHEN a >= 0.7 THEN least(0.95, a) WHEN a >= 0.4 THEN 0.6 + (a - 0.4) * 0.5 WHEN a >= 0.2 THEN 0.3 + (a - 0.2) * 1.5 ELSE greatest(0.1, a) END, 4) AS confidence FROM m",
+    "answer_confidence": f"WITH {SQL_BM25}, {SQL_COVER}, m AS (SELECT query_id, CASE WHEN query_id % 3 <> 0 THEN avg(score) FILTER (rank <= 3) END AS a, count(*) AS n FROM reranked WHERE rank <= 10 AND (query_id % 6 <> 0 OR rank <= query_id % 7 + 1) GROUP BY query_id) SELECT query_id, round(CASE WHEN a IS NULL THEN CASE WHEN n >= 6 THEN 0.8 WHEN n >= 4 THEN 0.65 WHEN n >= 2 THEN 0.5 ELSE 0.35 END WHEN a >= 0.7 THEN least(0.95, a) WHEN a >= 0.4 THEN 0.6 + (a - 0.4) * 0.5 WHEN a >= 0.2 THEN 0.3 + (a - 0.2) * 1.5 ELSE greatest(0.1, a) END, 4) AS confidence FROM m",
     "source_links": f"WITH {SQL_BM25}, {SQL_RICH}, f AS (SELECT query_id, link, min(rank) AS rank FROM rich GROUP BY query_id, link) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place, link FROM f QUALIFY place <= 3",
     "format_context": rf"""WITH {SQL_BM25}, {SQL_RICH}, e AS (SELECT query_id, rank, format('[{{}}] {{}} [Source: {{}}] [Score: {{:.3f}}]' || chr(10) || '{{}}' || chr(10), rank, title, source, score, text) AS entry FROM rich),
         u AS (SELECT *, sum(length(entry)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM e) SELECT query_id, string_agg(entry, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM u WHERE used <= 8000 GROUP BY query_id""",
+    "build_context": rf"""WITH {SQL_BM25}, {SQL_RICH}, g AS (SELECT query_id, link || chr(39) AS ref, min(rank) AS place, max(score) AS score, arg_min(source, rank) AS source, string_agg(text || '</document> end', chr(10) || chr(10) ORDER BY rank) AS t FROM rich WHERE rank <= 8 GROUP BY query_id, link),
+        n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n, CASE WHEN length(t) > 4000 THEN t[1:4000] || '...' ELSE t END AS body FROM g),
+        w AS (SELECT query_id, n, '<document index="' || n || '" source="' || source || '" ref="' || ref || '" relevance="' || format('{{:.2f}}', score) || '">' || chr(10) || replace(body, '</document>', '<\/document>') || chr(10) || '</document>' AS doc FROM n),
+        b AS (SELECT *, (12000 - (sum(length(doc)) OVER (PARTITION BY query_id ORDER BY n) - length(doc)))::BIGINT AS room FROM w),
+        p AS (SELECT query_id, n, CASE WHEN length(doc) <= room THEN doc WHEN room > 200 THEN doc[1:room] || '...' END AS doc FROM b UNION ALL SELECT item_id, 0, '[Knowledge Graph Relationships]' || chr(10) || 'Part: p' || item_id FROM benchmark WHERE item_id % 4 = 0)
+        SELECT query_id, coalesce(string_agg(doc, chr(10) ORDER BY n), '') AS context FROM p GROUP BY query_id""",
     "retrieve_batch": f"WITH {SQL_BM25}, {SQL_COVER}, {SQL_THRESHOLDS}, {SQL_FUSED}, {SQL_CUT.format(from_='rrf', most=15, limit=5)}",
     "eval_retrieval": f"""WITH {SQL_BM25}, expected AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
         hits AS (SELECT query_id, min(rank) AS first, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) END) AS gain FROM bm JOIN expected USING (query_id, doc_id) GROUP BY query_id)
