@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kbforge.functions.storage import read_table
+from kbforge.functions.storage import materialize, read_table
 from kbforge.operators import retrieval as ops
 
 K = 40
@@ -39,8 +39,14 @@ def bm25(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
     return ops.search_bm25(docs(spark, sf_dir), questions(spark, sf_dir), k)
 
 
-def cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.lexical_rerank(docs(spark, sf_dir), questions(spark, sf_dir), bm25(spark, sf_dir))
+def cover(spark: SparkSession, sf_dir: str, hits: DataFrame | None = None) -> DataFrame:
+    return ops.lexical_rerank(docs(spark, sf_dir), questions(spark, sf_dir), bm25(spark, sf_dir) if hits is None else hits)
+
+
+def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The hits and their coverage, each written once as several steps read them."""
+    hits = materialize(bm25(spark, sf_dir), "hits")
+    return hits, materialize(cover(spark, sf_dir, hits), "cover")
 
 
 def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +69,12 @@ def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.fuse_rrf([bm25(spark, sf_dir), ops.top_k(cover(spark, sf_dir), K)], 10)
+    hits, covered = both(spark, sf_dir)
+    return ops.fuse_rrf([hits, ops.top_k(covered, K)], 10)
 
 
 def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.rerank_and_cut(bm25(spark, sf_dir), cover(spark, sf_dir), thresholds(spark, sf_dir), 10)
+    return ops.rerank_and_cut(*both(spark, sf_dir), thresholds(spark, sf_dir), 10)
 
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +83,8 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way: BM25 and coverage lists, fusion, rerank, threshold."""
-    fused = _fused(spark, sf_dir)
-    return ops.rerank_and_cut(fused, cover(spark, sf_dir), thresholds(spark, sf_dir), 5)
+    hits, covered = both(spark, sf_dir)
+    return ops.rerank_and_cut(ops.fuse_rrf([hits, ops.top_k(covered, K)], 10), covered, thresholds(spark, sf_dir), 5)
 
 
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
