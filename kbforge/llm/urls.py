@@ -4,7 +4,8 @@ A rule ``host + path prefix`` becomes the key ``labels of the host, last first,
 keys that begin with it, an interval of the sort order. A url asks once for its host and once for each parent domain
 (as many labels as the longest rule has, at most). Rules and asks are sorted together; intervals of prefixes nest, so at
 each rule start the stack of rules that are still open is known, and an ask takes the deepest rule of the last stack
-that begins its key. Ranges of the sort order run apart; each starts with the last rule before it.
+that begins its key. Ranges of the sort order run apart; each starts with the last rule before it. Frequent urls reach their
+pages by a bounded broadcast, so neither one url nor the pages without one make a large group.
 
 Hosts and paths: between the first ``://`` and ``/``, ``?``, ``#`` or the end, A-Z lower-cased; then up to ``?``, ``#``
 or the end. A null url or one without ``://`` has an empty host and path, fits no rule and gets the default verdict. Of
@@ -69,7 +70,8 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAU
     labels = rules.agg(F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(0)).alias("most")).first()["most"]
 
     seen = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    texts = seen.filter("host <> ''").select("host", "path").distinct()
+    urls = ["host", "path"]
+    texts = materialize(seen.filter("host <> ''").groupBy(*urls).agg(F.count("*").alias("n")), "urls")
     parts = F.split("host", r"\.")
     heads = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(max(1, labels)))), lambda n: F.array_join(F.slice(F.reverse(parts), F.lit(1), n), _SEP))
     asks = texts.select("host", "path", F.explode(heads).alias("head")).select("host", "path", F.concat("head", F.lit(_SEP + _SEP), "path").alias("key"))
@@ -91,7 +93,14 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAU
         .agg(F.max("top").alias("top"))
         .filter("top IS NOT NULL")
     )
-    return seen.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict"))
+    best = materialize(best, "judged")
+    # Urls of more than a thousandth of the pages, at most a thousand, are met by a broadcast; pages without a host by none.
+    often = texts.filter(F.col("n") > max(1000, (texts.agg(F.sum("n")).first()[0] or 0) // 1000)).select(*urls)
+    by_often = seen.join(F.broadcast(often.join(best, urls, "left")), urls)
+    by_shuffle = seen.filter("host <> ''").join(F.broadcast(often), urls, "left_anti").join(best, urls, "left")
+    without = seen.filter("host = ''").withColumn("top", F.lit(None).cast(best.schema["top"].dataType))
+    each = by_often.unionByName(by_shuffle).unionByName(without)
+    return each.select("page_id", "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict"))
 
 
 SQL = r"""
