@@ -7,16 +7,16 @@ from pyspark.sql import DataFrame, functions as F
 from kbforge.functions.storage import materialize
 
 
-def _least_of(rows: DataFrame, least: DataFrame, count: int) -> DataFrame:
-    """``rows (a, b)`` with the column ``least`` of ``a``, of ``least (a, least, n)``; ``count`` is at least half their number.
+def join_counted(rows: DataFrame, table: DataFrame, key: str, count: int) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has a row for each ``key`` with their number ``n`` at least.
 
-    Nodes of more than a thousandth of the rows are broadcast: there are at most two thousand. The rows of all others meet
-    theirs in a shuffle.
+    ``count`` is at least half the number of ``rows``. Keys of more than a thousandth of it are broadcast: there are at most
+    two thousand. All others meet theirs in a shuffle, in which no key is large.
     """
     limit = max(100, count // 1000)
-    heavy = F.broadcast(least.filter(F.col("n") > limit).select("a", "least"))
-    light = least.filter(F.col("n") <= limit).select("a", "least")
-    return rows.join(heavy, "a").unionByName(rows.join(heavy, "a", "left_anti").join(light, "a"))
+    heavy = F.broadcast(table.filter(F.col("n") > limit).drop("n"))
+    light = table.filter(F.col("n") <= limit).drop("n")
+    return rows.join(heavy, key).unionByName(rows.join(heavy, key, "left_anti").join(light, key))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -31,10 +31,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count("*").alias("n"))
-        large = _least_of(both.filter("b > a"), least, count).select(F.col("b").alias("a"), F.col("least").alias("b"))
+        large = join_counted(both.filter("b > a"), least, "a", count).select(F.col("b").alias("a"), F.col("least").alias("b"))
         stars = large.filter("a <> b").distinct()
         down = stars.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
-        small = _least_of(stars, down, count).select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b")
+        small = join_counted(stars, down, "a", count).select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b")
         current = materialize(small.unionByName(down.select("a", F.col("least").alias("b"))).distinct(), "edges")
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == state:
