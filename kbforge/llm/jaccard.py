@@ -27,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kbforge.functions.storage import materialize
 from kbforge.llm.token_words import slices
-from kbforge.operators.components import connected_components
+from kbforge.operators.components import connected_components, join_counted
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -99,7 +99,12 @@ def _described(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "row", "fp", "n", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text", "doc_id").alias("row"), "text").mapInArrow(run, f"doc_id {kind}, row long, fp binary, n long, sig binary")
+    return docs.select("doc_id", _row().alias("row"), "text").mapInArrow(run, f"doc_id {kind}, row struct<a:bigint,b:bigint>, fp binary, n long, sig binary")
+
+
+def _row() -> Column:
+    """128 bits of hashes that stand for id and text."""
+    return F.struct(F.xxhash64("text", "doc_id").alias("a"), F.xxhash64(F.lit(1), "text", "doc_id").alias("b"))
 
 
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[int]:
@@ -250,7 +255,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     clusters = connected_components(_blocked(members, "band", "blocks", ["fp", "sig"]).mapInArrow(candidates, "a binary, b binary"))
     known = materialize(clusters.join(reps.select("fp", "copies", "n", "row"), clusters["node"] == F.col("fp")).select("component", "fp", "copies", "n", "row"), "clusters")
-    size = known.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    size = known.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"), F.count("*").alias("n"))
+    of_cluster = join_counted(known, size, "component", reps.count())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,9 +264,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 found = [s.astype("<u8").tobytes() for s in shingle_sets(part)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in found], pa.binary()), pa.array(found, pa.binary())], names=["fp", "shingles"])
 
-    texts = _pick(docs.select(F.xxhash64("text", "doc_id").alias("row"), "text"), known.select("row"), "left_semi").select("text")
+    texts = _pick(docs.select(_row().alias("row"), "text"), known.select("row"), "left_semi").select("text")
     shingled = texts.mapInArrow(sets, "fp binary, shingles binary").dropDuplicates(["fp"])
-    compared = _blocked(known.join(size, "component").join(shingled, "fp"), "component", "blocks", ["fp", "copies", "shingles"])
+    compared = _blocked(of_cluster.join(shingled, "fp"), "component", "blocks", ["fp", "copies", "shingles"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
@@ -275,8 +281,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = verified.groupBy("fp").agg(F.sum("links").alias("links"))
     joined = connected_components(verified.filter("lead IS NOT NULL").select(F.col("fp").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "fp")
     named = reps.select("fp", "copies", "doc_id").join(joined, "fp", "left").join(links, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    name = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    each = named.join(name, "component").select("fp", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    name = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
+    each = join_counted(named, name, "component", reps.count()).select("fp", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     alone = rows.filter("fp IS NULL").select("doc_id", "row", "fp", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return worded.join(each, "fp").select("doc_id", "row", "fp", "class_id", "n_links").unionByName(alone)
 
@@ -302,6 +308,6 @@ def first_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     key = "row"
     while key in {c.lower() for c in docs.columns}:
         key = f"_{key}"
-    kept = _pick(docs.withColumn(key, F.xxhash64("text", "doc_id")), gone, "left_anti", key)
+    kept = _pick(docs.withColumn(key, _row()), gone, "left_anti", key)
     one = _pick(kept, twice, "left_semi", key).dropDuplicates([key])
     return _pick(kept, twice, "left_anti", key).unionByName(one).select(*(f"`{c}`" for c in docs.columns))

@@ -1,7 +1,10 @@
 import random
 import re
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
+from kbforge.functions.storage import read_table
 from kbforge.llm import jaccard
 
 
@@ -76,3 +79,27 @@ def test_a_column_named_row_stays(spark):
         docs = spark.createDataFrame(rows, f"doc_id long, text string, {name} string")
         got = jaccard.first_of_each(docs)
         assert got.columns == docs.columns and sorted(r[2] for r in got.collect()) == ["a", "c"]
+
+
+def test_links_of_all_documents(spark):
+    """Every pair of a whole table, by counting shared shingles, against the join: recall and precision at the threshold are 1."""
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    sets = {r.doc_id: shingles(r.text) for r in docs.collect()}
+    holders = defaultdict(list)
+    for i, own in sets.items():
+        for s in own:
+            holders[s].append(i)
+    shared = Counter(pair for own in holders.values() if len(own) > 1 for pair in combinations(sorted(own), 2))
+    links = Counter(x for (a, b), n in shared.items() if 9 * n >= 4 * (len(sets[a]) + len(sets[b])) for x in (a, b))
+    got = {r.doc_id: r.n_links for r in jaccard.links(docs).collect()}
+    assert sum(links.values()) > 100 and got == {i: links[i] for i in sets}
+
+
+def test_no_documents_and_columns_of_any_name(spark):
+    names = ["fp", "component", "n", "sig", "ROW", "_row", "best", "g", "class_id", "copies", "Links"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names)
+    rows = [(1, "one two three four five six", *range(11)), (2, "one two three four five six", *range(11)), (3, None, *range(11))]
+    got = jaccard.first_of_each(spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", *names] and sorted(r[0] for r in got.collect()) == [1, 3]
+    assert jaccard.first_of_each(spark.createDataFrame([], schema)).count() == 0
+    assert jaccard.links(spark.createDataFrame([("b", "x y z"), ("a", "x y z")], "doc_id string, text string")).first().class_id == "a"

@@ -44,3 +44,22 @@ def test_stages_keep_the_columns(spark):
         if stage is not corpus_pipeline.decontamination:
             assert stage(spark, docs, "").columns == docs.columns
     assert len({name for name, _ in corpus_pipeline.STAGES}) == 5 and not re.search("limit", str(corpus_pipeline.STAGES))
+
+
+def test_empty_tables_and_columns_of_any_name(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(str(tmp_path / "some" / "benchmark.parquet"))
+    for k, benchmark in enumerate(([], [(1, ITEM)])):
+        folder = str(tmp_path / str(k))
+        spark.createDataFrame([], schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        assert corpus_pipeline.run(spark, folder).count() == 0
+    odd = ["row", "_Row", "_hit", "_found", "fp", "kept", "spans", "key", "ids", "new", "_kept0", "tail", "segment"]
+    rows = [(None, PROSE[0], *odd), (7, PROSE[1] + " " + ITEM, *odd), (8, PROSE[2] + " token = 'abcdefghijklmnop'", *odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in odd))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path / "some"))
+        assert docs.columns == ["doc_id", "text", *odd]
+        assert all(tuple(r)[2:] == tuple(odd) for r in docs.collect())
+    assert sorted((r.doc_id for r in docs.collect()), key=str) == [8, None]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 2
