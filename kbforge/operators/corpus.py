@@ -171,6 +171,12 @@ def scan_terms(chunks: DataFrame, patterns: list[str]) -> DataFrame:
     return chunks.select("chunk_id", F.explode(found).alias("term"))
 
 
+def term_counts(chunks: DataFrame, patterns: list[str]) -> DataFrame:
+    """``collection, term, chunks``: in how many chunks of each collection a match stands."""
+    found = scan_terms(chunks.select("chunk_id", "text", "collection").withColumn("chunk_id", F.struct("collection", "chunk_id")), patterns)
+    return found.groupBy("chunk_id.collection", "term").agg(F.count("*").alias("chunks"))
+
+
 def auto_apply_fixes(chunks: DataFrame, fixes: DataFrame, least: float = 0.85) -> DataFrame:
     """Chunks with their confident fixes applied in order, each at its first occurrence."""
     sure = fixes.filter((F.col("confidence") >= least) & (F.col("suggestion_type") != "needs_human_review"))

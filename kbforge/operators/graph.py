@@ -13,6 +13,8 @@ from kbforge.operators import retrieval
 
 EDGE = ["source_type", "source_key", "rel_type", "target_type", "target_key"]
 #: Labels whose properties a person's edit protects, and labels of which empty new values leave old ones.
+#: Rows of a front that may be broadcast, some 50 bytes each.
+BROADCAST_FRONT = 500_000
 PROTECTED, COALESCED = ("Camera", "Product"), ("Protocol", "Port", "Control", "Firmware")
 
 
@@ -73,13 +75,18 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 2, relations: list[str] | None = None) -> DataFrame:
-    """``seed, type, key, hop``: nodes within ``hops`` of each seed (``seed, type, key``), any direction, nearest hop."""
+    """``seed, type, key, hop``: nodes within ``hops`` of each seed (``seed, type, key``), any direction, nearest hop.
+
+    A front of counted size goes to the edges by a broadcast, so that a hub's edges stay dealt out; beyond, both are shuffled
+    and skewed keys are split as the query runs.
+    """
     used = edges if relations is None else edges.filter(F.col("rel_type").isin(*relations))
-    steps = both_ways(used).select("type", "key", "other_type", "other_key").distinct()
+    steps = materialize(both_ways(used).select("type", "key", "other_type", "other_key").distinct(), "steps")
     seen = materialize(seeds.select("seed", "type", "key", F.lit(0).alias("hop")).distinct(), "hops")
     front = seen
     for hop in range(1, hops + 1):
-        reached = front.join(steps, ["type", "key"]).select("seed", F.col("other_type").alias("type"), F.col("other_key").alias("key")).distinct()
+        near = F.broadcast(front) if front.count() <= BROADCAST_FRONT else front
+        reached = steps.join(near, ["type", "key"]).select("seed", F.col("other_type").alias("type"), F.col("other_key").alias("key")).distinct()
         front = materialize(reached.join(seen, ["seed", "type", "key"], "left_anti").withColumn("hop", F.lit(hop)), "hops")
         seen = seen.unionByName(front)
     return seen.filter("hop > 0")

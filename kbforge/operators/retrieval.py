@@ -268,6 +268,12 @@ def eval_retrieval(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataF
     return per.agg(F.count("*").alias("queries"), mean((F.col("first") <= k).cast("double")).alias("recall"), mean(1.0 / F.col("first")).alias("mrr"), mean(F.col("gain")).alias("ndcg"))
 
 
+def eval_misses(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
+    """``query_id, best``: the asked queries without an expected document among the first ``k``, and where the first stands."""
+    first = ranked.join(expected, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("best"))
+    return expected.select("query_id").distinct().join(first, "query_id", "left").filter(F.col("best").isNull() | (F.col("best") > k))
+
+
 def sample_eval_chunks(chunks: DataFrame, n: int, seed: int = 7, least: int = 100) -> DataFrame:
     """``n`` chunks of more than ``least`` characters, by a hash of id and seed."""
     return chunks.filter(F.length("text") > least).orderBy(F.md5(F.concat_ws(":", "doc_id", F.lit(seed))), "doc_id").limit(n)

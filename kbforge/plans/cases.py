@@ -73,5 +73,9 @@ ORACLES = {
     "rank_urls": "WITH u AS (SELECT page_id % 40 AS item_id, url, lower(url) AS l FROM pages), s AS (SELECT item_id, url, (CASE WHEN contains(l, 'example.net') THEN 10 WHEN contains(l, 'example.org') THEN 9.5 WHEN contains(l, 'example.com') THEN 9 ELSE 0 END + CASE WHEN regexp_matches(l, 'spec|product|detail|feature|overview') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(l, 'professional|broadcast|cinema|pro[.]') THEN 1.5 ELSE 0 END - CASE WHEN regexp_matches(l, 'review|forum|blog|news|video|youtube') THEN 5 ELSE 0 END)::DOUBLE AS score FROM u) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, url) <= 2",
     "search_dense_merged": "WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score, CASE WHEN v.vec_id % 2 = 0 THEN 'docs' ELSE 'cases' END AS source FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id, source) AS rank FROM s WHERE score >= 0.25 QUALIFY rank <= 8",
     "list_fixes": "SELECT doc_id AS id, substring(text, 5, 6) AS original_text, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS total FROM documents WHERE doc_id % 2 = 0 ORDER BY doc_id DESC LIMIT 30 OFFSET 5",
+    "clean_email_text": r"""WITH b AS (SELECT conv_id, turn, string_split('From: x' || chr(10) || 'On Monday Y wrote:' || chr(10) || '> q' || chr(10) || text || chr(10) || chr(10) || chr(10) || chr(10) || 'end' || chr(10) || '--' || chr(10) || 'sig', chr(10)) AS l FROM conversations),
+        c AS (SELECT *, list_position(list_transform(l, lambda x: regexp_matches(x, '^\s*--\S?\s*$')), true) AS sign FROM b),
+        k AS (SELECT conv_id, turn, list_filter(l[1:sign - 1], lambda x: NOT regexp_matches(trim(x), '^>|^(On|Le) .+ wrote:$|^(From|To|Cc|Date|Subject):|(?i:^(Sent from my|Envoyé de mon|Get Outlook for|_+$|\*{3,}|This email and any|Ce message et toutes|Confidential))')) AS l FROM c)
+        SELECT conv_id, turn, md5(trim(regexp_replace(array_to_string(l, chr(10)), '\n{3,}', chr(10) || chr(10), 'g'))) AS digest FROM k""",
     "bm25_text": "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text || chr(10) || 'k1 k2' ELSE text END) AS digest FROM documents",
 }

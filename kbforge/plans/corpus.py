@@ -181,6 +181,7 @@ QUERIES = {
     "auto_apply_fixes": lambda s, d: ops.auto_apply_fixes(docs(s, d).withColumnRenamed("doc_id", "chunk_id"), fixes(s, d)).select("chunk_id", F.md5("text").alias("digest"), F.col("applied").cast("long").alias("applied")),
     "set_fix_status": lambda s, d: ops.set_fix_status(fixes(s, d), fixes(s, d).filter("id % 7 = 0").select("id"), "applied", F.lit("2024-01-31")).select("id", "status", "applied_at"),
     "fix_stats": lambda s, d: ops.fix_stats(fixes(s, d)),
+    "scan_terms_by_collection": lambda s, d: ops.term_counts(docs(s, d).withColumnRenamed("doc_id", "chunk_id").join(read_table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("collection")), "chunk_id"), [r"[A-Z]{3,}", r"the [a-z]{10,}"]),
 }
 
 
@@ -196,6 +197,13 @@ SQL_STORED = """WITH c AS (SELECT doc_id, text, unnest(range(greatest(1, (length
   SELECT ['docs','cases'][1 + doc_id % 2] AS collection, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8','9','a','b'][1 + ('0x' || h[17])::INT % 4] || h[18:20] || '-' || h[21:32] AS chunk_id,
   md5((CASE WHEN doc_id % {n} = 0 THEN '{batch}:' ELSE '1:' END) || substring(text, 1000 * i + 1, 1000)) AS digest, CASE WHEN doc_id % {n} = 0 THEN {batch} ELSE 1 END AS batch FROM k"""
 _RIO = r"regexp_replace(regexp_replace({x}, '(?i)\bRIO[-\s]?Live\b', 'RIO +LAN', 'g'), '(?i)\bRIO\s*\+\s*WAN\s+Live\b', 'RIO +LAN', 'g')"
+# Chunks so far and the one that is held, apart by chr(1), are folded over the paragraphs.
+SQL_PLAIN = r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS paras FROM documents),
+        f AS (SELECT doc_id, list_reduce(paras, lambda acc, x: CASE WHEN length(string_split(acc, chr(1))[-1]) + length(x) + 1 > 1000 THEN acc || chr(1)
+            || CASE WHEN length(string_split(acc, chr(1))[-1]) <= 100 THEN string_split(acc, chr(1))[-1] WHEN instr(reverse(right(acc, 100)), ' .') BETWEEN 1 AND 48 THEN right(acc, instr(reverse(right(acc, 100)), ' .') - 1) ELSE right(acc, 100) END
+            || chr(10) || x ELSE acc || chr(10) || x END) AS folded FROM p WHERE len(paras) > 0),
+        c AS (SELECT doc_id, string_split(folded, chr(1)) AS cs FROM f)
+        SELECT doc_id, unnest(range(len(cs))) AS chunk_index, len(cs) AS total_chunks, unnest(list_transform(cs, lambda x: md5(regexp_replace(x, '^\s+|\s+$', '', 'g')))) AS digest FROM c"""
 ORACLES = {
     "chunk_rows": "SELECT doc_id, 0 AS chunk_index, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8','9','a','b'][1 + ('0x' || h[17])::INT % 4] || h[18:20] || '-' || h[21:32] AS chunk_id FROM (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(doc_id || '_0')) AS h FROM documents)",
     "rebuild_documents": "SELECT conv_id AS doc_id, count(*) AS chunks, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (text <> ''), '')) AS digest FROM conversations GROUP BY conv_id",
@@ -212,6 +220,14 @@ ORACLES = {
     "snippet": "SELECT doc_id, CASE WHEN length(text) > 300 THEN text[1:297] || '...' ELSE text END AS snippet, length(text) // 4 AS tokens FROM documents",
     "normalize_doc_url": f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 3 THEN url ELSE '{T.DOCS_HOST}docs/' || page_id END AS url FROM pages",
     "relative_time": "WITH e AS (SELECT event_id, ts, event_id * 104729 % 36000000 AS s FROM events) SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' min ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s // 86400 < 7 THEN (s // 86400) || ' day' || CASE WHEN s // 86400 = 1 THEN '' ELSE 's' END || ' ago' WHEN s // 86400 < 35 THEN (s // 604800) || ' week' || CASE WHEN s // 604800 = 1 THEN '' ELSE 's' END || ' ago' WHEN s // 86400 < 360 THEN (s // 2592000) || ' month' || CASE WHEN s // 2592000 = 1 THEN '' ELSE 's' END || ' ago' ELSE strftime(ts, '%Y-%m-%d') END AS age FROM e",
+    "chunk_plain": SQL_PLAIN,
+    "chunks_of_document": f"SELECT doc_id, chunk_index, digest FROM ({SQL_PLAIN}) WHERE doc_id % 20 = 0 AND chunk_index < 4",
+    "pii_counts": r"""SELECT doc_id AS conv_id, len(list_distinct(list_transform(regexp_extract_all(text, '(?i)\bCY-[A-Z][A-Z0-9]{1,3}-\d{1,3}-\d{1,3}\b'), lambda x: upper(x)))) AS serials,
+        len(list_distinct(list_transform(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b'), lambda x: lower(x)))) AS emails,
+        len(list_distinct(list_filter(regexp_extract_all(text, '(?:\+\d{1,3}[-.\s]?)?\(?\d{1,4}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,9}'), lambda x: length(regexp_replace(x, '\D', '', 'g')) >= 7))) AS phones FROM documents""",
+    "answer_preview": r"""WITH o AS (SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^[>\-*•\s]+', '') AS o FROM documents), h AS (SELECT doc_id, o, o[1:240] AS head FROM o),
+        s AS (SELECT *, regexp_extract(head, '^(.*[.!?]) ', 1) AS sentence, regexp_extract(head, '^(.*) ', 1) AS word FROM h)
+        SELECT doc_id, CASE WHEN o = '' THEN NULL WHEN length(o) <= 240 THEN o WHEN length(sentence) > 120 THEN sentence || ' …' WHEN word <> '' THEN word || '…' ELSE head || '…' END AS preview FROM s""",
     "chunk_size_by_type": "SELECT doc_id, [350, 450, 400][1 + doc_id % 3] AS size FROM documents",
     "markdown_title": r"WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '## Second' || chr(10) || '# First ' WHEN 1 THEN '##  Only second ' || chr(10) ELSE '' END || text AS t FROM documents) SELECT doc_id, coalesce(nullif(trim(regexp_extract(t, '(?m)^#\s+(.+)$', 1)), ''), nullif(trim(regexp_extract(t, '(?m)^##\s+(.+)$', 1)), '')) AS title FROM t",
     "parse_sender": """WITH t AS (SELECT conv_id, turn, conv_id % 5 AS i, 'P' || conv_id AS n, turn % 2 = 0 AND conv_id % 5 = 0 AS orig, turn % 3 = 0 AS reply FROM conversations)
@@ -233,6 +249,7 @@ ORACLES = {
     "case_stats": f"WITH {SQL_LABELLED} SELECT 'category' AS facet, category AS key, count(*) AS n FROM c GROUP BY category UNION ALL SELECT 'product', product, count(*) FROM c GROUP BY product UNION ALL SELECT 'quality', quality::VARCHAR, count(*) FROM c GROUP BY quality UNION ALL SELECT 'total', '', count(*) FROM c",
     "pending_threads": "WITH t AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'user' ELSE role END AS role FROM conversations) SELECT conv_id, max(turn) AS last_turn, arg_max(role, turn) AS last_role, count(*) AS n FROM t WHERE conv_id % 4 <> 0 GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') = 0 ORDER BY conv_id DESC LIMIT 40",
     "scan_terms": r"SELECT DISTINCT doc_id AS chunk_id, unnest(list_concat(regexp_extract_all(text, '[A-Z]{3,}'), regexp_extract_all(text, 'the [a-z]{10,}'))) AS term FROM documents",
+    "scan_terms_by_collection": r"WITH t AS (SELECT source AS collection, doc_id, unnest(list_distinct(list_concat(regexp_extract_all(text, '[A-Z]{3,}'), regexp_extract_all(text, 'the [a-z]{10,}')))) AS term FROM documents) SELECT collection, term, count(*) AS chunks FROM t GROUP BY collection, term",
     "auto_apply_fixes": "WITH f AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 9 AND length(text) > 4 THEN substring(text, 5, 6) END AS old FROM documents), p AS (SELECT *, CASE WHEN old IS NULL THEN 0 ELSE instr(lower(text), lower(old)) END AS p FROM f) SELECT doc_id AS chunk_id, md5(CASE WHEN p > 0 THEN substring(text, 1, p - 1) || '<FIX>' || substring(text, p + length(old)) ELSE text END) AS digest, (p > 0)::BIGINT AS applied FROM p",
     "set_fix_status": "SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'applied' WHEN doc_id % 2 = 0 THEN 'pending' ELSE 'approved' END AS status, CASE WHEN doc_id % 7 = 0 THEN '2024-01-31' END AS applied_at FROM documents",
     "fix_stats": "SELECT 'status' AS facet, CASE WHEN doc_id % 2 = 0 THEN 'pending' ELSE 'approved' END AS key, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'type', CASE WHEN doc_id % 5 = 0 THEN 'needs_human_review' ELSE 'spelling' END, count(*) FROM documents GROUP BY 2",
