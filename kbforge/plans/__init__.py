@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that each hold QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("analytics", "cases", "catalog", "corpus", "graph", "retrieval", "streams")
+MODULES: tuple[str, ...] = ("analytics", "cases", "catalog", "corpus", "files", "graph", "retrieval", "streams")
 
 
 def _gather(attribute: str) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kbforge.functions.text import term_transforms
@@ -22,15 +24,16 @@ def front_matter(text: Column) -> tuple[Column, Column]:
     return F.map_from_entries(last), F.regexp_replace(text, FRONT, "")
 
 
-def read_markdown_corpus(spark: SparkSession, path: str, base_url: str = "", least: int = 100) -> DataFrame:
-    """``path, title, url, keywords, text`` of all ``.md`` and ``.mdx`` files whose names do not begin with ``_``."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{md,mdx}")
+def read_markdown_corpus(spark: SparkSession, path: str, base_url: str = "", least: int = 100, endings: tuple[str, ...] = ("md", "mdx")) -> DataFrame:
+    """``path, title, url, keywords, text`` of all files with the given endings whose names do not begin with ``_``."""
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{" + ",".join(endings) + "}")
+    ending = r"\.(?:" + "|".join(map(re.escape, endings)) + ")$"
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), "value").filter(~F.startswith("name", F.lit("_")))
     front, body = front_matter(F.col("value"))
-    rows = rows.select("path", F.regexp_replace("name", r"\.mdx?$", "").alias("stem"), front.alias("front"), F.trim(body).alias("body")).filter(F.length("body") >= least)
+    rows = rows.select("path", F.regexp_replace("name", ending, "").alias("stem"), front.alias("front"), F.trim(body).alias("body")).filter(F.length("body") >= least)
     head = lambda p: F.nullif(F.trim(F.regexp_extract("body", p, 1)), F.lit(""))
     title = F.coalesce(F.element_at("front", "title"), head(r"(?m)^#\s+(.+)$"), head(r"(?m)^##\s+(.+)$"), "stem")
-    under = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.mdx?$", ""), r"^.*" + path.rstrip("/").rsplit("/", 1)[-1] + "/", ""), r"/index$", "")
+    under = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", ending, ""), "^.*" + re.escape(path.rstrip("/").rsplit("/", 1)[-1]) + "/", ""), r"/index$", "")
     url = F.concat(F.lit(base_url), F.regexp_replace(F.coalesce(F.element_at("front", "slug"), under), "^/", ""))
     listed = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(F.element_at("front", "keywords"), F.lit("")), r"[\[\]\"']", ""), ","), lambda k: F.trim(k)), lambda k: k != "")
     return rows.select("path", title.alias("title"), url.alias("url"), listed.alias("keywords"), term_transforms(F.col("body")).alias("text"))
@@ -95,13 +98,13 @@ def read_mail_threads(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("thread_id", subject.alias("subject"), text.alias("text"), F.size("messages").alias("message_count"))
 
 
-def read_fixes(spark: SparkSession, path: str) -> DataFrame:
-    """Terminology fixes from an export, with defaults for what is missing."""
+def read_fixes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Terminology fixes from an export, with defaults for what is missing; ``lines`` for exports of ``write_fixes``."""
     fix = "struct<id:string,chunk_id:string,collection:string,original_text:string,suggested_text:string,suggestion_type:string,confidence:double,reasoning:string,status:string>"
-    rows = spark.read.schema(f"exported_at string, total long, fixes array<{fix}>").json(path, multiLine=True)
+    rows = spark.read.schema(f"exported_at string, total long, fixes array<{fix}>").json(path, multiLine=not lines)
     return rows.select(F.inline("fixes")).withColumns({"reasoning": F.coalesce("reasoning", F.lit("")), "status": F.coalesce("status", F.lit("pending"))})
 
 
 def write_fixes(fixes: DataFrame, path: str) -> None:
-    """One JSON object a line and file; an export that is read back by Spark needs no single document."""
+    """One JSON object a line; an export that is read back by Spark needs no single document."""
     fixes.select(F.array(F.struct(*fixes.columns)).alias("fixes")).write.json(path)

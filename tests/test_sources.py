@@ -51,5 +51,5 @@ def test_fixes(spark, tmp_path):
     (tmp_path / "f.json").write_text(json.dumps({"exported_at": "x", "total": 1, "fixes": [{"id": "1", "original_text": "a", "confidence": 0.9}]}))
     fixes = sources.read_fixes(spark, str(tmp_path / "f.json"))
     assert fixes.first().status == "pending" and fixes.first().reasoning == ""
-    sources.write_fixes(fixes, str(tmp_path / "out"))
-    assert sources.read_fixes(spark, str(tmp_path / "out")).count() == 1
+    sources.write_fixes(fixes.union(fixes).coalesce(1), str(tmp_path / "out"))
+    assert sources.read_fixes(spark, str(tmp_path / "out"), lines=True).count() == 2
