@@ -20,6 +20,7 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,10 @@ SAMPLE_DOCS = 500
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 UNKNOWN = "und"
-#: Number signs that are no letters, though ``\\w`` takes them: fractions, superscripts, numerals.
-_SIGNS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{_SIGNS}]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Which characters are number signs that are no letters, though ``\\w`` takes them: fractions, superscripts, numerals.
+_IS_SIGN = np.array([c.isalnum() and not c.isalpha() and not c.isdecimal() for c in map(chr, range(sys.maxunicode + 1))])
+_SIGNS = re.compile("[" + "".join(map(chr, np.flatnonzero(_IS_SIGN).tolist())) + "]")
 #: Rows of a table of languages that may be broadcast.
 BROADCAST_LANGUAGES = 100_000
 #: Characters of text whose words are scored at a time.
@@ -48,6 +50,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def _words(texts: list[str]) -> list[list[str]]:
+    """The words of each text; signs are looked for in all texts at once, as few have any."""
+    if _IS_SIGN[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)].any():
+        texts = [t if t.isascii() else _SIGNS.sub(" ", t) for t in texts]
+    return [_LETTERS.findall(t.lower()) for t in texts]
+
+
 def _grams(word: str, n: int) -> list[str]:
     if n == 1:
         return list(word)
@@ -72,7 +81,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             found: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.update((lang, w) for w in _LETTERS.findall(text.lower()))
+                found.update((lang, w) for w in _words([text])[0])
             langs, words = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(found.values(), pa.int64())], names=["lang", "word", "n"])
 
@@ -139,11 +148,11 @@ class Scorer:
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(self.model.langs)))
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, new: list[str]) -> None:
         """Add the scores of new words; those of unknown words are the means of their known n-grams' scores."""
-        while len(self.rows) + len(words) > len(self.table):
+        while len(self.rows) + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        new, base = list(words), len(self.rows)
+        base = len(self.rows)
         self.rows.update(zip(new, range(base, base + len(new))))
         block = self.table[base : base + len(new)]
         block[:] = 0
@@ -168,7 +177,7 @@ class Scorer:
             rest = left
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        words = [_LETTERS.findall(t.lower()) for t in texts]
+        words = _words(texts)
         sizes = np.array([len(w) for w in words], np.int64)
         out = [(UNKNOWN, 0.0)] * len(texts)
         full = np.flatnonzero(sizes)
@@ -176,9 +185,10 @@ class Scorer:
             return out
         if len(self.rows) > _CACHE:
             self.clear()
-        self.learn(set().union(*words) - self.rows.keys())
-        known = self.rows.__getitem__
-        codes = np.fromiter((known(w) for own in words for w in own), np.int64, int(sizes.sum()))
+        coded = pa.array(list(chain.from_iterable(words)), pa.string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.learn([w for w in distinct if w not in self.rows])
+        codes = np.fromiter(map(self.rows.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         sums = np.add.reduceat(self.table[codes], (np.cumsum(sizes) - sizes)[full], axis=0)
         best = sums.argmax(axis=1)
         share = 1.0 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
