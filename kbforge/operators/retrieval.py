@@ -13,6 +13,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kbforge.functions.storage import materialize
+
 TERM = r"[\p{L}\p{N}_]+"
 #: Fixed values.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
@@ -57,11 +59,11 @@ def top_k(hits: DataFrame, k: int, by: str = "query_id", key: str = "doc_id") ->
 
 
 def search_bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """``query_id, doc_id, score, rank``: postings are cut to the queries' terms before anything is joined."""
+    """``query_id, doc_id, score, rank``: postings are cut to the queries' terms and written before anything is joined."""
     asked = query_terms(queries)
     postings = bm25_postings(docs)
     sizes = docs.agg(F.count("*").alias("n"), F.sum(F.size(terms_of(F.col("text")))).alias("total"))
-    useful = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    useful = materialize(postings.join(asked.select("term").distinct(), "term", "left_semi"), "postings")
     idf = useful.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes)).select("term", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), (F.col("total") / F.col("n")).alias("avg_len"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
     scored = useful.join(idf, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
@@ -74,7 +76,7 @@ def lexical_rerank(docs: DataFrame, queries: DataFrame, candidates: DataFrame) -
     Postings are cut to the terms asked for where they are made.
     """
     asked = query_terms(queries)
-    postings = bm25_postings(docs).join(asked.select("term").distinct(), "term", "left_semi")
+    postings = materialize(bm25_postings(docs).join(asked.select("term").distinct(), "term", "left_semi"), "postings")
     idf = bm25_idf(postings, docs.agg(F.count("*").alias("n")))
     weights = asked.join(idf.select("term", "idf"), "term")
     whole = weights.groupBy("query_id").agg(F.sum("idf").alias("whole"))
@@ -252,6 +254,7 @@ def expected_documents(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """
     inner = queries.select("query_id", "text", F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)).alias("t")).select("query_id", F.explode(F.array_distinct(F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0))))).alias("term"))
     postings = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).join(inner.select("term").distinct(), "term", "left_semi")
+    postings = materialize(postings, "postings")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     rare = inner.join(df, "term").groupBy("query_id").agg(F.min(F.struct("df", "term"))["term"].alias("term"))
     pairs = postings.join(rare, "term").select("query_id", "doc_id")
