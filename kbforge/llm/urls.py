@@ -96,8 +96,8 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAU
     best = materialize(best, "judged")
     # Urls of more than a thousandth of the pages, at most a thousand, are met by a broadcast; pages without a host by none.
     often = texts.filter(F.col("n") > max(1000, (texts.agg(F.sum("n")).first()[0] or 0) // 1000)).select(*urls)
-    by_often = seen.join(F.broadcast(often.join(best, urls, "left")), urls)
-    by_shuffle = seen.filter("host <> ''").join(F.broadcast(often), urls, "left_anti").join(best, urls, "left")
+    by_often = seen.join(F.broadcast(often.join(best.hint("merge"), urls, "left")), urls)
+    by_shuffle = seen.filter("host <> ''").join(F.broadcast(often), urls, "left_anti").join(best.hint("merge"), urls, "left")
     without = seen.filter("host = ''").withColumn("top", F.lit(None).cast(best.schema["top"].dataType))
     each = by_often.unionByName(by_shuffle).unionByName(without)
     return each.select("page_id", "host", "path", F.col("top.rule").alias("rule"), F.coalesce("top.verdict", F.lit(default)).alias("verdict"))
