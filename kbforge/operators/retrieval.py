@@ -34,13 +34,15 @@ def terms_of(text: Column) -> Column:
     return F.filter(found, lambda t: ~t.isin(*STOP_WORDS))
 
 
-def bm25_postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, term, tf, doc_len`` of each term of each document, counted in its row: sorted terms are cut where they change."""
-    terms = docs.select(key, F.array_sort(terms_of(F.col(text))).alias("terms"))
-    first = F.filter(F.sequence(F.lit(1), F.size("terms")), lambda i: (i == 1) | (F.get("terms", i - 1) != F.get("terms", i - 2)))
-    cut = terms.filter(F.size("terms") > 0).select(key, "terms", first.alias("first"))
-    counts = F.transform("first", lambda a, k: F.struct(F.get("terms", a - 1).alias("term"), (F.coalesce(F.get("first", k + 1), F.size("terms") + 1) - a).cast("long").alias("tf")))
-    return cut.select(key, F.size("terms").cast("long").alias("doc_len"), F.explode(counts).alias("c")).select(key, "c.term", "c.tf", "doc_len")
+def bm25_postings(docs: DataFrame, key: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """``key, term, tf, doc_len`` of each term of each document; counts are combined before they are shuffled.
+
+    With ``only`` (``term``) just these terms are counted; all others go where they are read.
+    """
+    words = docs.select(key, terms_of(F.col(text)).alias("terms")).select(key, F.size("terms").cast("long").alias("doc_len"), F.explode("terms").alias("term"))
+    if only is not None:
+        words = words.join(only.distinct(), "term", "left_semi")
+    return words.groupBy(key, "term", "doc_len").agg(F.count("*").alias("tf")).select(key, "term", "tf", "doc_len")
 
 
 def bm25_idf(postings: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -61,9 +63,8 @@ def top_k(hits: DataFrame, k: int, by: str = "query_id", key: str = "doc_id") ->
 def search_bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, doc_id, score, rank``: postings are cut to the queries' terms and written before anything is joined."""
     asked = query_terms(queries)
-    postings = bm25_postings(docs)
     sizes = docs.agg(F.count("*").alias("n"), F.sum(F.size(terms_of(F.col("text")))).alias("total"))
-    useful = materialize(postings.join(asked.select("term").distinct(), "term", "left_semi"), "postings")
+    useful = materialize(bm25_postings(docs, only=asked.select("term")), "postings")
     idf = useful.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes)).select("term", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), (F.col("total") / F.col("n")).alias("avg_len"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
     scored = useful.join(idf, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
@@ -76,7 +77,7 @@ def lexical_rerank(docs: DataFrame, queries: DataFrame, candidates: DataFrame) -
     Postings are cut to the terms asked for where they are made.
     """
     asked = query_terms(queries)
-    postings = materialize(bm25_postings(docs).join(asked.select("term").distinct(), "term", "left_semi"), "postings")
+    postings = materialize(bm25_postings(docs, only=asked.select("term")), "postings")
     idf = bm25_idf(postings, docs.agg(F.count("*").alias("n")))
     weights = asked.join(idf.select("term", "idf"), "term")
     whole = weights.groupBy("query_id").agg(F.sum("idf").alias("whole"))
