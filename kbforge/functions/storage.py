@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder of each local application that names none.
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.
 
-    Only a local session that names none (as in tests) gets a temporary folder; executors elsewhere would not see it.
+    Only a local session that names none (as in tests) gets a temporary folder, one for the application; executors
+    elsewhere would not see it. The setting itself cannot be changed in a running session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        own = spark.sparkContext.applicationId
+        root = _local_dirs[own] = _local_dirs.get(own) or tempfile.mkdtemp(prefix="spark-")
     return root.rstrip("/")
 
 
