@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kbforge.functions.storage import read_table
-from kbforge.llm import decontaminate, jaccard, language, licenses, merkle, periodic, quality, secrets, sentencepiece, separators, urls, wavelet
+from kbforge.llm import decontaminate, htmlcut, jaccard, language, licenses, merkle, periodic, quality, secrets, sentencepiece, separators, urls, wavelet
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.periodic_runs(read_table(spark, sf_dir, "documents"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlcut.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,10 +71,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_language_id, op2_benchmark_decontamination, op3_quality_rules, op4_license_scans, op5_token_output, op6_jaccard_join, op7_sentencepiece,
-        op8_token_counts, op9_url_filters, op10_secret_scans, op11_merkle_manifest, op12_periodic_runs, pipeline,
+        op8_token_counts, op9_url_filters, op10_secret_scans, op11_merkle_manifest, op12_periodic_runs, op13_html_extraction, pipeline,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scans": licenses.sql(), "op3_quality_rules": quality.SQL, "op9_url_filters": urls.SQL, "op11_merkle_manifest": merkle.sql(), "op12_periodic_runs": periodic.SQL}
+    return {"op4_license_scans": licenses.sql(), "op3_quality_rules": quality.SQL, "op9_url_filters": urls.SQL, "op11_merkle_manifest": merkle.sql(), "op12_periodic_runs": periodic.SQL, "op13_html_extraction": htmlcut.SQL}
