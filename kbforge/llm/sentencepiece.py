@@ -9,10 +9,13 @@
    encoding. For such a model the fold goes over the same edges in the order of their scores, from the left among equals, and
    keeps a mark for each place where two symbols meet: an edge joins its span where both its ends are marked and one place
    within. That is the model's own encoding, because a piece always comes after its two parts in that order. A few pieces
-   (runs of blanks) do not; segments that hold one of them are merged step by step in a task.
+   (runs of blanks) do not; segments that hold one of them are merged step by step in a task, and so are segments above
+   ``LONG`` characters, as a fold's work on one grows by the square: the same ids in a time that grows with the length and
+   its logarithm, in some 100 bytes a character.
    Characters that no piece covers become their UTF-8 bytes' pieces, or unknown.
-3. The segments' ids, sorted by a 64-bit hash of the segment, go to the tasks, which look up their texts' segments. Only
-   segments above a frequency, at most ``TABLE_SEGMENTS``, are broadcast; others are joined to the texts that hold them.
+3. The segments' ids, sorted by a 64-bit hash of the segment, go to the tasks, which look up their texts' segments and compare
+   these themselves. Only segments above a frequency, at most ``TABLE_SEGMENTS`` and ``TABLE_BYTES``, are broadcast; others
+   are joined to the texts that hold them, frequent texts in several parts.
 
 Normalisation must be the identity, as in the model used here; other models are refused. Null and empty texts have no ids. Null ids and repeated rows stay, other columns are ignored. An empty
 table gives no rows.
@@ -23,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,10 +38,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kbforge.functions.storage import materialize
 from kbforge.llm.token_words import bounds, column_slices, gathered, runs
+from kbforge.operators.components import join_spread
 
 SPACE = "▁"
-#: Segments that may be broadcast; a table of this size takes some 100 MB.
-TABLE_SEGMENTS = 4_000_000
+#: Segments, and bytes of a table of segments, that may be broadcast.
+TABLE_SEGMENTS, TABLE_BYTES = 4_000_000, 160_000_000
+#: Bytes of a segment in that table, besides its own and those of its ids.
+ROW_BYTES = 28
+#: Characters of a segment that is folded; longer ones are encoded step by step.
+LONG = 256
 #: Segments of a task of the lattice, about.
 PART_SEGMENTS = 16_000
 #: Rows of segments that a task gathers before it hands them on.
@@ -84,6 +93,8 @@ class Pieces:
         out.pairs = {p[i : i + 2] for p in out.ids for i in range(len(p) - 1)}
         if any(SPACE in p.lstrip(SPACE) for p in out.ids):
             raise ValueError("pieces that cross white space are not read")
+        scores = np.array(out.scores)[list(out.ids.values())] if out.ids else np.zeros(0)
+        out.ranks = dict(zip(out.ids, np.unique(-scores, return_inverse=True)[1].tolist()))
         if kind == BPE and (out.longest >= 1 << LENGTH_BITS or len(out.pieces) >= 1 << ID_BITS):
             raise ValueError("only BPE models of pieces up to 31 characters and ids up to 131071 are read")
         out.irregular = [p for p in out.ids if len(p) > 1 and not out.in_order(p)] if kind == BPE else []
@@ -113,8 +124,7 @@ class Pieces:
     def table(self, spark: SparkSession) -> DataFrame:
         """``piece, id, score, rank`` (from the highest score), with blanks for ``▁``: as many rows as the model has pieces."""
         ids = np.array(list(self.ids.values()), np.int32)
-        scores = np.array(self.scores)[ids]
-        frame = pd.DataFrame({"piece": [p.replace(SPACE, " ") for p in self.ids], "id": ids, "score": scores, "rank": np.unique(-scores, return_inverse=True)[1].astype(np.int64)})
+        frame = pd.DataFrame({"piece": [p.replace(SPACE, " ") for p in self.ids], "id": ids, "score": np.array(self.scores)[ids], "rank": np.array(list(self.ranks.values()), np.int64)})
         return spark.createDataFrame(frame, "piece string, id int, score double, rank long")
 
     def spelt(self, char: str) -> list[int]:
@@ -323,44 +333,7 @@ def lattice(found: DataFrame, model: Pieces, parts: int | None = None) -> DataFr
 def encode_long(segment: str, model: Pieces) -> list[int]:
     """One segment, step by step, in time that grows as its length times a logarithm."""
     segment = segment.replace(" ", SPACE)
-    n = len(segment)
-    if model.kind == UNIGRAM:
-        floor = min((model.scores[i] for i in model.ids.values()), default=0.0) - 10.0
-        best, lead = [0.0] + [-1e300] * n, [0] * (n + 1)
-        for i in range(1, n + 1):
-            for k in range(1, min(i, model.longest) + 1):
-                piece = model.ids.get(segment[i - k : i])
-                score = model.scores[piece] if piece is not None else floor if k == 1 else None
-                if score is not None and best[i - k] + score >= best[i]:
-                    best[i], lead[i] = best[i - k] + score, k
-        cuts = [n]
-        while cuts[-1]:
-            cuts.append(cuts[-1] - lead[cuts[-1]])
-        cuts.reverse()
-    else:
-        after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap: list[tuple[float, int, int]] = []
-
-        def offer(a: int) -> None:
-            if 0 <= a < n and after[a] < n:
-                piece = model.ids.get(segment[a : ends[after[a]]]) if ends[after[a]] - a <= model.longest else None
-                if piece is not None:
-                    heapq.heappush(heap, (-model.scores[piece], a, ends[after[a]]))
-
-        for a in range(n - 1):
-            offer(a)
-        gone = [False] * n
-        while heap:
-            _, a, end = heapq.heappop(heap)
-            if gone[a] or after[a] >= n or ends[after[a]] != end:
-                continue
-            b = after[a]
-            gone[b], ends[a], after[a] = True, end, after[b]
-            if after[a] < n:
-                before[after[a]] = a
-            offer(before[a])
-            offer(a)
-        cuts = [a for a in range(n) if not gone[a]] + [n]
+    cuts = _viterbi_cuts(segment, model) if model.kind == UNIGRAM else _merged_cuts(segment, model)
     out: list[int] = []
     for a, b in zip(cuts, cuts[1:]):
         piece = model.ids.get(segment[a:b])
@@ -368,17 +341,64 @@ def encode_long(segment: str, model: Pieces) -> list[int]:
     return out
 
 
+def _viterbi_cuts(segment: str, model: Pieces) -> list[int]:
+    n, floor = len(segment), min((model.scores[i] for i in model.ids.values()), default=0.0) - 10.0
+    best, lead = array("d", [-1e300]) * (n + 1), array("i", [0]) * (n + 1)
+    best[0] = 0.0
+    for i in range(1, n + 1):
+        for k in range(1, min(i, model.longest) + 1):
+            piece = model.ids.get(segment[i - k : i])
+            score = model.scores[piece] if piece is not None else floor if k == 1 else None
+            if score is not None and best[i - k] + score >= best[i]:
+                best[i], lead[i] = best[i - k] + score, k
+    cuts = [n]
+    while cuts[-1]:
+        cuts.append(cuts[-1] - lead[cuts[-1]])
+    return cuts[::-1]
+
+
+def _merged_cuts(segment: str, model: Pieces) -> array:
+    """Symbols are merged in the order of the pieces' ranks, from the left among equals; an offer is one number."""
+    n, ranks, longest = len(segment), model.ranks, model.longest
+    #: Where the symbol at a place ends, and where the one before begins; a symbol that was merged away ends at -1.
+    ends, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+    offers: list[int] = []
+
+    def offer(a: int) -> None:
+        b = ends[a]
+        if b < n and ends[b] - a <= longest:
+            rank = ranks.get(segment[a : ends[b]])
+            if rank is not None:
+                heapq.heappush(offers, (rank << START_BITS + 8 | a) << 8 | ends[b] - a)
+
+    for a in range(n - 1):
+        offer(a)
+    while offers:
+        found = heapq.heappop(offers)
+        a = found >> 8 & (1 << START_BITS + 8) - 1
+        b = ends[a]
+        if not 0 <= b < n or ends[b] != a + (found & 255):
+            continue
+        ends[a], ends[b] = ends[b], -1
+        if ends[a] < n:
+            before[ends[a]] = a
+            offer(a)
+        if before[a] >= 0:
+            offer(before[a])
+    return array("i", [a for a in range(n) if ends[a] >= 0]) + array("i", [n])
+
+
 def vocabulary(docs: DataFrame, model: Pieces) -> tuple[DataFrame, DataFrame]:
     """``segment, n`` and ``segment, ids`` of every distinct segment of the texts."""
     found = materialize(segments(docs, model), "segments")
     odd = F.col("segment").rlike("|".join(re.escape(p.replace(SPACE, " ")) for p in model.irregular)) if model.irregular else F.lit(False)
-    if model.kind == BPE:
-        odd |= F.length("segment") >= 1 << START_BITS
+    odd |= F.length("segment") > LONG
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode_long(s, shared.value) for s in batch.column(0).to_pylist()], pa.list_(pa.int32()))], names=["segment", "ids"])
+            for part in column_slices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([part, pa.array([encode_long(s, shared.value) for s in part.to_pylist()], pa.list_(pa.int32()))], names=["segment", "ids"])
 
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.count() // PART_SEGMENTS + 1)
@@ -398,30 +418,35 @@ def _hash(segments_: pa.Array, turn: int) -> np.ndarray:
 
 
 def packed(rows: DataFrame, kind: np.dtype, turn: int) -> DataFrame:
-    """``hashes, sizes, ids``: the table's rows as runs of bytes, so that the driver handles few objects."""
+    """``hashes, sizes, ids, lengths, segments``: the table's rows as runs of bytes, so that the driver handles few objects."""
+    names = ["hashes", "sizes", "ids", "lengths", "segments"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                own = [_hash(batch.column(0), turn).tobytes(), batch.column(1).value_lengths().to_numpy().astype("<u4").tobytes(), batch.column(1).flatten().to_numpy().astype(kind).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.binary()) for r in own], names=["hashes", "sizes", "ids"])
+                starts, data = spans(batch.column(0))
+                ids = batch.column(1)
+                own = [_hash(batch.column(0), turn), ids.value_lengths().to_numpy().astype("<u4"), ids.flatten().to_numpy().astype(kind), np.diff(starts).astype("<u4"), data]
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes()], pa.binary()) for r in own], names=names)
 
-    return rows.select("segment", "ids").mapInArrow(run, "hashes binary, sizes binary, ids binary")
+    return rows.select("segment", "ids").mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
 
 class Table:
-    """The frequent segments: sorted hashes, and where each one's ids stand in one run; some 24 bytes a segment."""
+    """The frequent segments: sorted hashes, and for each the segment and where its ids stand in one run."""
 
     def __init__(self, rows: list, kind: np.dtype, turn: int):
         self.kind, self.turn = kind, turn
-        self.ids = b"".join(r["ids"] for r in rows)
-        hashes = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint64)
-        sizes = np.frombuffer(b"".join(r["sizes"] for r in rows), "<u4")
+        joined = {name: b"".join(r[name] for r in rows) for name in ("hashes", "sizes", "ids", "lengths", "segments")}
+        self.ids, self.segments = joined["ids"], joined["segments"]
+        hashes, sizes, lengths = np.frombuffer(joined["hashes"], np.uint64), np.frombuffer(joined["sizes"], "<u4"), np.frombuffer(joined["lengths"], "<u4")
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
         self.clashes = bool((self.hashes[1:] == self.hashes[:-1]).any())
         self.sizes = (sizes[order] * kind.itemsize).astype(np.uint32)
         self.starts = ((np.cumsum(sizes, dtype=np.int64) - sizes)[order] * kind.itemsize).astype(np.int64)
+        #: Where the segments stand in their run, in its order, and the place there of each hash.
+        self.cuts, self.order = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), order.astype(np.int32)
 
     @classmethod
     def of(cls, rows: DataFrame, kind: np.dtype) -> "Table":
@@ -432,6 +457,15 @@ class Table:
             table = cls(packed(rows, kind, turn).collect(), kind, turn)
         return table
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_own"}
+
+    def own(self, at: np.ndarray) -> pa.Array:
+        """The segments of some hashes."""
+        if "_own" not in self.__dict__:
+            self._own = pa.Array.from_buffers(pa.large_binary(), len(self.hashes), [None, pa.py_buffer(self.cuts), pa.py_buffer(self.segments)])
+        return self._own.take(pa.array(self.order[at]))
+
     def look_up(self, segments_: pa.Array) -> list[bytes | None]:
         if not len(segments_) or not len(self.hashes):
             return [None] * len(segments_)
@@ -440,7 +474,9 @@ class Table:
         at = np.empty(len(h), np.int64)
         at[order] = np.searchsorted(self.hashes, h[order])
         at = np.minimum(at, len(self.hashes) - 1)
-        first = np.where(self.hashes[at] == h, self.starts[at], -1).tolist()
+        same = self.hashes[at] == h
+        same &= pc.equal(self.own(at), segments_.cast(pa.binary()).cast(pa.large_binary())).to_numpy(zero_copy_only=False)
+        first = np.where(same, self.starts[at], -1).tolist()
         return [self.ids[a : a + n] if a >= 0 else None for a, n in zip(first, self.sizes[at].tolist())]
 
 
@@ -462,13 +498,16 @@ def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = T
     spark = docs.sparkSession
     model = model or Pieces.load(default_model())
     counts, vocab = vocabulary(docs, model)
-    # How many segments there are by the power of two of their frequency: at most 64 rows.
-    levels = dict(counts.groupBy(F.floor(F.log2("n")).alias("level")).count().collect())
-    least, room = max(levels, default=0) + 1, table_segments
-    while least > 0 and levels.get(least - 1, 0) <= room:
-        room, least = room - levels.get(least - 1, 0), least - 1
-    head = vocab if least == 0 else vocab.join(counts.filter(F.floor(F.log2("n")) >= least).select("segment"), "segment")
+    # How many segments there are by the power of two of their frequency, and their bytes in the table: at most 64 rows. A segment has
+    # no more ids than bytes.
     width = np.dtype("<u2" if len(model.pieces) <= 1 << 16 else "<u4")
+    taken = F.sum(ROW_BYTES + (1 + width.itemsize) * F.octet_length("segment"))
+    levels = {r["level"]: (r["n"], r["bytes"]) for r in counts.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("n"), taken.alias("bytes")).collect()}
+    least, room, bytes_ = max(levels, default=0) + 1, table_segments, TABLE_BYTES
+    while least > 0 and levels.get(least - 1, (0, 0))[0] <= room and levels.get(least - 1, (0, 0))[1] <= bytes_:
+        least -= 1
+        room, bytes_ = room - levels.get(least, (0, 0))[0], bytes_ - levels.get(least, (0, 0))[1]
+    head = vocab if least == 0 else vocab.join(counts.filter(F.floor(F.log2("n")) >= least).select("segment"), "segment")
     table = spark.sparkContext.broadcast(Table.of(head, width))
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select("doc_id", "text")
@@ -488,9 +527,9 @@ def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = T
 
         # Equal texts ask once; the lists are as long as a text has rare segments.
         keyed = rows.withColumn("_t", F.xxhash64("text"))
-        asks = keyed.select("_t", "text").mapInArrow(unknown, "_t long, segment string").distinct()
-        tails = asks.join(vocab.select("segment", "ids"), "segment").groupBy("_t").agg(F.collect_list(F.struct("segment", "ids")).alias("tail"))
-        rows = keyed.join(tails, "_t", "left").select("doc_id", "text", "tail")
+        asks = materialize(keyed.select("_t", "text").mapInArrow(unknown, "_t long, segment string").distinct(), "asks")
+        tails = join_spread(asks, vocab.select("segment", "ids"), "segment").groupBy("_t").agg(F.collect_list(F.struct("segment", "ids")).alias("tail"))
+        rows = join_spread(keyed, tails, "_t", "left").select("doc_id", "text", "tail")
     else:
         rows = rows.withColumn("tail", F.lit(None).cast(tail_type))
 

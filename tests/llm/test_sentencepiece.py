@@ -2,6 +2,7 @@ import random
 from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 from kbforge.functions.storage import read_table
 from kbforge.llm import sentencepiece as sp
@@ -41,6 +42,44 @@ def test_long_segments_merge_alike():
         assert sp.encode_long("▁" + word, model) == lib.encode(word)
 
 
+def test_segments_of_any_length(spark):
+    """Segments beyond the fold, alone and among others, by the table and beside it."""
+    lib = sentencepiece.SentencePieceProcessor(model_file=sp.default_model())
+    rnd = random.Random(9)
+    texts = ["ab" * 500_000, "".join(rnd.choice("etaoinsh,.é你") for _ in range(200_000)), "a" * 255, "ab" * 128, "ba" * 129, "x y", "ab" * 500_000, None]
+    want = {i: lib.encode(t or "") for i, t in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows, most in ((docs, sp.TABLE_SEGMENTS), (docs, 2), (docs.filter("doc_id = 0"), sp.TABLE_SEGMENTS)):
+        for r in sp.encode(rows, table_segments=most, back=True).collect():
+            assert r.ids == want[r.doc_id] and r.equals_text
+
+
+def test_long_unigram_segments():
+    pieces = ["▁", "a", "b", "ab", "aba", "bb"]
+    model = sp.Pieces.of(sp.UNIGRAM, [("<unk>", 0.0, 2)] + [(p, -1.5 - k / 7, 1) for k, p in enumerate(pieces)])
+    rnd = random.Random(2)
+    word = "".join(rnd.choice("ab") for _ in range(300))
+    assert sp.encode_long(word, model) == best(word, model)
+    assert len(sp.encode_long("ab" * 200_000, model)) == 200_000
+
+
+def test_a_segment_whose_hash_is_taken(spark, monkeypatch):
+    """Look-ups compare the segments: one with the hash of another is unknown."""
+    rows = spark.createDataFrame([("ab", [1]), ("cd", [2, 3]), ("e", [4])], "segment string, ids array<int>")
+    table = sp.Table.of(rows, np.dtype("<u2"))
+    real = sp._hash
+    other = {"zz": "ab"}
+    monkeypatch.setattr(sp, "_hash", lambda s, turn: real(pa.array([other.get(x, x) for x in s.to_pylist()]), turn))
+    assert table.look_up(pa.array(["cd", "zz", "ab", "q"])) == [np.array([2, 3], "<u2").tobytes(), None, np.array([1], "<u2").tobytes(), None]
+
+
+def test_copies_of_a_text_with_rare_segments(spark):
+    lib = sentencepiece.SentencePieceProcessor(model_file=sp.default_model())
+    rows = [(None if i % 2 else i, "rare zyxq words" if i % 3 else None) for i in range(4000)] + [(5, "other text")]
+    got = sp.encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), table_segments=1).collect()
+    assert sorted(((r.doc_id, r.ids) for r in got), key=str) == sorted(((i, lib.encode(t or "")) for i, t in rows), key=str)
+
+
 def best(text, model):
     ways = {0: (0.0, [])}
     floor = min(model.scores[i] for i in model.ids.values()) - 10
