@@ -407,7 +407,12 @@ def fitted(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> list[float]:
 
 def fit(pages: DataFrame) -> list[float]:
     """The text model's weights from the blocks of a sample whose markup names them; at most ``SAMPLE_BLOCKS`` reach the driver."""
-    sample = pages.select("html").orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES)
+    # The least hashes of id and url are found without the pages; more than so many pages fall below only if ids and urls repeat.
+    place = F.xxhash64("page_id", "url")
+    most = pages.select(place.alias("h")).orderBy("h").limit(SAMPLE_PAGES).agg(F.max("h")).first()[0]
+    if most is None:
+        return list(START)
+    sample = pages.filter(place <= most).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
