@@ -13,9 +13,10 @@
    ``LONG`` characters, as a fold's work on one grows by the square: the same ids in a time that grows with the length and
    its logarithm, in some 100 bytes a character.
    Characters that no piece covers become their UTF-8 bytes' pieces, or unknown.
-3. The segments' ids, sorted by a 64-bit hash of the segment, go to the tasks, which look up their texts' segments and compare
-   these themselves. Only segments above a frequency, at most ``TABLE_SEGMENTS`` and ``TABLE_BYTES``, are broadcast; others
-   are joined to the texts that hold them, frequent texts in several parts.
+3. The segments' ids, sorted by a 64-bit hash of the segment, go to the tasks, which look up their texts' segments; the
+   hash's key is changed until no segment of the texts has the hash of another in the table. Only segments above a frequency,
+   at most ``TABLE_SEGMENTS`` and ``TABLE_BYTES``, are broadcast; others are joined to the texts that hold them, frequent texts
+   in several parts.
 
 Normalisation must be the identity, as in the model used here; other models are refused. Null and empty texts have no ids. Null ids and repeated rows stay, other columns are ignored. An empty
 table gives no rows.
@@ -43,8 +44,8 @@ from kbforge.operators.components import join_spread
 SPACE = "▁"
 #: Segments, and bytes of a table of segments, that may be broadcast.
 TABLE_SEGMENTS, TABLE_BYTES = 4_000_000, 160_000_000
-#: Bytes of a segment in that table, besides its own and those of its ids.
-ROW_BYTES = 28
+#: Bytes of a segment in that table, besides those of its ids.
+ROW_BYTES = 24
 #: Characters of a segment that is folded; longer ones are encoded step by step.
 LONG = 256
 #: Segments of a task of the lattice, about.
@@ -418,53 +419,50 @@ def _hash(segments_: pa.Array, turn: int) -> np.ndarray:
 
 
 def packed(rows: DataFrame, kind: np.dtype, turn: int) -> DataFrame:
-    """``hashes, sizes, ids, lengths, segments``: the table's rows as runs of bytes, so that the driver handles few objects."""
-    names = ["hashes", "sizes", "ids", "lengths", "segments"]
+    """``hashes, sizes, ids``: the table's rows as runs of bytes, so that the driver handles few objects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                starts, data = spans(batch.column(0))
-                ids = batch.column(1)
-                own = [_hash(batch.column(0), turn), ids.value_lengths().to_numpy().astype("<u4"), ids.flatten().to_numpy().astype(kind), np.diff(starts).astype("<u4"), data]
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes()], pa.binary()) for r in own], names=names)
+                own = [_hash(batch.column(0), turn).tobytes(), batch.column(1).value_lengths().to_numpy().astype("<u4").tobytes(), batch.column(1).flatten().to_numpy().astype(kind).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.binary()) for r in own], names=["hashes", "sizes", "ids"])
 
-    return rows.select("segment", "ids").mapInArrow(run, ", ".join(f"{n} binary" for n in names))
+    return rows.select("segment", "ids").mapInArrow(run, "hashes binary, sizes binary, ids binary")
 
 
 class Table:
-    """The frequent segments: sorted hashes, and for each the segment and where its ids stand in one run."""
+    """The frequent segments: sorted hashes, and where each one's ids stand in one run; some 24 bytes a segment."""
 
     def __init__(self, rows: list, kind: np.dtype, turn: int):
         self.kind, self.turn = kind, turn
-        joined = {name: b"".join(r[name] for r in rows) for name in ("hashes", "sizes", "ids", "lengths", "segments")}
-        self.ids, self.segments = joined["ids"], joined["segments"]
-        hashes, sizes, lengths = np.frombuffer(joined["hashes"], np.uint64), np.frombuffer(joined["sizes"], "<u4"), np.frombuffer(joined["lengths"], "<u4")
+        self.ids = b"".join(r["ids"] for r in rows)
+        hashes = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint64)
+        sizes = np.frombuffer(b"".join(r["sizes"] for r in rows), "<u4")
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
         self.clashes = bool((self.hashes[1:] == self.hashes[:-1]).any())
         self.sizes = (sizes[order] * kind.itemsize).astype(np.uint32)
         self.starts = ((np.cumsum(sizes, dtype=np.int64) - sizes)[order] * kind.itemsize).astype(np.int64)
-        #: Where the segments stand in their run, in its order, and the place there of each hash.
-        self.cuts, self.order = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), order.astype(np.int32)
 
     @classmethod
-    def of(cls, rows: DataFrame, kind: np.dtype) -> "Table":
-        """With another key of the hash where two segments have one hash."""
-        turn, table = 0, cls(packed(rows, kind, 0).collect(), kind, 0)
-        while table.clashes:
-            turn += 1
+    def of(cls, rows: DataFrame, kind: np.dtype, others: DataFrame | None = None) -> "Table":
+        """With another key of the hash where two segments have one hash, be both in the table or one among ``others``."""
+        turn = 0
+        while True:
             table = cls(packed(rows, kind, turn).collect(), kind, turn)
-        return table
+            if not table.clashes and (others is None or not table.taken(others)):
+                return table
+            turn += 1
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_own"}
+    def taken(self, others: DataFrame) -> int:
+        """How many segments that are not in the table have the hash of one that is."""
+        shared = others.sparkSession.sparkContext.broadcast(self)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([sum(got is not None for got in shared.value.look_up(batch.column(0)))], pa.int64())], names=["n"])
 
-    def own(self, at: np.ndarray) -> pa.Array:
-        """The segments of some hashes."""
-        if "_own" not in self.__dict__:
-            self._own = pa.Array.from_buffers(pa.large_binary(), len(self.hashes), [None, pa.py_buffer(self.cuts), pa.py_buffer(self.segments)])
-        return self._own.take(pa.array(self.order[at]))
+        return others.select("segment").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
     def look_up(self, segments_: pa.Array) -> list[bytes | None]:
         if not len(segments_) or not len(self.hashes):
@@ -474,9 +472,7 @@ class Table:
         at = np.empty(len(h), np.int64)
         at[order] = np.searchsorted(self.hashes, h[order])
         at = np.minimum(at, len(self.hashes) - 1)
-        same = self.hashes[at] == h
-        same &= pc.equal(self.own(at), segments_.cast(pa.binary()).cast(pa.large_binary())).to_numpy(zero_copy_only=False)
-        first = np.where(same, self.starts[at], -1).tolist()
+        first = np.where(self.hashes[at] == h, self.starts[at], -1).tolist()
         return [self.ids[a : a + n] if a >= 0 else None for a, n in zip(first, self.sizes[at].tolist())]
 
 
@@ -501,14 +497,15 @@ def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = T
     # How many segments there are by the power of two of their frequency, and their bytes in the table: at most 64 rows. A segment has
     # no more ids than bytes.
     width = np.dtype("<u2" if len(model.pieces) <= 1 << 16 else "<u4")
-    taken = F.sum(ROW_BYTES + (1 + width.itemsize) * F.octet_length("segment"))
+    taken = F.sum(ROW_BYTES + width.itemsize * F.octet_length("segment"))
     levels = {r["level"]: (r["n"], r["bytes"]) for r in counts.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("n"), taken.alias("bytes")).collect()}
     least, room, bytes_ = max(levels, default=0) + 1, table_segments, TABLE_BYTES
     while least > 0 and levels.get(least - 1, (0, 0))[0] <= room and levels.get(least - 1, (0, 0))[1] <= bytes_:
         least -= 1
         room, bytes_ = room - levels.get(least, (0, 0))[0], bytes_ - levels.get(least, (0, 0))[1]
     head = vocab if least == 0 else vocab.join(counts.filter(F.floor(F.log2("n")) >= least).select("segment"), "segment")
-    table = spark.sparkContext.broadcast(Table.of(head, width))
+    rare = counts.filter(F.floor(F.log2("n")) < least) if least > 0 else None
+    table = spark.sparkContext.broadcast(Table.of(head, width, rare))
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -63,14 +63,20 @@ def test_long_unigram_segments():
     assert len(sp.encode_long("ab" * 200_000, model)) == 200_000
 
 
-def test_a_segment_whose_hash_is_taken(spark, monkeypatch):
-    """Look-ups compare the segments: one with the hash of another is unknown."""
+def test_a_segment_whose_hash_is_taken(spark, tmp_path):
+    """Where a segment beside the table, or another one in it, has the hash of one in it, the next key of the hash is used."""
     rows = spark.createDataFrame([("ab", [1]), ("cd", [2, 3]), ("e", [4])], "segment string, ids array<int>")
-    table = sp.Table.of(rows, np.dtype("<u2"))
-    real = sp._hash
-    other = {"zz": "ab"}
-    monkeypatch.setattr(sp, "_hash", lambda s, turn: real(pa.array([other.get(x, x) for x in s.to_pylist()]), turn))
-    assert table.look_up(pa.array(["cd", "zz", "ab", "q"])) == [np.array([2, 3], "<u2").tobytes(), None, np.array([1], "<u2").tobytes(), None]
+    table = sp.Table.of(rows, np.dtype("<u2"), spark.createDataFrame([("zz",), ("q",)], "segment string"))
+    assert table.turn == 0 and table.look_up(pa.array(["cd", "zz", "ab"])) == [np.array([2, 3], "<u2").tobytes(), None, np.array([1], "<u2").tobytes()]
+    assert table.taken(spark.createDataFrame([("cd",), ("q",), ("e",)], "segment string")) == 2
+    tried = []
+
+    class Other(sp.Table):
+        def taken(self, others):
+            tried.append(self.turn)
+            return len(tried) < 3
+
+    assert Other.of(rows, np.dtype("<u2"), rows).turn == 2 and tried == [0, 1, 2]
 
 
 def test_copies_of_a_text_with_rare_segments(spark):
