@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kbforge.functions.storage import materialize
 from kbforge.llm.token_words import slices
 
-SAMPLE_DOCS = 500
+#: Texts of a language, and of all languages, that are learned from, about; and characters of the longest one.
+SAMPLE_DOCS, SAMPLE_ALL, SAMPLE_TEXT = 500, 20_000, 1_000_000
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -65,13 +66,18 @@ def _grams(word: str, n: int) -> list[str]:
 
 
 def sample(docs: DataFrame, per_language: int = SAMPLE_DOCS) -> DataFrame:
-    """``lang, text``: of each language a share by hash that gives ``per_language`` rows on average."""
-    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = materialize(counts.select("lang", F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")).alias("share")), "shares")
-    share = F.broadcast(share) if share.count() <= BROADCAST_LANGUAGES else share
-    draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    return rows.join(share, "lang").filter(draw < F.col("share")).select("lang", "text")
+    """``lang, text``: of the unlike texts of each language a share by hash that gives ``per_language`` on average.
+
+    Copies count once, and of all languages together ``SAMPLE_ALL`` texts are drawn on average. Texts above ``SAMPLE_TEXT``
+    characters are not learned from.
+    """
+    rows = docs.filter(f"lang IS NOT NULL AND length(text) <= {SAMPLE_TEXT}").select("lang", "text", F.xxhash64("text", F.lit(17)).alias("h"))
+    counts = materialize(rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    each = min(per_language, max(1, SAMPLE_ALL // max(1, counts.count())))
+    share = counts.select("lang", F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")).alias("share"))
+    share = F.broadcast(share) if counts.count() <= BROADCAST_LANGUAGES else share
+    draw = F.pmod("h", F.lit(1 << 20)) / float(1 << 20)
+    return rows.join(share, "lang").filter(draw < F.col("share")).dropDuplicates(["lang", "h"]).select("lang", "text")
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:

@@ -75,3 +75,12 @@ def test_number_signs_are_no_letters(spark):
     rows = [(1, "alpha beta", "aa"), (10, "²½", None), (11, "Ⅷ ①", None), (12, "x²", None)]
     got = {r.doc_id: r.lang_pred for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert got[10] == got[11] == "und" and got[12] == "aa"
+
+
+def test_copies_and_many_languages_do_not_swell_the_sample(spark, monkeypatch):
+    rows = [(f"text number {i}", "aa") for i in range(3000)] + [("one text again", "aa"), ("and another", "bb")] * 4000 + [("x" * 1_000_001, "bb"), (None, "bb"), ("no language", None)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    found = language.sample(docs, 50).collect()
+    assert len(found) == len(set(found)) and 20 < len(found) < 100 and [r.text for r in found if r.lang == "bb"] == ["and another"]
+    monkeypatch.setattr(language, "SAMPLE_ALL", 20)
+    assert len(language.sample(docs, 50).collect()) < 40
