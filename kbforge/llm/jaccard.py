@@ -229,7 +229,7 @@ def _pick(docs: DataFrame, keys: DataFrame, how: str, key: str = "row") -> DataF
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, row, fp, class_id, n_links`` of each document."""
+    """``doc_id, row, fp, component, class_id, n_links`` of each document; ``component`` tells classes apart whatever their ids are."""
     rows = materialize(_described(docs), "described")
     worded = rows.filter("fp IS NOT NULL")
     reps = materialize(worded.groupBy("fp").agg(F.count("*").alias("copies"), F.min("row").alias("row"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
@@ -282,9 +282,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     joined = connected_components(verified.filter("lead IS NOT NULL").select(F.col("fp").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "fp")
     named = reps.select("fp", "copies", "doc_id").join(joined, "fp", "left").join(links, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     name = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
-    each = join_counted(named, name, "component", reps.count()).select("fp", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    alone = rows.filter("fp IS NULL").select("doc_id", "row", "fp", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return worded.join(each, "fp").select("doc_id", "row", "fp", "class_id", "n_links").unionByName(alone)
+    each = join_counted(named, name, "component", reps.count()).select("fp", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    alone = rows.filter("fp IS NULL").select("doc_id", "row", "fp", F.col("fp").alias("component"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return worded.join(each, "fp").select("doc_id", "row", "fp", "component", "class_id", "n_links").unionByName(alone)
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -300,8 +300,7 @@ def first_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     found = materialize(classes(docs, threshold).filter("fp IS NOT NULL"), "classes")
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row"))
-    group = F.when(F.col("class_id").isNull(), F.col("fp"))
-    best = found.groupBy("class_id", group.alias("g")).agg(F.min(rank).alias("best"))
+    best = found.groupBy("component").agg(F.min(rank).alias("best"))
     stay = best.select(F.col("best.row").alias("row"))
     gone = materialize(found.select("row").distinct().join(stay, "row", "left_anti"), "gone")
     twice = materialize(found.groupBy("row").count().filter("count > 1").select("row").join(stay, "row"), "twice")
