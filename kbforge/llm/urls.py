@@ -4,8 +4,9 @@ A rule ``host + path prefix`` becomes the key ``labels of the host, last first,
 keys that begin with it, an interval of the sort order. A url asks once for its host and once for each parent domain
 (as many labels as the longest rule has, at most). Rules and asks are sorted together; intervals of prefixes nest, so at
 each rule start the stack of rules that are still open is known, and an ask takes the deepest rule of the last stack
-that begins its key. Ranges of the sort order run apart; each starts with the last rule before it. Frequent urls reach their
-pages by a bounded broadcast, so neither one url nor the pages without one make a large group.
+that begins its key. Each key is swept once, however many urls ask for it; ranges of the sort order run apart, each starts with
+the last rule before it. Frequent keys meet the urls that ask for them, and frequent urls their pages, by bounded broadcasts,
+so neither one url, one domain nor the pages without a host make a large group.
 
 Hosts and paths: between the first ``://`` and ``/``, ``?``, ``#`` or the end, A-Z lower-cased; then up to ``?``, ``#``
 or the end. A null url or one without ``://`` has an empty host and path, fits no rule and gets the default verdict. Of
@@ -16,7 +17,9 @@ counts once, ``block`` before ``allow`` if the verdicts differ. Null ids and rep
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+
 from kbforge.functions.storage import materialize
+from kbforge.operators.components import join_counted
 
 #: Verdict, host, path prefix.
 RULES: tuple[tuple[str, str, str], ...] = (
@@ -76,23 +79,23 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAU
     heads = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(max(1, labels)))), lambda n: F.array_join(F.slice(F.reverse(parts), F.lit(1), n), _SEP))
     asks = texts.select("host", "path", F.explode(heads).alias("head")).select("host", "path", F.concat("head", F.lit(_SEP + _SEP), "path").alias("key"))
 
-    # A rule sorts before the asks of the same key, since a null host is the least.
-    both = starts.select(F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "key", "stack").unionByName(asks, allowMissingColumns=True)
+    # Many urls ask for one key (all hosts below a domain for the domain), so keys are swept once each.
+    keys = materialize(asks.groupBy("key").agg(F.count("*").alias("n")), "url-keys")
+    # A rule sorts before the ask of the same key, since its count is null.
+    both = starts.select("key", F.lit(None).cast("long").alias("n"), "stack").unionByName(keys, allowMissingColumns=True)
     # Written, so that both readers below see the same ranges.
     dealt = materialize(both.repartitionByRange("key").withColumn("range", F.spark_partition_id()), "url-ranges")
     last = dealt.groupBy("range").agg(F.max(F.when(F.col("stack").isNotNull(), F.struct("key", "stack"))).alias("last"))
     # One row for each range: as many as there are shuffle partitions.
     carried = last.select("range", F.last("last", ignorenulls=True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))["stack"].alias("carried"))
-    sweep = Window.partitionBy("range").orderBy("key", F.col("host").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, 0)
+    sweep = Window.partitionBy("range").orderBy("key", F.col("n").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     open_ = F.coalesce(F.last("stack", ignorenulls=True).over(sweep), F.col("carried"))
-    held = dealt.join(F.broadcast(carried), "range").withColumn("open", open_).filter("host IS NOT NULL")
+    held = dealt.join(F.broadcast(carried), "range").withColumn("open", open_).filter("n IS NOT NULL")
     fits = F.filter("open", lambda r: F.col("key").startswith(r["at"]))
-    best = (
-        held.withColumn("top", F.get(F.sort_array(F.transform(fits, lambda r: F.struct(r["size"], r["host_size"], r["rule"], r["verdict"])), asc=False), F.lit(0)))
-        .groupBy("host", "path")
-        .agg(F.max("top").alias("top"))
-        .filter("top IS NOT NULL")
-    )
+    top = F.get(F.sort_array(F.transform(fits, lambda r: F.struct(r["size"], r["host_size"], r["rule"], r["verdict"])), asc=False), F.lit(0))
+    found = materialize(held.select("key", "n", top.alias("top")).filter("top IS NOT NULL"), "url-hits")
+    asked = keys.agg(F.sum("n")).first()[0] or 0
+    best = join_counted(asks, found, "key", asked).groupBy(*urls).agg(F.max("top").alias("top"))
     best = materialize(best, "judged")
     # Urls of more than a thousandth of the pages, at most a thousand, are met by a broadcast; pages without a host by none.
     often = texts.filter(F.col("n") > max(1000, (texts.agg(F.sum("n")).first()[0] or 0) // 1000)).select(*urls)

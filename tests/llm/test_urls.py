@@ -44,3 +44,23 @@ def test_empty(spark):
     assert urls.judge(none).count() == 0
     pages = spark.createDataFrame([(1, "http://a.net/")], none.schema)
     assert urls.judge(pages, urls.rule_table(spark).limit(0)).collect()[0].verdict == "allow"
+
+
+def test_many_hosts_of_one_domain(spark, monkeypatch):
+    rules = [("block", "com", "/"), ("allow", "x7.com", "/a"), ("allow", "com", "/only/some/")]
+    hosts = [f"http://x{i % 1500}.com/{'a' if i % 3 else ''}" for i in range(4000)] + ["http://x1.com/"] * 2500
+    swept = []
+    real = urls.materialize
+
+    def seen(df, name="table"):
+        out = real(df, name)
+        if name == "url-ranges":
+            swept.append(out.count())
+        return out
+
+    monkeypatch.setattr(urls, "materialize", seen)
+    pages = spark.createDataFrame(list(enumerate(hosts)), "page_id long, url string").repartition(4)
+    got = {r.page_id: tuple(r)[1:] for r in urls.judge(pages, urls.rule_table(spark, rules)).collect()}
+    assert got == {i: brute(u, rules) for i, u in enumerate(hosts)}
+    # Each host with its path, the domain with each path, the rules.
+    assert swept[0] <= len(set(hosts)) + 2 + len(rules)
