@@ -8,8 +8,9 @@ The parts are the document table (ids, token counts) and, for each bit of a toke
 bit-plane with its rank directory (set bits before every 512th position). A level's order is the stable
 partition of the level above by that level's bit, so that rank on ``width`` planes answers all queries.
 
-Null texts count as empty; empty texts hold just the end id. Rows with a null ``doc_id`` come first, rows with equal
-ids lie side by side (ordered by text), repeated rows stay, other columns are ignored, an empty table gives no shard.
+Null texts count as empty; empty texts hold just the end id. Ids are cast to long; rows whose id is null or no number come
+first. Rows with equal ids lie side by side (ordered by the first 32 characters of the text, then by a hash of it), repeated
+rows stay, other columns are ignored, an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ RANK_STEP = 512
 #: A shard is closed at the first document that brings it to so many tokens; a document is never split.
 SHARD_TOKENS = 1 << 18
 END_ID = 1
+#: Characters by which texts of equal ids are ordered; a hash orders those that begin alike.
+HEAD = 32
 NULL_ID = -(1 << 63)
 
 
@@ -168,10 +171,12 @@ def ended(enc: WordEncoder, texts: pa.Array, end_id: int) -> Iterator[np.ndarray
 def ordered(docs: DataFrame) -> DataFrame:
     """``doc_id`` (null as the lowest value) and text, dealt out by ranges of ascending ``doc_id``.
 
-    Equal ids and texts are dealt to one task; the order within a task is fixed by a sort.
+    Equal ids (or nulls) may be many, so their texts' beginnings and hashes count too, and the number of the row for copies.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    order = ["doc_id", F.substring("text", 1, HEAD), F.xxhash64("text")]
+    dealt = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*order, "_row")
+    return dealt.sortWithinPartitions(*order, "text").drop("_row").withColumn("part", F.spark_partition_id())
 
 
 def write_shards(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from kbforge.llm import wavelet
 from kbforge.llm.token_words import WordEncoder, default_tokenizer
 from kbforge.llm.wavelet import WaveletMatrix, pack, token_output, write_shards
 
@@ -61,3 +62,18 @@ def test_output_against_brute_force(spark):
 
 def test_no_documents(spark):
     assert token_output(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_rows_without_an_id(spark):
+    rows = [(None, f"text {i % 1000}") for i in range(3000)] + [(None, "copies")] * 3000 + [(i, "x") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in wavelet.ordered(docs).groupBy("part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 0.6 * len(rows)
+    got = token_output(docs).collect()
+    assert len(got) == len(rows) and sorted(r.start for r in got)[0] == 0
+    ends = sorted((r.start, r.start + r.n_tokens) for r in got)
+    assert all(a[1] == b[0] for a, b in zip(ends, ends[1:])) and [r.doc_id for r in sorted(got, key=lambda r: r.start)][-5:] == [0, 1, 2, 3, 4]
