@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kbforge.functions import helpers, text as T
-from kbforge.functions.storage import read_table
-from kbforge.operators import corpus as ops
+from kbforge.functions.storage import read_table, scratch
+from kbforge.operators import corpus as ops, store
 from kbforge.plans import retrieval
 
 CHUNKS = {"size": 1000, "overlap": 100, "separator": "\n"}
@@ -49,6 +49,27 @@ def _stored(s: SparkSession, d: str, batch: int) -> DataFrame:
     return cut.select((F.element_at(F.array(F.lit("docs"), F.lit("cases")), (F.col("doc_id") % 2 + 1).cast("int"))).alias("collection"), "chunk_id", F.concat(F.lit(f"{batch}:"), "text").alias("text"), F.lit(batch).alias("batch"))
 
 
+def _kept(s: SparkSession, d: str, batch: int) -> store.Store:
+    """A store of the first batch's chunks into which a later one is put: by their ids, or by their value of a field."""
+    by = ["collection", "chunk_id"] if batch == 2 else ["chunk_id"]
+    kept = store.Store(s, scratch(s, "store"), {"chunks": "collection string, chunk_id string, text string, batch int"}, by, 16)
+    store.upsert(kept, _stored(s, d, 1), ["batch"], "first")
+    if batch == 2:
+        store.upsert(kept, _stored(s, d, 2), ["batch"], "second")
+    else:
+        store.replace(kept, _stored(s, d, 3), "second")
+    return kept
+
+
+def _in_step(s: SparkSession, d: str) -> DataFrame:
+    """Postings as a store keeps them beside documents of which a third were written anew."""
+    kept = store.Store(s, scratch(s, "store"), {"chunks": "doc_id long, text string, batch int", "postings": f"doc_id long, {store.POSTINGS}"}, ["doc_id"], 16, {"postings": ["term", "doc_id"]})
+    rows = docs(s, d).withColumn("batch", F.lit(1))
+    store.upsert(kept, rows, ["batch"], "all")
+    store.upsert(kept, rows.filter("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("Again: "), "text").alias("text"), F.lit(2).alias("batch")), ["batch"], "a third")
+    return kept.read("postings")
+
+
 def _digests(rows: DataFrame) -> DataFrame:
     return rows.select("collection", "chunk_id", F.md5("text").alias("digest"), "batch")
 
@@ -153,8 +174,9 @@ QUERIES = {
     "document_keywords": lambda s, d: ops.document_keywords(docs(s, d)),
     "list_documents": _listed,
     "collection_stats": lambda s, d: ops.collection_stats(_pages(s, d).select(F.regexp_extract("url", r"/(en|de|fr|es)/", 1).alias("collection"), "url")),
-    "upsert_chunks": lambda s, d: _digests(ops.upsert_chunks(_stored(s, d, 1), _stored(s, d, 2))),
-    "replace_by_field": lambda s, d: _digests(ops.replace_by_field(_stored(s, d, 1), _stored(s, d, 3), "chunk_id")),
+    "upsert_chunks": lambda s, d: _digests(_kept(s, d, 2).read("chunks")),
+    "replace_by_field": lambda s, d: _digests(_kept(s, d, 3).read("chunks")),
+    "stored_postings": _in_step,
     "scan_new_pages": lambda s, d: ops.scan_new_pages(_pages(s, d), _pages(s, d).filter("page_id % 3 = 0")),
     "allowed_urls": lambda s, d: ops.allowed_urls(_pages(s, d), ["example.net", "example.org"]).select("page_id", "url"),
     "html_to_text": lambda s, d: _main(s, d).filter(F.length("text") >= 100).select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest")),
@@ -198,12 +220,25 @@ SQL_STORED = """WITH c AS (SELECT doc_id, text, unnest(range(greatest(1, (length
   md5((CASE WHEN doc_id % {n} = 0 THEN '{batch}:' ELSE '1:' END) || substring(text, 1000 * i + 1, 1000)) AS digest, CASE WHEN doc_id % {n} = 0 THEN {batch} ELSE 1 END AS batch FROM k"""
 _RIO = r"regexp_replace(regexp_replace({x}, '(?i)\bRIO[-\s]?Live\b', 'RIO +LAN', 'g'), '(?i)\bRIO\s*\+\s*WAN\s+Live\b', 'RIO +LAN', 'g')"
 # Chunks so far and the one that is held, apart by chr(1), are folded over the paragraphs.
-SQL_PLAIN = r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS paras FROM documents),
-        f AS (SELECT doc_id, list_reduce(paras, lambda acc, x: CASE WHEN length(string_split(acc, chr(1))[-1]) + length(x) + 1 > 1000 THEN acc || chr(1)
-            || CASE WHEN length(string_split(acc, chr(1))[-1]) <= 100 THEN string_split(acc, chr(1))[-1] WHEN instr(reverse(right(acc, 100)), ' .') BETWEEN 1 AND 48 THEN right(acc, instr(reverse(right(acc, 100)), ' .') - 1) ELSE right(acc, 100) END
-            || chr(10) || x ELSE acc || chr(10) || x END) AS folded FROM p WHERE len(paras) > 0),
-        c AS (SELECT doc_id, string_split(folded, chr(1)) AS cs FROM f)
-        SELECT doc_id, unnest(range(len(cs))) AS chunk_index, len(cs) AS total_chunks, unnest(list_transform(cs, lambda x: md5(regexp_replace(x, '^\s+|\s+$', '', 'g')))) AS digest FROM c"""
+def plain_sql(rows: str, key: str, separator: str, size: int, overlap: int) -> str:
+    """SQL of ``c (key, cs)``: the chunks of the texts of ``rows``; each fold step marks a new chunk by the character 1."""
+    last, sep = "string_split(acc, chr(1))[-1]", "chr(10)" if separator == "\n" else f"'{separator}'"
+    end = f"instr(reverse(right(acc, {overlap})), ' .')"
+    tail = f"CASE WHEN length({last}) <= {overlap} THEN {last} WHEN {end} BETWEEN 1 AND {overlap // 2 - 2} THEN right(acc, {end} - 1) ELSE right(acc, {overlap}) END"
+    bare = r"lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')"
+    return rf"""p AS (SELECT {key}, list_filter(list_transform(string_split(text, {sep}), {bare}), lambda x: x <> '') AS paras FROM {rows}),
+        f AS (SELECT {key}, list_reduce(paras, lambda acc, x: CASE WHEN length({last}) + length(x) + {len(separator)} > {size} THEN acc || chr(1) || {tail} || {sep} || x ELSE acc || {sep} || x END) AS folded FROM p WHERE len(paras) > 0),
+        c AS (SELECT {key}, list_transform(string_split(folded, chr(1)), {bare}) AS cs FROM f)"""
+
+
+def page_text_sql(html: str) -> str:
+    """SQL of the main text of a standard page: the pieces between the tags of its article."""
+    pieces = rf"regexp_split_to_array(regexp_extract({html}, '<article>(.*?)(?:</article>|$)', 1, 's'), '<[^>]*>')"
+    decoded = "lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', chr(34), 'g'), '&amp;?', '&', 'g')"
+    return rf"array_to_string(list_filter(list_transform(list_transform({pieces}, {decoded}), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' ')"
+
+
+SQL_PLAIN = f"WITH {plain_sql('documents', 'doc_id', chr(10), 1000, 100)} SELECT doc_id, unnest(range(len(cs))) AS chunk_index, len(cs) AS total_chunks, unnest(list_transform(cs, lambda x: md5(x))) AS digest FROM c"
 ORACLES = {
     "chunk_rows": "SELECT doc_id, 0 AS chunk_index, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8','9','a','b'][1 + ('0x' || h[17])::INT % 4] || h[18:20] || '-' || h[21:32] AS chunk_id FROM (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(doc_id || '_0')) AS h FROM documents)",
     "rebuild_documents": "SELECT conv_id AS doc_id, count(*) AS chunks, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (text <> ''), '')) AS digest FROM conversations GROUP BY conv_id",
@@ -211,6 +246,7 @@ ORACLES = {
     "list_documents": "WITH r AS (SELECT doc_id, text, coalesce(CASE WHEN doc_id % 3 = 0 THEN doc_id % 100 END < 50, false) AS is_expired FROM documents WHERE lang = 'en') SELECT doc_id, is_expired, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS preview, (SELECT count(*) FROM r WHERE NOT is_expired) AS total FROM r WHERE NOT is_expired ORDER BY doc_id DESC LIMIT 25 OFFSET 5",
     "collection_stats": "SELECT regexp_extract(url, '/(en|de|fr|es)/', 1) AS collection, count(*) AS chunks, count(DISTINCT url) AS urls FROM pages GROUP BY 1",
     "upsert_chunks": SQL_STORED.format(n=3, batch=2),
+    "stored_postings": f"WITH documents AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Again: ' || text ELSE text END AS text FROM documents), {retrieval.SQL_POSTINGS} SELECT doc_id, term, doc_len, tf FROM postings",
     "replace_by_field": SQL_STORED.format(n=4, batch=3),
     "scan_new_pages": "SELECT url, CASE WHEN bool_or(page_id % 3 = 0) THEN 'indexed' ELSE 'new' END AS status FROM pages GROUP BY url",
     "allowed_urls": "SELECT page_id, url FROM pages WHERE regexp_matches(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '(^|\\.)example\\.(net|org)$')",
@@ -221,6 +257,7 @@ ORACLES = {
     "normalize_doc_url": f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 3 THEN url ELSE '{T.DOCS_HOST}docs/' || page_id END AS url FROM pages",
     "relative_time": "WITH e AS (SELECT event_id, ts, event_id * 104729 % 36000000 AS s FROM events) SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' min ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s // 86400 < 7 THEN (s // 86400) || ' day' || CASE WHEN s // 86400 = 1 THEN '' ELSE 's' END || ' ago' WHEN s // 86400 < 35 THEN (s // 604800) || ' week' || CASE WHEN s // 604800 = 1 THEN '' ELSE 's' END || ' ago' WHEN s // 86400 < 360 THEN (s // 2592000) || ' month' || CASE WHEN s // 2592000 = 1 THEN '' ELSE 's' END || ' ago' ELSE strftime(ts, '%Y-%m-%d') END AS age FROM e",
     "chunk_plain": SQL_PLAIN,
+    "html_to_text": f"SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, {page_text_sql('html')} AS t FROM pages) WHERE length(t) >= 100",
     "chunks_of_document": f"SELECT doc_id, chunk_index, digest FROM ({SQL_PLAIN}) WHERE doc_id % 20 = 0 AND chunk_index < 4",
     "pii_counts": r"""SELECT doc_id AS conv_id, len(list_distinct(list_transform(regexp_extract_all(text, '(?i)\bCY-[A-Z][A-Z0-9]{1,3}-\d{1,3}-\d{1,3}\b'), lambda x: upper(x)))) AS serials,
         len(list_distinct(list_transform(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b'), lambda x: lower(x)))) AS emails,

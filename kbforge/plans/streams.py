@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kbforge import streaming as ops
-from kbforge.functions.storage import read_table, shared_dir
+from kbforge.functions.storage import read_table, scratch
+from kbforge.operators.store import page_store
+from kbforge.plans.corpus import page_text_sql, plain_sql
+from kbforge.plans.retrieval import STOPS
+from kbforge.streaming import ingest
 
 WEEK = 7 * 86400
 
@@ -24,7 +27,7 @@ def _shown(ts: Column) -> Column:
 
 def _ran(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], mode: str = "append", write=None) -> str:
     """The folder of the rows that the stream gave; its checkpoint lies beside it."""
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     out = f"{root}/rows"
     source = spark.readStream.schema(read_table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")  # a pattern, as the table may be a file or a folder
     each = write(out) if write else lambda rows, number: rows.write.mode("overwrite").parquet(f"{out}/batch={number}" if mode == "append" else out)
@@ -58,10 +61,30 @@ def _lockouts(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(path).select("id", "ip", "recent")
 
 
+#: Deliveries of page versions: all pages; a third of them cut after their first paragraph, with a fifth of the old ones; the second again.
+SHORT = r"(?s)(<article>.*?</p>).*"
+DELIVERIES = 3
+
+
+def delivery(pages: DataFrame, number: int) -> DataFrame:
+    first = pages.select("page_id", F.lit(1).cast("long").alias("version"), "url", "html")
+    if number == 0:
+        return first
+    cut = first.filter("page_id % 3 = 0").withColumns({"version": F.lit(2).cast("long"), "html": F.regexp_replace("html", SHORT, "$1</article></body></html>")})
+    return cut.unionByName(first.filter("page_id % 5 = 0"))
+
+
 def _ingested(s: SparkSession, d: str) -> DataFrame:
-    rows = lambda e: e.selectExpr("user_id AS chunk_id", "ts AS updated_at", "event_id", "props AS text")
-    path = _ran(s, d, rows, write=lambda out: ops.upsert_into(out, ["chunk_id"], "updated_at"))
-    return ops.latest_of(s, path, ["chunk_id"], "updated_at").select("chunk_id", _shown(F.col("updated_at")).alias("updated_at"))
+    root = scratch(s, "ingest")
+    store = page_store(s, f"{root}/store")
+    for number in range(DELIVERIES):
+        delivery(read_table(s, d, "pages"), number).write.mode("append").parquet(f"{root}/in")
+        stream = ingest.page_stream(s, f"{root}/in").writeStream.foreachBatch(ingest.into(store)).trigger(availableNow=True)
+        stream.option("checkpointLocation", f"{root}/checkpoint").start().awaitTermination()
+    documents = store.read("documents").select("page_id", "version", "url", "title", "n_chunks")
+    counts = store.read("postings").groupBy("chunk_id").agg(F.count("*").alias("n_terms"))
+    chunks = store.read("chunks").join(counts, "chunk_id", "left")
+    return documents.join(chunks.drop("section", "kind", "total_chunks"), "page_id", "left").select("page_id", "version", "url", "title", "n_chunks", "chunk_index", "text", F.coalesce("n_terms", F.lit(0)).alias("n_terms"))
 
 
 def _feedback(s: SparkSession, d: str) -> DataFrame:
@@ -90,6 +113,11 @@ ORACLES = {
     "stream_history": f"WITH {_GAPS.format('>')} SELECT event_id AS id, user_id, concat_ws(' > ', {_BEFORE}) AS history FROM g WINDOW w AS (PARTITION BY user_id, no ORDER BY ts, event_id)",
     "stream_lockouts": """WITH f AS (SELECT event_id AS id, user_id AS ip, ts FROM events WHERE event_type = 'error'),
         r AS (SELECT id, ip, (SELECT count(*) FROM f b WHERE b.ip = a.ip AND b.ts >= a.ts - INTERVAL 7 DAY AND (b.ts < a.ts OR (b.ts = a.ts AND b.id <= a.id))) AS recent FROM f a) SELECT * FROM r WHERE recent >= 3""",
-    "stream_ingest": f"SELECT user_id AS chunk_id, {_TIME.format('max(ts)')} AS updated_at FROM events GROUP BY user_id",
+    "stream_ingest": rf"""WITH v AS (SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN page_id % 3 = 0 THEN regexp_replace(html, '(?s)(<article>.*?</p>).*', '\1</article>') ELSE html END AS html FROM pages),
+        t AS (SELECT page_id, url, version, trim(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'), '&amp;', '&')) AS title, {page_text_sql('html')} AS text FROM v),
+        {plain_sql('t', 'page_id', '. ', 1000, 100)},
+        o AS (SELECT page_id, len(cs) AS n_chunks, unnest(range(len(cs))) AS chunk_index, unnest(cs) AS text FROM c)
+        SELECT t.page_id, t.version, t.url, t.title, coalesce(o.n_chunks, 0) AS n_chunks, o.chunk_index, o.text,
+               len(list_distinct(list_filter(regexp_extract_all(lower(coalesce(o.text, '')), '[\p{{L}}\p{{N}}_]+'), lambda x: x NOT IN ({STOPS})))) AS n_terms FROM t LEFT JOIN o USING (page_id)""",
     "stream_feedback": "SELECT user_id * 10 AS search_id, CASE WHEN arg_max(event_type, struct_pack(ts, event_id)) = 'purchase' THEN 'up' ELSE 'down' END AS rating, arg_max(event_id, struct_pack(ts, event_id)) AS event_id FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY user_id",
 }
