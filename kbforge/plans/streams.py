@@ -36,19 +36,42 @@ def _ran(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], mo
     return out
 
 
+#: Ordered deliveries of the events: by stages of so many days since the first of January. Of each stage every fiftieth event of its
+#: first half comes one delivery later, beyond any delay that is waited for, and so do some of its last half hour, within it.
+STAGE_DAYS, STAGES = 8, 4
+STAGE = f"least(datediff(ts, DATE'2024-01-01') div {STAGE_DAYS}, {STAGES - 1})"
+LATE = f"(event_id % 50 = 0 AND datediff(ts, DATE'2024-01-01') % {STAGE_DAYS} < {STAGE_DAYS // 2} OR event_id % 5 = 1 AND ts >= date_add(DATE'2024-01-01', cast({STAGE} + 1 AS INT) * {STAGE_DAYS}) - INTERVAL 30 MINUTES)"
+
+
+def _delivered(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that an append-mode stream gives, run once for each delivery from one checkpoint.
+
+    A window is given once no row of it can come any more, so windows that end after the last row's time less the delay
+    stay in the state.
+    """
+    root = scratch(spark, "stream")
+    events = read_table(spark, d, "events").withColumn("stage", F.expr(f"{STAGE} + cast({LATE} AS INT)"))
+    for k in range(STAGES + 1):
+        events.filter(F.col("stage") == k).drop("stage").withColumn("ts", _instant(F.col("ts"))).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
+        query = make(source).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+        query.option("checkpointLocation", f"{root}/checkpoint").start(f"{root}/rows").awaitTermination()
+    return spark.read.parquet(f"{root}/rows")
+
+
 def _stats(s: SparkSession, d: str) -> DataFrame:
-    path = _ran(s, d, lambda e: ops.search_stats(e.selectExpr("ts", "event_type AS source", "value AS response_ms")), "complete")
-    return s.read.parquet(path).select(_shown(F.col("day")).alias("day"), "source", "n", F.round("avg_ms", 6).alias("avg_ms"))
+    rows = _delivered(s, d, lambda e: ops.search_stats(e.selectExpr("ts", "event_type AS source", "value AS response_ms")))
+    return rows.select(_shown(F.col("day")).alias("day"), "source", "n", F.round("avg_ms", 6).alias("avg_ms"))
 
 
 def _sliding(s: SparkSession, d: str) -> DataFrame:
-    path = _ran(s, d, lambda e: ops.latency_sliding(e.selectExpr("ts", "event_type AS name", "value AS duration_ms"), "6 hours", "2 hours"), "complete")
-    return s.read.parquet(path).select(_shown(F.col("start")).alias("start"), "name", "n", F.round("avg_ms", 6).alias("avg_ms"), "max_ms")
+    rows = _delivered(s, d, lambda e: ops.latency_sliding(e.selectExpr("ts", "event_type AS name", "value AS duration_ms"), "6 hours", "2 hours", "1 hour"))
+    return rows.select(_shown(F.col("start")).alias("start"), "name", "n", F.round("avg_ms", 6).alias("avg_ms"), "max_ms", "p95_ms")
 
 
 def _sessions(s: SparkSession, d: str) -> DataFrame:
-    path = _ran(s, d, lambda e: ops.sessions(e.select("ts", "user_id"), "6 hours"), "complete")
-    return s.read.parquet(path).select("user_id", _shown(F.col("start")).alias("start"), "n")
+    rows = _delivered(s, d, lambda e: ops.sessions(e.select("ts", "user_id"), "6 hours"))
+    return rows.select("user_id", _shown(F.col("start")).alias("start"), _shown(F.col("end")).alias("end"), "n")
 
 
 def _history(s: SparkSession, d: str) -> DataFrame:
@@ -105,11 +128,17 @@ QUERIES = {
 
 _TIME = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 _GAPS = "g AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before {} INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events))"
+#: Each event with the watermark of its delivery (the latest time before it, in milliseconds, less an hour), and the last watermark.
+_SEEN = f"""WITH e AS (SELECT *, least(date_diff('day', TIMESTAMP '2024-01-01', ts) // {STAGE_DAYS}, {STAGES - 1}) AS stage FROM events),
+  d AS (SELECT *, stage + CAST(event_id % 50 = 0 AND date_diff('day', TIMESTAMP '2024-01-01', ts) % {STAGE_DAYS} < {STAGE_DAYS // 2}
+        OR event_id % 5 = 1 AND ts >= TIMESTAMP '2024-01-01' + (stage + 1) * {STAGE_DAYS} * INTERVAL 1 DAY - INTERVAL 30 MINUTE AS INT) AS no FROM e),
+  m AS (SELECT k, (SELECT max(date_trunc('milliseconds', ts)) - INTERVAL 1 HOUR FROM d WHERE no < k) AS before FROM range({STAGES + 2}) r(k)),
+  seen AS (SELECT event_id, ts, user_id, event_type, value, coalesce(before, TIMESTAMP '1970-01-01') AS before, (SELECT max(before) FROM m) AS last FROM d JOIN m ON m.k = d.no)"""
 _BEFORE = ", ".join(f"lag('q' || (event_id % 7), {k}) OVER w" for k in (3, 2, 1))
 ORACLES = {
-    "stream_search_stats": f"SELECT {_TIME.format('day')} AS day, event_type AS source, count(*) AS n, round(avg(value), 6) AS avg_ms FROM (SELECT *, date_trunc('day', ts) AS day FROM events) GROUP BY day, event_type",
-    "stream_latency_sliding": f"WITH w AS (SELECT *, time_bucket(INTERVAL 2 HOUR, ts) - unnest([0, 2, 4]) * INTERVAL 1 HOUR AS start FROM events) SELECT {_TIME.format('start')} AS start, event_type AS name, count(*) AS n, round(avg(value), 6) AS avg_ms, max(value) AS max_ms FROM w GROUP BY w.start, event_type",
-    "stream_sessions": f"WITH {_GAPS.format('>=')} SELECT user_id, {_TIME.format('min(ts)')} AS start, count(*) AS n FROM g GROUP BY user_id, no",
+    "stream_search_stats": f"{_SEEN}, w AS (SELECT *, date_trunc('day', ts) AS day FROM seen) SELECT {_TIME.format('day')} AS day, event_type AS source, count(*) AS n, round(avg(value), 6) AS avg_ms FROM w WHERE day + INTERVAL 1 DAY > before AND day + INTERVAL 1 DAY <= last GROUP BY day, event_type",
+    "stream_latency_sliding": f"{_SEEN}, w AS (SELECT *, time_bucket(INTERVAL 2 HOUR, ts) - unnest([0, 2, 4]) * INTERVAL 1 HOUR AS start FROM seen) SELECT {_TIME.format('start')} AS start, event_type AS name, count(*) AS n, round(avg(value), 6) AS avg_ms, max(value) AS max_ms, quantile_disc(value, 0.95) AS p95_ms FROM w WHERE start + INTERVAL 6 HOUR > before AND start + INTERVAL 6 HOUR <= last GROUP BY w.start, event_type",
+    "stream_sessions": f"{_SEEN}, events AS (SELECT event_id, ts, user_id, last FROM seen WHERE ts + INTERVAL 6 HOUR > before), {_GAPS.format('>=')} SELECT user_id, {_TIME.format('min(ts)')} AS start, {_TIME.format('max(ts) + INTERVAL 6 HOUR')} AS end, count(*) AS n FROM g GROUP BY user_id, no HAVING max(ts) + INTERVAL 6 HOUR <= any_value(last)",
     "stream_history": f"WITH {_GAPS.format('>')} SELECT event_id AS id, user_id, concat_ws(' > ', {_BEFORE}) AS history FROM g WINDOW w AS (PARTITION BY user_id, no ORDER BY ts, event_id)",
     "stream_lockouts": """WITH f AS (SELECT event_id AS id, user_id AS ip, ts FROM events WHERE event_type = 'error'),
         r AS (SELECT id, ip, (SELECT count(*) FROM f b WHERE b.ip = a.ip AND b.ts >= a.ts - INTERVAL 7 DAY AND (b.ts < a.ts OR (b.ts = a.ts AND b.id <= a.id))) AS recent FROM f a) SELECT * FROM r WHERE recent >= 3""",

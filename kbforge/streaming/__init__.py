@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def search_stats(log: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Searches and mean response a day and source; rows later than ``late`` are dropped."""
+    """Searches and mean response a day and source, once the day is over; rows that come more than ``late`` after its end are dropped."""
     days = log.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "source")
     return days.agg(F.count("*").alias("n"), F.avg("response_ms").alias("avg_ms")).select(F.col("window.start").alias("day"), "source", "n", "avg_ms")
 

@@ -65,3 +65,56 @@ def test_upserts_are_idempotent(spark, tmp_path):
     assert sorted(map(tuple, streaming.latest_of(spark, str(tmp_path), ["k"], "at").collect())) == want
     streaming.compact(spark, str(tmp_path), ["k"], "at", str(tmp_path / "small"))
     assert sorted(map(tuple, streaming.latest_of(spark, str(tmp_path / "small"), ["k"], "at").collect())) == want
+
+
+HOUR = 3600
+
+
+def deliver(spark, tmp_path, make, files):
+    """The rows of an append-mode stream after each of some deliveries, and the rows of state after the last."""
+    seen = []
+    for rows in files:
+        spark.createDataFrame(rows, "at long, key long, value double").selectExpr("timestamp_seconds(at) AS ts", "key", "value").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema("ts timestamp, key long, value double").parquet(str(tmp_path / "in"))
+        query = make(source).writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+        query = query.option("checkpointLocation", str(tmp_path / "cp")).start(str(tmp_path / "out"))
+        query.awaitTermination(120)
+        state = query.lastProgress["stateOperators"][0]
+        seen.append((spark.read.parquet(str(tmp_path / "out")).count(), state["numRowsTotal"]))
+    return spark.read.parquet(str(tmp_path / "out")), seen
+
+
+def test_days_are_given_once_over_and_state_is_bounded(spark, tmp_path):
+    day = 24 * HOUR
+    files = [[(d * day + k, 1, float(k)) for k in range(0, day, HOUR)] for d in range(6)]
+    files[2].append((2 * day - 1800, 1, 100.0))  # the day before, within the delay of the day's start
+    files[4].append((day // 2, 1, 999.0))  # days too late
+    files[5].append((4 * day + 5, 1, 7.0))  # its day is not over when the delivery before ends
+    make = lambda s: streaming.search_stats(s.selectExpr("ts", "cast(key AS string) AS source", "value AS response_ms"))
+    out, seen = deliver(spark, tmp_path, make, files)
+    got = {r.day.timestamp() // day: (r.n, r.avg_ms) for r in out.collect()}
+    assert {d: n for d, (n, _) in got.items()} == {0: 24, 1: 25, 2: 24, 3: 24, 4: 25} and got[0][1] < 100_000
+    assert [n for n, _ in seen] == [0, 1, 2, 3, 4, 5] and max(n for _, n in seen) <= 2
+
+
+def test_sliding_windows_show_their_percentile_and_end(spark, tmp_path):
+    files = [[(k * 60 + j, 1, float(k * 60 + j)) for k in range(30 * i, 30 * (i + 1)) for j in range(0, 60, 3)] for i in range(4)]
+    make = lambda s: streaming.latency_sliding(s.selectExpr("ts", "cast(key AS string) AS name", "value AS duration_ms"))
+    out, seen = deliver(spark, tmp_path, make, files)
+    for r in out.collect():
+        start = r.start.timestamp()
+        own = sorted(v for rows in files for _, _, v in rows if start <= v < start + 600)
+        assert (r.n, r.max_ms, r.p95_ms) == (len(own), own[-1], own[-(-len(own) * 95 // 100) - 1])
+    # Windows of ten minutes and a delay of as much: what is open spans twenty minutes, whatever came before.
+    assert out.count() > 80 and max(n for _, n in seen) <= 31
+
+
+def test_sessions_end_and_leave_the_state(spark, tmp_path):
+    users, gap = 50, 1800
+    files = [[(i * 4 * HOUR + u * 7 + k * 600, u, 0.0) for u in range(users) for k in range(3)] for i in range(5)]
+    files[3].append((100, 3, 0.0))  # hours too late: no session of its own
+    out, seen = deliver(spark, tmp_path, lambda s: streaming.sessions(s.selectExpr("ts", "key AS user_id")), files)
+    rows = out.collect()
+    assert len(rows) == users * 4 == len({(r.user_id, r.start) for r in rows})
+    assert all(r.n == 3 and r.end.timestamp() - r.start.timestamp() == 1200 + gap for r in rows)
+    assert max(n for _, n in seen) <= users
