@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kbforge.functions.storage import materialize
-from kbforge.operators import retrieval
-from kbforge.operators.components import connected_components
+from kbforge.operators.components import connected_components, join_spread
 
 #: Phrases of generic mentions, and patterns of names that are none.
 GENERIC = ("any camera", "most cameras", "all cameras", "example camera", "generic camera", "various cameras", "multiple cameras", "camera model", "your camera", "the camera", "a camera")
@@ -30,8 +27,6 @@ MAKERS = (
     "Ross", "AJA", "BMD", "GoPro", "DJI", "Atomos", "Marshall", "PTZOptics",
 )
 LISTS = ("ports", "protocols", "controls")
-#: Asked items of a block that is broadcast.
-QUERY_BLOCK = 4096
 
 
 def normalize_list(values: Column, aliases: dict[str, str]) -> Column:
@@ -239,43 +234,84 @@ def related_items(items: DataFrame, asked: DataFrame, limit: int = 5, same: int
     """``id, other, score, rank`` of the ``limit`` items nearest to each asked one: 3 for the same maker, 3 for the same type,
     1 for each shared port and protocol; of equal scores the least ids, none with a score of 0.
 
-    Asked items go out in blocks of bounded size. Each task scores its rows against the block by one product and keeps the
-    best of each asked item over all its batches, so no pair of items becomes a row.
+    Items of one set of attributes are one class with its least ids. A class stands in lists by what it has: maker, type or
+    both, alone or with one port or protocol. How long a list is tells what score an asked class's ``limit``-th neighbour has
+    at least; its shortest list that is long enough is scored to raise that threshold. A class that reaches it must then
+    share one of the lists that the threshold leaves (with a maker and type worth 6 and 9 further attributes, a threshold of 12
+    leaves the lists of both with one of the 4 rarest attributes, and those of maker or type alone with just one). Only these meet.
     """
-    spark = items.sparkSession
-    columns = ["id", "manufacturer", "device_type", "ports", "protocols"]
-    numbered = asked.select(*columns).withColumn("block", F.floor((F.row_number().over(Window.orderBy("id")) - 1) / QUERY_BLOCK))
-    dealt = materialize(numbered, "asked")
-    out = spark.createDataFrame([], "id long, other long, score double")
-    for block in range(int(dealt.agg(F.max("block")).first()[0] or 0) + 1):
-        known: dict[tuple[str, str], int] = {}
-        rows = dealt.filter(F.col("block") == block).select(*columns).collect()
-        marks = [[known.setdefault(a, len(known)) for a in _marks(*r[1:])] for r in rows]
-        weight = np.zeros((len(rows), len(known)), np.float32)
-        for k, own in enumerate(marks):
-            weight[k, own] = 1
-        weight *= np.array([same if kind in ("maker", "type") else 1 for kind, _ in known], np.float32)
-        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in rows], np.int64), known, weight))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, known, weight = shared.value
-            best = retrieval.Best(len(ids), limit)
-            for batch in batches:
-                own = np.zeros((len(batch), len(known)), np.float32)
-                for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)))):
-                    own[k, [known[a] for a in _marks(*row) if a in known]] = 1
-                names = batch.column(0).to_numpy()
-                score = (weight @ own.T).astype(float)
-                score[(score == 0) | (ids[:, None] == names)] = -np.inf
-                best.add(score, names)
-            yield best.rows(ids, ["id", "other", "score"])
-
-        out = out.unionByName(items.select(*columns).mapInArrow(run, "id long, other long, score double"))
-    return retrieval.top_k(out.withColumn("score", F.col("score").cast("long")), limit, "id", "other")
-
-
-def _marks(maker: str | None, kind: str | None, ports: list[str] | None, protocols: list[str] | None) -> set[tuple[str, str]]:
-    return {(k, v) for k, v in [("maker", maker), ("type", kind), *(("port", p) for p in ports or []), *(("protocol", p) for p in protocols or [])] if v}
+    every = ["maker", "kind", "marks"]
+    classed = materialize(_classed(items).unionByName(_classed(asked).withColumn("asking", F.lit(True)), allowMissingColumns=True), "classed")
+    told = materialize(classed.groupBy("cls").agg(*(F.first(c).alias(c) for c in every), F.count(F.when(F.col("asking").isNull(), 1)).alias("n"), F.count("asking").alias("n_asked")), "classes")
+    there, asking = told.filter("n > 0"), told.filter("n_asked > 0")
+    lists = materialize(there.select("cls", "n", F.explode(_lists(F.col("marks"))).alias("key")), "lists")
+    sizes = lists.groupBy("key").agg(F.sum("n").alias("n"))
+    own = materialize(asking.select("cls", F.explode(_lists(F.col("marks"))).alias("key")).join(sizes, "key"), "own-lists")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        """``cls, other, score`` of pairs of classes."""
+        left = asking.select("cls", *(F.col(c).alias(f"own_{c}") for c in every))
+        both = pairs.join(left, "cls").join(there.select(F.col("cls").alias("other"), *every), "other")
+        alike = lambda c: F.when((F.col(c) != "") & (F.col(c) == F.col(f"own_{c}")), same).otherwise(0)
+        return both.select("cls", "other", (alike("maker") + alike("kind") + F.size(F.array_intersect("marks", "own_marks"))).cast("long").alias("score"))
+
+    # The item itself may stand in the list, so one more is wanted.
+    enough = own.filter(F.col("n") > limit).groupBy("cls").agg(F.min(F.struct("n", "key"))["key"].alias("key"))
+    tried = scored(enough.join(lists.select(F.col("cls").alias("other"), "key"), "key").select("cls", "other")).join(there.select(F.col("cls").alias("other"), "n"), "other")
+    # The score that more than ``limit`` of the tried items reach.
+    above = Window.partitionBy("cls").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    least = tried.withColumn("reach", F.sum("n").over(above)).filter(F.col("reach") > limit).groupBy("cls").agg(F.max("score").alias("least"))
+    met = asking.join(least, "cls", "left").select("cls", "maker", "kind", "marks", F.greatest(F.coalesce("least", F.lit(1)), F.lit(1)).alias("least"))
+    rare = own.filter(F.col("key.mark") != "").filter("key.maker = '' AND key.kind = ''").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("n", F.col("key.mark").alias("mark")))).alias("rare"))
+    # Marks that no class has are the rarest; a prefix need not hold them, but they count in its length.
+    wanted = met.join(rare, "cls", "left").select("cls", F.explode(_wanted(same)).alias("key"))
+    pairs = wanted.join(lists.select(F.col("cls").alias("other"), "key"), "key").select("cls", "other").distinct()
+    members = classed.filter("asking IS NULL").select("cls", "id").withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).filter(F.col("r") <= limit + 1)
+    found = scored(pairs).filter("score > 0").join(members.select(F.col("cls").alias("other"), "id"), "other")
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= limit + 1)
+    tops = best.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), F.col("id").alias("other")))).alias("top"))
+    each = join_spread(classed.filter("asking").select("id", "cls"), tops, "cls")
+    others = F.slice(F.filter("top", lambda x: ~x["other"].eqNullSafe(F.col("id"))), 1, limit)
+    return each.select("id", F.posexplode(others).alias("rank", "x")).select("id", "x.other", (-F.col("x.less")).alias("score"), (F.col("rank") + 1).alias("rank"))
+
+
+def _classed(items: DataFrame) -> DataFrame:
+    """``id, cls`` and what the class has: maker and type (empty: none), ports and protocols as marks."""
+    marks = lambda c: F.transform(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x != ""), lambda x: F.concat(F.lit(f"{c}:"), x))
+    rows = items.select("id", F.coalesce("manufacturer", F.lit("")).alias("maker"), F.coalesce("device_type", F.lit("")).alias("kind"), F.array_sort(F.array_distinct(F.concat(marks("ports"), marks("protocols")))).alias("marks"))
+    return rows.withColumn("cls", F.sha2(F.to_json(F.struct("maker", "kind", "marks")), 256))
+
+
+def _lists(marks: Column) -> Column:
+    """The lists that a class stands in: each of its maker and type, with one mark or none; the empty list is left out."""
+    bases = F.array_distinct(F.array(*(F.struct(F.when(F.lit(m), F.col("maker")).otherwise("").alias("maker"), F.when(F.lit(k), F.col("kind")).otherwise("").alias("kind")) for m in (True, False) for k in (True, False))))
+    keys = F.flatten(F.transform(bases, lambda b: F.transform(F.concat(F.array(F.lit("")), marks), lambda x: F.struct(b["maker"].alias("maker"), b["kind"].alias("kind"), x.alias("mark")))))
+    return F.filter(keys, lambda k: (k["maker"] != "") | (k["kind"] != "") | (k["mark"] != ""))
+
+
+def _list_of(maker: Column, kind: Column) -> Callable[[Column], Column]:
+    return lambda mark: F.struct(maker, kind, mark.alias("mark"))
+
+
+def _wanted(same: int) -> Column:
+    """Of an asked class the lists that hold every class of the score ``least`` or more.
+
+    What shares no more of maker and type than a list's must make up for the rest by ports and protocols: of p of them r are
+    shared only if one of any p - r + 1 is.
+    """
+    out = []
+    rare, p = F.transform(F.coalesce("rare", F.array().cast("array<struct<n:bigint,mark:string>>")), lambda x: x["mark"]), F.size("marks")
+    for m in (True, False):
+        for k in (True, False):
+            there = (F.col("maker") != "" if m else F.lit(True)) & (F.col("kind") != "" if k else F.lit(True))
+            need = F.col("least") - same * (m + k)
+            # Marks that no class has come first in the order of rareness.
+            length = F.greatest(p - need + 1 - (p - F.size(rare)), F.lit(0)).cast("int")
+            chosen = F.when(need <= 0, F.array(F.lit("")) if m or k else rare).otherwise(F.slice(rare, F.lit(1), F.least(length, F.size(rare))))
+            maker, kind = (F.col("maker") if m else F.lit("")).alias("maker"), (F.col("kind") if k else F.lit("")).alias("kind")
+            own = F.transform(chosen, _list_of(maker, kind))
+            out.append(F.when(there, own).otherwise(F.array().cast("array<struct<maker:string,kind:string,mark:string>>")))
+    return F.array_distinct(F.concat(*out))
 
 
 def compare_items(items: DataFrame, sets: DataFrame) -> DataFrame:

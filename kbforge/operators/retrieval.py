@@ -6,14 +6,12 @@ order of additions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kbforge.functions.storage import materialize
+from kbforge.operators import vectors
 
 TERM = r"[\p{L}\p{N}_]+"
 #: Fixed values.
@@ -25,8 +23,6 @@ TECHNICAL_TERMS = (
 )
 K1, B = 1.2, 0.75
 RRF_K = 60
-#: Queries of a block that is broadcast for dense search.
-QUERY_BLOCK = 4096
 
 
 def terms_of(text: Column) -> Column:
@@ -85,59 +81,10 @@ def lexical_rerank(docs: DataFrame, queries: DataFrame, candidates: DataFrame) -
     return pairs.groupBy("query_id", "doc_id").agg(F.sum("idf").alias("hit")).join(whole, "query_id").select("query_id", "doc_id", F.round(F.col("hit") / F.col("whole"), 6).alias("score"))
 
 
-def search_dense(vectors: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:
-    """``query_id, vec_id, score, rank`` by cosine similarity; a zero vector scores 0.
-
-    Queries go out in blocks of bounded size; each task multiplies its batches with the block and keeps the best ``k`` a
-    query over all its batches.
-    """
-    spark = vectors.sparkSession
-    out = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    ordered = queries.select("query_id", "embedding").orderBy("query_id")
-    total = queries.count()
-    for start in range(0, total, QUERY_BLOCK):
-        block = ordered.offset(start).limit(QUERY_BLOCK).toPandas()
-        shared = spark.sparkContext.broadcast((block["query_id"].to_numpy(), _unit(np.array(block["embedding"].tolist(), float))))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            best = Best(len(ids), k)
-            for batch in batches:
-                if len(batch):
-                    v = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1))
-                    best.add(np.round(q @ v.T, 6) + 0.0, batch.column(0).to_numpy())
-            yield best.rows(ids, ["query_id", "vec_id", "score"])
-
-        out = out.unionByName(vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double"))
-    return top_k(out if least is None else out.filter(F.col("score") >= least), k, key="vec_id")
-
-
-class Best:
-    """The ``k`` highest scores of each query over batches, of equal ones the least ids."""
-
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.scores, self.ids = np.full((queries, 0), -np.inf), np.zeros((queries, 0), np.int64)
-
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        if scores.shape[1] > 4 * self.k:
-            # Only what reaches the k-th score can stay; columns that no query wants go before the sort.
-            least = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
-            wanted = np.flatnonzero((scores >= least[:, None]).any(axis=0))
-            scores, ids = scores[:, wanted], ids[wanted]
-        scores = np.hstack([self.scores, scores])
-        ids = np.hstack([self.ids, np.broadcast_to(ids, (len(scores), len(ids)))])
-        order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
-        self.scores, self.ids = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-
-    def rows(self, queries: np.ndarray, names: list[str]) -> pa.RecordBatch:
-        held = self.scores > -np.inf
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, held.sum(axis=1))), pa.array(self.ids[held]), pa.array(self.scores[held])], names=names)
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+def search_dense(found: DataFrame, queries: DataFrame, k: int = 10, least: float | None = None) -> DataFrame:
+    """``query_id, vec_id, score, rank`` by cosine similarity, exactly, by an index of cells (``vectors``); a zero vector scores 0."""
+    hits = vectors.search(vectors.build(found), queries, k)
+    return hits if least is None else hits.filter(F.col("score") >= least)
 
 
 def fuse_rrf(lists: list[DataFrame], limit: int = 10) -> DataFrame:

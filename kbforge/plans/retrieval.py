@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kbforge.functions.storage import materialize, read_table
-from kbforge.operators import retrieval as ops
+from kbforge.operators import retrieval as ops, vectors
 
 K = 40
+#: The share of cells that a search of some of them looks into.
+PROBES = 0.65
 STOPS = ", ".join(f"'{w}'" for w in ops.STOP_WORDS)
 SQL_TERMS = rf"list_filter(regexp_extract_all(lower(coalesce(text, '')), '{ops.TERM}'), lambda t: t NOT IN ({STOPS}))"
 SQL_POSTINGS = f"""d AS (SELECT doc_id, {SQL_TERMS} AS terms FROM documents),
@@ -60,8 +62,14 @@ def rich(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = read_table(spark, sf_dir, "embeddings")
-    return ops.search_dense(vectors, vectors.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10)
+    found = read_table(spark, sf_dir, "embeddings")
+    return ops.search_dense(found, found.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10)
+
+
+def _probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a few cells of the index; tests/test_vectors.py measures the recall."""
+    found = read_table(spark, sf_dir, "embeddings")
+    return vectors.search(vectors.build(found), found.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10, PROBES)
 
 
 def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +112,7 @@ QUERIES = {
     "bm25_idf": lambda s, d: ops.bm25_idf(_postings(s, d), docs(s, d).agg(F.count("*").alias("n"))).select("term", "df", F.round("idf", 6).alias("idf")),
     "search_bm25": bm25,
     "search_dense": _dense,
+    "search_dense_probed": _probed,
     "lexical_rerank": cover,
     "fuse_rrf": _fused,
     "merge_sources_diverse": lambda s, d: ops.merge_sources_diverse(bm25(s, d).select("query_id", "doc_id", "score", F.when(F.col("doc_id") % 11 == 0, "custom").when(F.col("doc_id") % 7 == 0, "cases").otherwise("docs").alias("source")), 5),
