@@ -23,6 +23,8 @@ TECHNICAL_TERMS = (
 )
 K1, B = 1.2, 0.75
 RRF_K = 60
+#: Words of a run by which documents that hold a text are found.
+GRAM = 5
 
 
 def terms_of(text: Column) -> Column:
@@ -196,18 +198,67 @@ def build_context(hits: DataFrame, first: int = 8, group_most: int = 4000, most:
 
 
 def expected_documents(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, doc_id`` of documents that hold a query's text.
+    """``query_id, doc_id`` of documents whose text holds a query's text, case and marks included.
 
-    A document can only hold it if it has the rarest of its inner terms, so texts meet by an equi-join on that term.
+    The words of a query but its first and last are whole words of such a document, one after the other. So texts meet by an
+    equi-join on runs of up to ``GRAM`` of them, the first of the query's. Queries of one or two words have none: the first
+    ends a word of the document, the last begins one, a single word lies within one; they meet the vocabulary by parts of
+    words as long as theirs. What meets is compared. A query without a word expects no document.
     """
-    inner = queries.select("query_id", "text", F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)).alias("t")).select("query_id", F.explode(F.array_distinct(F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0))))).alias("term"))
-    postings = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).join(inner.select("term").distinct(), "term", "left_semi")
-    postings = materialize(postings, "postings")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    rare = inner.join(df, "term").groupBy("query_id").agg(F.min(F.struct("df", "term"))["term"].alias("term"))
-    pairs = postings.join(rare, "term").select("query_id", "doc_id")
-    asked = queries.select("query_id", F.col("text").alias("wanted"))
-    return pairs.join(asked, "query_id").join(docs.select("doc_id", "text"), "doc_id").filter(F.col("text").contains(F.col("wanted"))).select("query_id", "doc_id")
+    words = lambda text: F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    asked = materialize(queries.select("query_id", "text", words(F.col("text")).alias("words")).withColumn("n", F.size("words")).filter("n > 0"), "asked")
+    gram = F.slice("words", F.lit(2), F.least(F.col("n") - 2, F.lit(GRAM)))
+    runs = asked.filter("n > 2").select("query_id", F.size(gram).alias("size"), F.xxhash64(gram).alias("gram"))
+    # At most ``GRAM`` sizes.
+    sizes = sorted(r[0] for r in runs.select("size").distinct().collect())
+    split = docs.select("doc_id", words(F.col("text")).alias("words"))
+
+    def grams(size: int) -> Column:
+        count = F.size("words") - size + 1
+        own = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice("words", i, F.lit(size))))
+        return F.transform(F.array_distinct(F.when(count > 0, own).otherwise(F.array().cast("array<bigint>"))), lambda g: F.struct(F.lit(size).alias("size"), g.alias("gram")))
+
+    pairs = asked.select("query_id", F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id")).limit(0)
+    if sizes:
+        held = split.select("doc_id", F.explode(F.concat(*map(grams, sizes))).alias("g")).select("doc_id", "g.*")
+        pairs = held.join(bounded(runs), ["size", "gram"]).select("query_id", "doc_id")
+    short = asked.filter("n <= 2")
+    if not short.isEmpty():
+        pairs = pairs.unionByName(_by_parts(split, short))
+    pairs = materialize(pairs.distinct(), "pairs")
+    met = docs.select("doc_id", "text").join(bounded(pairs), "doc_id").join(bounded(asked.select("query_id", F.col("text").alias("wanted"))), "query_id")
+    return met.filter(F.col("text").contains(F.col("wanted"))).select("query_id", "doc_id").distinct()
+
+
+def bounded(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``rows``, which are written or cheap to count, broadcast if there are no more than ``most``."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def _by_parts(split: DataFrame, short: DataFrame) -> DataFrame:
+    """``query_id, doc_id`` where a word of the document ends, begins or holds what a query of one or two words asks for."""
+    postings = materialize(split.select("doc_id", F.explode(F.array_distinct("words")).alias("word")), "words")
+    vocabulary = postings.groupBy("word").agg(F.count("*").alias("df"))
+    one, first, last = F.col("n") == 1, F.element_at("words", 1), F.element_at("words", -1)
+    part = lambda kind, word: F.struct(F.lit(kind).alias("kind"), word.alias("part"))
+    parts = F.when(one, F.array(part("in", first))).otherwise(F.array(part("end", first), part("begin", last)))
+    asked = materialize(short.select("query_id", F.explode(parts).alias("p")).select("query_id", "p.*"), "parts")
+    # As many as there are lengths of words.
+    lengths = asked.select("kind", F.length("part").alias("size")).distinct().collect()
+    word, size = F.col("word"), F.length("word")
+
+    def cut(kind: str, n: int) -> Column:
+        if kind == "in":
+            own = F.array_distinct(F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(word, i, F.lit(n))))
+        else:
+            own = F.array(F.substring(word, 1, n) if kind == "begin" else F.substring(word, -n, n))
+        return F.when(size >= n, F.transform(own, lambda x: part(kind, x))).otherwise(F.array().cast("array<struct<kind:string,part:string>>"))
+
+    known = vocabulary.select("word", "df", F.explode(F.concat(*(cut(r["kind"], r["size"]) for r in lengths))).alias("p")).select("word", "df", "p.*")
+    fits = materialize(known.join(asked, ["kind", "part"]), "fits")
+    # Of two words the one that fewer documents have.
+    rare = fits.groupBy("query_id", "kind").agg(F.sum("df").alias("df")).groupBy("query_id").agg(F.min(F.struct("df", "kind"))["kind"].alias("kind"))
+    return fits.join(rare, ["query_id", "kind"]).select("query_id", "word").join(postings, "word").select("query_id", "doc_id")
 
 
 def eval_retrieval(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
