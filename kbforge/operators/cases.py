@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kbforge.functions.stemming import stem_column
 from kbforge.operators import retrieval
 
 #: Lines of a mail body that are no content.
@@ -57,40 +56,6 @@ def list_fixes(fixes: DataFrame, status: str | None = None, offset: int = 0, lim
     return page_of(fixes.filter(F.col("status") == status) if status else fixes, [F.desc("created_at"), "id"], offset, limit)
 
 
-#: Words that combine terms in a search and are no terms.
-SEARCH_WORDS = ("near", "not", "or", "and")
-
-
-def stemmed(docs: DataFrame) -> DataFrame:
-    """The postings of ``docs`` by stems. Each distinct term is stemmed once."""
-    postings = retrieval.bm25_postings(docs)
-    stems = postings.select("term").distinct().withColumn("stem", stem_column(F.col("term")))
-    return postings.join(stems, "term").groupBy("doc_id", F.col("stem").alias("term"), "doc_len").agg(F.sum("tf").alias("tf"))
-
-
-def fts_search(docs: DataFrame, queries: DataFrame, k: int = 100, stem: bool = False) -> DataFrame:
-    """``query_id, doc_id, score, rank``: BM25 in which a query's term stands for every word that begins with it.
-
-    The words that combine terms are no terms here. With ``stem`` both sides are stemmed first.
-
-    Terms meet words on their first three characters, an equi-join over the distinct vocabulary, before the prefix is tested;
-    shorter terms meet on what they have.
-    """
-    postings = stemmed(docs) if stem else retrieval.bm25_postings(docs)
-    asked = retrieval.query_terms(queries).filter(~F.col("term").isin(*SEARCH_WORDS))
-    if stem:
-        asked = asked.select("query_id", stem_column(F.col("term")).alias("term")).distinct()
-    words = postings.select("term").distinct()
-    cuts = words.select(F.col("term").alias("word"), F.explode(F.array_distinct(F.array(*(F.substring("term", 1, n) for n in (1, 2, 3))))).alias("cut"))
-    pairs = asked.withColumn("cut", F.substring("term", 1, 3)).join(cuts, "cut").filter(F.startswith("word", "term")).select("query_id", F.col("word").alias("term")).distinct()
-    sizes = docs.agg(F.count("*").alias("n"), F.sum(F.size(retrieval.terms_of(F.col("text")))).alias("total"))
-    useful = postings.join(pairs.select("term").distinct(), "term", "left_semi")
-    idf = useful.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(sizes)).select("term", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), (F.col("total") / F.col("n")).alias("avg_len"))
-    weight = F.col("idf") * F.col("tf") * (retrieval.K1 + 1) / (F.col("tf") + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("doc_len") / F.col("avg_len")))
-    scored = useful.join(idf, "term").join(pairs, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
-    return retrieval.top_k(scored, k)
-
-
 #: Shops behind the makers' own sites, and words in an address with what they add.
 SHOPS = ("bhphotovideo.com", "adorama.com", "fullcompass.com")
 URL_WORDS = ((2.0, ("spec", "product", "detail", "feature", "overview")), (1.5, ("professional", "broadcast", "cinema", "pro.")), (-5.0, ("review", "forum", "blog", "news", "video", "youtube")))

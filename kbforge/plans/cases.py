@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kbforge.functions.storage import read_table
-from kbforge.operators import cases as ops
+from kbforge.operators import cases as ops, fulltext
 from kbforge.plans import corpus, retrieval
 from kbforge.plans.corpus import docs
 
@@ -27,11 +27,11 @@ def _messages(s: SparkSession, d: str) -> DataFrame:
 def _searched(s: SparkSession, d: str) -> DataFrame:
     items = read_table(s, d, "part").selectExpr("p_partkey AS doc_id", f"{ITEM_TEXT} AS text")
     words = s.createDataFrame([(1, "ri"), (2, "widg economy"), (3, "brand red"), (4, "zzz")], "query_id long, text string")
-    return ops.fts_search(items, words, 20)
+    return fulltext.search(fulltext.build(items), words, 20)
 
 
 def _found_cases(s: SparkSession, d: str) -> DataFrame:
-    return ops.fts_search(retrieval.docs(s, d), retrieval.questions(s, d), 20, stem=True)
+    return fulltext.search(fulltext.build(retrieval.docs(s, d), stem=True), retrieval.questions(s, d), 20)
 
 
 def _ranked(s: SparkSession, d: str) -> DataFrame:
@@ -55,7 +55,7 @@ QUERIES = {
     "fts_search_catalog": _searched,
     "rank_urls": _ranked,
     "fts_search_cases": _found_cases,
-    "stem_terms": lambda s, d: ops.stemmed(retrieval.docs(s, d)).select("doc_id", "term", "tf"),
+    "stem_terms": lambda s, d: fulltext.stemmed(retrieval.docs(s, d)).select("doc_id", "term", "tf"),
     "list_fixes": lambda s, d: ops.list_fixes(corpus.fixes(s, d).withColumn("created_at", F.col("id")), "pending", 5, 30).select("id", "original_text", "total"),
     "search_dense_merged": _dense,
     "clean_email_text": _mail,
