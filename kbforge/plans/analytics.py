@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kbforge.functions.storage import read_table
-from kbforge.operators import analytics as ops
+from kbforge.functions.storage import read_table, scratch
+from kbforge.operators import analytics as ops, daylog
 
 AS_OF = "2024-01-31 00:00:00"
 K = "CAST(get_json_object(props, '$.k') AS INT)"
@@ -59,7 +59,10 @@ def _f(name: str) -> str:
 
 
 def _purged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, feedback = ops.retention_purge(log(spark, sf_dir), ops.upsert_feedback(votes(spark, sf_dir)), AS_OF, 20)
+    stored = daylog.DayLog(spark, scratch(spark, "log"))
+    stored.write(log(spark, sf_dir), ops.upsert_feedback(votes(spark, sf_dir)))
+    stored.purge(AS_OF, 20)
+    kept, feedback = stored.searches(), stored.feedback()
     return kept.select(F.lit("search").alias("kind"), "id").unionByName(feedback.select(F.lit("feedback").alias("kind"), F.col("search_id").alias("id")))
 
 
