@@ -145,6 +145,19 @@ def job_runs(jobs: DataFrame, as_of: str, keep_days: int = 30) -> DataFrame:
     return kept.withColumns({"duration_s": seconds, "status": F.when(F.col("status") == "running", "failed").otherwise(F.col("status"))})
 
 
+def list_jobs(jobs: DataFrame, kind: str | None = None, status: str | None = None, offset: int = 0, limit: int = 20) -> DataFrame:
+    """A page of the runs of a type and status, newest first, with the number of all that fit."""
+    rows = jobs.filter(F.col("job_type") == kind) if kind else jobs
+    rows = rows.filter(F.col("status") == status) if status else rows
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(F.desc("started_at"), F.desc("id")).offset(offset).limit(limit).crossJoin(F.broadcast(total))
+
+
+def job_counts(jobs: DataFrame) -> DataFrame:
+    """``job_type, status, n, seconds``; null stands for all types or states."""
+    return jobs.cube("job_type", "status").agg(F.count("*").alias("n"), F.sum("duration_s").alias("seconds"))
+
+
 def login_lockouts(failures: DataFrame, seconds: int = 300, most: int = 5) -> DataFrame:
     """At each failure the failures of the last ``seconds``, itself included; at ``most`` or more the address is locked."""
     frame = Window.partitionBy("ip").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)

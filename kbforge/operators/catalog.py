@@ -27,6 +27,18 @@ MAKERS = (
     "Ross", "AJA", "BMD", "GoPro", "DJI", "Atomos", "Marshall", "PTZOptics",
 )
 LISTS = ("ports", "protocols", "controls")
+#: Lists and single values that are merged where a table has them; the type, source and confidence of a known item are not.
+MERGED_LISTS = (*LISTS, "notes")
+MERGED_VALUES = ("manufacturer", "code_model", "doc_url", "manufacturer_url")
+
+
+def _has(rows: DataFrame, names: tuple[str, ...]) -> list[str]:
+    return [c for c in names if c in rows.columns]
+
+
+def _joined(name: str) -> Column:
+    """The sorted union of a group's lists."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
 
 
 def normalize_list(values: Column, aliases: dict[str, str]) -> Column:
@@ -141,24 +153,28 @@ def merge_extractions(rows: DataFrame) -> DataFrame:
     """
     key = F.concat(F.lower(F.coalesce("manufacturer", F.lit("unknown"))), F.lit(":"), F.regexp_replace(F.lower("name"), r"[-_\s]", ""))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return rows.groupBy(key.alias("key")).agg(F.max_by("name", F.struct(F.length("name"), -F.col("at"))).alias("name"), last("manufacturer"), last("code_model"), union("ports"), F.count("*").alias("merged"))
+    values = [last(c) for c in ("manufacturer", *_has(rows, ("device_type",)), *_has(rows, MERGED_VALUES[1:]))]
+    return rows.groupBy(key.alias("key")).agg(F.max_by("name", F.struct(F.length("name"), -F.col("at"))).alias("name"), *values, *map(_joined, _has(rows, MERGED_LISTS)), F.count("*").alias("merged"))
 
 
 def upsert_catalog(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
     """``catalog`` with incoming rows merged by exact name, else by key; the rest is inserted without an id.
 
-    Incoming rows of one key count once, the first. Lists are joined; incoming values stand over old ones where given.
+    Incoming rows of one key count once, the first. Lists are joined; incoming values stand over old ones where given, of
+    several the greatest. Both tables have the same of the merged columns; all other columns are dropped.
     """
     key = lambda df: df.withColumn("k", entity_key(F.col("name"), F.col("manufacturer"))).withColumn("n", F.lower("name"))
+    lists, values = _has(incoming, MERGED_LISTS), _has(incoming, MERGED_VALUES)
     new = key(incoming).filter("k <> ''").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("name"))).filter("r = 1")
     old = key(catalog)
     by_name = new.join(old.groupBy("n").agg(F.min("id").alias("id")), "n")
     rest = new.join(by_name.select("k"), "k", "left_anti")
     by_key = rest.join(old.filter("k <> ''").groupBy("k").agg(F.min("id").alias("id")), "k")
-    hit = by_name.select("id", "code_model", "ports").unionByName(by_key.select("id", "code_model", "ports")).groupBy("id").agg(F.max("code_model").alias("c"), F.array_distinct(F.flatten(F.collect_list("ports"))).alias("p"))
-    merged = catalog.join(hit, "id", "left").select("id", "name", "manufacturer", F.coalesce("c", "code_model").alias("code_model"), F.array_sort(F.array_union("ports", F.coalesce("p", F.array().cast("array<string>")))).alias("ports"))
-    fresh = rest.join(by_key.select("k"), "k", "left_anti").select(F.lit(None).cast("long").alias("id"), "name", "manufacturer", "code_model", F.array_sort("ports").alias("ports"))
+    hits = by_name.select("id", *values, *lists).unionByName(by_key.select("id", *values, *lists))
+    hit = hits.groupBy("id").agg(*(F.max(c).alias(f"_{c}") for c in values), *(_joined(c).alias(f"_{c}") for c in lists))
+    none = F.array().cast("array<string>")
+    merged = catalog.join(hit, "id", "left").select("id", "name", *(F.coalesce(f"_{c}", c).alias(c) for c in values), *(F.array_sort(F.array_union(F.coalesce(c, none), F.coalesce(f"_{c}", none))).alias(c) for c in lists))
+    fresh = rest.join(by_key.select("k"), "k", "left_anti").select(F.lit(None).cast("long").alias("id"), "name", *values, *(F.array_sort(c).alias(c) for c in lists))
     return merged.unionByName(fresh)
 
 
@@ -187,11 +203,13 @@ def duplicate_groups(items: DataFrame) -> DataFrame:
 
 
 def merge_into_primary(items: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Targets (``id, primary_id``) go into their primaries: joined lists, the primary's values first, the highest confidence."""
+    """Targets (``id, primary_id``) go into their primaries: joined lists, the primary's values first, then the first target's
+    that has one, the highest confidence, and no review is due any more."""
     own = items.join(mapping, "id", "left").withColumn("into", F.coalesce("primary_id", "id"))
     order = F.struct(F.col("primary_id").isNotNull(), F.col("id"))
-    first = F.min_by("code_model", F.when(F.col("code_model").isNotNull(), order)).alias("code_model")
-    return own.groupBy(F.col("into").alias("id")).agg(F.min_by("name", order).alias("name"), first, F.array_sort(F.array_distinct(F.flatten(F.collect_list("ports")))).alias("ports"), F.max("confidence").alias("confidence"), F.count("*").alias("merged"))
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in _has(items, (*MERGED_VALUES, "device_type"))]
+    review = [(F.min_by("needs_review", order) & (F.count("*") == 1)).alias("needs_review")] if "needs_review" in items.columns else []
+    return own.groupBy(F.col("into").alias("id")).agg(F.min_by("name", order).alias("name"), *first, *map(_joined, _has(items, MERGED_LISTS)), F.max("confidence").alias("confidence"), *review, F.count("*").alias("merged"))
 
 
 def strip_name_prefix(items: DataFrame) -> DataFrame:
@@ -201,7 +219,7 @@ def strip_name_prefix(items: DataFrame) -> DataFrame:
     return items.withColumn("clean", clean).groupBy(F.lower("clean").alias("k")).agg(F.min("id").alias("id"), F.min_by("clean", "id").alias("name"), F.count("*").alias("merged")).drop("k")
 
 
-def filter_catalog(items: DataFrame, maker: str | None = None, device: str | None = None, port: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
+def filter_catalog(items: DataFrame, maker: str | None = None, device: str | None = None, port: str | None = None, offset: int = 0, limit: int = 50, protocol: str | None = None) -> DataFrame:
     """A page of the items that fit all given conditions, by maker and name, with the total."""
     rows = items
     if maker:
@@ -210,6 +228,8 @@ def filter_catalog(items: DataFrame, maker: str | None = None, device: str | Non
         rows = rows.filter(F.col("device_type") == device)
     if port:
         rows = rows.filter(F.exists("ports", lambda p: F.lower(p) == port.lower()))
+    if protocol:
+        rows = rows.filter(F.exists("protocols", lambda p: F.lower(p) == protocol.lower()))
     total = rows.agg(F.count("*").alias("total"))
     return rows.orderBy("manufacturer", "name", "id").offset(offset).limit(limit).select("id", "name").crossJoin(F.broadcast(total))
 
@@ -219,9 +239,10 @@ def review_queue(items: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def catalog_facets(items: DataFrame) -> DataFrame:
-    """``facet, value``: the distinct makers, device types and ports."""
+    """``facet, value``: the distinct makers, device types, ports and protocols."""
     facet = lambda name, col: items.select(F.lit(name).alias("facet"), col.alias("value")).filter("value IS NOT NULL").distinct()
-    return facet("manufacturer", F.col("manufacturer")).unionByName(facet("device_type", F.col("device_type"))).unionByName(facet("port", F.explode("ports")))
+    single = facet("manufacturer", F.col("manufacturer")).unionByName(facet("device_type", F.col("device_type")))
+    return single.unionByName(facet("port", F.explode("ports"))).unionByName(facet("protocol", F.explode("protocols")))
 
 
 def catalog_stats(items: DataFrame) -> DataFrame:
@@ -315,12 +336,18 @@ def _wanted(same: int) -> Column:
 
 
 def compare_items(items: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of each set (``set_id, id``) the ports that all its items have, and its makers."""
+    """Of each set (``set_id, id``) the ports and the protocols that all its items have, and its makers."""
     own = sets.join(items, "id")
     n = own.groupBy("set_id").agg(F.count_distinct("id").alias("n"), F.array_join(F.array_sort(F.collect_set("manufacturer")), ",").alias("manufacturers"))
-    held = own.select("set_id", "id", F.explode("ports").alias("port")).distinct().groupBy("set_id", "port").agg(F.count("*").alias("have"))
-    shared = held.join(n, "set_id").filter("have = n").groupBy("set_id").agg(F.array_join(F.array_sort(F.collect_list("port")), ",").alias("ports"))
-    return n.join(shared, "set_id", "left").select("set_id", "n", "manufacturers", F.coalesce("ports", F.lit("")).alias("ports"))
+
+    def values(kind: str) -> Column:
+        return F.transform(F.coalesce(kind, F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+
+    has = F.concat(values("ports"), values("protocols"))
+    held = own.select("set_id", "id", F.explode(has).alias("x")).distinct().groupBy("set_id", "x").agg(F.count("*").alias("have"))
+    common = lambda kind: F.array_join(F.array_sort(F.collect_list(F.when(F.col("x.kind") == kind, F.col("x.value")))), ",").alias(kind)
+    shared = held.join(n, "set_id").filter("have = n").groupBy("set_id").agg(common("ports"), common("protocols"))
+    return n.join(shared, "set_id", "left").select("set_id", "n", "manufacturers", *(F.coalesce(c, F.lit("")).alias(c) for c in ("ports", "protocols")))
 
 
 def lookup_codes(items: DataFrame, reference: DataFrame) -> DataFrame:

@@ -47,7 +47,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count("*").alias("n"))
         large = join_counted(both.filter("b > a"), least, "a", count).select(F.col("b").alias("a"), F.col("least").alias("b"))
-        stars = large.filter("a <> b").distinct()
+        # Written, as what follows reads it several times: plans stay small, and so do the driver's.
+        stars = materialize(large.filter("a <> b").distinct(), "stars")
         down = stars.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("n"))
         small = join_counted(stars, down, "a", count).select(F.col("b").alias("a"), F.col("least").alias("b")).filter("a <> b")
         current = materialize(small.unionByName(down.select("a", F.col("least").alias("b"))).distinct(), "edges")

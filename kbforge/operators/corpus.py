@@ -27,6 +27,12 @@ def chunk_rows(docs: DataFrame, chunks: Column, key: str = "doc_id") -> DataFram
     return rows.select(uuid5_dns(name).alias("chunk_id"), key, "chunk_index", "total_chunks", "c.text", "c.section", "c.kind")
 
 
+def content_type(category: Column) -> Column:
+    """The type of content that a custom document's category stands for."""
+    table = F.create_map(*(F.lit(x) for pair in CATEGORY_TYPES.items() for x in pair))
+    return F.coalesce(F.element_at(table, category), F.lit("generic"))
+
+
 def chunk_size(kind: Column) -> Column:
     table = F.create_map(*(F.lit(x) for pair in SIZES.items() for x in pair))
     return F.coalesce(F.element_at(table, kind), F.lit(400))
@@ -79,13 +85,21 @@ def collection_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("collection").agg(F.count("*").alias("chunks"), F.count_distinct("url").alias("urls"))
 
 
-def document_keywords(docs: DataFrame, n: int = 6) -> DataFrame:
-    """``doc_id, keywords``: the ``n`` terms of the highest TF-IDF, joined by commas."""
+def document_keywords(docs: DataFrame, n: int = 6, custom: int = 10) -> DataFrame:
+    """``doc_id, keywords``: the ``n`` terms of the highest TF-IDF, joined by commas.
+
+    Where ``docs`` has ``tags`` and they are not null, a document is a user's own: its tags come first, trimmed and in lower
+    case, then up to ``custom`` terms, each word once.
+    """
+    tagged = docs if "tags" in docs.columns else docs.withColumn("tags", F.lit(None).cast("array<string>"))
     postings = retrieval.bm25_postings(docs).filter(F.length("term") > 3)
     idf = retrieval.bm25_idf(postings, docs.agg(F.count("*").alias("n")))
     scored = postings.join(idf, "term").withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
-    top = scored.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "term"))).filter(F.col("r") <= n)
-    return top.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), ",").alias("keywords"))
+    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "term"))).filter(F.col("r") <= max(n, custom))
+    top = ranked.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]).alias("terms"))
+    tags, none = F.transform("tags", lambda t: F.trim(F.lower(t))), F.array().cast("array<string>")
+    both = F.array_distinct(F.concat(F.coalesce(tags, none), F.slice(F.coalesce("terms", none), F.lit(1), F.when(F.col("tags").isNotNull(), custom).otherwise(n))))
+    return tagged.select("doc_id", "tags").join(top, "doc_id", "left").filter("terms IS NOT NULL OR tags IS NOT NULL").select("doc_id", F.array_join(both, ",").alias("keywords"))
 
 
 def pii_counts(turns: DataFrame, thread: str = "conv_id") -> DataFrame:
@@ -147,16 +161,29 @@ def curate_cases(threads: DataFrame, analyses: DataFrame, qc: DataFrame, least:
 
 
 def case_document(cases: DataFrame) -> DataFrame:
-    product = F.coalesce("product", F.lit("N/A"))
-    doc = F.concat_ws("\n", F.concat(F.lit("# "), "subject"), F.concat(F.lit("Category: "), "category"), F.concat(F.lit("Product: "), product), F.concat(F.lit("Keywords: "), F.array_join("keywords", ", ")), F.lit("\n## Problem"), "problem", F.lit("\n## Solution"), "solution")
-    return cases.withColumn("document", doc)
+    """The text of a case for the index; a missing product is ``N/A``, other missing parts are empty."""
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    keywords = F.coalesce(F.array_join("keywords", ", "), F.lit(""))
+    lines = [
+        F.concat(F.lit("# Support Case: "), given("subject")), F.lit(""), F.concat(F.lit("**Category:** "), given("category")),
+        F.concat(F.lit("**Product:** "), F.when(F.col("product") != "", F.col("product")).otherwise("N/A")), F.concat(F.lit("**Status:** "), given("status")), F.concat(F.lit("**Keywords:** "), keywords),
+        F.lit(""), F.lit("## Problem"), given("problem"), F.lit(""), F.lit("## Solution"), given("solution"),
+    ]
+    return cases.withColumn("document", F.concat_ws("\n", *lines))
 
 
 def case_stats(cases: DataFrame) -> DataFrame:
-    """``facet, key, n`` by category, product and quality and in all, in one pass over grouping sets."""
-    sets = cases.groupingSets([["category"], ["product"], ["quality"], []], "category", "product", "quality").agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+    """``facet, key, n`` by category, product and quality and in all, in one pass over grouping sets; ``dated`` has the first and the
+    last day and the number of cases with a time."""
+    day = F.to_date("created_at")
+    span = F.concat_ws("/", F.min(day).cast("string"), F.max(day).cast("string"))
+    sets = cases.groupingSets([["category"], ["product"], ["quality"], []], "category", "product", "quality").agg(F.grouping_id().alias("g"), F.count("*").alias("n"), F.count("created_at").alias("dated"), span.alias("days"))
     facet = F.when(F.col("g") == 3, "category").when(F.col("g") == 5, "product").when(F.col("g") == 6, "quality").otherwise("total")
-    return sets.select(facet.alias("facet"), F.coalesce("category", "product", F.col("quality").cast("string"), F.lit("")).alias("key"), "n")
+    key = F.coalesce("category", "product", F.col("quality").cast("string"))
+    own = F.array(F.struct(facet.alias("facet"), F.when(F.col("g") == 7, "").otherwise(key).alias("key"), F.col("n").alias("n")))
+    more = F.when(F.col("g") == 7, F.array(F.struct(F.lit("dated").alias("facet"), F.col("days").alias("key"), F.col("dated").alias("n"))))
+    rows = sets.select(F.explode(F.concat(own, F.coalesce(more, F.array().cast("array<struct<facet:string,key:string,n:bigint>>")))).alias("x")).select("x.*")
+    return rows.filter("facet <> 'product' OR key IS NOT NULL")
 
 
 def pending_threads(turns: DataFrame, drafts: DataFrame, limit: int = 50) -> DataFrame:
@@ -251,5 +278,7 @@ def set_fix_status(fixes: DataFrame, ids: DataFrame, status: str, at: Column) ->
 
 
 def fix_stats(fixes: DataFrame) -> DataFrame:
-    part = lambda facet, c: fixes.groupBy(F.lit(facet).alias("facet"), F.col(c).cast("string").alias("key")).agg(F.count("*").alias("n"))
-    return part("status", "status").unionByName(part("type", "suggestion_type"))
+    """``facet, key, n`` by status, collection and type and in all, in one pass."""
+    sets = fixes.groupingSets([["status"], ["collection"], ["suggestion_type"], []], "status", "collection", "suggestion_type").agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+    facet = F.when(F.col("g") == 3, "status").when(F.col("g") == 5, "collection").when(F.col("g") == 6, "type").otherwise("total")
+    return sets.select(facet.alias("facet"), F.when(F.col("g") == 7, "").otherwise(F.coalesce("status", "collection", "suggestion_type")).alias("key"), "n")

@@ -69,7 +69,11 @@ def _purged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events")
     jobs = e.selectExpr("event_id AS id", "event_type AS job_type", "CASE WHEN event_id % 5 = 0 THEN 'running' ELSE 'completed' END AS status", "ts AS started_at", "CASE WHEN event_id % 5 <> 0 THEN ts + make_dt_interval(0, 0, 0, value) END AS finished_at")
-    return ops.job_runs(jobs, AS_OF, 10).groupBy("job_type", "status").agg(F.count("*").alias("n"), F.sum("duration_s").alias("seconds"))
+    return ops.job_runs(jobs, AS_OF, 10)
+
+
+def _job_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.list_jobs(_jobs(spark, sf_dir), "view", "failed", 2, 15).select("id", "status", "total")
 
 
 def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +96,8 @@ QUERIES = {
     "latency_recent": lambda s, d: _times(ops.latency_recent(timings(s, d), 10), "ts"),
     "error_rate": lambda s, d: ops.error_rate(log(s, d)),
     "latency_alerts": lambda s, d: ops.latency_alerts(ops.latency_stats(timings(s, d))),
-    "job_runs": _jobs,
+    "job_runs": lambda s, d: ops.job_counts(_jobs(s, d)),
+    "list_jobs": _job_page,
     "login_lockouts": lambda s, d: _times(ops.login_lockouts(_failures(s, d), 7 * 86400, 5), "ts", "locked_until"),
     "session_history": lambda s, d: ops.session_history(log(s, d)).select("id", "session_no", "history"),
 }
@@ -117,7 +122,8 @@ ORACLES = {
     "latency_recent": f"WITH {SQL_TIMINGS}, {SQL_LAST} SELECT name, id, {_f('ts')} AS ts, duration_ms FROM ranked WHERE rank <= 10",
     "error_rate": f"WITH {SQL_LOG} SELECT count(*) AS queries, count(*) FILTER (is_error) AS errors, round(count(*) FILTER (is_error) * 100.0 / count(*), 2) AS error_rate FROM log",
     "latency_alerts": f"WITH {SQL_TIMINGS}, {SQL_LAST}, {SQL_STATS}, l(name, target, warning) AS (VALUES ('embedding_generation', 200, 500), ('vector_search', 100, 300), ('total_search', 500, 1000), ('llm_synthesis', 2000, 5000)) SELECT name, p95_ms, CASE WHEN p95_ms > warning THEN 'warning' WHEN p95_ms > target THEN 'info' ELSE 'none' END AS alert FROM stats LEFT JOIN l USING (name)",
-    "job_runs": f"SELECT event_type AS job_type, CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'completed' END AS status, count(*) AS n, sum(CASE WHEN event_id % 5 <> 0 THEN floor(value)::BIGINT END) AS seconds FROM events WHERE ts >= {SINCE.format(10)} GROUP BY 1, 2",
+    "job_runs": f"SELECT job_type, status, count(*) AS n, sum(CASE WHEN event_id % 5 <> 0 THEN floor(value)::BIGINT END) AS seconds FROM (SELECT *, event_type AS job_type, CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'completed' END AS status FROM events) WHERE ts >= {SINCE.format(10)} GROUP BY CUBE (job_type, status)",
+    "list_jobs": f"WITH j AS (SELECT event_id AS id, ts FROM events WHERE ts >= {SINCE.format(10)} AND event_type = 'view' AND event_id % 5 = 0) SELECT id, 'failed' AS status, (SELECT count(*) FROM j) AS total FROM j ORDER BY ts DESC, id DESC LIMIT 15 OFFSET 2",
     "login_lockouts": f"WITH e AS (SELECT event_id AS id, user_id AS ip, ts, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) AS recent FROM events WHERE event_type = 'error') SELECT id, ip, {_f('ts')} AS ts, recent, {_f('ts + INTERVAL 7 DAY')} AS locked_until FROM e WHERE recent >= 5",
     "session_history": f"""WITH {SQL_LOG}, f AS (SELECT *, coalesce((created_at > lag(created_at) OVER w + INTERVAL 30 MINUTE)::INT, 1) AS fresh FROM log WINDOW w AS (PARTITION BY user_id ORDER BY created_at, id)),
         s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY created_at, id) AS session_no FROM f) SELECT id, session_no::BIGINT AS session_no, coalesce(string_agg(query, ' > ') OVER (PARTITION BY user_id, session_no ORDER BY created_at, id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS history FROM s""",

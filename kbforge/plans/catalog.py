@@ -29,14 +29,27 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return part.join(ports, "id", "left").withColumn("ports", F.coalesce("ports", F.array().cast("array<string>")))
 
 
+SQL_FULL = """full_ AS (SELECT *, ['x' || (id % 6), 'y' || (id % 10)] AS protocols, CASE WHEN id % 8 = 0 THEN ['iris'] ELSE [] END AS controls, ['note ' || (id % 3)] AS notes,
+  CASE WHEN id % 3 = 0 THEN 'd/' || id END AS doc_url, CASE WHEN id % 4 = 1 THEN 'm/' || id END AS manufacturer_url FROM items)"""
+LISTED = ("ports", "protocols", "controls", "notes")
+
+
+def full(spark: SparkSession, d: str) -> DataFrame:
+    """The items with all lists and values that are merged."""
+    return items(spark, d).selectExpr(
+        "*", "array(concat('x', id % 6), concat('y', id % 10)) AS protocols", "CASE WHEN id % 8 = 0 THEN array('iris') ELSE cast(array() AS array<string>) END AS controls", "array(concat('note ', id % 3)) AS notes",
+        "CASE WHEN id % 3 = 0 THEN concat('d/', id) END AS doc_url", "CASE WHEN id % 4 = 1 THEN concat('m/', id) END AS manufacturer_url",
+    )
+
+
 def _joined(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.array_join(n, ",") for n in names})
 
 
 def _upserted(spark: SparkSession, d: str) -> DataFrame:
-    old = items(spark, d).filter("id % 2 = 0")
-    new = items(spark, d).filter("id % 2 = 1").select(F.lower("name").alias("name"), "manufacturer", F.lit("NEW").alias("code_model"), F.array(F.lit("X")).alias("ports"))
-    return _joined(ops.upsert_catalog(old, new), "ports")
+    old = full(spark, d).filter("id % 2 = 0")
+    new = full(spark, d).filter("id % 2 = 1").select(F.lower("name").alias("name"), "manufacturer", F.lit("NEW").alias("code_model"), F.array(F.lit("X")).alias("ports"), "protocols", F.array(F.lit("zoom")).alias("controls"), "notes", "doc_url", "manufacturer_url")
+    return _joined(ops.upsert_catalog(old, new), *LISTED)
 
 
 def _sheet(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +75,7 @@ def _cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 def _primary(spark: SparkSession, d: str) -> DataFrame:
     mapping = read_table(spark, d, "part").filter("p_partkey % 6 IN (1, 2)").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") - F.col("p_partkey") % 6).alias("primary_id"))
-    return _joined(ops.merge_into_primary(items(spark, d), mapping), "ports")
+    return _joined(ops.merge_into_primary(full(spark, d), mapping), *LISTED)
 
 
 def _normalized(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +95,7 @@ def _looked_up(spark: SparkSession, d: str) -> DataFrame:
 
 def _compared(spark: SparkSession, d: str) -> DataFrame:
     sets = read_table(spark, d, "part").select(F.floor(F.col("p_partkey") / 4).alias("set_id"), F.col("p_partkey").alias("id"))
-    return ops.compare_items(items(spark, d), sets)
+    return ops.compare_items(full(spark, d), sets)
 
 
 #: Names that are tried as they stand, by the item's number.
@@ -118,15 +131,15 @@ QUERIES = {
     "clean_model_names": _cleaned,
     "normalize_manufacturer": _makers,
     "vendor_sheet_import": _sheet,
-    "merge_extractions": lambda s, d: _joined(ops.merge_extractions(items(s, d).withColumn("at", F.col("id"))), "ports"),
+    "merge_extractions": lambda s, d: _joined(ops.merge_extractions(full(s, d).withColumn("at", F.col("id"))), *LISTED),
     "upsert_catalog": _upserted,
     "merge_by_code": lambda s, d: _joined(ops.merge_by_code(_coded(s, d)), "ports"),
     "duplicate_groups": lambda s, d: ops.duplicate_groups(_coded(s, d)),
     "merge_into_primary": _primary,
-    "strip_name_prefix": lambda s, d: ops.strip_name_prefix(items(s, d).filter("manufacturer IS NOT NULL")),
-    "filter_catalog": lambda s, d: ops.filter_catalog(items(s, d), "brand#3", None, "r-1", 2, 30),
+    "strip_name_prefix": lambda s, d: ops.strip_name_prefix(items(s, d)),
+    "filter_catalog": lambda s, d: ops.filter_catalog(full(s, d), "brand#3", None, "r-1", 1, 30, "X1"),
     "review_queue": lambda s, d: ops.review_queue(items(s, d), 40),
-    "catalog_facets": lambda s, d: ops.catalog_facets(items(s, d)),
+    "catalog_facets": lambda s, d: ops.catalog_facets(full(s, d)),
     "catalog_stats": lambda s, d: ops.catalog_stats(items(s, d)),
     "related_items": _related,
     "compare_items": _compared,
@@ -137,6 +150,9 @@ QUERIES = {
 
 _CASES = " ".join(f"WHEN regexp_matches(coalesce(manufacturer, '') || ' ' || name, '(?i){p}') THEN '{k}'" for k, p in TYPES)
 _CASES_NULL = " ".join(f"WHEN regexp_matches(concat_ws(' ', coalesce(manufacturer, ''), name), '(?i){p}') THEN '{k}'" for k, p in TYPES)
+_UNIONS = ", ".join(f"array_to_string(list_sort(list_distinct(flatten(list({c})))), ',') AS {c}" for c in LISTED)
+_LAST = ", ".join(f"arg_max({c}, CASE WHEN {c} IS NOT NULL THEN id END) AS {c}" for c in ("manufacturer", "device_type", "code_model", "doc_url", "manufacturer_url"))
+_FIRST = ", ".join(f"arg_min({c}, CASE WHEN {c} IS NOT NULL THEN struct_pack(moved, id) END) AS {c}" for c in ("manufacturer", "device_type", "code_model", "doc_url", "manufacturer_url"))
 _KEYED = f"keyed AS (SELECT *, {SQL_KEY} AS k FROM items)"
 _CODED = "coded AS (SELECT * REPLACE (CASE WHEN id % 11 = 0 THEN 'c-' || (id % 500) WHEN id % 13 = 0 THEN 'C' || (id % 499) ELSE name END AS name) FROM items)"
 ORACLES = {
@@ -158,26 +174,31 @@ ORACLES = {
     "vendor_sheet_import": r"""WITH c AS (SELECT CASE WHEN p_partkey % 6 = 0 THEN p_name ELSE regexp_replace(p_name, '^red ', '') END AS n, (p_partkey % 7 + 10)::VARCHAR AS code, 'r-' || (p_partkey % 4) AS a, p_brand AS b FROM part WHERE p_partkey % 6 = 0 OR p_partkey % 17 <> 0),
         p AS (SELECT n, code, unnest(list_distinct([CASE a WHEN 'r-2' THEN 'Romeo' WHEN 'r-3' THEN 'romeo' ELSE a END, b, 'Alpha'])) AS port FROM c)
         SELECT min(n) AS name, 'Sony' AS manufacturer, min(code) AS code_model, string_agg(DISTINCT port, ',' ORDER BY port) AS ports FROM p GROUP BY lower(n)""",
-    "upsert_catalog": f"""WITH {SQL_ITEMS}, {_KEYED}, o AS (SELECT *, lower(name) AS n FROM keyed WHERE id % 2 = 0),
+    "upsert_catalog": f"""WITH {SQL_ITEMS}, {SQL_FULL}, keyed AS (SELECT *, {SQL_KEY} AS k FROM full_), o AS (SELECT *, lower(name) AS n FROM keyed WHERE id % 2 = 0),
         i AS (SELECT *, lower(name) AS n FROM keyed WHERE id % 2 = 1 AND k <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY lower(name)) = 1),
-        hits AS (SELECT i.k, coalesce((SELECT min(o.id) FROM o WHERE o.n = i.n), (SELECT min(o.id) FROM o WHERE o.k = i.k)) AS into_ FROM i),
-        touched AS (SELECT DISTINCT into_ FROM hits WHERE into_ IS NOT NULL)
-        SELECT o.id, o.name, o.manufacturer, CASE WHEN into_ IS NULL THEN o.code_model ELSE 'NEW' END AS code_model, array_to_string(list_sort(CASE WHEN into_ IS NULL THEN o.ports ELSE list_append(o.ports, 'X') END), ',') AS ports FROM o LEFT JOIN touched ON into_ = o.id
-        UNION ALL SELECT NULL, i.n, i.manufacturer, 'NEW', 'X' FROM i JOIN hits USING (k) WHERE into_ IS NULL""",
-    "merge_extractions": rf"WITH {SQL_ITEMS} SELECT lower(coalesce(manufacturer, 'unknown')) || ':' || regexp_replace(lower(name), '[-_\s]', '', 'g') AS key, arg_max(name, struct_pack(a := length(name), b := -id)) AS name, arg_max(manufacturer, CASE WHEN manufacturer IS NOT NULL THEN id END) AS manufacturer, arg_max(code_model, CASE WHEN code_model IS NOT NULL THEN id END) AS code_model, array_to_string(list_sort(list_distinct(flatten(list(ports)))), ',') AS ports, count(*) AS merged FROM items GROUP BY 1",
+        hits AS (SELECT i.*, coalesce((SELECT min(o.id) FROM o WHERE o.n = i.n), (SELECT min(o.id) FROM o WHERE o.k = i.k)) AS into_ FROM i),
+        t AS (SELECT into_, max(manufacturer) AS manufacturer, max(doc_url) AS doc_url, max(manufacturer_url) AS manufacturer_url, flatten(list(protocols)) AS protocols, flatten(list(notes)) AS notes FROM hits WHERE into_ IS NOT NULL GROUP BY into_)
+        SELECT o.id, o.name, coalesce(t.manufacturer, o.manufacturer) AS manufacturer, CASE WHEN into_ IS NULL THEN o.code_model ELSE 'NEW' END AS code_model, coalesce(t.doc_url, o.doc_url) AS doc_url, coalesce(t.manufacturer_url, o.manufacturer_url) AS manufacturer_url,
+               array_to_string(list_sort(CASE WHEN into_ IS NULL THEN o.ports ELSE list_append(o.ports, 'X') END), ',') AS ports, array_to_string(list_sort(list_distinct(list_concat(o.protocols, coalesce(t.protocols, [])))), ',') AS protocols,
+               array_to_string(list_sort(list_distinct(CASE WHEN into_ IS NULL THEN o.controls ELSE list_append(o.controls, 'zoom') END)), ',') AS controls, array_to_string(list_sort(list_distinct(list_concat(o.notes, coalesce(t.notes, [])))), ',') AS notes FROM o LEFT JOIN t ON into_ = o.id
+        UNION ALL SELECT NULL, n, manufacturer, 'NEW', doc_url, manufacturer_url, 'X', array_to_string(list_sort(protocols), ','), 'zoom', array_to_string(notes, ',') FROM hits WHERE into_ IS NULL""",
+    "merge_extractions": rf"WITH {SQL_ITEMS}, {SQL_FULL} SELECT lower(coalesce(manufacturer, 'unknown')) || ':' || regexp_replace(lower(name), '[-_\s]', '', 'g') AS key, arg_max(name, struct_pack(a := length(name), b := -id)) AS name, {_LAST}, {_UNIONS}, count(*) AS merged FROM full_ GROUP BY 1",
     "merge_by_code": f"WITH {SQL_ITEMS}, {_CODED}, c AS (SELECT *, row_number() OVER (PARTITION BY code_model ORDER BY (replace(lower(name), '-', '') = replace(lower(code_model), '-', ''))::INT, length(name), name DESC, id) AS r FROM coded WHERE code_model IS NOT NULL) SELECT code_model, arg_min(id, r) AS id, arg_min(name, r) AS name, array_to_string(list_sort(list_distinct(flatten(list(ports)))), ',') AS ports, count(*) AS merged FROM c GROUP BY code_model UNION ALL SELECT code_model, id, name, array_to_string(ports, ','), 1 FROM coded WHERE code_model IS NULL",
     "duplicate_groups": f"""WITH RECURSIVE {SQL_ITEMS}, {_CODED}, keyed AS (SELECT *, {SQL_KEY} AS k FROM coded), e AS (SELECT a.id AS a, b.id AS b FROM keyed a JOIN keyed b ON a.k = b.k AND lower(coalesce(a.manufacturer, '')) = lower(coalesce(b.manufacturer, '')) AND a.id <> b.id WHERE a.k <> ''
           UNION SELECT a.id, b.id FROM keyed a JOIN (SELECT min(id) AS id, lower(name) AS n FROM keyed WHERE k <> '' GROUP BY 2) b ON lower(a.code_model) = b.n AND a.id <> b.id WHERE a.k <> ''), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
         r(id, group_id) AS (SELECT a, least(a, b) FROM w UNION SELECT w.b, r.group_id FROM r JOIN w ON w.a = r.id) SELECT id, min(group_id) AS group_id FROM r GROUP BY id""",
-    "merge_into_primary": f"WITH {SQL_ITEMS}, o AS (SELECT *, id % 6 IN (1, 2) AS moved, CASE WHEN id % 6 IN (1, 2) THEN id - id % 6 ELSE id END AS into_ FROM items) SELECT into_ AS id, arg_min(name, struct_pack(moved, id)) AS name, arg_min(code_model, CASE WHEN code_model IS NOT NULL THEN struct_pack(moved, id) END) AS code_model, array_to_string(list_sort(list_distinct(flatten(list(ports)))), ',') AS ports, max(confidence) AS confidence, count(*) AS merged FROM o GROUP BY into_",
-    "strip_name_prefix": f"WITH {SQL_ITEMS}, c AS (SELECT id, CASE WHEN starts_with(lower(name), lower(manufacturer || ' ')) THEN trim(substring(name, length(manufacturer) + 2)) ELSE name END AS clean FROM items WHERE manufacturer IS NOT NULL) SELECT min(id) AS id, arg_min(clean, id) AS name, count(*) AS merged FROM c GROUP BY lower(clean)",
-    "filter_catalog": f"WITH {SQL_ITEMS}, f AS (SELECT * FROM items WHERE lower(manufacturer) = 'brand#3' AND list_contains(ports, 'R-1')) SELECT id, name, (SELECT count(*) FROM f) AS total FROM f ORDER BY manufacturer, name, id LIMIT 30 OFFSET 2",
+    "merge_into_primary": f"WITH {SQL_ITEMS}, {SQL_FULL}, o AS (SELECT *, id % 6 IN (1, 2) AS moved, CASE WHEN id % 6 IN (1, 2) THEN id - id % 6 ELSE id END AS into_ FROM full_) SELECT into_ AS id, arg_min(name, struct_pack(moved, id)) AS name, {_FIRST}, {_UNIONS}, max(confidence) AS confidence, count(*) = 1 AND bool_or(needs_review) AS needs_review, count(*) AS merged FROM o GROUP BY into_",
+    "strip_name_prefix": f"WITH {SQL_ITEMS}, c AS (SELECT id, CASE WHEN starts_with(lower(name), lower(manufacturer || ' ')) THEN trim(substring(name, length(manufacturer) + 2)) ELSE name END AS clean FROM items) SELECT min(id) AS id, arg_min(clean, id) AS name, count(*) AS merged FROM c GROUP BY lower(clean)",
+    "filter_catalog": f"WITH {SQL_ITEMS}, {SQL_FULL}, f AS (SELECT * FROM full_ WHERE lower(manufacturer) = 'brand#3' AND list_contains(ports, 'R-1') AND list_contains(protocols, 'x1')) SELECT id, name, (SELECT count(*) FROM f) AS total FROM f ORDER BY manufacturer, name, id LIMIT 30 OFFSET 1",
     "review_queue": f"WITH {SQL_ITEMS} SELECT id, confidence FROM items WHERE needs_review ORDER BY confidence, created_at DESC, id LIMIT 40",
-    "catalog_facets": f"WITH {SQL_ITEMS} SELECT DISTINCT 'manufacturer' AS facet, manufacturer AS value FROM items WHERE manufacturer IS NOT NULL UNION ALL SELECT DISTINCT 'device_type', device_type FROM items UNION ALL SELECT DISTINCT 'port', unnest(ports) FROM items",
+    "catalog_facets": f"WITH {SQL_ITEMS}, {SQL_FULL} SELECT DISTINCT 'manufacturer' AS facet, manufacturer AS value FROM items WHERE manufacturer IS NOT NULL UNION ALL SELECT DISTINCT 'device_type', device_type FROM items UNION ALL SELECT DISTINCT 'port', unnest(ports) FROM items UNION ALL SELECT DISTINCT 'protocol', unnest(protocols) FROM full_",
     "catalog_stats": f"WITH {SQL_ITEMS} SELECT 'total' AS name, count(*) AS n FROM items UNION ALL SELECT 'manufacturers', count(DISTINCT manufacturer) FROM items UNION ALL SELECT 'source:' || source, count(*) FROM items GROUP BY source",
     "related_items": f"""WITH {SQL_ITEMS}, s AS (SELECT a.id, b.id AS other, 3 * coalesce((a.manufacturer = b.manufacturer)::INT, 0) + 3 * (a.device_type = b.device_type)::INT + len(list_intersect(a.ports, b.ports)) + (a.id % 6 = b.id % 6)::INT + (a.id % 10 = b.id % 10)::INT AS score FROM items a JOIN items b ON a.id <> b.id WHERE a.id % 20 = 0)
         SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS rank FROM s WHERE score > 0 QUALIFY rank <= 5""",
-    "compare_items": f"WITH {SQL_ITEMS}, o AS (SELECT id // 4 AS set_id, * FROM items), n AS (SELECT set_id, count(*) AS n, coalesce(string_agg(DISTINCT manufacturer, ',' ORDER BY manufacturer), '') AS manufacturers FROM o GROUP BY set_id), h AS (SELECT set_id, port, count(*) AS have FROM (SELECT set_id, unnest(ports) AS port FROM o) GROUP BY ALL) SELECT set_id, n, manufacturers, coalesce((SELECT string_agg(port, ',' ORDER BY port) FROM h WHERE h.set_id = n.set_id AND have = n.n), '') AS ports FROM n",
+    "compare_items": f"""WITH {SQL_ITEMS}, {SQL_FULL}, o AS (SELECT id // 4 AS set_id, * FROM full_), n AS (SELECT set_id, count(*) AS n, coalesce(string_agg(DISTINCT manufacturer, ',' ORDER BY manufacturer), '') AS manufacturers FROM o GROUP BY set_id),
+        h AS (SELECT set_id, kind, value, count(*) AS have FROM (SELECT set_id, 'port' AS kind, unnest(ports) AS value FROM o UNION ALL SELECT set_id, 'protocol', unnest(protocols) FROM o) GROUP BY ALL)
+        SELECT set_id, n, manufacturers, coalesce((SELECT string_agg(value, ',' ORDER BY value) FROM h WHERE kind = 'port' AND h.set_id = n.set_id AND have = n.n), '') AS ports,
+               coalesce((SELECT string_agg(value, ',' ORDER BY value) FROM h WHERE kind = 'protocol' AND h.set_id = n.set_id AND have = n.n), '') AS protocols FROM n""",
     "lookup_codes": f"WITH {SQL_ITEMS}, k AS (SELECT manufacturer, name, 'K' || min(id) AS known FROM items WHERE manufacturer IS NOT NULL GROUP BY ALL) SELECT id, coalesce(code_model, known) AS code_model FROM items LEFT JOIN k USING (manufacturer, name)",
     "apply_corrections": f"WITH {SQL_ITEMS} SELECT id, CASE WHEN id % 6 = 0 AND id % 10 >= 7 THEN 'fixed ' || id ELSE name END AS name, id % 6 = 0 AND id % 10 >= 7 AS corrected FROM items",
     "like_search_catalog": f"WITH {SQL_ITEMS} SELECT id, name FROM items WHERE contains(lower(name), 'ring') OR contains(lower(manufacturer), 'ring') OR contains(lower(coalesce(code_model, '')), 'ring') ORDER BY name, id LIMIT 100",

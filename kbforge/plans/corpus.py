@@ -70,6 +70,17 @@ def _in_step(s: SparkSession, d: str) -> DataFrame:
     return kept.read("postings")
 
 
+def _sizes(s: SparkSession, d: str) -> DataFrame:
+    category = F.element_at(F.array(*map(F.lit, ("troubleshooting", "configuration", "faq", "release_notes", "other", None))), (F.col("doc_id") % 6 + 1).cast("int"))
+    kind = F.when(F.col("doc_id") % 7 == 0, "documentation").otherwise(ops.content_type(category))
+    return docs(s, d).select("doc_id", kind.alias("kind"), ops.chunk_size(kind).alias("size"))
+
+
+def _keywords(s: SparkSession, d: str) -> DataFrame:
+    rows = read_table(s, d, "documents").selectExpr("doc_id", "text", "CASE WHEN doc_id % 2 = 0 THEN array(concat(' ', upper(lang), ' '), source, lang) END AS tags")
+    return ops.document_keywords(rows)
+
+
 def _digests(rows: DataFrame) -> DataFrame:
     return rows.select("collection", "chunk_id", F.md5("text").alias("digest"), "batch")
 
@@ -84,12 +95,12 @@ def _curated(s: SparkSession, d: str) -> DataFrame:
 
 def _case_rows(s: SparkSession, d: str) -> DataFrame:
     docs_ = read_table(s, d, "documents").join(read_table(s, d, "labels"), "doc_id")
-    return docs_.selectExpr("doc_id", "lang AS category", "source AS product", "quality", "concat('S', doc_id) AS subject", "array(lang, source) AS keywords", "substring(text, 1, 40) AS problem", "substring(text, 41) AS solution")
+    return docs_.selectExpr("doc_id", "lang AS category", "source AS product", "quality", "concat('S', doc_id) AS subject", "array(lang, source) AS keywords", "substring(text, 1, 40) AS problem", "substring(text, 41) AS solution", "CASE WHEN quality = 1 THEN 'resolved' ELSE 'open' END AS status", "CASE WHEN doc_id % 4 <> 0 THEN date_add(DATE'2024-01-01', cast(doc_id % 200 AS INT)) END AS created_at")
 
 
 def fixes(s: SparkSession, d: str) -> DataFrame:
     e = docs(s, d)
-    return e.selectExpr("doc_id AS id", "doc_id AS chunk_id", "substring(text, 5, 6) AS original_text", "'<FIX>' AS suggested_text", "CASE WHEN doc_id % 5 = 0 THEN 'needs_human_review' ELSE 'spelling' END AS suggestion_type", "doc_id % 10 / 10.0D AS confidence", "1 AS at", "CASE WHEN doc_id % 2 = 0 THEN 'pending' ELSE 'approved' END AS status", "CAST(NULL AS STRING) AS applied_at")
+    return e.selectExpr("doc_id AS id", "doc_id AS chunk_id", "substring(text, 5, 6) AS original_text", "'<FIX>' AS suggested_text", "CASE WHEN doc_id % 5 = 0 THEN 'needs_human_review' ELSE 'spelling' END AS suggestion_type", "doc_id % 10 / 10.0D AS confidence", "1 AS at", "CASE WHEN doc_id % 2 = 0 THEN 'pending' ELSE 'approved' END AS status", "CAST(NULL AS STRING) AS applied_at", "element_at(array('docs','cases','custom'), cast(doc_id % 3 + 1 AS INT)) AS collection")
 
 
 def _listed(s: SparkSession, d: str) -> DataFrame:
@@ -161,7 +172,7 @@ def _approved(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "chunk_plain": lambda s, d: chunks(s, d).select("doc_id", "chunk_index", "total_chunks", F.md5("text").alias("digest")),
     "chunk_paragraphs": lambda s, d: ops.chunk_rows(_paragraphed(s, d), helpers.chunk_column(F.col("text"), "paragraphs")).select("doc_id", "chunk_index", F.length("text").alias("n_chars"), F.md5("text").alias("digest")),
-    "chunk_size_by_type": lambda s, d: docs(s, d).select("doc_id", ops.chunk_size(F.element_at(F.array(*map(F.lit, ("support_case", "documentation", "faq"))), (F.col("doc_id") % 3 + 1).cast("int"))).alias("size")),
+    "chunk_size_by_type": _sizes,
     "chunks_of_document": lambda s, d: ops.chunks_of_documents(chunks(s, d), docs(s, d).filter("doc_id % 20 = 0").select("doc_id"), "doc_id", 4).select("doc_id", "chunk_index", F.md5("text").alias("digest")),
     "markdown_title": lambda s, d: docs(s, d).select("doc_id", T.markdown_title(F.concat(F.when(F.col("doc_id") % 3 == 0, "## Second\n# First ").when(F.col("doc_id") % 3 == 1, "##  Only second \n").otherwise(""), "text")).alias("title")),
     "parse_sender": _senders,
@@ -171,7 +182,7 @@ QUERIES = {
     "chunk_semantic": lambda s, d: ops.chunk_rows(_main(s, d), helpers.chunk_column(F.col("text"), "semantic"), "page_id").select("page_id", "chunk_index", "kind", "section", F.md5("text").alias("digest")),
     "chunk_support_case": lambda s, d: ops.chunk_rows(_cases(s, d), helpers.chunk_column(F.col("text"), "support_case"), "conv_id").select("conv_id", "chunk_index", "section", F.md5("text").alias("digest")),
     "rebuild_documents": lambda s, d: ops.rebuild_documents(_turns(s, d).withColumnsRenamed({"conv_id": "doc_id", "turn": "chunk_index"})).select("doc_id", "chunks", F.md5("text").alias("digest")),
-    "document_keywords": lambda s, d: ops.document_keywords(docs(s, d)),
+    "document_keywords": _keywords,
     "list_documents": _listed,
     "collection_stats": lambda s, d: ops.collection_stats(_pages(s, d).select(F.regexp_extract("url", r"/(en|de|fr|es)/", 1).alias("collection"), "url")),
     "upsert_chunks": lambda s, d: _digests(_kept(s, d, 2).read("chunks")),
@@ -242,7 +253,7 @@ SQL_PLAIN = f"WITH {plain_sql('documents', 'doc_id', chr(10), 1000, 100)} SELECT
 ORACLES = {
     "chunk_rows": "SELECT doc_id, 0 AS chunk_index, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8','9','a','b'][1 + ('0x' || h[17])::INT % 4] || h[18:20] || '-' || h[21:32] AS chunk_id FROM (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(doc_id || '_0')) AS h FROM documents)",
     "rebuild_documents": "SELECT conv_id AS doc_id, count(*) AS chunks, md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (text <> ''), '')) AS digest FROM conversations GROUP BY conv_id",
-    "document_keywords": f"WITH d AS (SELECT doc_id, {retrieval.SQL_TERMS} AS terms FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) WHERE length(term) > 3 GROUP BY ALL), i AS (SELECT term, ln(1 + ((SELECT count(*) FROM d) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p GROUP BY term), r AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * idf, 6) DESC, term) AS r FROM p JOIN i USING (term)) SELECT doc_id, string_agg(term, ',' ORDER BY r) AS keywords FROM r WHERE r <= 6 GROUP BY doc_id",
+    "document_keywords": f"WITH d AS (SELECT doc_id, {retrieval.SQL_TERMS} AS terms FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) WHERE length(term) > 3 GROUP BY ALL), i AS (SELECT term, ln(1 + ((SELECT count(*) FROM d) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p GROUP BY term), r AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * idf, 6) DESC, term) AS r FROM p JOIN i USING (term)), t AS (SELECT doc_id, list(term ORDER BY r) AS terms FROM r WHERE r <= CASE WHEN doc_id % 2 = 0 THEN 10 ELSE 6 END GROUP BY doc_id), k AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN [lang, source] ELSE [] END AS tags, coalesce(terms, []) AS terms FROM documents LEFT JOIN t USING (doc_id)) SELECT doc_id, array_to_string(list_concat(tags, list_filter(terms, lambda x: NOT list_contains(tags, x))), ',') AS keywords FROM k WHERE len(tags) + len(terms) > 0",
     "list_documents": "WITH r AS (SELECT doc_id, text, coalesce(CASE WHEN doc_id % 3 = 0 THEN doc_id % 100 END < 50, false) AS is_expired FROM documents WHERE lang = 'en') SELECT doc_id, is_expired, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS preview, (SELECT count(*) FROM r WHERE NOT is_expired) AS total FROM r WHERE NOT is_expired ORDER BY doc_id DESC LIMIT 25 OFFSET 5",
     "collection_stats": "SELECT regexp_extract(url, '/(en|de|fr|es)/', 1) AS collection, count(*) AS chunks, count(DISTINCT url) AS urls FROM pages GROUP BY 1",
     "upsert_chunks": SQL_STORED.format(n=3, batch=2),
@@ -265,7 +276,7 @@ ORACLES = {
     "answer_preview": r"""WITH o AS (SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^[>\-*•\s]+', '') AS o FROM documents), h AS (SELECT doc_id, o, o[1:240] AS head FROM o),
         s AS (SELECT *, regexp_extract(head, '^(.*[.!?]) ', 1) AS sentence, regexp_extract(head, '^(.*) ', 1) AS word FROM h)
         SELECT doc_id, CASE WHEN o = '' THEN NULL WHEN length(o) <= 240 THEN o WHEN length(sentence) > 120 THEN sentence || ' …' WHEN word <> '' THEN word || '…' ELSE head || '…' END AS preview FROM s""",
-    "chunk_size_by_type": "SELECT doc_id, [350, 450, 400][1 + doc_id % 3] AS size FROM documents",
+    "chunk_size_by_type": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'documentation' ELSE ['support_case', 'support_case', 'faq', 'release_notes', 'generic', 'generic'][1 + doc_id % 6] END AS kind, CASE WHEN doc_id % 7 = 0 THEN 450 WHEN doc_id % 6 < 2 THEN 350 ELSE 400 END AS size FROM documents",
     "markdown_title": r"WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '## Second' || chr(10) || '# First ' WHEN 1 THEN '##  Only second ' || chr(10) ELSE '' END || text AS t FROM documents) SELECT doc_id, coalesce(nullif(trim(regexp_extract(t, '(?m)^#\s+(.+)$', 1)), ''), nullif(trim(regexp_extract(t, '(?m)^##\s+(.+)$', 1)), '')) AS title FROM t",
     "parse_sender": """WITH t AS (SELECT conv_id, turn, conv_id % 5 AS i, 'P' || conv_id AS n, turn % 2 = 0 AND conv_id % 5 = 0 AS orig, turn % 3 = 0 AS reply FROM conversations)
         SELECT conv_id, turn, CASE WHEN i = 0 AND orig THEN n WHEN reply THEN 'R' WHEN i < 2 THEN n WHEN i = 3 THEN 'Team' ELSE '' END AS name,
@@ -282,12 +293,12 @@ ORACLES = {
     "flag_rma_threads": r"""SELECT doc_id, doc_id % 7 IN (1, 2, 3, 4) OR doc_id % 9 IN (1, 2, 3, 4, 5, 6)
         OR regexp_matches(text, '(?i)\bRMA\s*(number|#|:)?\s*\d+|\breturn\s+(shipping\s+)?label\b|\breplacement\s+shipment\b|\breturn\s+the\s+(defective|faulty)\s+(unit|device)\b|\bship\s+(back|to\s+us)\b|\breturn\s+address\b') AS is_rma FROM documents""",
     "curate_cases": "SELECT doc_id AS thread_id, coalesce(CASE WHEN doc_id % 2 = 0 THEN 'q' || doc_id END, CASE WHEN doc_id % 3 = 0 THEN 'a' || doc_id END, 'Support Case') AS subject FROM labels JOIN documents USING (doc_id) WHERE doc_id % 10 >= 7 AND quality = 1 AND toxic = 0",
-    "case_document": f"WITH {SQL_LABELLED} SELECT doc_id, md5(concat_ws(chr(10), '# S' || doc_id, 'Category: ' || category, 'Product: ' || product, 'Keywords: ' || category || ', ' || product, chr(10) || '## Problem', substring(text, 1, 40), chr(10) || '## Solution', substring(text, 41))) AS digest FROM c",
-    "case_stats": f"WITH {SQL_LABELLED} SELECT 'category' AS facet, category AS key, count(*) AS n FROM c GROUP BY category UNION ALL SELECT 'product', product, count(*) FROM c GROUP BY product UNION ALL SELECT 'quality', quality::VARCHAR, count(*) FROM c GROUP BY quality UNION ALL SELECT 'total', '', count(*) FROM c",
+    "case_document": f"WITH {SQL_LABELLED} SELECT doc_id, md5('# Support Case: S' || doc_id || chr(10) || chr(10) || '**Category:** ' || category || chr(10) || '**Product:** ' || product || chr(10) || '**Status:** ' || CASE quality WHEN 1 THEN 'resolved' ELSE 'open' END || chr(10) || '**Keywords:** ' || category || ', ' || product || chr(10) || chr(10) || '## Problem' || chr(10) || substring(text, 1, 40) || chr(10) || chr(10) || '## Solution' || chr(10) || substring(text, 41)) AS digest FROM c",
+    "case_stats": f"WITH {SQL_LABELLED} SELECT 'category' AS facet, category AS key, count(*) AS n FROM c GROUP BY category UNION ALL SELECT 'product', product, count(*) FROM c GROUP BY product UNION ALL SELECT 'quality', quality::VARCHAR, count(*) FROM c GROUP BY quality UNION ALL SELECT 'total', '', count(*) FROM c UNION ALL SELECT 'dated', strftime(min(DATE '2024-01-01' + (doc_id % 200)::INT), '%Y-%m-%d') || '/' || strftime(max(DATE '2024-01-01' + (doc_id % 200)::INT), '%Y-%m-%d'), count(*) FROM c WHERE doc_id % 4 <> 0",
     "pending_threads": "WITH t AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'user' ELSE role END AS role FROM conversations) SELECT conv_id, max(turn) AS last_turn, arg_max(role, turn) AS last_role, count(*) AS n FROM t WHERE conv_id % 4 <> 0 GROUP BY conv_id HAVING count(*) FILTER (role = 'assistant') = 0 ORDER BY conv_id DESC LIMIT 40",
     "scan_terms": r"SELECT DISTINCT doc_id AS chunk_id, unnest(list_concat(regexp_extract_all(text, '[A-Z]{3,}'), regexp_extract_all(text, 'the [a-z]{10,}'))) AS term FROM documents",
     "scan_terms_by_collection": r"WITH t AS (SELECT source AS collection, doc_id, unnest(list_distinct(list_concat(regexp_extract_all(text, '[A-Z]{3,}'), regexp_extract_all(text, 'the [a-z]{10,}')))) AS term FROM documents) SELECT collection, term, count(*) AS chunks FROM t GROUP BY collection, term",
     "auto_apply_fixes": "WITH f AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 9 AND length(text) > 4 THEN substring(text, 5, 6) END AS old FROM documents), p AS (SELECT *, CASE WHEN old IS NULL THEN 0 ELSE instr(lower(text), lower(old)) END AS p FROM f) SELECT doc_id AS chunk_id, md5(CASE WHEN p > 0 THEN substring(text, 1, p - 1) || '<FIX>' || substring(text, p + length(old)) ELSE text END) AS digest, (p > 0)::BIGINT AS applied FROM p",
     "set_fix_status": "SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'applied' WHEN doc_id % 2 = 0 THEN 'pending' ELSE 'approved' END AS status, CASE WHEN doc_id % 7 = 0 THEN '2024-01-31' END AS applied_at FROM documents",
-    "fix_stats": "SELECT 'status' AS facet, CASE WHEN doc_id % 2 = 0 THEN 'pending' ELSE 'approved' END AS key, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'type', CASE WHEN doc_id % 5 = 0 THEN 'needs_human_review' ELSE 'spelling' END, count(*) FROM documents GROUP BY 2",
+    "fix_stats": "SELECT 'status' AS facet, CASE WHEN doc_id % 2 = 0 THEN 'pending' ELSE 'approved' END AS key, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'type', CASE WHEN doc_id % 5 = 0 THEN 'needs_human_review' ELSE 'spelling' END, count(*) FROM documents GROUP BY 2 UNION ALL SELECT 'collection', ['docs','cases','custom'][1 + doc_id % 3], count(*) FROM documents GROUP BY 2 UNION ALL SELECT 'total', '', count(*) FROM documents",
 }

@@ -92,6 +92,15 @@ def _searched(spark: SparkSession, d: str) -> DataFrame:
     return ops.entity_search(rows, retrieval.questions(spark, d)).select("query_id", "label", F.md5("key").alias("digest"), "score", "rank")
 
 
+def _solved(s: SparkSession, d: str) -> DataFrame:
+    """Orders as issues of their customers, of which every third has a solution and every sixth two."""
+    orders = read_table(s, d, "orders")
+    issue = F.concat(F.lit("o"), "o_orderkey")
+    affects = orders.select(issue.alias("source_key"), F.lit("AFFECTS").alias("rel_type"), F.col("o_custkey").cast("string").alias("target_key"))
+    solved = lambda every, name: orders.filter(F.col("o_orderkey") % every == 0).select(issue.alias("source_key"), F.lit("RESOLVED_BY").alias("rel_type"), name.alias("target_key"))
+    return ops.issues_with_solutions(affects.unionByName(solved(3, F.concat(F.lit("fix"), F.col("o_orderkey") % 5))).unionByName(solved(6, F.lit("again"))))
+
+
 QUERIES = {
     "normalize_entities": _normalized,
     "entity_search": _searched,
@@ -102,7 +111,7 @@ QUERIES = {
     "k_hop": lambda s, d: ops.k_hop(edges(s, d), _seeds(s, d), 2),
     "graph_context": _context,
     "item_compatibility": lambda s, d: ops.item_compatibility(edges(s, d), "Part", ["Supplier"]),
-    "issues_with_solutions": lambda s, d: ops.issues_with_solutions(edges(s, d).withColumn("rel_type", F.when(F.col("rel_type") == "PLACED_BY", "AFFECTS").otherwise(F.col("rel_type"))).withColumn("source_key", F.when(F.col("source_type") == "Order", F.concat(F.lit("o"), "source_key")).otherwise(F.col("source_key"))), resolved="NONE"),
+    "issues_with_solutions": _solved,
     "list_entities": lambda s, d: ops.list_entities(nodes(s, d), edges(s, d), "Customer", "1", 10, 40),
     "entity_edges": lambda s, d: ops.entity_edges(edges(s, d), "Nation", "3"),
     "dedupe_entities": _entities,
@@ -125,7 +134,7 @@ ORACLES = {
     "graph_context": f"""WITH {SQL_EDGES}, {SQL_NODES}, f AS (SELECT DISTINCT l_orderkey AS query_id, s_name AS name FROM lineitem l JOIN edges ON source_type = 'Part' AND source_key = l_partkey::VARCHAR JOIN supplier ON s_suppkey::VARCHAR = target_key WHERE l_linenumber <= 10),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY name) AS r FROM f) SELECT query_id, 'Supplier' AS label, string_agg(name, ', ' ORDER BY r) AS names FROM r WHERE r <= 3 GROUP BY query_id""",
     "item_compatibility": f"WITH {SQL_EDGES} SELECT source_key, string_agg(target_key, ',' ORDER BY target_key) AS \"Supplier\" FROM edges WHERE source_type = 'Part' GROUP BY source_key",
-    "issues_with_solutions": "SELECT o_custkey::VARCHAR AS product, 'o' || o_orderkey AS issue, '' AS solutions FROM orders",
+    "issues_with_solutions": "SELECT o_custkey::VARCHAR AS product, 'o' || o_orderkey AS issue, CASE WHEN o_orderkey % 6 = 0 THEN 'again,fix' || (o_orderkey % 5) WHEN o_orderkey % 3 = 0 THEN 'fix' || (o_orderkey % 5) ELSE '' END AS solutions FROM orders",
     "list_entities": f"WITH {SQL_EDGES}, {SQL_NODES}, g AS (SELECT key, count(*) AS degree FROM (SELECT source_key AS key FROM edges WHERE source_type = 'Customer' UNION ALL SELECT target_key FROM edges WHERE target_type = 'Customer') GROUP BY key) SELECT key, coalesce(degree, 0) AS degree, (SELECT count(*) FROM nodes WHERE label = 'Customer' AND contains(key, '1')) AS total FROM nodes LEFT JOIN g USING (key) WHERE label = 'Customer' AND contains(key, '1') ORDER BY key LIMIT 40 OFFSET 10",
     "entity_edges": f"WITH {SQL_EDGES} SELECT 'in' AS direction, rel_type, source_type AS other_type, source_key AS other_key FROM edges WHERE target_type = 'Nation' AND target_key = '3'",
     "dedupe_entities": "WITH e AS (SELECT ['Camera','Port','Issue'][1 + p_partkey % 3] AS label, p_name AS name, p_brand AS manufacturer, p_partkey AS \"at\" FROM part) SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY label, CASE label WHEN 'Camera' THEN lower(manufacturer) || ':' || lower(name) WHEN 'Issue' THEN \"at\"::VARCHAR ELSE lower(name) END ORDER BY \"at\") = 1",
