@@ -281,6 +281,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = verified.groupBy("fp").agg(F.sum("links").alias("links"))
     joined = connected_components(verified.filter("lead IS NOT NULL").select(F.col("fp").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "fp")
     named = reps.select("fp", "copies", "doc_id").join(joined, "fp", "left").join(links, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    # Written, as it meets its own groups' names, of frequent and of other groups.
+    named = materialize(named, "named")
     name = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
     each = join_counted(named, name, "component", reps.count()).select("fp", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     alone = rows.filter("fp IS NULL").select("doc_id", "row", "fp", F.col("fp").alias("component"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
