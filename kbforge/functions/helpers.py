@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from kbforge.functions import chunking
 from kbforge.functions.text import EMAIL, PHONE, SERIAL
 
 CHUNK = "array<struct<text:string,section:string,kind:string>>"
@@ -323,7 +324,12 @@ def apply_fixes(text: str | None, fixes: list[tuple[str, str]]) -> tuple[str, in
 
 
 def chunk_column(text: Column, mode: str, **options) -> Column:
-    """Chunks as an array: ``mode`` is plain, paragraphs, semantic or support_case."""
+    """Chunks as an array: ``mode`` is plain, paragraphs, semantic or support_case.
+
+    All but markdown's are built-in folds (``chunking``), unless a ``count`` of tokens of one's own is given.
+    """
+    if "count" not in options and mode in ("plain", "paragraphs", "support_case"):
+        return chunking.support_case(text, **options) if mode == "support_case" else chunking.texts(getattr(chunking, mode)(text, **options))
     how = {"plain": lambda t: [(c, None, "text") for c in chunk_plain(t, **options)], "paragraphs": lambda t: [(c, None, "text") for c in chunk_paragraphs(t, **options)], "semantic": lambda t: chunk_semantic(t, **options), "support_case": lambda t: chunk_support_case(t, **options)}[mode]
 
     @F.pandas_udf(CHUNK)

@@ -249,6 +249,22 @@ def page_text_sql(html: str) -> str:
     return rf"array_to_string(list_filter(list_transform(list_transform({pieces}, {decoded}), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' ')"
 
 
+def paragraphs_sql(rows: str, key: str, tokens: int = 400, overlap: int = 50, whole: int = 200) -> str:
+    """SQL of ``c (key, cs)``: paragraphs packed up to ``tokens``; a new chunk begins with the last sentences of the one before."""
+    bare, nn, last = r"lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')", "chr(10) || chr(10)", "string_split(acc, chr(1))[-1]"
+    sentences = f"list_reverse(list_transform(list_filter(list_transform(ps, {bare}), lambda x: x <> ''), lambda x: CASE WHEN ends_with(x, '.') THEN x ELSE x || '.' END))"
+    enough = f"list_min(list_filter(range(1, len(ss) + 1), lambda k: k = len(ss) OR list_sum(list_transform(ss[1:k], lambda x: length(x) // 4)) >= {overlap} OR list_sum(list_transform(ss[1:k + 1], lambda x: length(x) // 4)) > {1.5 * overlap}))"
+    end = f"list_transform([{sentences}], lambda ss: array_to_string(list_reverse(ss[1:{enough}]), ' '))[1]"
+    rest = f"list_transform([string_split(replace(h, '.' || chr(10), '. '), '. ')], lambda ps: CASE WHEN length(h) // 4 <= {overlap} THEN h WHEN len(ps) = 1 THEN right(h, {5 * overlap}) ELSE {end} END)[1]"
+    step = f"list_transform([{last}], lambda h: CASE WHEN (length(h) + 2 + length(x)) // 4 > {tokens} THEN list_transform([{rest}], lambda r: acc || chr(1) || CASE WHEN r <> '' THEN r || {nn} ELSE '' END || x)[1] ELSE acc || {nn} || x END)[1]"
+    return rf"""b AS (SELECT {key}, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM {rows}),
+        p AS (SELECT {key}, body, list_filter(list_transform(string_split(body, {nn}), {bare}), lambda x: x <> '') AS paras FROM b WHERE body <> ''),
+        f AS (SELECT {key}, CASE WHEN length(body) // 4 <= {whole} THEN body ELSE list_reduce(paras, lambda acc, x: {step}) END AS folded FROM p),
+        c AS (SELECT {key}, list_transform(string_split(folded, chr(1)), {bare}) AS cs FROM f)"""
+
+
+SQL_PARAGRAPHS = rf"""WITH t AS (SELECT doc_id, regexp_replace(text, '((?:[^.]*\. ){{7}})', '\1' || chr(10) || chr(10), 'g') AS text FROM documents), {paragraphs_sql('t', 'doc_id')}
+        SELECT doc_id, unnest(range(len(cs))) AS chunk_index, unnest(list_transform(cs, lambda x: length(x))) AS n_chars, unnest(list_transform(cs, lambda x: md5(x))) AS digest FROM c"""
 SQL_PLAIN = f"WITH {plain_sql('documents', 'doc_id', chr(10), 1000, 100)} SELECT doc_id, unnest(range(len(cs))) AS chunk_index, len(cs) AS total_chunks, unnest(list_transform(cs, lambda x: md5(x))) AS digest FROM c"
 ORACLES = {
     "chunk_rows": "SELECT doc_id, 0 AS chunk_index, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8','9','a','b'][1 + ('0x' || h[17])::INT % 4] || h[18:20] || '-' || h[21:32] AS chunk_id FROM (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(doc_id || '_0')) AS h FROM documents)",
@@ -268,6 +284,7 @@ ORACLES = {
     "normalize_doc_url": f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 3 THEN url ELSE '{T.DOCS_HOST}docs/' || page_id END AS url FROM pages",
     "relative_time": "WITH e AS (SELECT event_id, ts, event_id * 104729 % 36000000 AS s FROM events) SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' min ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s // 86400 < 7 THEN (s // 86400) || ' day' || CASE WHEN s // 86400 = 1 THEN '' ELSE 's' END || ' ago' WHEN s // 86400 < 35 THEN (s // 604800) || ' week' || CASE WHEN s // 604800 = 1 THEN '' ELSE 's' END || ' ago' WHEN s // 86400 < 360 THEN (s // 2592000) || ' month' || CASE WHEN s // 2592000 = 1 THEN '' ELSE 's' END || ' ago' ELSE strftime(ts, '%Y-%m-%d') END AS age FROM e",
     "chunk_plain": SQL_PLAIN,
+    "chunk_paragraphs": SQL_PARAGRAPHS,
     "html_to_text": f"SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT page_id, {page_text_sql('html')} AS t FROM pages) WHERE length(t) >= 100",
     "chunks_of_document": f"SELECT doc_id, chunk_index, digest FROM ({SQL_PLAIN}) WHERE doc_id % 20 = 0 AND chunk_index < 4",
     "pii_counts": r"""SELECT doc_id AS conv_id, len(list_distinct(list_transform(regexp_extract_all(text, '(?i)\bCY-[A-Z][A-Z0-9]{1,3}-\d{1,3}-\d{1,3}\b'), lambda x: upper(x)))) AS serials,
