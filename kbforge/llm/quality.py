@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from kbforge.functions.storage import materialize
 from kbforge.llm.token_words import slices
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,6 +114,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return _measured(docs.select("doc_id", "text"), [*MEASURES, "fail_bits"], keep_text=False)
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger, written: every policy and every ablation reads this table, none a text."""
+    return materialize(ledger(docs), "ledger")
+
+
 def apply_policy(rows: DataFrame, mask: int, name: str = "kept") -> DataFrame:
     return rows.withColumn(name, F.col("fail_bits").bitwiseAND(mask) == 0)
 
@@ -139,7 +145,8 @@ def ablations(rows: DataFrame, policies: dict[str, int] | None = None) -> DataFr
 
 
 def judge(docs: DataFrame, policy: str = PRODUCTION) -> DataFrame:
-    rows = ledger(docs).withColumn("base_failed", F.col("fail_bits").bitwiseAND(BASE) != 0)
+    """The stored ledger with ``base_failed`` and the policy's verdict ``kept``."""
+    rows = stored(docs).withColumn("base_failed", F.col("fail_bits").bitwiseAND(BASE) != 0)
     return apply_policy(rows, POLICIES[policy] | BASE)
 
 
@@ -170,3 +177,11 @@ b AS (SELECT *, ((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)
              + 32 * (n_upper > n_lower)::INT) AS fail_bits FROM m)
 SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
+
+
+_POLICY_ROWS = ", ".join(f"('{name}', {mask})" for name, mask in (("v1", 3), ("v2", 15), ("v3", 63)))
+_RULE_ROWS = ", ".join(f"('{name}', {1 << k})" for k, name in enumerate(("few_words", "repeated_words", "symbols", "repeated_lines", "word_length", "shouting")))
+ABLATIONS_SQL = f"""
+SELECT policy, rule, count(*) FILTER (fail_bits & mask <> 0) AS rejected, count(*) FILTER (fail_bits & bit <> 0) AS rule_fails, count(*) FILTER (fail_bits & mask = bit) AS rescued
+FROM ({SQL}) q, (VALUES {_POLICY_ROWS}) p(policy, mask), (VALUES {_RULE_ROWS}) r(rule, bit) WHERE mask & bit <> 0 GROUP BY policy, rule HAVING count(*) FILTER (fail_bits & mask <> 0) > 0
+"""

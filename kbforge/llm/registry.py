@@ -22,6 +22,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each policy rejects and what each of its rules costs, from the ledger of op3."""
+    return quality.ablations(quality.stored(read_table(spark, sf_dir, "documents")))
+
+
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(licenses.with_paths(read_table(spark, sf_dir, "documents")))
 
@@ -71,10 +76,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_language_id, op2_benchmark_decontamination, op3_quality_rules, op4_license_scans, op5_token_output, op6_jaccard_join, op7_sentencepiece,
-        op8_token_counts, op9_url_filters, op10_secret_scans, op11_merkle_manifest, op12_periodic_runs, op13_html_extraction, pipeline,
+        op8_token_counts, op9_url_filters, op10_secret_scans, op11_merkle_manifest, op12_periodic_runs, op13_html_extraction, pipeline, quality_ablations,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scans": licenses.sql(), "op3_quality_rules": quality.SQL, "op9_url_filters": urls.SQL, "op11_merkle_manifest": merkle.sql(), "op12_periodic_runs": periodic.SQL, "op13_html_extraction": htmlcut.SQL}
+    return {"op4_license_scans": licenses.sql(), "op3_quality_rules": quality.SQL, "quality_ablations": quality.ABLATIONS_SQL, "op9_url_filters": urls.SQL, "op11_merkle_manifest": merkle.sql(), "op12_periodic_runs": periodic.SQL, "op13_html_extraction": htmlcut.SQL}
