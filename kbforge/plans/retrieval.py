@@ -89,6 +89,15 @@ def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.eval_retrieval(bm25(spark, sf_dir), ops.expected_documents(docs(spark, sf_dir), questions(spark, sf_dir)), 10)
 
 
+#: The first two words of a question: short enough to be missed.
+SHORT = r"^\S+\s+\S+"
+
+
+def _missed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = questions(spark, sf_dir).select("query_id", F.regexp_extract("text", SHORT, 0).alias("text"))
+    return ops.eval_misses(ops.search_bm25(docs(spark, sf_dir), asked, K), ops.expected_documents(docs(spark, sf_dir), asked), 3)
+
+
 def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way: BM25 and coverage lists, fusion, rerank, threshold."""
     hits, covered = both(spark, sf_dir)
@@ -125,7 +134,7 @@ QUERIES = {
     "build_context": _context,
     "retrieve_batch": _retrieved,
     "eval_retrieval": _evaluated,
-    "eval_misses": lambda s, d: ops.eval_misses(bm25(s, d), ops.expected_documents(docs(s, d), questions(s, d)), 3),
+    "eval_misses": _missed,
     "sample_eval_chunks": lambda s, d: ops.sample_eval_chunks(docs(s, d), 60).select("doc_id"),
 }
 
@@ -153,6 +162,6 @@ ORACLES = {
     "eval_retrieval": f"""WITH {SQL_BM25}, expected AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
         hits AS (SELECT query_id, min(rank) AS first, sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) END) AS gain FROM bm JOIN expected USING (query_id, doc_id) GROUP BY query_id)
         SELECT count(*) AS queries, round(avg(coalesce((first <= 10)::INT, 0)), 6) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(coalesce(gain, 0)), 6) AS ndcg FROM (SELECT DISTINCT query_id FROM expected) LEFT JOIN hits USING (query_id)""",
-    "eval_misses": f"WITH {SQL_BM25}, expected AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), hits AS (SELECT query_id, min(rank) AS best FROM bm JOIN expected USING (query_id, doc_id) GROUP BY query_id) SELECT query_id, best FROM (SELECT DISTINCT query_id FROM expected) LEFT JOIN hits USING (query_id) WHERE best IS NULL OR best > 3",
+    "eval_misses": rf"WITH benchmark AS (SELECT item_id, regexp_extract(text, '{SHORT}') AS text FROM benchmark), {SQL_BM25}, expected AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), hits AS (SELECT query_id, min(rank) AS best FROM bm JOIN expected USING (query_id, doc_id) GROUP BY query_id) SELECT query_id, best FROM (SELECT DISTINCT query_id FROM expected) LEFT JOIN hits USING (query_id) WHERE best IS NULL OR best > 3",
     "sample_eval_chunks": "SELECT doc_id FROM documents WHERE length(text) > 100 ORDER BY md5(doc_id || ':7'), doc_id LIMIT 60",
 }
