@@ -99,7 +99,7 @@ def delivery(pages: DataFrame, number: int) -> DataFrame:
 
 def _ingested(s: SparkSession, d: str) -> DataFrame:
     root = scratch(s, "ingest")
-    store = page_store(s, f"{root}/store")
+    store = page_store(s, f"{root}/store", 16)
     for number in range(DELIVERIES):
         delivery(read_table(s, d, "pages"), number).write.mode("append").parquet(f"{root}/in")
         stream = ingest.page_stream(s, f"{root}/in").writeStream.foreachBatch(ingest.into(store)).trigger(availableNow=True)

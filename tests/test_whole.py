@@ -70,7 +70,7 @@ def test_texts_are_read_to_their_ends(spark, tmp_path):
     write(spark, tmp_path, "benchmark", list(texts.items()), "item_id long, text string")
     run = lambda name: {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()}
     assert run("term_transforms") == {(i, digest(rio("the RIO-live and rio + wan live " + t))) for i, t in texts.items()}
-    assert run("case_document") == {(i, digest(f"# S{i}\nCategory: en\nProduct: s\nKeywords: en, s\n\n## Problem\n{t[:40]}\n\n## Solution\n{t[40:]}")) for i, t in texts.items()}
+    assert run("case_document") == {(i, digest(f"# Support Case: S{i}\n\n**Category:** en\n**Product:** s\n**Status:** resolved\n**Keywords:** en, s\n\n## Problem\n{t[:40]}\n\n## Solution\n{t[40:]}")) for i, t in texts.items()}
     base = {i: ("rio live " if i % 2 else "plain ") + t for i, t in texts.items()}
     assert run("query_variants") == {(i, digest(rio(b)) if rio(b) != b else None, digest(rio(b))) for i, b in base.items()}
     fixed = {i: t[:k] + "<FIX>" + t[k + 6 :] if i % 10 == 9 and (k := t.lower().find(t[4:10].lower())) >= 0 else t for i, t in texts.items()}
