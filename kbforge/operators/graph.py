@@ -141,10 +141,17 @@ def normalize_entities(entities: DataFrame, names: DataFrame, least: int = 10, m
 
 
 def entity_search(nodes: DataFrame, queries: DataFrame, limit: int = 10, labels: tuple[str, ...] = ("Issue", "Solution")) -> DataFrame:
-    """``query_id, label, key, score, rank``: the nodes of ``labels`` whose text (``key``) fits a query best, by BM25."""
-    rows = nodes.filter(F.col("label").isin(*labels)).select(F.concat_ws(":", "label", "key").alias("doc_id"), F.col("key").alias("text"))
-    found = retrieval.search_bm25(rows, queries, limit)
-    return found.select("query_id", F.substring_index("doc_id", ":", 1).alias("label"), F.expr("substring(doc_id, instr(doc_id, ':') + 1)").alias("key"), "score", "rank")
+    """``query_id, label, key, score, rank``: the nodes of ``labels`` whose text (``key``) fits a query best, by BM25; equal scores
+    rank by label and text.
+
+    Texts are written once under a number, and only numbers stand in the postings; of a query's best nodes, with all that score
+    like the last, the texts are met again.
+    """
+    rows = materialize(nodes.filter(F.col("label").isin(*labels)).select("label", "key", F.monotonically_increasing_id().alias("doc_id")), "entities")
+    scored = retrieval.bm25_scores(rows.select("doc_id", F.col("key").alias("text")), queries)
+    near = scored.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).filter(F.col("place") <= limit).drop("place")
+    named = rows.join(retrieval.bounded(materialize(near, "near")), "doc_id").select("query_id", "label", "key", "score", F.concat_ws(":", "label", "key").alias("name"))
+    return retrieval.top_k(named, limit, key="name").drop("name")
 
 
 def dedupe_entities(entities: DataFrame) -> DataFrame:
