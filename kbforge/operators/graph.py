@@ -78,24 +78,34 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int = 2, relations: list[str
     """``seed, type, key, hop``: nodes within ``hops`` of each seed (``seed, type, key``), any direction, nearest hop.
 
     A front of counted size goes to the edges by a broadcast, so that a hub's edges stay dealt out; beyond, both are shuffled
-    and skewed keys are split as the query runs.
+    and skewed keys are split as the query runs. Only edges of a type that stands in the front go there.
     """
     used = edges if relations is None else edges.filter(F.col("rel_type").isin(*relations))
-    steps = materialize(both_ways(used).select("type", "key", "other_type", "other_key").distinct(), "steps")
+    steps = both_ways(used).select("type", "key", "other_type", "other_key")
+    if hops > 1:
+        steps = materialize(steps, "steps")
     seen = materialize(seeds.select("seed", "type", "key", F.lit(0).alias("hop")).distinct(), "hops")
     front = seen
     for hop in range(1, hops + 1):
         near = F.broadcast(front) if front.count() <= BROADCAST_FRONT else front
-        reached = steps.join(near, ["type", "key"]).select("seed", F.col("other_type").alias("type"), F.col("other_key").alias("key")).distinct()
+        # As many as there are labels.
+        types = [r[0] for r in front.select("type").distinct().collect()]
+        reached = steps.filter(F.col("type").isin(types)).join(near, ["type", "key"]).select("seed", F.col("other_type").alias("type"), F.col("other_key").alias("key")).distinct()
         front = materialize(reached.join(seen, ["seed", "type", "key"], "left_anti").withColumn("hop", F.lit(hop)), "hops")
         seen = seen.unionByName(front)
     return seen.filter("hop > 0")
 
 
 def graph_context(hits: DataFrame, around: DataFrame, names: DataFrame, first: int = 10, most: int = 3) -> DataFrame:
-    """``query_id, label, names``: what lies around a query's first hits, by label, at most ``most`` names in order."""
+    """``query_id, label, names``: what lies around a query's first hits, by label, at most ``most`` names in order.
+
+    A name that is not among a hit's own first ``most`` has as many before it in the query too; so hits meet just those.
+    """
+    order = Window.partitionBy("seed", "type").orderBy("hop", "name")
+    named = around.join(names, ["type", "key"]).groupBy("seed", "type", F.substring("name", 1, 50).alias("name")).agg(F.min("hop").alias("hop"))
+    own = materialize(named.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).groupBy("seed").agg(F.collect_list(F.struct("type", "hop", "name")).alias("near")), "near")
     top = hits.filter(F.col("rank") <= first).select("query_id", F.col("doc_key").alias("seed"))
-    found = top.join(around, "seed").join(names, ["type", "key"]).groupBy("query_id", "type", F.substring("name", 1, 50).alias("name")).agg(F.min("hop").alias("hop"))
+    found = top.join(own, "seed").select("query_id", F.explode("near").alias("x")).select("query_id", "x.*").groupBy("query_id", "type", "name").agg(F.min("hop").alias("hop"))
     ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "type").orderBy("hop", "name"))).filter(F.col("r") <= most)
     return ranked.groupBy("query_id", F.col("type").alias("label")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ", ").alias("names"))
 
