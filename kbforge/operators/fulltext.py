@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kbforge.functions.storage import scratch
-from kbforge.functions.stemming import stem_column
+from kbforge.functions.stemming import stem_column, stems_column
 from kbforge.operators import retrieval
 
 #: Words that combine terms in a search and are no terms.
@@ -21,10 +21,8 @@ SEARCH_WORDS = ("near", "not", "or", "and")
 
 
 def stemmed(docs: DataFrame) -> DataFrame:
-    """The postings of ``docs`` by stems. Each distinct term is stemmed once."""
-    postings = retrieval.bm25_postings(docs)
-    stems = postings.select("term").distinct().withColumn("stem", stem_column(F.col("term")))
-    return postings.join(stems, "term").groupBy("doc_id", F.col("stem").alias("term"), "doc_len").agg(F.sum("tf").alias("tf"))
+    """The postings of ``docs`` by stems, counted where texts are read."""
+    return retrieval.bm25_postings(docs, stems=stems_column).select("doc_id", "term", "doc_len", "tf")
 
 
 @dataclass

@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from kbforge.operators import graph, retrieval
+from kbforge.operators import fulltext, graph, retrieval
 
 
 def test_terms_are_counted_where_they_are_read(spark):
@@ -36,3 +36,10 @@ def test_entities_are_searched_by_numbers(spark, monkeypatch):
     got = graph.entity_search(nodes.repartition(3), spark.createDataFrame([(1, "lens")], "query_id long, text string"), 4).orderBy("rank").collect()
     assert [(r["label"], r["key"], r["rank"]) for r in got] == [("Solution", "lens lens", 1)] + [("Issue", f"{w} lens fault", i) for i, w in enumerate("rst", 2)]
     assert seen == ["bigint"] and got[1]["score"] == got[3]["score"]
+
+
+def test_stems_are_counted_where_texts_are_read(spark):
+    docs = spark.createDataFrame([(1, "Cameras camera running runs ran"), (2, None), (3, "the of"), (4, "élan CAMERAS")], "doc_id long, text string")
+    found = fulltext.stemmed(docs.repartition(2))
+    assert sorted(map(tuple, found.select("doc_id", "term", "tf", "doc_len").collect())) == [(1, "camera", 2, 5), (1, "ran", 1, 5), (1, "run", 2, 5), (4, "camera", 1, 2), (4, "élan", 1, 2)]
+    assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
