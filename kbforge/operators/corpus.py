@@ -22,7 +22,8 @@ RMA_BODY = (
 
 def chunk_rows(docs: DataFrame, chunks: Column, key: str = "doc_id") -> DataFrame:
     """A row for each chunk: deterministic id, parent, index, number of chunks; map-only."""
-    rows = docs.select(key, chunks.alias("c")).select(key, F.size("c").alias("total_chunks"), F.posexplode("c").alias("chunk_index", "c"))
+    # An inner explode would put a filter by the array's size below, which works all chunks out once more.
+    rows = docs.select(key, chunks.alias("c")).select(key, F.size("c").alias("total_chunks"), F.posexplode_outer("c").alias("chunk_index", "c")).filter("chunk_index IS NOT NULL")
     name = F.concat_ws("_", F.col(key).cast("string"), F.col("chunk_index").cast("string"))
     return rows.select(uuid5_dns(name).alias("chunk_id"), key, "chunk_index", "total_chunks", "c.text", "c.section", "c.kind")
 

@@ -1,7 +1,9 @@
 import random
+import re
 
 import pytest
 from kbforge.functions import chunking, helpers
+from kbforge.operators import corpus as ops
 from kbforge.plans import corpus
 from pyspark.sql import functions as F
 
@@ -43,3 +45,22 @@ def test_folds_equal_their_twins_on_the_tables(spark):
     ):
         found = rows.select("text", helpers.chunk_column(F.col("text"), mode).alias("c")).collect()
         assert found and all([tuple(c) for c in r.c] == twin(r.text) for r in found)
+
+
+def test_seven_sentences_are_found_in_one_pass(spark, monkeypatch):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(["a", "b. ", ". ", ".", "..", "\n", ".\n", "c d. "]) for _ in range(rnd.randrange(120))) for _ in range(400)]
+    long = ["no point " * 60_000, "one. " * 6 + "x" * 400_000, "1.5 " * 80_000]
+    rows = [(i, t) for i, t in enumerate([*texts, *long, None])]
+    monkeypatch.setattr(corpus, "docs", lambda s, d: spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.text for r in corpus._paragraphed(spark, SF).collect()}
+    # The pattern of the SQL; of the long texts none has seven sentences.
+    assert [got[i] for i in range(len(texts))] == [re.sub(r"((?:[^.]*\. ){7})", "\\1\n\n", t) for t in texts]
+    assert [got[len(texts) + i] for i in range(4)] == [*long, None]
+
+
+def test_chunks_are_worked_out_once(spark):
+    docs = spark.createDataFrame([(1, "One. Two."), (2, ""), (3, None)], "doc_id long, text string")
+    found = ops.chunk_rows(docs, helpers.chunk_column(F.col("text"), "paragraphs"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+    assert [(r.doc_id, r.chunk_index, r.total_chunks, r.text) for r in found.collect()] == [(1, 0, 1, "One. Two.")]
