@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kbforge.functions import helpers, text as T
@@ -200,7 +198,7 @@ QUERIES = {
     "anonymize_threads": lambda s, d: ops.anonymize_threads(docs(s, d).select(F.floor(F.col("doc_id") / 50).alias("conv_id"), F.col("doc_id").alias("turn"), "text")).select("conv_id", "turn", F.md5("text").alias("digest")),
     "anonymize_conversations": lambda s, d: ops.anonymize_threads(_turns(s, d)).select("conv_id", "turn", F.md5("text").alias("digest")),
     "pii_counts": lambda s, d: ops.pii_counts(docs(s, d).withColumnRenamed("doc_id", "conv_id")),
-    "clean_thread_quotes": lambda s, d: _turns(s, d).select("conv_id", "turn", F.md5(F.pandas_udf(_cleaned, "string")(F.concat(F.lit("> old\n"), "text", F.lit("\n--\nme")))).alias("digest")),
+    "clean_thread_quotes": lambda s, d: _turns(s, d).select("conv_id", "turn", F.md5(helpers.text_column(F.concat(F.lit("> old\n"), "text", F.lit("\n--\nme")), "string", helpers.clean_thread_quotes)).alias("digest")),
     "term_transforms": lambda s, d: docs(s, d).select("doc_id", F.md5(T.term_transforms(F.concat(F.lit("the RIO-live and rio + wan live "), "text"))).alias("digest")),
     "snippet": lambda s, d: docs(s, d).select("doc_id", T.snippet(F.col("text")).alias("snippet"), T.token_estimate(F.col("text")).alias("tokens")),
     "answer_preview": lambda s, d: docs(s, d).select("doc_id", T.answer_preview(F.concat(F.lit("# Head\n* "), "text")).alias("preview")),
@@ -222,12 +220,6 @@ QUERIES = {
 }
 
 
-def _cleaned(texts: pd.Series) -> pd.Series:
-    return texts.map(helpers.clean_thread_quotes)
-
-
-
-
 SQL_LABELLED = "c AS (SELECT doc_id, text, lang AS category, source AS product, quality, toxic FROM documents JOIN labels USING (doc_id))"
 SQL_STORED = """WITH c AS (SELECT doc_id, text, unnest(range(greatest(1, (length(text) + 999) // 1000))) AS i FROM documents),
   k AS (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(doc_id || '_' || i)) AS h FROM c)
