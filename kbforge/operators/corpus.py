@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kbforge.functions import helpers
@@ -128,14 +127,14 @@ def anonymize_threads(turns: DataFrame, thread: str = "conv_id", order: str = "t
     a hash of the text.
     """
 
-    @F.pandas_udf("parts array<struct<literal:string,label:string,key:string>>, tail string")
-    def found(texts: pd.Series) -> pd.DataFrame:
-        rows = [helpers.pii_parts(t, own_domain) for t in texts]
-        return pd.DataFrame({"parts": [[{"literal": a, "label": b, "key": c} for a, b, c in parts] for parts, _ in rows], "tail": [tail for _, tail in rows]})
+    def cut_up(text: str | None) -> dict:
+        parts, tail = helpers.pii_parts(text, own_domain)
+        return {"parts": [{"literal": a, "label": b, "key": c} for a, b, c in parts], "tail": tail}
 
+    found = helpers.text_column(F.col("text"), "struct<parts:array<struct<literal:string,label:string,key:string>>,tail:string>", cut_up)
     place = [F.col(order).isNull().alias("late"), F.col(order).alias("order"), F.xxhash64("text").alias("hash")]
     named = F.coalesce(F.concat(F.lit("="), F.col(thread).cast("string")), F.lit(""))
-    rows = turns.select(F.monotonically_increasing_id().alias("_id"), thread, order, named.alias("_thread"), F.struct(*place).alias("_place"), found("text").alias("f"))
+    rows = turns.select(F.monotonically_increasing_id().alias("_id"), thread, order, named.alias("_thread"), F.struct(*place).alias("_place"), found.alias("f"))
     cut = materialize(rows.select("_id", thread, order, "_thread", "_place", "f.parts", "f.tail"), "turns")
     refs = cut.select("_id", "_thread", "_place", F.posexplode(F.transform("parts", lambda x: F.struct(x["label"].alias("label"), x["key"].alias("key")))).alias("pos", "ref"))
     refs = refs.select("_id", "_thread", "pos", F.substring_index("ref.label", ":", 1).alias("kind"), "ref.key", F.struct("_place", "pos").alias("at"))
@@ -210,12 +209,7 @@ def auto_apply_fixes(chunks: DataFrame, fixes: DataFrame, least: float = 0.85) -
     sure = fixes.filter((F.col("confidence") >= least) & (F.col("suggestion_type") != "needs_human_review"))
     listed = sure.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "original_text", "suggested_text"))), lambda x: F.struct(x["original_text"].alias("a"), x["suggested_text"].alias("b"))).alias("fixes"))
 
-    @F.pandas_udf("text string, applied int")
-    def fold(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        done = [helpers.apply_fixes(t, [(f["a"], f["b"]) for f in (own if own is not None else [])]) for t, own in zip(texts, lists)]
-        return pd.DataFrame(done, columns=["text", "applied"])
-
-    rows = chunks.join(listed, "chunk_id", "left").withColumn("r", fold("text", "fixes"))
+    rows = chunks.join(listed, "chunk_id", "left").withColumn("r", helpers.fixed_column(F.col("text"), F.col("fixes")))
     return rows.select("chunk_id", "r.text", "r.applied")
 
 
@@ -246,16 +240,10 @@ def apply_approved_fixes(chunks: DataFrame, fixes: DataFrame, parent: str = "par
     pairs = F.transform(F.array_sort(F.collect_list(F.struct("at", "id", "original_text", "suggested_text"))), lambda x: F.struct(x["original_text"].alias("a"), x["suggested_text"].alias("b")))
     listed = good.groupBy("chunk_id").agg(pairs.alias("fixes"))
 
-    @F.pandas_udf("text string, subject string")
-    def fold(texts: pd.Series, subjects: pd.Series, lists: pd.Series) -> pd.DataFrame:
-        def one(text: str | None, own) -> str | None:
-            return text if text is None or own is None else helpers.apply_fixes(text, [(f["a"], f["b"]) for f in own])[0]
-
-        return pd.DataFrame({"text": list(map(one, texts, lists)), "subject": list(map(one, subjects, lists))})
-
+    fixed = lambda c: F.when(F.col(c).isNotNull(), helpers.fixed_column(F.col(c), F.col("fixes"))["text"]).alias(c)
     none = F.array().cast("array<struct<a:string,b:string>>")
     words = F.aggregate(F.coalesce("fixes", none), F.col("keywords"), lambda acc, f: fix_keywords(acc, f["a"], f["b"]))
-    rows = chunks.join(listed, "chunk_id", "left").withColumn("r", fold("text", "subject", "fixes")).withColumn("words", words)
+    rows = chunks.join(listed, "chunk_id", "left").withColumn("r", F.struct(fixed("text"), fixed("subject"))).withColumn("words", words)
     same = F.col("text").eqNullSafe(F.col("r.text")) & F.col("subject").eqNullSafe(F.col("r.subject")) & F.col("keywords").eqNullSafe(F.col("words"))
     touched = chunks.join(listed.select("chunk_id"), "chunk_id", "left_semi").select(parent).distinct().withColumn("reindex", F.lit(True))
     done = rows.join(touched, parent, "left").select("chunk_id", parent, "r.text", "r.subject", F.col("words").alias("keywords"), (~same).alias("changed"), F.coalesce("reindex", F.lit(False)).alias("reindex"))
