@@ -18,6 +18,8 @@ from kbforge.functions.storage import materialize
 from kbforge.operators.retrieval import bm25_postings
 
 POSTINGS = "term string, tf long, doc_len long"
+#: Changed keys that are broadcast at once.
+BROADCAST_KEYS = 500_000
 
 
 class Store:
@@ -54,23 +56,47 @@ class Store:
         rows = self.spark.read.parquet(f"{self.root}/manifest/{names[-1]}").collect()
         return {(r["name"], r["bucket"]): (r["written"], r["n"]) for r in rows if r["n"]}
 
-    def read(self, table: str, buckets: list[int] | None = None) -> DataFrame:
-        """The rows of a table, or of some of its buckets; no other file is opened."""
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with a bucket's together; where there are more partitions than buckets, a bucket is cut into parts."""
+        parts = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        return rows.repartition(self.bucket(), F.pmod(F.xxhash64(F.lit(1), *self.by), F.lit(parts)))
+
+    def read(self, table: str, buckets: list[int] | None = None, files: dict | None = None) -> DataFrame:
+        """The rows of a table, or of some of its buckets; no other file is opened. ``files``: what ``files()`` gave before."""
         wanted = set(range(self.buckets) if buckets is None else buckets)
-        paths = [f"{self.root}/data/{table}/{written}/bucket={b}" for (name, b), (written, _) in sorted(self.files().items()) if name == table and b in wanted]
+        known = self.files() if files is None else files
+        paths = [f"{self.root}/data/{table}/{written}/bucket={b}" for (name, b), (written, _) in sorted(known.items()) if name == table and b in wanted]
         if not paths:
             return self.spark.createDataFrame([], self.tables[table])
         return self.spark.read.schema(self.tables[table]).parquet(*paths)
 
+    def others(self, table: str, touched: list[int], changed: DataFrame, files: dict) -> DataFrame:
+        """The rows of the ``touched`` buckets whose keys are not in the written table ``changed``; they stay where they lie.
+
+        The changed keys are broadcast, those of so many buckets at once that about ``BROADCAST_KEYS`` are held.
+        """
+        there = [b for b in touched if (table, b) in files]
+        count = max(1, min(len(there), -(-changed.count() // BROADCAST_KEYS)))
+        out = None
+        for k in range(count):
+            some = there[k::count]
+            keys = changed if count == 1 else changed.filter(self.bucket().isin(some))
+            part = self.read(table, some, files).join(F.broadcast(keys), self.by, "left_anti")
+            out = part if out is None else out.unionByName(part)
+        return out
+
     def commit(self, name: str, touched: list[int], rows: dict[str, DataFrame]) -> bool:
-        """Replace the ``touched`` buckets of all tables by ``rows``; false if a commit of that name was made before."""
+        """Replace the ``touched`` buckets of all tables by ``rows``; false if a commit of that name was made before.
+
+        Rows are written by the tasks that have them, so new ones should be ``dealt``.
+        """
         if self.committed(name):
             return False
         safe, files = quote(name, safe=""), {k: v for k, v in self.files().items() if k[1] not in set(touched)}
         for table, new in rows.items():
             folder = f"{self.root}/data/{table}/{safe}"
             placed = new.select(*self.spark.createDataFrame([], self.tables[table]).columns).withColumn("bucket", self.bucket())
-            placed.repartition("bucket").sortWithinPartitions("bucket", *self.order.get(table, self.by)).write.mode("overwrite").partitionBy("bucket").parquet(folder)
+            placed.sortWithinPartitions("bucket", *self.order.get(table, self.by)).write.mode("overwrite").partitionBy("bucket").parquet(folder)
             counts = self.spark.read.schema(f"{self.tables[table]}, bucket int").parquet(folder).groupBy("bucket").count().collect()
             files |= {(table, r["bucket"]): (safe, r["count"]) for r in counts}
         names = self._names()
@@ -102,14 +128,15 @@ def _latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order, F.xxhash64(*others))).alias("v")).select(*keys, "v.*")
 
 
-def _with_postings(store: Store, touched: list[int], old: DataFrame, fresh: DataFrame, changed: DataFrame) -> dict[str, DataFrame]:
-    """The tables after rows of the keys in ``changed`` gave way to ``fresh``; postings of these rows alone are counted anew."""
-    out = {"chunks": old.join(changed, store.by, "left_anti").unionByName(fresh)}
+def _with_postings(store: Store, touched: list[int], fresh: DataFrame, changed: DataFrame, files: dict) -> dict[str, DataFrame]:
+    """The tables after rows of the keys in ``changed`` gave way to ``fresh``; postings of these rows alone are counted anew, where
+    the dealt texts lie, so no posting is shuffled."""
+    dealt = store.dealt(fresh)
+    out = {"chunks": store.others("chunks", touched, changed, files).unionByName(dealt)}
     if "postings" in store.tables:
         key = [c for c in store.tables["postings"].replace(",", " ").split()[::2] if c not in ("term", "tf", "doc_len")]
-        new = fresh.withColumn("_key", F.struct(*key))
-        counted = bm25_postings(new, "_key").select("_key.*", "term", "tf", "doc_len")
-        out["postings"] = store.read("postings", touched).join(changed, store.by, "left_anti").unionByName(counted)
+        counted = bm25_postings(dealt.withColumn("_key", F.struct(*key)), "_key").select("_key.*", "term", "tf", "doc_len")
+        out["postings"] = store.others("postings", touched, changed, files).unionByName(counted)
     return out
 
 
@@ -117,13 +144,18 @@ def upsert(store: Store, incoming: DataFrame, order: list[str], name: str) -> bo
     """Rows of the table ``chunks`` by the store's columns: of each key the greatest by ``order`` stays, of equal ones the incoming one."""
     if store.committed(name):
         return False
-    latest = materialize(_latest(incoming, store.by, order), "incoming")
-    touched = store.touched(latest)
-    old = store.read("chunks", touched)
-    before = old.select(*store.by, F.struct(*order).alias("_before"))
-    fresh = latest.join(before, store.by, "left").filter(F.col("_before").isNull() | (F.struct(*order) >= F.col("_before"))).drop("_before")
-    fresh = materialize(fresh, "fresh")
-    return store.commit(name, touched, _with_postings(store, touched, old, fresh, fresh.select(*store.by).distinct()))
+    latest = materialize(incoming, "incoming")
+    # Texts are grouped only if a key comes twice.
+    if not latest.groupBy(*store.by).count().filter("count > 1").isEmpty():
+        latest = materialize(_latest(latest, store.by, order), "latest")
+    touched, files = store.touched(latest), store.files()
+    # Keys meet without their texts.
+    before = store.read("chunks", touched, files).select(*store.by, F.struct(*order).alias("_before"))
+    late = materialize(latest.select(*store.by, F.struct(*order).alias("_own")).join(before, store.by).filter("_own < _before").select(*store.by), "late")
+    count = late.count()
+    fresh = latest if not count else materialize(latest.join(F.broadcast(late) if count <= BROADCAST_KEYS else late, store.by, "left_anti"), "fresh")
+    changed = fresh.select(*store.by).distinct()
+    return store.commit(name, touched, _with_postings(store, touched, fresh, changed, files))
 
 
 def replace(store: Store, incoming: DataFrame, name: str) -> bool:
@@ -132,8 +164,8 @@ def replace(store: Store, incoming: DataFrame, name: str) -> bool:
         return False
     fresh = materialize(incoming, "incoming")
     changed = fresh.select(*store.by).distinct()
-    touched = store.touched(changed)
-    return store.commit(name, touched, _with_postings(store, touched, store.read("chunks", touched), fresh, changed))
+    touched, files = store.touched(changed), store.files()
+    return store.commit(name, touched, _with_postings(store, touched, fresh, changed, files))
 
 
 #: Tables of ingested pages; a page without text keeps its row of ``documents``, so that an older version cannot come back.
@@ -160,15 +192,16 @@ def ingest_pages(store: Store, pages: DataFrame, read: Callable[[DataFrame], Dat
         return False
     latest = _latest(pages.select("page_id", "version", "url", "html").filter("page_id IS NOT NULL AND version IS NOT NULL"), ["page_id"], ["version"])
     latest = materialize(latest, "pages")
-    touched = store.touched(latest)
-    old = {table: store.read(table, touched) for table in store.tables}
-    known = old["documents"].select("page_id", F.col("version").alias("known"))
+    touched, files = store.touched(latest), store.files()
+    known = store.read("documents", touched, files).select("page_id", F.col("version").alias("known"))
     fresh = latest.join(known, "page_id", "left").filter("known IS NULL OR version > known").drop("known")
     cut = materialize(read(fresh), "cut")
     chunks = cut.filter("text IS NOT NULL").select(*store.spark.createDataFrame([], PAGES["chunks"]).columns)
     titles = cut.groupBy("page_id").agg(F.max("title").alias("title"), F.count("text").cast("int").alias("n_chunks"))
     documents = fresh.select("page_id", "version", "url").join(titles, "page_id")
     changed = materialize(titles.select("page_id"), "changed")
+    chunks = store.dealt(chunks)
     counted = bm25_postings(chunks.withColumn("_key", F.struct("page_id", "chunk_id")), "_key").select("_key.*", "term", "tf", "doc_len")
-    new = {"documents": documents, "chunks": chunks, "postings": counted}
-    return store.commit(name, touched, {table: old[table].join(changed, "page_id", "left_anti").unionByName(new[table].select(*old[table].columns)) for table in new})
+    new = {"documents": store.dealt(documents), "chunks": chunks, "postings": counted}
+    stay = {table: store.others(table, touched, changed, files) for table in new}
+    return store.commit(name, touched, {table: stay[table].unionByName(new[table].select(*stay[table].columns)) for table in new})

@@ -94,3 +94,16 @@ def test_ingested_pages_equal_a_batch_build(spark, tmp_path):
     again = ingest.into(s)
     again(spark.createDataFrame(deliveries[0], ingest.VERSIONS), 0)
     assert rows(s.read("chunks")) == before and len(s._names()) == 4
+
+
+def test_kept_rows_and_postings_are_not_shuffled(spark, tmp_path, monkeypatch):
+    s = kept(spark, tmp_path)
+    first = spark.range(200).select(F.col("id").alias("k"), F.concat(F.lit("some words of chunk "), "id").alias("text"), F.lit(1).alias("batch"))
+    store.upsert(s, first, ["batch"], "one")
+    changed = spark.createDataFrame([(k,) for k in range(0, 200, 3)], "k long")
+    for most in (500_000, 20):  # all keys are broadcast at once, or those of some buckets
+        monkeypatch.setattr(store, "BROADCAST_KEYS", most)
+        stay = s.others("postings", list(range(32)), changed, s.files())
+        plan = stay._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("LeftAnti") == plan.count("strategy=broadcast") == (1 if most > 100 else 4)
+        assert {r.k for r in stay.collect()} == {k for k in range(200) if k % 3} and stay.count() == 5 * 133 - 133
