@@ -15,6 +15,12 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def _one_a_file(rows: DataFrame, path: str) -> None:
+    """Each row of ``value`` as a file of its own. All cores write, however few the bytes, and tasks give their files the last names
+    themselves; else the driver would rename one after the other."""
+    rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+
+
 def _talks(s: SparkSession, d: str) -> DataFrame:
     """``conv_id, text``: a row for each conversation."""
     turns = read_table(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
@@ -30,15 +36,15 @@ def _front(s: SparkSession, d: str) -> DataFrame:
 def _markdown(s: SparkSession, d: str) -> DataFrame:
     path = _folder(s, "markdown")
     head = F.concat(F.lit("---\ntitle: Talk "), F.col("conv_id"), F.lit("\nslug: /talks/"), F.col("conv_id"), F.lit("\nkeywords: [k"), F.col("conv_id") % 7, F.lit(", 'talk']\n---\n"), "text")
-    _talks(s, d).select("conv_id", head.alias("value")).write.partitionBy("conv_id").text(path)
+    _one_a_file(_talks(s, d).select(head.alias("value")), path)
     rows = ops.read_markdown_corpus(s, path, "https://host/", 100, ("txt",))
     return rows.select("title", "url", F.array_join("keywords", ",").alias("keywords"), F.length("text").alias("n_chars"))
 
 
 def _texts(s: SparkSession, d: str) -> DataFrame:
     path = _folder(s, "texts")
-    _talks(s, d).select("conv_id", F.col("text").alias("value")).write.partitionBy("conv_id").text(path)
-    return ops.read_text_folder(s, f"{path}/*", "talks", ["a", "b"]).select(F.md5("text").alias("digest"), "category", F.array_join("tags", ",").alias("tags"))
+    _one_a_file(_talks(s, d).select(F.col("text").alias("value")), path)
+    return ops.read_text_folder(s, path, "talks", ["a", "b"]).select(F.md5("text").alias("digest"), "category", F.array_join("tags", ",").alias("tags"))
 
 
 def _sitemap(s: SparkSession, d: str) -> DataFrame:
