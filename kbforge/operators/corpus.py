@@ -85,6 +85,10 @@ def collection_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("collection").agg(F.count("*").alias("chunks"), F.count_distinct("url").alias("urls"))
 
 
+#: Terms that may be broadcast with their idf.
+KNOWN_TERMS = 500_000
+
+
 def document_keywords(docs: DataFrame, n: int = 6, custom: int = 10) -> DataFrame:
     """``doc_id, keywords``: the ``n`` terms of the highest TF-IDF, joined by commas.
 
@@ -94,7 +98,16 @@ def document_keywords(docs: DataFrame, n: int = 6, custom: int = 10) -> DataFram
     tagged = docs if "tags" in docs.columns else docs.withColumn("tags", F.lit(None).cast("array<string>"))
     postings = retrieval.bm25_postings(docs).filter(F.length("term") > 3)
     idf = retrieval.bm25_idf(postings, docs.agg(F.count("*").alias("n")))
-    scored = postings.join(idf, "term").withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
+    # Frequent terms, which make up most postings, meet their idf by a broadcast; if there are no more terms than that, all do.
+    known = materialize(idf.select("term", "idf", "df"), "idf")
+    if known.count() > KNOWN_TERMS:
+        often = known.orderBy(F.desc("df"), "term").limit(KNOWN_TERMS).select("term", "idf")
+        often = F.broadcast(materialize(often, "often"))
+        seldom = postings.join(often.select("term"), "term", "left_anti").join(known.select("term", "idf"), "term")
+        met = postings.join(often, "term").unionByName(seldom)
+    else:
+        met = postings.join(F.broadcast(known.select("term", "idf")), "term")
+    scored = met.withColumn("score", F.round(F.col("tf") * F.col("idf"), 6))
     ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "term"))).filter(F.col("r") <= max(n, custom))
     top = ranked.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]).alias("terms"))
     tags, none = F.transform("tags", lambda t: F.trim(F.lower(t))), F.array().cast("array<string>")

@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from kbforge.operators import fulltext, graph, retrieval
+from kbforge.operators import corpus, fulltext, graph, retrieval
 
 
 def test_terms_are_counted_where_they_are_read(spark):
@@ -43,3 +43,13 @@ def test_stems_are_counted_where_texts_are_read(spark):
     found = fulltext.stemmed(docs.repartition(2))
     assert sorted(map(tuple, found.select("doc_id", "term", "tf", "doc_len").collect())) == [(1, "camera", 2, 5), (1, "ran", 1, 5), (1, "run", 2, 5), (4, "camera", 1, 2), (4, "élan", 1, 2)]
     assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keywords_are_the_same_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i * k) % 11} tail{i % 4} only{i}" for k in range(9))) for i in range(40)], "doc_id long, text string")
+    found = corpus.document_keywords(docs)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().optimizedPlan().toString() and "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
+    few = sorted(map(tuple, found.collect()))
+    assert len(few) == 40
+    monkeypatch.setattr(corpus, "KNOWN_TERMS", 5)
+    assert sorted(map(tuple, corpus.document_keywords(docs).collect())) == few
