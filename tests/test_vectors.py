@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from kbforge.functions.storage import read_table
 from kbforge.operators import vectors
@@ -56,3 +57,11 @@ def test_recall_of_a_few_cells(spark):
     assert len(near & exact) >= 0.9 * len(exact) and len(exact) == 10 * asks.count()
     few = {(r.query_id, r.vec_id) for r in vectors.search(index, asks, 10, 3).collect()}
     assert 0.3 * len(exact) < len(few & exact) < len(near & exact)
+
+
+def test_few_rows_are_worked_on_at_once(monkeypatch):
+    monkeypatch.setattr(vectors, "MATRIX", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(25))], names=["a"])
+    cut = list(vectors.few(iter([batch, batch.slice(0, 0)]), 30))
+    assert [len(b) for b in cut] == [3] * 8 + [1] and [x for b in cut for x in b.column(0).to_pylist()] == list(range(25))
+    assert [len(b) for b in vectors.few(iter([batch]), 1000)] == [1] * 25 and [len(b) for b in vectors.few(iter([batch]), 0)] == [25]
