@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from kbforge.functions.storage import materialize
 from kbforge.operators import catalog
 
 SCHEMA = "id long, manufacturer string, device_type string, ports array<string>, protocols array<string>"
@@ -34,3 +35,14 @@ def test_against_brute_force(spark, seed):
     for limit in (1, 5):
         assert sorted(map(tuple, catalog.related_items(df(items), df(asked), limit).collect())) == brute(items, asked, limit)
     assert catalog.related_items(df(items), df(asked).limit(0)).count() == 0 and catalog.related_items(df(items).limit(0), df(asked)).count() == 0
+
+
+def test_lists_and_pairs_hold_classes_by_number(spark, monkeypatch):
+    written = {}
+    monkeypatch.setattr(catalog, "materialize", lambda df, name: written.setdefault(name, materialize(df, name)))
+    items = some(random.Random(7), 200, "AB", "xy", "pqrs", 6)
+    df = spark.createDataFrame(items, SCHEMA)
+    assert sorted(map(tuple, catalog.related_items(df, df.filter("id % 4 = 0"), 3).collect())) == brute(items, items[::4], 3)
+    assert {dict(t.dtypes)["cls"] for name, t in written.items() if name != "classed"} == {"bigint"}
+    # Of what the first list gives only what may be among the nearest is kept.
+    assert written["reached"].filter("score < least").count() == 0 < written["reached"].count()
