@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from kbforge.functions.storage import materialize
-from kbforge.llm.token_words import slices
+from kbforge.llm.token_words import slices, texts_of, thrifty
 
 Q = 8
 RATE = 0.1
@@ -270,7 +270,7 @@ def regions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits long, start long, end long"
     id_type = to_arrow_type(benchmark.schema["item_id"].dataType)
-    out = spark.createDataFrame([], schema)
+    out = None
     rest = blocks(benchmark)
     block, following = next(rest, None), None
     several = False
@@ -283,20 +283,23 @@ def regions(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             index = shared.value
             for batch in batches:
                 first, rows = 0, []
-                for part in slices(batch.column(1).to_pylist()):
+                for part in slices(texts_of(batch.column(1))):
                     rows += [(first + t, index.ids[j], *rest) for t, j, *rest in _find(index, part)]
                     first += len(part)
                 ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 columns = [pa.array([r[1] for r in rows], id_type), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(2, 5))]
                 yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "item_id", "edits", "start", "end"])
 
-        found = docs.select("doc_id", "text").mapInArrow(run, schema)
+        found = docs.select("doc_id", "text").mapInArrow(thrifty(run), schema)
         if several:
             # One block after the other, so that no two indexes are held at once.
             found = materialize(found, "regions")
             shared.unpersist()
-        out = out.unionByName(found)
+        out = found if out is None else out.unionByName(found)
         block = following
+    # Rows made in Python, even none, would have each executor start Python workers of another kind.
+    if out is None:
+        out = docs.select("doc_id", F.lit(None).cast(kinds[1]).alias("item_id"), *(F.lit(0).cast("long").alias(c) for c in ("edits", "start", "end"))).limit(0)
     return out.distinct()
 
 

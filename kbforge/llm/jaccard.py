@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from kbforge.functions.storage import materialize
-from kbforge.llm.token_words import slices
+from kbforge.llm.token_words import slices, texts_of, thrifty
 from kbforge.operators.components import connected_components, join_counted
 
 SHINGLE = 5
@@ -54,7 +54,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
     """The sorted 64-bit hashes of each text's shingles."""
     for part in slices(texts):
         words = [_WORD.findall(t.lower()) for t in part]
@@ -92,14 +92,14 @@ def _described(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps, sizes, sigs = [], [], []
-            for s in shingle_sets(batch.column(2).to_pylist()):
+            for s in shingle_sets(texts_of(batch.column(2))):
                 fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sizes.append(len(s))
                 sigs.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "row", "fp", "n", "sig"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", _row().alias("row"), "text").mapInArrow(run, f"doc_id {kind}, row struct<a:bigint,b:bigint>, fp binary, n long, sig binary")
+    return docs.select("doc_id", _row().alias("row"), "text").mapInArrow(thrifty(run), f"doc_id {kind}, row struct<a:bigint,b:bigint>, fp binary, n long, sig binary")
 
 
 def _row() -> Column:
@@ -253,19 +253,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    clusters = connected_components(_blocked(members, "band", "blocks", ["fp", "sig"]).mapInArrow(candidates, "a binary, b binary"))
+    clusters = connected_components(_blocked(members, "band", "blocks", ["fp", "sig"]).mapInArrow(thrifty(candidates), "a binary, b binary"))
     known = materialize(clusters.join(reps.select("fp", "copies", "n", "row"), clusters["node"] == F.col("fp")).select("component", "fp", "copies", "n", "row"), "clusters")
     size = known.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"), F.count("*").alias("n"))
     of_cluster = join_counted(known, size, "component", reps.count())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(0).to_pylist()):
+            for part in slices(texts_of(batch.column(0))):
                 found = [s.astype("<u8").tobytes() for s in shingle_sets(part)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in found], pa.binary()), pa.array(found, pa.binary())], names=["fp", "shingles"])
 
     texts = _pick(docs.select(_row().alias("row"), "text"), known.select("row"), "left_semi").select("text")
-    shingled = texts.mapInArrow(sets, "fp binary, shingles binary").dropDuplicates(["fp"])
+    shingled = texts.mapInArrow(thrifty(sets), "fp binary, shingles binary").dropDuplicates(["fp"])
     compared = _blocked(of_cluster.join(shingled, "fp"), "component", "blocks", ["fp", "copies", "shingles"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +277,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             lead = [group[k][4] if k >= 0 else None for k in _spanning(near, [r[4] for r in group])]
             yield pa.RecordBatch.from_arrays([pa.array([r[4] for r in group], pa.binary()), pa.array(links, pa.int64()), pa.array(lead, pa.binary())], names=["fp", "links", "lead"])
 
-    verified = materialize(compared.mapInArrow(verify, "fp binary, links long, lead binary").filter("links > 0"), "links")
+    verified = materialize(compared.mapInArrow(thrifty(verify), "fp binary, links long, lead binary").filter("links > 0"), "links")
     links = verified.groupBy("fp").agg(F.sum("links").alias("links"))
     joined = connected_components(verified.filter("lead IS NOT NULL").select(F.col("fp").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "fp")
     named = reps.select("fp", "copies", "doc_id").join(joined, "fp", "left").join(links, "fp", "left").withColumn("component", F.coalesce("component", "fp"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from kbforge.functions.storage import materialize
-from kbforge.llm.token_words import slices
+from kbforge.llm.token_words import slices, texts_of, thrifty
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW = 8
@@ -96,7 +96,7 @@ def _measured(rows: DataFrame, names: list[str], keep_text: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [_measure(part) for part in slices(batch.column("text").to_pylist())]
+            done = [_measure(part) for part in slices(texts_of(batch.column("text")))]
             columns = [pa.array(np.concatenate(c)) for c in zip(*done)] if done else [pa.array([], pa.int64())] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in order), *columns], names=[*order, *names[:-1]])
 
@@ -106,7 +106,7 @@ def _measured(rows: DataFrame, names: list[str], keep_text: bool) -> DataFrame:
     for k, (_, fails) in enumerate(RULES):
         fails = re.sub(r"\bn_\w+|\bword_chars", lambda m: f"`{given[m[0]]}`", fails)
         total = total.bitwiseOR(F.when(F.expr(fails), 1 << k).otherwise(0))
-    return rows.mapInArrow(run, schema).withColumn(names[-1], total)
+    return rows.mapInArrow(thrifty(run), schema).withColumn(names[-1], total)
 
 
 def ledger(docs: DataFrame) -> DataFrame:

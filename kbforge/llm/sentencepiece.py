@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kbforge.functions.storage import materialize
-from kbforge.llm.token_words import bounds, column_slices, gathered, runs
+from kbforge.llm.token_words import bounds, column_slices, gathered, runs, thrifty
 from kbforge.operators.components import join_spread
 
 SPACE = "▁"
@@ -125,8 +125,9 @@ class Pieces:
     def table(self, spark: SparkSession) -> DataFrame:
         """``piece, id, score, rank`` (from the highest score), with blanks for ``▁``: as many rows as the model has pieces."""
         ids = np.array(list(self.ids.values()), np.int32)
-        frame = pd.DataFrame({"piece": [p.replace(SPACE, " ") for p in self.ids], "id": ids, "score": np.array(self.scores)[ids], "rank": np.array(list(self.ranks.values()), np.int64)})
-        return spark.createDataFrame(frame, "piece string, id int, score double, rank long")
+        frame = pa.table({"piece": pa.array([p.replace(SPACE, " ") for p in self.ids], pa.string()), "id": ids, "score": np.array(self.scores)[ids], "rank": np.array(list(self.ranks.values()), np.int64)})
+        # An Arrow table goes to the JVM as it is; for other rows each executor would start Python workers of another kind.
+        return spark.createDataFrame(frame)
 
     def spelt(self, char: str) -> list[int]:
         if self.bytes[0] < 0:
@@ -235,7 +236,7 @@ def segments(docs: DataFrame, model: Pieces) -> DataFrame:
         if held:
             yield from rows()
 
-    return docs.select("text").mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(thrifty(run), "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
 
 
 #: An edge is one number, which sorts as the model merges: rank, start, length and id. These read it.
@@ -403,7 +404,7 @@ def vocabulary(docs: DataFrame, model: Pieces) -> tuple[DataFrame, DataFrame]:
 
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.count() // PART_SEGMENTS + 1)
-    rows = lattice(found.filter(~odd), model, parts).unionByName(found.filter(odd).select("segment").mapInArrow(run, "segment string, ids array<int>"))
+    rows = lattice(found.filter(~odd), model, parts).unionByName(found.filter(odd).select("segment").mapInArrow(thrifty(run), "segment string, ids array<int>"))
     # The groups of a task fit in memory, so they need no sort.
     limit = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(limit)
@@ -427,7 +428,7 @@ def packed(rows: DataFrame, kind: np.dtype, turn: int) -> DataFrame:
                 own = [_hash(batch.column(0), turn).tobytes(), batch.column(1).value_lengths().to_numpy().astype("<u4").tobytes(), batch.column(1).flatten().to_numpy().astype(kind).tobytes()]
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.binary()) for r in own], names=["hashes", "sizes", "ids"])
 
-    return rows.select("segment", "ids").mapInArrow(run, "hashes binary, sizes binary, ids binary")
+    return rows.select("segment", "ids").mapInArrow(thrifty(run), "hashes binary, sizes binary, ids binary")
 
 
 class Table:
@@ -462,7 +463,7 @@ class Table:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array([sum(got is not None for got in shared.value.look_up(batch.column(0)))], pa.int64())], names=["n"])
 
-        return others.select("segment").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+        return others.select("segment").mapInArrow(thrifty(run), "n long").agg(F.sum("n")).first()[0] or 0
 
     def look_up(self, segments_: pa.Array) -> list[bytes | None]:
         if not len(segments_) or not len(self.hashes):
@@ -524,7 +525,7 @@ def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = T
 
         # Equal texts ask once; the lists are as long as a text has rare segments.
         keyed = rows.withColumn("_t", F.xxhash64("text"))
-        asks = materialize(keyed.select("_t", "text").mapInArrow(unknown, "_t long, segment string").distinct(), "asks")
+        asks = materialize(keyed.select("_t", "text").mapInArrow(thrifty(unknown), "_t long, segment string").distinct(), "asks")
         tails = join_spread(asks, vocab.select("segment", "ids"), "segment").groupBy("_t").agg(F.collect_list(F.struct("segment", "ids")).alias("tail"))
         rows = join_spread(keyed, tails, "_t", "left").select("doc_id", "text", "tail")
     else:
@@ -546,7 +547,7 @@ def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = T
                 at += len(part)
 
     names = ["doc_id", "ids"] + ["decoded_md5", "equals_text"] * back
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", decoded_md5 string, equals_text boolean" * back)
+    return rows.mapInArrow(thrifty(run), f"doc_id {kind}, ids array<int>" + ", decoded_md5 string, equals_text boolean" * back)
 
 
 class Decoder:
@@ -593,7 +594,7 @@ def decode(encoded: DataFrame, model: Pieces | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(thrifty(run), f"doc_id {kind}, text string")
 
 
 def encoded(docs: DataFrame) -> DataFrame:

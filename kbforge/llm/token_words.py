@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -177,6 +177,22 @@ def column_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array
         at = stop
 
 
+def texts_of(texts: pa.Array) -> Iterator[str]:
+    """Each text, null as empty; about ``SLICE_CHARS`` bytes of them are Python's strings at a time."""
+    for part in column_slices(texts, SLICE_CHARS):
+        yield from part.to_pylist()
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` as a task's function; at its end the memory that Arrow keeps for later goes back to the system, as workers live on."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def slices(texts: Iterable[str | None], chars: int = SLICE_CHARS) -> Iterator[list[str]]:
     """Texts in lists of about ``chars`` characters; a longer text comes alone."""
     part: list[str] = []

@@ -63,3 +63,13 @@ def test_empty_tables_and_columns_of_any_name(spark, tmp_path):
         assert all(tuple(r)[2:] == tuple(odd) for r in docs.collect())
     assert sorted((r.doc_id for r in docs.collect()), key=str) == [8, None]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 2
+
+
+def test_stages_make_no_rows_in_python(spark, monkeypatch):
+    """Rows of Python would have each executor start Python workers of another kind, beside those of ``mapInArrow``."""
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(PROSE)], "doc_id long, text string, lang string, source string, n_chars long")
+    benchmark = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    monkeypatch.setattr(corpus_pipeline, "read_table", lambda *_: benchmark)
+    monkeypatch.setattr(spark.sparkContext, "parallelize", None)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "").count() == len(PROSE)
