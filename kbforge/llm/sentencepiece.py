@@ -15,8 +15,8 @@
    Characters that no piece covers become their UTF-8 bytes' pieces, or unknown.
 3. The segments' ids, sorted by a 64-bit hash of the segment, go to the tasks, which look up their texts' segments; the
    hash's key is changed until no segment of the texts has the hash of another in the table. Only segments above a frequency,
-   at most ``TABLE_SEGMENTS`` and ``TABLE_BYTES``, are broadcast; others are joined to the texts that hold them, frequent texts
-   in several parts.
+   at most ``TABLE_SEGMENTS`` and ``TABLE_BYTES``, are broadcast, in parts by ranges of the hash, of which the driver holds one
+   at a time; others are joined to the texts that hold them, frequent texts in several parts.
 
 Normalisation must be the identity, as in the model used here; other models are refused. Null and empty texts have no ids. Null ids and repeated rows stay, other columns are ignored. An empty
 table gives no rows.
@@ -35,6 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kbforge.functions.storage import materialize
@@ -44,6 +45,8 @@ from kbforge.operators.components import join_spread
 SPACE = "▁"
 #: Segments, and bytes of a table of segments, that may be broadcast.
 TABLE_SEGMENTS, TABLE_BYTES = 4_000_000, 160_000_000
+#: Bytes of that table that the driver holds at a time, about.
+PART_BYTES = 8 << 20
 #: Bytes of a segment in that table, besides those of its ids.
 ROW_BYTES = 24
 #: Characters of a segment that is folded; longer ones are encoded step by step.
@@ -419,62 +422,96 @@ def _hash(segments_: pa.Array, turn: int) -> np.ndarray:
     return pd.util.hash_array(segments_.to_numpy(zero_copy_only=False).astype(object), hash_key=f"{turn:016d}", categorize=False)
 
 
-def packed(rows: DataFrame, kind: np.dtype, turn: int) -> DataFrame:
-    """``hashes, sizes, ids``: the table's rows as runs of bytes, so that the driver handles few objects."""
+def packed(rows: DataFrame, kind: np.dtype, turn: int, parts: int) -> DataFrame:
+    """``part, hashes, sizes, ids``: the table's rows as runs of bytes, dealt into parts by ranges of the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                own = [_hash(batch.column(0), turn).tobytes(), batch.column(1).value_lengths().to_numpy().astype("<u4").tobytes(), batch.column(1).flatten().to_numpy().astype(kind).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.binary()) for r in own], names=["hashes", "sizes", "ids"])
+                h = _hash(batch.column(0), turn)
+                order = np.argsort(h)
+                ids = batch.column(1).take(pa.array(order))
+                at, sizes, flat = _ends(h[order], parts), ids.value_lengths().to_numpy().astype("<u4"), ids.flatten().to_numpy().astype(kind)
+                ids_at = np.append(0, np.cumsum(sizes, dtype=np.int64))[at]
+                own = [k for k in range(parts) if at[k] < at[k + 1]]
+                columns = [[v[x[k] : x[k + 1]].tobytes() for k in own] for v, x in ((h[order], at), (sizes, at), (flat, ids_at))]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], names=["part", "hashes", "sizes", "ids"])
 
-    return rows.select("segment", "ids").mapInArrow(thrifty(run), "hashes binary, sizes binary, ids binary")
+    return rows.select("segment", "ids").mapInArrow(thrifty(run), "part int, hashes binary, sizes binary, ids binary")
 
 
-class Table:
-    """The frequent segments: sorted hashes, and where each one's ids stand in one run; some 24 bytes a segment."""
+def _ends(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part begins in sorted hashes (one more for the end); a part is an equal share of the hash's range."""
+    first = np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(hashes, first), [len(hashes)]]).astype(np.int64)
+
+
+class Part:
+    """One range of hashes, sorted, and where each one's ids stand in one run; some 24 bytes a segment."""
 
-    def __init__(self, rows: list, kind: np.dtype, turn: int):
-        self.kind, self.turn = kind, turn
+    def __init__(self, rows: list, kind: np.dtype):
         self.ids = b"".join(r["ids"] for r in rows)
         hashes = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint64)
         sizes = np.frombuffer(b"".join(r["sizes"] for r in rows), "<u4")
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
-        self.clashes = bool((self.hashes[1:] == self.hashes[:-1]).any())
         self.sizes = (sizes[order] * kind.itemsize).astype(np.uint32)
         self.starts = ((np.cumsum(sizes, dtype=np.int64) - sizes)[order] * kind.itemsize).astype(np.int64)
 
+    def clashes(self) -> bool:
+        return bool((self.hashes[1:] == self.hashes[:-1]).any())
+
+    def look_up(self, hashes: np.ndarray) -> list[bytes | None]:
+        if not len(hashes) or not len(self.hashes):
+            return [None] * len(hashes)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        first = np.where(self.hashes[at] == hashes, self.starts[at], -1).tolist()
+        return [self.ids[a : a + n] if a >= 0 else None for a, n in zip(first, self.sizes[at].tolist())]
+
+
+class Table:
+    """The frequent segments, in parts that are broadcast one by one: the driver holds one part at a time."""
+
+    def __init__(self, rows: DataFrame, kind: np.dtype, turn: int, parts: int = 1):
+        self.kind, self.turn, self.clashes = kind, turn, False
+        self.parts: list[Broadcast[Part]] = []
+        context = rows.sparkSession.sparkContext
+        stored = materialize(packed(rows, kind, turn, parts).repartition(parts, "part"), "table")
+        for k in range(parts):
+            part = Part(stored.filter(F.col("part") == k).collect(), kind)
+            self.clashes |= part.clashes()
+            self.parts.append(context.broadcast(part))
+
     @classmethod
-    def of(cls, rows: DataFrame, kind: np.dtype, others: DataFrame | None = None) -> "Table":
+    def of(cls, rows: DataFrame, kind: np.dtype, others: DataFrame | None = None, parts: int = 1) -> "Table":
         """With another key of the hash where two segments have one hash, be both in the table or one among ``others``."""
         turn = 0
         while True:
-            table = cls(packed(rows, kind, turn).collect(), kind, turn)
+            table = cls(rows, kind, turn, parts)
             if not table.clashes and (others is None or not table.taken(others)):
                 return table
             turn += 1
 
     def taken(self, others: DataFrame) -> int:
         """How many segments that are not in the table have the hash of one that is."""
-        shared = others.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([sum(got is not None for got in shared.value.look_up(batch.column(0)))], pa.int64())], names=["n"])
+                yield pa.RecordBatch.from_arrays([pa.array([sum(got is not None for got in self.look_up(batch.column(0)))], pa.int64())], names=["n"])
 
         return others.select("segment").mapInArrow(thrifty(run), "n long").agg(F.sum("n")).first()[0] or 0
 
     def look_up(self, segments_: pa.Array) -> list[bytes | None]:
-        if not len(segments_) or not len(self.hashes):
-            return [None] * len(segments_)
         h = _hash(segments_, self.turn)
         order = np.argsort(h)
-        at = np.empty(len(h), np.int64)
-        at[order] = np.searchsorted(self.hashes, h[order])
-        at = np.minimum(at, len(self.hashes) - 1)
-        first = np.where(self.hashes[at] == h, self.starts[at], -1).tolist()
-        return [self.ids[a : a + n] if a >= 0 else None for a, n in zip(first, self.sizes[at].tolist())]
+        at = _ends(h[order], len(self.parts))
+        out: list[bytes | None] = [None] * len(h)
+        for part, a, b in zip(self.parts, at, at[1:]):
+            if a < b:
+                own = order[a:b]
+                for k, got in zip(own.tolist(), part.value.look_up(h[own])):
+                    out[k] = got
+        return out
 
 
 def ids_of(texts: pa.Array, model: Pieces, table: Table, more: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -506,7 +543,8 @@ def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = T
         room, bytes_ = room - levels.get(least, (0, 0))[0], bytes_ - levels.get(least, (0, 0))[1]
     head = vocab if least == 0 else vocab.join(counts.filter(F.floor(F.log2("n")) >= least).select("segment"), "segment")
     rare = counts.filter(F.floor(F.log2("n")) < least) if least > 0 else None
-    table = spark.sparkContext.broadcast(Table.of(head, width, rare))
+    held = sum(size for level, (_, size) in levels.items() if level >= least)
+    table = Table.of(head, width, rare, held // PART_BYTES + 1)
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -518,7 +556,7 @@ def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = T
                 at = 0
                 for part in column_slices(batch.column(1)):
                     parsed = Parsed.of(part, shared.value)
-                    missing = np.array([got is None for got in table.value.look_up(parsed.segments)], bool)
+                    missing = np.array([got is None for got in table.look_up(parsed.segments)], bool)
                     for text, own in parsed.texts_with(missing):
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([at + text] * len(own))), parsed.segments.take(pa.array(own))], names=["_t", "segment"])
                     at += len(part)
@@ -538,7 +576,7 @@ def encode(docs: DataFrame, model: Pieces | None = None, table_segments: int = T
             for part in column_slices(batch.column(1)):
                 tails = batch.column(2).slice(at, len(part)).drop_null().to_pylist()
                 more = {s["segment"]: np.array(s["ids"], width).tobytes() for tail in tails for s in tail}
-                ids, starts = ids_of(part, shared.value, table.value, more)
+                ids, starts = ids_of(part, shared.value, table, more)
                 columns = [batch.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))]
                 if dec:
                     texts = list(dec.checked(ids, starts, part))
