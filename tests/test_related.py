@@ -46,3 +46,16 @@ def test_lists_and_pairs_hold_classes_by_number(spark, monkeypatch):
     assert {dict(t.dtypes)["cls"] for name, t in written.items() if name != "classed"} == {"bigint"}
     # Of what the first list gives only what may be among the nearest is kept.
     assert written["reached"].filter("score < least").count() == 0 < written["reached"].count()
+
+
+def test_no_growing_side_is_broadcast(spark, monkeypatch):
+    plans = {}
+    shown = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    monkeypatch.setattr(catalog, "materialize", lambda df, name: plans.setdefault(name, shown(df)) and materialize(df, name))
+    items = some(random.Random(8), 200, "AB", "xy", "pqrs", 6)
+    df = spark.createDataFrame(items, SCHEMA)
+    found = catalog.related_items(df, df.filter("id % 4 = 0"), 3)
+    assert all("Broadcast" not in plan for plan in plans.values()) and plans["reached"].count("SortMergeJoin") == 3
+    # The keys of many rows alone, a thousand at most.
+    assert shown(found).count("BroadcastHashJoin") == 2
+    assert sorted(map(tuple, found.collect())) == brute(items, items[::4], 3)
