@@ -18,6 +18,8 @@ from kbforge.operators import retrieval
 
 #: Words that combine terms in a search and are no terms.
 SEARCH_WORDS = ("near", "not", "or", "and")
+#: Terms that more than one in so many of the asked postings have are broadcast: fewer than that.
+OFTEN = 50_000
 
 
 def stemmed(docs: DataFrame) -> DataFrame:
@@ -48,12 +50,15 @@ class TextIndex:
         begin = F.filter(F.array(*(F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in sizes)), lambda x: x.isNotNull()) if sizes else F.array().cast("array<string>")
         return own.withColumn("prefix", F.explode(begin)).join(retrieval.bounded(prefixes), "prefix")
 
-    def postings(self, terms: DataFrame) -> DataFrame:
-        """``doc_id, term, tf, doc_len`` of some of the dictionary's terms (``term, low, high``)."""
+    def ranges(self, terms: DataFrame) -> DataFrame:
+        """``doc_id, term, tf, doc_len`` of the ranges that hold some of the dictionary's terms (``term, low, high``)."""
         ranges = sorted(r[0] for r in terms.select(F.explode(F.sequence("low", "high"))).distinct().collect())
         kind = self.spark.read.parquet(f"{self.root}/kind").schema["doc_id"].dataType.simpleString()
-        own = self._folders("postings", "range", ranges, f"doc_id {kind}, term string, tf long, doc_len long")
-        return own.join(retrieval.bounded(terms.select("term").distinct()), "term", "left_semi")
+        return self._folders("postings", "range", ranges, f"doc_id {kind}, term string, tf long, doc_len long")
+
+    def postings(self, terms: DataFrame) -> DataFrame:
+        """``doc_id, term, tf, doc_len`` of some of the dictionary's terms (``term, low, high``)."""
+        return self.ranges(terms).join(retrieval.bounded(terms.select("term").distinct()), "term", "left_semi")
 
 
 def build(docs: DataFrame, stem: bool = False, root: str | None = None) -> TextIndex:
@@ -75,16 +80,31 @@ def build(docs: DataFrame, stem: bool = False, root: str | None = None) -> TextI
 
 def search(index: TextIndex, queries: DataFrame, k: int = 100) -> DataFrame:
     """``query_id, doc_id, score, rank``: BM25 in which a query's term stands for every term that begins with it; the words that
-    combine terms are none here."""
+    combine terms are none here.
+
+    Of a term only the longest prefix asked for is kept: which others begin it, and so which queries ask for it, follows from that
+    one. So a posting stays one row until those of its document are together; only there it meets the queries, and no pair of a query
+    and a document is shuffled but the best of each task. The ``OFTEN`` most frequent terms at most are broadcast to their postings,
+    which then are shuffled by their document alone.
+    """
     asked = retrieval.query_terms(queries).filter(~F.col("term").isin(*SEARCH_WORDS))
     if index.stem:
         asked = asked.select("query_id", stem_column(F.col("term")).alias("term")).distinct()
     asked = retrieval.materialize(asked.withColumnRenamed("term", "prefix"), "asked")
-    terms = retrieval.materialize(index.terms(asked.select("prefix").distinct()), "terms")
-    pairs = asked.join(terms, "prefix").select("query_id", "term").distinct()
+    prefixes = retrieval.materialize(asked.select("prefix").distinct().withColumn("no", F.monotonically_increasing_id()), "prefixes")
+    starts = F.transform(F.sequence(F.lit(1), F.length("prefix")), lambda i: F.substring(F.col("prefix"), F.lit(1), i))
+    asking = prefixes.select("no", F.explode(starts).alias("prefix")).join(asked, "prefix").select("no", "query_id").distinct()
+    asking = retrieval.bounded(retrieval.materialize(asking, "asking"))
+    # Of prefixes of one term the longest is the last in order.
+    longest = index.terms(prefixes.select("prefix")).groupBy("term", "df", "low", "high").agg(F.max("prefix").alias("prefix"))
+    terms = retrieval.materialize(longest.join(retrieval.bounded(prefixes), "prefix").drop("prefix"), "terms")
     sizes = index.spark.read.parquet(f"{index.root}/sizes")
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = terms.select("term", "df").distinct().crossJoin(F.broadcast(sizes)).select("term", idf.alias("idf"), (F.col("total") / F.col("n")).alias("avg_len"))
+    weights = terms.crossJoin(F.broadcast(sizes)).select("term", "df", "no", idf.alias("idf"), (F.col("total") / F.col("n")).alias("avg_len"))
+    limit = (terms.agg(F.sum("df")).first()[0] or 0) // OFTEN
+    own, often = index.ranges(terms), F.broadcast(weights.filter(F.col("df") > limit))
+    met = own.join(often, "term").unionByName(own.join(often, "term", "left_anti").join(weights.filter(F.col("df") <= limit).hint("merge"), "term"))
     weight = F.col("idf") * F.col("tf") * (retrieval.K1 + 1) / (F.col("tf") + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("doc_len") / F.col("avg_len")))
-    scored = index.postings(terms).join(weights, "term").join(pairs, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    gathered = met.select("doc_id", "no", weight.alias("weight")).repartition("doc_id").groupBy("doc_id", "no").agg(F.sum("weight").alias("weight"))
+    scored = gathered.join(asking, "no").groupBy("query_id", "doc_id").agg(F.round(F.sum("weight"), 6).alias("score"))
     return retrieval.top_k(scored, k)

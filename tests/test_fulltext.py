@@ -60,3 +60,16 @@ def test_only_asked_postings_are_read(spark):
     assert own.count() == 571 and 0 < len(own.inputFiles()) < len(every.inputFiles())
     assert index.terms(spark.createDataFrame([("word12",)], "prefix string")).count() == 11
     assert index.terms(spark.createDataFrame([("zz",)], "prefix string")).count() == 0
+
+
+def test_queries_meet_postings_by_their_document_only(spark):
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('camera cam', id % 40, ' port', id % 7) AS text")
+    queries = [(1, "c cam"), (2, "camera ca"), (3, "por cam1"), (4, "port")]
+    index = fulltext.build(docs)
+    found = fulltext.search(index, spark.createDataFrame(queries, "query_id long, text string"), 300)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(doc_id#\d+L?, ", plan) and not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", plan)
+    # A term that several of a query's prefixes begin counts once.
+    got = sorted((r.query_id, r.doc_id, round(r.score, 5)) for r in found.collect())
+    want = brute([tuple(r) for r in docs.collect()], queries, 300, False)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 2e-5 for g, w in zip(got, want))
